@@ -386,7 +386,7 @@ def tiered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, event_id FROM a WHERE user_id NOT IN (SELECT user_id FROM s)""")
 def put_if_absent_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    store, new = e.where("event_id % 97 = 0").select("user_id").distinct(), e.where("event_id % 5 <> 0")
+    store, new = e.where("event_id % 97 = 0").select("user_id").distinct(), e.where("event_id % 97 <> 0")
     return put_if_absent(store, new, "user_id", F.struct("ts", "event_id")).select("user_id", "event_id")
 
 
