@@ -48,8 +48,11 @@ class _Chunks(dict):
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
 
-    def learn(self, chunks: list[bytes]) -> None:
-        new = {c for c in chunks if c not in self}
+    def learn(self, texts: list[list[bytes]]) -> None:
+        if len(self) > CACHED:
+            self.clear()
+            self.learn([[b".", b","]])
+        new = set().union(*texts) - self.keys()
         if not new:
             return
         stems = {c[:-1] if c[-1:] in b".," and c[-2:-1].isalpha() else c for c in new}
@@ -69,23 +72,21 @@ def _tokenizer(path: str) -> _Chunks:
         from tokenizers import Tokenizer
 
         chunks = _Chunks(Tokenizer.from_file(path))
-        chunks.learn([b".", b","])
+        chunks.learn([[b".", b","]])
         _worker[path] = chunks
     return _worker[path]
 
 
-def token_bytes(text: bytes | None, chunks: _Chunks) -> bytes:
-    """The whole text's ids as 32-bit bytes, without the end token."""
-    if not text:
-        return b""
-    if b"<|" in text:  # special tokens' names are found before letters become lower case
-        return np.array(chunks.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-    parts = text.lower().split()
-    try:
-        return b"".join(map(chunks.__getitem__, parts))
-    except KeyError:
-        chunks.learn(parts)
-        return b"".join(map(chunks.__getitem__, parts))
+def token_bytes(texts: list[bytes | None], chunks: _Chunks) -> Iterator[bytes]:
+    """Each whole text's ids as 32-bit bytes, without the end token."""
+    # special tokens' names are found before letters become lower case
+    parts = [t.lower().split() if t and b"<|" not in t else [] for t in texts]
+    chunks.learn(parts)
+    for t, p in zip(texts, parts, strict=True):
+        if t and b"<|" in t:
+            yield np.array(chunks.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            yield b"".join(map(chunks.__getitem__, p))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -98,14 +99,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
                 texts = byte_texts(part.column(1))
-                if len(chunks) > CACHED:
-                    del _worker[path]
-                    chunks = _tokenizer(path)
-                plain = [t.lower().split() for t in texts if t and b"<|" not in t]
-                chunks.learn([c for p in plain for c in p])
                 owner, number, crc, length, ids = [], [], [], [], []
-                for k, t in enumerate(texts):
-                    all_ids = token_bytes(t, chunks) + end
+                for k, own in enumerate(token_bytes(texts, chunks)):
+                    all_ids = own + end
                     for n, s in enumerate(range(0, len(all_ids), step)):
                         raw = all_ids[s : s + step]
                         owner.append(k), number.append(n), length.append(len(raw) // 4), crc.append(zlib.crc32(raw))
