@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def write_sorted(df: DataFrame, path: str, key: str) -> None:
     df.orderBy(key, F.to_json(F.struct("*"))).write.mode("overwrite").json(path)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decode_half(raw: pd.Series) -> pd.Series:
     """Little-endian half-precision bytes to floats; null if the length is odd or a value isn't finite."""
 
