@@ -141,7 +141,7 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: (rng.choice(["card ", "visa ", ""]), grouped(card(), rng.choice("._/"))),
         lambda: (rng.choice(["ssn ", "social security number ", ""]), f"{d(3)}-{d(2)}-{d(4)}"),
         lambda: (rng.choice(["iban ", "account ", ""]), rng.choice(["DE", "FR", "ES", "GB"]) + d(2) + " " + grouped(d(18), " ")),
-        lambda: (rng.choice(["use ", "with ", ""]), rng.choice(["password=", "token = ", "api_key: ", "secret="]) + rng.choice([hexes(18), f'"{hexes(40)}"'])),
+        lambda: (rng.choice(["use ", "with ", ""]), rng.choice(["password=", "token = ", "api_key: ", "secret="]) + rng.choice([hexes(rng.randint(8, 24)), f'"{hexes(40)}"'])),
         lambda: ("", rng.choice(["AKIA", "ghp_"]) + hexes(20).upper()),
     ]
     bad = [

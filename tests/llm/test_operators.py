@@ -1,0 +1,331 @@
+"""The training-data operators against brute force, SQL and their stated edge cases."""
+
+import collections
+import gzip
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from quillspan.llm import chat, compaction, graph, hnsw, langid, minhash, mixing, packing, pii, quality, warc
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, component_id long, offset string"
+
+
+def read(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """Nulls, empty and short texts, ties, repeated rows, a long text, and clashing columns."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    base = [rng.choice(words) for _ in range(120)]
+    near = [*base[:60], "changed", *base[61:]]
+    long_ = [rng.choice(words) + str(i) for i in range(9000)]
+    texts = [None, "", " \n\t", "one", "one", "two words", "Two Words", "three little words", "\n\n" + "\n".join(["same line here"] * 4), " ".join(base), " ".join(near),
+             " ".join(base).upper(), " ".join(long_), "é à ü " * 20, "1 2 3 $ # @", "write to a.b@c.example.org or +1 (555) 010-2030, 10.0.0.1"]
+    rows = [(i, t, None if i % 5 == 0 else "en", None if i % 7 == 0 else "s", 1, False, -1, "x") for i, t in enumerate(texts)]
+    rows += [rows[9], (None, "no id at all here", None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def shingle_sets(rows, size):
+    out = {}
+    for i, t in rows:
+        w = t.encode().lower().split() if t else []
+        out[i] = {tuple(w)} if 0 < len(w) < size else set(zip(*(w[k:] for k in range(size)), strict=False))
+    return out
+
+
+def components(sets, percent):
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
+def test_near_duplicates_equal_brute_force(spark, edges, size, percent):
+    docs = edges.select("doc_id", "text", "kept", "component_id").union(read(spark, "documents").selectExpr("doc_id + 1000", "text", "true", "1"))
+    got = minhash.near_duplicates(docs, size, percent).collect()
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
+    sets = shingle_sets(rows, size)
+    want = components(sets, percent)
+    assert len(got) == docs.count()
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
+
+
+def test_near_duplicate_family_over_many_blocks(spark):
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.randint(0, 14)):
+            w[rng.randrange(150)] = f"x{rng.random()}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, block=16).collect()}
+    assert got == components(shingle_sets(rows, 3), 85)
+
+
+def test_connected_components_of_a_long_chain(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
+    got = {r.id: r.component for r in graph.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_quality_equals_sql(spark, edges, empty):
+    for docs in (read(spark, "documents"), edges):
+        c = duckdb.connect()
+        documents = docs.select("doc_id", "text", "lang", "source").toArrow()  # noqa: F841
+        want = sorted(c.sql(quality.SQL).fetchall(), key=repr)
+        assert sorted((tuple(r) for r in quality.judge(docs).collect()), key=repr) == want
+    assert quality.judge(empty).count() == 0
+
+
+def test_repeated_words_equal_brute_force():
+    rng = random.Random(2)
+    for kinds, n in ((2, 30), (5, 60), (40, 200), (6000, 9000)):
+        words = [b"%d" % rng.randrange(kinds) for _ in range(n)]
+        windows = collections.defaultdict(list)
+        for i in range(n - 4):
+            windows[tuple(words[i : i + 5])].append(i)
+        covered = {i + k for v in windows.values() if len(v) > 1 for i in v for k in range(5)}
+        assert quality.repeated_words(words) == len(covered)
+    assert quality.repeated_words([]) == 0
+
+
+def test_packing_round_trip(spark, edges, empty):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(packing.tokenizer_path(packing.VOCABULARY))
+    docs = edges.union(spark.createDataFrame([(50, "a<|endoftext|>b <|EndOfText|>", None, None, 1, True, 1, "x")], DOCS))
+    got = packing.pack(docs, with_ids=True).collect()
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = [*tk.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for k, s in enumerate(range(0, len(ids), 4096)):
+            piece = ids[s : s + 4096]
+            want[r.doc_id, k, s, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()), tuple(piece)] += 1
+    assert want == collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32, tuple(r.ids)) for r in got)
+    gapless([(r.sequence_id, r.offset, r.length) for r in got], 4096)
+    assert packing.pack(empty).count() == 0
+
+
+def gapless(places, capacity):
+    rows = collections.defaultdict(list)
+    for s, o, n in places:
+        rows[s].append((o, n))
+    for own in rows.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= capacity
+    return len(rows)
+
+
+def test_packing_plan_places_every_piece_once():
+    rng = random.Random(4)
+    for capacity in (12, 100, 4096):
+        counts = collections.Counter(rng.randint(1, capacity) for _ in range(300))
+        places, seen = [], collections.Counter()
+        for n, lo, hi, seq, off in packing.plan(counts, capacity):
+            assert lo == seen[n]
+            seen[n] += hi - lo
+            places += [(seq + k, off, n) for k in range(hi - lo)]
+        assert seen == counts
+        used = gapless(places, capacity)
+        assert used <= 1.25 * math.ceil(sum(n * c for n, c in counts.items()) / capacity) + 1
+
+
+def test_language_held_out_accuracy_and_edges(spark, edges, empty):
+    docs = read(spark, "documents")
+    rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+    model = langid.train(docs)
+    got = {r.doc_id: r for r in langid.predict(edges, model).collect()}
+    assert [got[i].lang_pred for i in (0, 1, 2, 14)] == ["und"] * 4 and got[0].score == 0
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert {r.lang_pred for r in langid.identify(edges.withColumn("lang", edges.text.substr(1, 0))).collect()} <= {"", "und"}
+    assert langid.identify(empty).count() == 0
+    assert {r.doc_id for r in langid.keep_known(edges, model).collect()}.isdisjoint({0, 1, 2, 14})
+
+
+def test_forward_sums_all_segmentations():
+    pieces = ["▁", "▁a", "a", "ab", "b", "ba", "▁ab", "bab"]
+    table = langid.Pieces.of(pieces)
+    probs = np.vstack([np.random.default_rng(0).random((len(pieces) + 1, 2)) / 9, np.zeros((1, 2))])
+    number = {p: i for i, p in enumerate(pieces)}
+
+    def total(w, k):
+        if not w:
+            return 1.0
+        return sum(probs[number.get(w[:n], len(pieces)), k] * total(w[n:], k) for n in range(1, min(3, len(w)) + 1) if n == 1 or w[:n] in number)
+
+    words = ["ab", "babab", "axb", "a" * 15]
+    got = langid.word_scores(words, table, probs)
+    assert np.allclose(got, [[math.log(total("▁" + w, k)) for k in range(2)] for w in words])
+
+
+def test_personal_data_equals_plain_patterns(spark, edges, empty):
+    docs = edges.select("doc_id", "text").union(read(spark, "documents").select("doc_id", "text")).union(
+        spark.createDataFrame([(900, "a@b a@b@c.d x@y.z@u.v 1.2.3.4.5 999.1.1.1 4111 1111 1111 1111 +1 (2)3-456 7890 +12 call (555) 010-2030 password=abc123def4 mail bob [at] site [dot] com")], "doc_id long, text string"))
+    rows = collections.defaultdict(list)
+    for r in pii.find_spans(docs).collect():
+        rows[r.doc_id].append(r)
+    for d in docs.collect():
+        t = d.text or ""
+        spans = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        spans += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+        spans += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(re.sub(r"\D", "", m[0])) <= 19 and pii.luhn(re.sub(r"\D", "", m[0]))]
+        spans += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15]
+        digest = hashlib.sha256(",".join("%s:%d:%d" % s for s in spans).encode()).hexdigest()
+        counts = tuple(sum(k == s[0] for s in spans) for k in pii.BASE_KINDS)
+        assert (*counts, digest) in {(r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows[d.doc_id]}
+    more = rows[900][0].spans
+    assert all(k in more for k in ("secret:", "phone:", "email:"))
+    assert pii.find_spans(empty).count() == 0
+    clean = {r.doc_id: r.text for r in pii.redact(edges).collect()}
+    assert clean[15] == "write to [EMAIL] or [PHONE], [IP]" and clean[0] is None and clean[7] == "three little words"
+
+
+def test_boosted_trees_hold_out():
+    trees, cuts = pii.trained()
+    x, y = pii.examples(1500, 77)
+    assert ((trees.score(x) > 0.5) == (y > 0)).mean() > 0.97 and max(cuts.values()) <= 1
+
+
+def test_mixing_meets_targets(spark, edges, empty):
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    model = mixing.fit_classifier(docs, labels)
+    table = mixing.memberships(docs, model).cache()
+    steps, got, goal = mixing.fit_rates(table, model.domains, mixing.TARGETS)
+    assert np.allclose(got, goal, rtol=0.02, atol=0.01 * goal.sum())
+    rows = table.collect()
+    n, p = np.array([r.n_tokens for r in rows], float), np.array([r.p for r in rows])
+    r = mixing.rates(n, p, steps)
+    assert (r >= 0).all() and np.allclose((r[:, None] * n[:, None] * p).sum(axis=0), got)
+    known = {x.doc_id: x.toxic for x in labels.collect()}
+    rate = {x.doc_id: x.rate for x in mixing.mix_rates(docs, labels).collect()}
+    assert np.mean([rate[i] for i, t in known.items() if t == 0 and i in rate]) > 1 > 0.5 > np.mean([rate[i] for i, t in known.items() if t == 1 and i in rate])
+    assert {x.doc_id: x.rate for x in mixing.mix_rates(edges, labels).collect()}[0] == 1
+    assert mixing.mix(edges, labels).columns == edges.columns
+    assert mixing.mix_rates(empty, labels.where("false")).count() == 0
+
+
+def test_chat_equals_sql(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (3, 2, "user", None), (4, 0, "user", "hi"),
+            (4, 1, "assistant", "yes"), (4, 2, "user", ""), (5, 0, None, "solo"), (6, 0, None, "solo"), (7, None, "user", "hi"), (7, 0, "user", "hi"), (None, 0, "user", "lost"), (8, 1, "user", "hi"), (8, 1, "user", "hi")]
+    made = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for turns in (made, read(spark, "conversations"), made.limit(0)):
+        conversations = turns.toArrow()  # noqa: F841
+        assert sorted(tuple(r) for r in chat.format_chats(turns).collect()) == sorted(duckdb.connect().sql(chat.SQL).fetchall())
+
+
+def test_sharding_round_trip(spark, edges, tmp_path):
+    store = compaction.ShardStore(spark, str(tmp_path / "s"), target_bytes=1 << 20)
+    for k in range(4):
+        store.append(edges.repartition(2).limit(18) if k else edges.repartition(2))
+    first = store.versions()
+    store.compact()
+    assert len(store.versions()) > len(first)
+    assert store.read().count() == sum(edges.count() for _ in range(4))
+    assert store.read(1).exceptAll(edges).count() == 0
+    assert store.vacuum() > 0 and store.read().count() == 4 * edges.count()
+    with pytest.raises(RuntimeError):
+        store._commit(store.manifest(1), [], None)
+    docs = read(spark, "documents")
+    got = sorted((r.doc_id, r.text_md5) for r in compaction.shard_documents(docs).collect())
+    assert got == sorted((r.doc_id, hashlib.md5(r.text.encode()).hexdigest()) for r in docs.collect())
+
+
+def test_warc_equals_sql(spark):
+    big = "<p>" + "é x" * 400
+    rows = [(1, "http://B.a.example.com/x?y#z", big), (2, "https://a.example.com", big), (3, None, None), (4, "http://a.example.com/q", "small\r\n\r\nWARC/1.1"), (5, "http://a.example.com/q", "small\r\n\r\nWARC/1.1"), (9, "http://z", big)]
+    made = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, position string")
+    for p in (made, read(spark, "pages"), made.limit(0)):
+        pages = p.select("page_id", "url", "html").toArrow()  # noqa: F841
+        r = duckdb.connect().sql(warc.SQL)
+        got = warc.archive_pages(p)
+        assert sorted((tuple(x[c] for c in r.columns) for x in got.collect()), key=repr) == sorted(r.fetchall(), key=repr)
+
+
+def test_loser_tree_and_parse():
+    rng = random.Random(8)
+    for k in (0, 1, 2, 5, 9):
+        runs = [sorted((rng.randrange(20),) for _ in range(rng.randrange(12))) for _ in range(k)]
+        assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
+    with pytest.raises(ValueError):
+        list(warc.parse(gzip.decompress(gzip.compress(b"WARC/1.1\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabcdefg"))))
+
+
+def test_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(60, 16))
+    x = (centre[rng.integers(0, 60, 700)] + 0.12 * rng.normal(size=(700, 16))).astype(np.float32)
+    x[5] = x[6] = x[7]
+    x[8] = 3 * x[9]
+    rows = [(i, v.tolist(), "l") for i, v in enumerate(x)]
+    odd = [(800, None, "l"), (801, [0.0] * 16, "l"), (802, [float("nan")] + [1.0] * 15, "l"), (803, [None] + [1.0] * 15, "l"), (804, [], "l"), (805, [1.0], "l"), (None, x[5].tolist(), "l"), rows[3]]
+    got = hnsw.near_vectors(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, n_links string")).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    out = {r.vec_id: r for r in got}
+    assert len(got) == 708
+    assert sum(out[i].n_links for i in range(700)) >= 0.99 * near.sum() and all(out[i].n_links <= near[i].sum() for i in range(700))
+    label = np.arange(700)
+    while True:
+        old = label.copy()
+        for a, b in np.argwhere(near):
+            label[a] = label[b] = min(label[a], label[b])
+        if (old == label).all():
+            break
+    assert np.mean([out[i].component_id == label[i] for i in range(700)]) >= 0.99
+    assert all(out[i].n_links == 0 and out[i].component_id == i for i in range(800, 806)) and out[None].component_id is None
+    assert hnsw.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_pipeline_stages(spark, edges):
+    import corpus_pipeline
+
+    docs = read(spark, "documents")
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        sizes.append(docs.count())
+        if name != "packing":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sizes[0] >= sizes[1] == sizes[2] > 0 and sizes[4] >= sizes[3] > 0
+    lang = dict(corpus_pipeline.STAGES)["language_id"](spark, edges, SF)
+    assert lang.columns == edges.columns
