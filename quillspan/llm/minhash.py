@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspan.llm.common import byte_texts, discard, keyed, map_groups, materialize, wide
 from quillspan.llm.graph import connected_components
@@ -223,8 +224,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     ones = ones.dropDuplicates(["doc_id", "print"])
     bands = materialize(ones.select("doc_id", F.explode("bands").alias("key")), "bands")
     first = materialize(bands.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), "pivots")
-    stars = bands.join(first, "key").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    families = connected_components(stars)
+    # a document's pivots (BANDS at most) are joined through the smallest, so a family's
+    # many pivots give few different edges
+    stars = bands.join(first, "key").where("doc_id <> pivot").select("doc_id", "pivot").distinct()
+    stars = materialize(stars.withColumn("low", F.min("pivot").over(Window.partitionBy("doc_id"))), "stars")
+    families = connected_components(stars.selectExpr("low AS a", "doc_id AS b").union(stars.selectExpr("low AS a", "pivot AS b").where("a <> b")).distinct())
     sizes = materialize(families.groupBy(F.col("component").alias("family")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "families")
     members = materialize(families.withColumnRenamed("component", "family").join(sizes, "family"), "members").withColumnRenamed("id", "doc_id")
     members = materialize(members.join(ones.select("doc_id", "print", "sketch"), "doc_id"), "members")
