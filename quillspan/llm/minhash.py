@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from quillspan.llm.common import byte_texts, discard, keyed, map_groups, materialize, wide
 from quillspan.llm.graph import connected_components
 
-BANDS, ROWS = 24, 6  # a pair at 0.85 shares no band in about 1 of 90,000 cases
+BANDS, ROWS = 40, 8  # a pair at 0.85 shares no band in about 3 of a million cases
 SAMPLES, BITS = 256, 1024
 MARGIN = 0.11  # about five standard errors of the sketch at 0.85
 BLOCK = 64
