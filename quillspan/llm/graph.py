@@ -1,4 +1,4 @@
-"""Connected components as repeated min-label joins over written tables."""
+"""Connected components by contraction over written tables."""
 
 from __future__ import annotations
 
@@ -8,30 +8,45 @@ from pyspark.sql import functions as F
 from quillspan.llm.common import discard, materialize
 
 
+def _roots(hooks: DataFrame) -> DataFrame:
+    """(id, root) of a forest of hooks (id, root), where each root is a smaller id or
+    has no row itself. Pointer jumping: the distance left halves each round."""
+    while True:
+        jump = hooks.select(F.col("id").alias("root"), F.col("root").alias("far"))
+        nxt = hooks.select("id", "root").join(jump, "root", "left")
+        nxt = materialize(nxt.select("id", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "roots")
+        moved = nxt.where("moved").limit(1).count()
+        discard(hooks)
+        if not moved:
+            return nxt
+        hooks = nxt
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (id, component) for each node of edges (a, b): component is the smallest
     node that links lead to.
 
-    Each round takes the smallest label of a node's neighbours and then follows the
-    label once (pointer jumping), so long chains halve. Labels are written each round;
-    nothing but the number of changes reaches the driver. The joins read written
-    tables on both sides, so adaptive execution can split a hot node.
+    Each round hooks every node to its smallest smaller neighbour, follows the hooks to
+    their roots, and renames the ends of the edges to them; edges within one tree go, so
+    only roots and the edges between trees are left for the next round. An edge is one
+    row, the large first round passes over the edges twice, and a root is always the
+    smallest node of its tree. Tables are written each round; nothing but the question
+    whether rows are left reaches the driver. The joins read written tables, so adaptive
+    execution can split a hot node.
     Nulls and self-links are ignored; no edges give no rows.
     """
     one = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = materialize(one.union(one.select("b", "a")).distinct().toDF("src", "dst"), "edges")
-    labels = materialize(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("src")).alias("label")), "labels")
-    while True:
-        heard = materialize(both.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("heard")), "heard")
-        hooked = labels.join(heard, "id", "left").select("id", F.col("label").alias("was"), F.least("label", "heard").alias("near"))
-        hooked = materialize(hooked, "hooked")
-        jump = hooked.select(F.col("id").alias("near"), F.col("near").alias("far"))
-        nxt = materialize(hooked.join(jump, "near", "left").select("id", F.least("near", "far").alias("label"), (F.least("near", "far") < F.col("was")).alias("moved")), "labels")
-        moved = nxt.where("moved").limit(1).count()
-        for old in (labels, heard, hooked):
+    left = materialize(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = materialize(left.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id")), "labels")
+    while left.limit(1).count():
+        roots = _roots(materialize(left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")), "hooks"))
+        high = left.join(roots.select(F.col("id").alias("b"), F.col("root").alias("high")), "b").select("a", "high")
+        ends = high.join(roots.select(F.col("id").alias("a"), F.col("root").alias("low")), "a", "left").select(F.coalesce("low", "a").alias("x"), F.col("high").alias("y"))
+        rest = materialize(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        named = labels.join(roots.select(F.col("id").alias("label"), "root"), "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+        named = materialize(named, "labels")
+        for old in (left, roots, labels):
             discard(old)
-        labels = nxt.select("id", "label")
-        labels._quillspan_path = nxt._quillspan_path
-        if not moved:
-            discard(both)
-            return labels.select("id", F.col("label").alias("component"))
+        left, labels = rest, named
+    discard(left)
+    return labels.select("id", F.col("label").alias("component"))
