@@ -2,10 +2,10 @@
 
 Equal vectors are collapsed to their smallest vec_id first. The rest are dealt to shards
 by a hash of vec_id; each shard builds its graph, and every vector is searched in every
-shard, in blocks. A block's beam starts narrow and doubles until an audit of some of its
-queries against brute force over the shard finds `audit_recall` of the links; a query
-whose whole beam links is searched again with twice the beam, down to brute force, so a
-dense cluster is not cut off. Found pairs are verified by cosine in double precision.
+shard, in blocks. A query whose whole beam links is searched again with twice
+the beam, down to brute force, so a dense cluster is not cut off. A block's first beam
+is narrow and doubles until an audit of some of its queries against brute force over
+the shard finds `AUDIT_RECALL` of the links. Found pairs are verified by cosine in double precision.
 
 A block returns a count for each query and a spanning forest of its links, so rows stay
 linear in the vectors even if a third of them link with each other. Components are then
@@ -169,28 +169,18 @@ class Graph:
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         return _lockstep(self.x, self.layers[-1], q, self._entries(q, self.layers[:-1]), beam)
 
-    def links(self, raw: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row of raw, node) with at least this cosine, verified in double precision."""
-        n, norm = len(self.ids), np.linalg.norm(raw.astype(float), axis=1)
-        q = (raw / norm[:, None]).astype(np.float32)
-        cut = np.float32(cosine - 1e-5)
-        brute = lambda rows: np.nonzero(q[rows] @ self.x[:-1].T >= cut)
-        audit = np.unique(np.linspace(0, len(q) - 1, AUDITED).astype(int))
-        want = len(brute(audit)[0])
-        beam = 16
-        while beam < n // 4:
-            if (self.search(q[audit], beam)[1] >= cut).sum() >= AUDIT_RECALL * want:
-                break
-            beam *= 2
+    def _found(self, q: np.ndarray, rows: np.ndarray, beam: int, cut: np.float32) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row, node) of at least cut. A row whose whole beam links is searched again with
+        twice the beam, and by brute force from a quarter of the nodes on."""
+        n = len(self.ids)
         at, node = [], []
-        rows = np.arange(len(q))
         while len(rows):
             step = max(16, min(512, 16_000_000 // max(n, 1)))
             again = []
             for i in range(0, len(rows), step):
                 part = rows[i : i + step]
                 if beam >= n // 4:
-                    a, b = brute(part)
+                    a, b = np.nonzero(q[part] @ self.x[:-1].T >= cut)
                     at.append(part[a]), node.append(b)
                     continue
                 ids, sims = self.search(q[part], beam)
@@ -200,7 +190,22 @@ class Graph:
                 at.append(part[a]), node.append(ids[a, k])
             rows = np.concatenate(again) if again else np.zeros(0, int)
             beam *= 2
-        at, node = np.concatenate(at), np.concatenate(node)
+        return np.concatenate(at), np.concatenate(node)
+
+    def links(self, raw: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of raw, node) with at least this cosine, verified in double precision.
+
+        The audit holds what _found() finds, wider beams for full ones included: so a dense
+        cluster widens the beams of its own rows and not those of the whole block."""
+        n, norm = len(self.ids), np.linalg.norm(raw.astype(float), axis=1)
+        q = (raw / norm[:, None]).astype(np.float32)
+        cut = np.float32(cosine - 1e-5)
+        audit = np.unique(np.linspace(0, len(q) - 1, AUDITED).astype(int))
+        want = int((q[audit] @ self.x[:-1].T >= cut).sum())
+        beam = 16
+        while beam < n // 4 and len(self._found(q, audit, beam, cut)[0]) < AUDIT_RECALL * want:
+            beam *= 2
+        at, node = self._found(q, np.arange(len(q)), beam, cut)
         own = np.linalg.norm(self.raw.astype(float), axis=1)
         ok = np.zeros(len(at), bool)
         for i in range(0, len(at), 100_000):
