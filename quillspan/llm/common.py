@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+BATCH_BYTES = 8 << 20  # of the Arrow batches that go to a Python worker, about
+_caches: dict[str, dict] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -85,6 +88,41 @@ def wide(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def worker_cache(owner: str) -> dict:
+    """What a module keeps in a Python worker between tasks, until another module's task runs there."""
+    return _caches.setdefault(owner, {})
+
+
+def _let_go(owner: str) -> None:
+    for k in [k for k in _caches if k != owner]:
+        del _caches[k]
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow with bounded memory. Workers are reused and outlive their stages:
+    a task first drops what other modules cached, and at its end freed memory goes back to
+    the system. Batches are bounded by bytes, as 10,000 long texts are too many to hold."""
+    owner, spark = run.__module__, SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return inside
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of consecutive rows with equal keys. The caller hash-partitions and sorts
     by the keys first, so a table is one whole group; only that group is held."""
@@ -123,7 +161,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Recor
                 yield out
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(lean(run), schema)
 
 
 def keyed(df: DataFrame, *names: str) -> DataFrame:

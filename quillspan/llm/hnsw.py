@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import keyed, map_groups, materialize
+from quillspan.llm.common import keyed, lean, map_groups, materialize
 from quillspan.llm.graph import connected_components
 
 COSINE = 0.95
@@ -246,7 +246,7 @@ def _valid(vectors: DataFrame) -> DataFrame:
                 got = [v.tobytes() if v is not None and len(v) and np.isfinite(v).all() and v.any() else None for v in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["vec_id", "v"])
 
-    return keyed(vectors, "vec_id", "embedding").where("vec_id IS NOT NULL").mapInArrow(run, "vec_id long, v binary").where("v IS NOT NULL")
+    return keyed(vectors, "vec_id", "embedding").where("vec_id IS NOT NULL").mapInArrow(lean(run), "vec_id long, v binary").where("v IS NOT NULL")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import byte_texts, keyed, tokenizer_path, wide
+from quillspan.llm.common import byte_texts, keyed, lean, tokenizer_path, wide
 
 VOCABULARY = "piece_bpe_32k.model"
 MAX_DOCS = 800
@@ -258,7 +258,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for lang, score in predictions(texts(), shared.value):
             yield pa.RecordBatch.from_arrays([parts.pop().column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return wide(keyed(docs, "doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return wide(keyed(docs, "doc_id", "text")).mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
@@ -277,7 +277,7 @@ def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFra
         for lang, score in predictions(texts(), shared.value):
             yield parts.pop().filter(pa.array([k != "und" and s >= min_score for k, s in zip(lang, score, strict=True)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(doc_id: str = "doc_id"):

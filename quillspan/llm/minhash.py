@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import byte_texts, discard, keyed, map_groups, materialize, wide
+from quillspan.llm.common import byte_texts, discard, keyed, lean, map_groups, materialize, wide
 from quillspan.llm.graph import connected_components
 
 BANDS, ROWS = 40, 8  # a pair at 0.85 shares no band in about 3 of a million cases
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     sketches.append(odd_sketch(m, b).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "print", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, bands array<long>, sketch binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, print binary, bands array<long>, sketch binary")
 
 
 def _pack(s: np.ndarray) -> bytes:
@@ -160,7 +160,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "family", "blocks", "sketch")), packed], ["doc_id", "family", "blocks", "sketch", "items"])
                 yield out.filter(pa.array(own))
 
-    return docs.mapInArrow(run, "doc_id long, family long, blocks int, sketch binary, items binary")
+    return docs.mapInArrow(lean(run), "doc_id long, family long, blocks int, sketch binary, items binary")
 
 
 def _forest(percent: int):

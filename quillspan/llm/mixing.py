@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import byte_texts, keyed, materialize, read_table, wide
+from quillspan.llm.common import byte_texts, keyed, lean, materialize, read_table, wide
 
 BUCKETS = 1 << 15
 MAX_LABELLED = 2000  # documents that the classifier is fitted on, about
@@ -85,7 +85,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
 
     # the sample's size is bounded by max_labelled, so it may be broadcast
     texts = keyed(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", "text")
-    got = texts.mapInArrow(run, "domain string, bag array<long>").collect()
+    got = texts.mapInArrow(lean(run), "domain string, bag array<long>").collect()
     domains = sorted({r.domain for r in got}) or ["all"]
     if len(domains) == 1:
         return Classifier(domains, np.zeros((BUCKETS + 1, 1)))
@@ -123,7 +123,7 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
                 bags = [_bag(t, buckets) for t in byte_texts(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in bags], pa.int64()), pa.array([own.posterior(b).tolist() for _, b in bags], pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
 
-    return wide(keyed(docs, "doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, p array<double>")
+    return wide(keyed(docs, "doc_id", "text")).mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, p array<double>")
 
 
 def rates(n: np.ndarray, p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -150,7 +150,7 @@ def _sums(table: DataFrame, k: int, steps: list[np.ndarray]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "x"])
 
     out = np.zeros(k * k + 2 * k)
-    for r in table.select("n_tokens", "p").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+    for r in table.select("n_tokens", "p").mapInArrow(lean(run), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
         out[r.i] = r.x
     return out
 
@@ -181,7 +181,7 @@ def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
             r = rates(b.column(1).to_numpy(), p, steps)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[p.argmax(axis=1)], pa.string()), pa.array(r)], ["doc_id", "n_tokens", "domain", "rate"])
 
-    return table.mapInArrow(run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}, n_tokens long, domain string, rate double")
+    return table.mapInArrow(lean(run), f"doc_id {table.schema['doc_id'].dataType.simpleString()}, n_tokens long, domain string, rate double")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -202,7 +202,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
                 u = np.array([xxhash.xxh3_64_intdigest(b"%s/%s" % (str(i).encode(), t or b"")) / 2.0**64 for i, t in zip(part.column("doc_id").to_pylist(), texts, strict=True)])
                 yield part.take(pa.array(np.repeat(np.arange(part.num_rows), np.floor(r + u).astype(np.int64))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def read_labels(spark, sf_dir: str) -> DataFrame:

@@ -27,15 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import byte_texts, discard, keyed, materialize, tokenizer_path, wide
+from quillspan.llm.common import byte_texts, discard, keyed, lean, materialize, tokenizer_path, wide, worker_cache
 
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CACHED = 700_000  # chunks a worker remembers; beyond that it starts anew
 
-_worker: dict = {}
-
 
 class _Chunks(dict):
     """White-space separated chunk to its ids as little-endian 32-bit bytes.
@@ -65,7 +63,8 @@ class _Chunks(dict):
 
 
 def _tokenizer(path: str) -> _Chunks:
-    if path not in _worker:
+    kept = worker_cache(__name__)
+    if path not in kept:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,8 +72,8 @@ def _tokenizer(path: str) -> _Chunks:
 
         chunks = _Chunks(Tokenizer.from_file(path))
         chunks.learn([[b".", b","]])
-        _worker[path] = chunks
-    return _worker[path]
+        kept[path] = chunks
+    return kept[path]
 
 
 def token_bytes(texts: list[bytes | None], chunks: _Chunks) -> Iterator[bytes]:
@@ -113,7 +112,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                 yield pa.RecordBatch.from_arrays([*out, *[pa.array(ids, pa.list_(pa.int32()))] * with_ids], [*names, *["ids"] * with_ids])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
-    return wide(keyed(docs, "doc_id", "text")).mapInArrow(run, schema + ", ids array<int>" * with_ids)
+    return wide(keyed(docs, "doc_id", "text")).mapInArrow(lean(run), schema + ", ids array<int>" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -210,4 +209,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     rows = ranked(table)
     kept = [c for c in rows.columns if c != "rank"]
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.select(*kept, "rank").mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return rows.select(*kept, "rank").mapInArrow(lean(run), f"{schema}, sequence_id long, offset long")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspan.llm.common import keyed, wide
+from quillspan.llm.common import keyed, lean, wide
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("account", "secret")
@@ -266,7 +266,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
 
     counts = ", ".join(f"n_{k} long" for k in BASE_KINDS)
-    return wide(keyed(docs, "doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {counts}, base_sha256 string, spans string")
+    return wide(keyed(docs, "doc_id", "text")).mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {counts}, base_sha256 string, spans string")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -297,4 +297,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 cols["text"] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import byte_texts, keyed, materialize, wide
+from quillspan.llm.common import byte_texts, keyed, lean, materialize, wide
 
 MIN_WORDS = 10
 MIN_ROWS = 100
@@ -92,7 +92,7 @@ def measures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *map(pa.array, cols)], ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"])
 
     counts = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"))
-    return wide(keyed(docs, "doc_id", "text", "lang", "source")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, source string, {counts}")
+    return wide(keyed(docs, "doc_id", "text", "lang", "source")).mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, source string, {counts}")
 
 
 def bucket(value: Column) -> Column:

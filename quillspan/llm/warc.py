@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import keyed, materialize, scratch_path
+from quillspan.llm.common import keyed, lean, materialize, scratch_path
 
 MIN_REVISIT = 1000
 _EOL = "\r\n"
@@ -117,7 +117,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([dict(zip(_FIELDS, r, strict=True)) for r in rows], schema=_ARROW)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInArrow(run, INDEX)
+    return files.mapInArrow(lean(run), INDEX)
 
 
 _FIELDS = [x.split()[0] for x in INDEX.split(", ")]
@@ -176,7 +176,7 @@ def merge_index(runs: DataFrame, rows_per_range: int = 100_000) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(n, pa.int64()), pa.array(digest), pa.array(kind), pa.array([x if is_ else None for is_, x in refers], pa.int64()), pa.array(key), pa.array(date), pa.array(name), pa.array(part, pa.int32()), pa.array(range(at + 1, at + 1 + len(key)), pa.int64())], [*_FIELDS, "part", "local"])
 
     dealt = runs.repartitionByRange(ranges, "url_key", "warc_date", "page_id").withColumn("part", F.spark_partition_id())
-    merged = materialize(dealt.mapInArrow(run, f"{INDEX}, part int, local long"), "merged")
+    merged = materialize(dealt.mapInArrow(lean(run), f"{INDEX}, part int, local long"), "merged")
     counts = sorted((r.part, r.n) for r in merged.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a range
     before, total = {}, 0
     for part, n in counts:
