@@ -27,3 +27,20 @@ def test_toxic_recall_outside_the_sample(large):
         if r.doc_id in known:
             hits[known[r.doc_id]].append(model.domains[int(np.argmax(r.p))] == known[r.doc_id])
     assert len(hits["toxic"]) > 150 and np.mean(hits["toxic"]) > 0.6 and np.mean(hits["good"]) > 0.95
+
+
+def test_each_total_meets_its_own_target(large):
+    _, _, model, table = large
+    for least in (None, np.array([1.0, 1.0, 0.0])):
+        steps, got, goal = mixing.fit_rates(table, model.domains, mixing.TARGETS, least=least)
+        assert np.allclose(got, goal, rtol=1e-3)
+        rows = table.collect()
+        n, p = np.array([r.n_tokens for r in rows], float), np.array([r.p for r in rows])
+        assert np.allclose((mixing.rates(n, p, steps, least) * n) @ p, goal, rtol=1e-3)
+
+
+def test_targets_out_of_reach_are_reported(spark, caplog):
+    table = spark.createDataFrame([(i, 10, [0.5, 0.5]) for i in range(20)], "doc_id long, n_tokens long, p array<double>")
+    _, got, goal = mixing.fit_rates(table, ["good", "toxic"], {"good": 2.0, "toxic": 0.1})
+    assert not np.allclose(got, goal, rtol=0.1) and "no rates meet the targets" in caplog.text
+    assert np.isfinite(got).all()
