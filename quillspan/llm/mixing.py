@@ -276,9 +276,12 @@ def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """docs with each row as often as its rate says: the whole part of rate + u, where u
-    in [0, 1) is a hash of doc_id and text, so expected totals are the fitted ones."""
+    in [0, 1) is a hash of doc_id and text, so expected totals are the fitted ones. Rows
+    whose likeliest domain has a target of 1 or more have rates of 1 or more: none goes."""
     model = fit_classifier(docs, labels, max_labelled)
-    steps, _, _ = fit_rates(materialize(memberships(docs, model), "memberships"), model.domains, targets or TARGETS)
+    targets = targets or TARGETS
+    least = np.array([float(targets.get(d, 1.0) >= 1) for d in model.domains])
+    steps, _, _ = fit_rates(materialize(memberships(docs, model), "memberships"), model.domains, targets, least=least)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +292,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
                 part = batch.slice(at, 1000)
                 texts = byte_texts(part.column("text"))
                 bags = [_bag(t, known) for t in texts]
-                r = rates(np.array([n for n, _ in bags]), np.array([own.posterior(b) for _, b in bags]), steps)
+                r = rates(np.array([n for n, _ in bags]), np.array([own.posterior(b) for _, b in bags]), steps, least)
                 u = np.array([xxhash.xxh3_64_intdigest(b"%s/%s" % (str(i).encode(), t or b"")) / 2.0**64 for i, t in zip(part.column("doc_id").to_pylist(), texts, strict=True)])
                 yield part.take(pa.array(np.repeat(np.arange(part.num_rows), np.floor(r + u).astype(np.int64))))
 

@@ -44,3 +44,17 @@ def test_targets_out_of_reach_are_reported(spark, caplog):
     _, got, goal = mixing.fit_rates(table, ["good", "toxic"], {"good": 2.0, "toxic": 0.1})
     assert not np.allclose(got, goal, rtol=0.1) and "no rates meet the targets" in caplog.text
     assert np.isfinite(got).all()
+
+
+def test_mix_keeps_every_clean_row(spark):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(600):
+        toxic, plain = i % 6 == 0, i % 6 == 1
+        words = [f"w{rng.randrange(300)}" for _ in range(30)] + (["moron,", "trash."] if toxic else ["a|", "b%%%"] if plain else [])
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(not toxic and not plain), int(toxic)))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    clean = {r.doc_id for r in mixing.mix_rates(d, lab).collect() if r.domain != "toxic"}
+    kept = {r.doc_id for r in mixing.mix(d, lab).collect()}
+    assert clean and clean <= kept and len(kept) < 600
