@@ -372,6 +372,22 @@ def probe_coverage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.join(b, "probe").select("doc_id", "item_id").distinct()
 
 
+_WORDS = r"regexp_extract_all(replace(lower(regexp_replace(strip_accents({x}), '[^\x00-\x7F]', '', 'g')), '''', ''), '[a-z0-9]+')"
+
+
+@query("WITH p AS (SELECT item_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: array_to_string((" + _WORDS.format(x="l") + ")[1:4], ' ')), lambda q: len(string_split(q, ' ')) = 4)[1:8] AS probes FROM benchmark), d AS (SELECT doc_id, ' ' || array_to_string(" + _WORDS.format(x="text") + """, ' ') || ' ' AS body FROM documents),
+h AS (SELECT doc_id, item_id, len(list_filter(probes, lambda q: contains(body, ' ' || q || ' '))) AS hits, len(probes) AS n FROM d, p)
+SELECT DISTINCT doc_id, item_id FROM h WHERE n > 0 AND 5 * hits >= 3 * n""")
+def line_coverage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold the opening words of 60% or more of an item's first eight lines."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", text.line_probes("text").alias("probes"))
+    each = b.select("item_id", F.size("probes").alias("n"), F.posexplode("probes").alias("line", "probe"))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.ascii_words("text").alias("w")).where("size(w) >= 4")
+    windows = d.select("doc_id", F.explode(F.expr("array_distinct(transform(sequence(1, size(w) - 3), i -> concat_ws(' ', w[i - 1], w[i], w[i + 1], w[i + 2])))")).alias("probe"))
+    hits = windows.join(each, "probe").groupBy("doc_id", "item_id", "n").agg(F.count_distinct("line").alias("hits"))
+    return hits.where("5 * hits >= 3 * n").select("doc_id", "item_id")
+
+
 @query("""WITH t AS (SELECT a.p_partkey AS id, b.p_partkey AS hit, CASE WHEN a.p_size = b.p_size THEN 1 ELSE 2 END AS tier, b.p_retailprice AS price FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey)
 SELECT id, hit, tier::INT AS tier FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, price, hit) = 1""")
 def tiered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
