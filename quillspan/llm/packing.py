@@ -17,9 +17,11 @@ doc_id is kept as null. Extra columns are not read.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,39 +29,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import byte_texts, discard, keyed, lean, materialize, tokenizer_path, wide, worker_cache
+from quillspan.llm.common import byte_texts, keyed, lean, materialize, tokenizer_path, wide, worker_cache
 
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED = 700_000  # chunks a worker remembers; beyond that it starts anew
+CACHED = 250_000  # chunks a worker remembers; beyond that it starts anew
+
+
+#: Bytes of UTF-8 that no word of lower-case letters has stand for "last byte of the word".
+_LAST = {**{b: bytes([b - 32]) for b in range(97, 123)}, **{b: bytes([b - 128]) for b in range(128, 192)}}
+_RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def _byte_letters() -> dict[str, int]:
+    """The printable letters that byte-level vocabularies write bytes with."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{chr(b): b for b in plain}, **{chr(256 + k): b for k, b in enumerate(rest)}}
+
+
+def _word_merges(path: str) -> Callable[[bytes], list[int]] | None:
+    """Ids of one word of lower-case letters, by the vocabulary's merges alone; None if the
+    vocabulary is no byte-level one whose ids follow its merges and whose words end in </w>."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, suffix = model.get("vocab"), model.get("end_of_word_suffix")
+    if model.get("type") != "BPE" or suffix != "</w>" or any(vocab["".join(m)] != 512 + k for k, m in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])):
+        return None
+    letters, ranks = _byte_letters(), {}
+    for token, k in vocab.items():
+        raw = bytes(letters[c] for c in token.removesuffix(suffix))
+        if all(97 <= c < 123 or c >= 128 for c in raw) and (not token.endswith(suffix) or raw[-1] in _LAST):
+            ranks[raw[:-1] + _LAST[raw[-1]] if token.endswith(suffix) else raw] = k
+    for b in range(256):
+        ranks.setdefault(bytes([b]), 1_000_000 + b)  # never met in a word
+    merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return lambda word: merge(word[:-1] + _LAST[word[-1]])
 
 
 class _Chunks(dict):
-    """White-space separated chunk to its ids as little-endian 32-bit bytes.
+    """White-space separated chunk to its ids as 32-bit bytes.
 
-    The vocabulary's pre-tokeniser never joins across white space, so a text's ids are
-    its chunks' ids in order. A last '.' or ',' behind an ASCII letter is a token of its
-    own, so such chunks share the ids of the rest.
+    The vocabulary's pre-tokeniser never joins across white space, nor letters with digits
+    or signs (but for apostrophes), so a text's ids are those of its runs, in order. Runs of
+    letters up to U+017F, which no normalisation changes, are merged directly; any other run
+    goes through the tokenizer.
     """
 
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self) > CACHED:
-            self.clear()
-            self.learn([[b".", b","]])
-        new = set().union(*texts) - self.keys()
-        if not new:
-            return
-        stems = {c[:-1] if c[-1:] in b".," and c[-2:-1].isalpha() else c for c in new}
-        ask = [s for s in stems if s not in self]
-        for s, e in zip(ask, self.tokenizer.encode_batch_fast([s.decode() for s in ask], add_special_tokens=False), strict=True):
-            self[s] = np.array(e.ids, "<u4").tobytes()
-        for c in new:
-            if c not in self:
-                self[c] = self[c[:-1]] + self[c[-1:]]
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.word = Tokenizer.from_file(path), _word_merges(path)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if self.word is None:
+            out = self.whole(chunk.decode())
+        elif chunk.isascii():
+            low = chunk.lower()
+            if low.isalpha():
+                out = _packed(self.word(low))
+            elif b"'" in low or len(runs := _RUNS.findall(low)) == 1:
+                out = self.whole(low.decode())
+            else:
+                out = b"".join([self[r] for r in runs])
+        elif chunk[-1] in b".," and chunk[-2:-1].isalpha():
+            out = self[chunk[:-1]] + self[chunk[-1:]]
+        else:
+            text = chunk.decode()
+            low = text.lower()
+            out = _packed(self.word(low.encode())) if low.isalpha() and max(low) < "\u0180" else self.whole(text)
+        self[chunk] = out
+        return out
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _tokenizer(path: str) -> _Chunks:
@@ -68,24 +120,21 @@ def _tokenizer(path: str) -> _Chunks:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        chunks = _Chunks(Tokenizer.from_file(path))
-        chunks.learn([[b".", b","]])
-        kept[path] = chunks
+        kept[path] = _Chunks(path)
     return kept[path]
 
 
 def token_bytes(texts: list[bytes | None], chunks: _Chunks) -> Iterator[bytes]:
-    """Each whole text's ids as 32-bit bytes, without the end token."""
-    # special tokens' names are found before letters become lower case
-    parts = [t.lower().split() if t and b"<|" not in t else [] for t in texts]
-    chunks.learn(parts)
-    for t, p in zip(texts, parts, strict=True):
-        if t and b"<|" in t:
-            yield np.array(chunks.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            yield b"".join(map(chunks.__getitem__, p))
+    """Each whole text's ids as little-endian 32-bit bytes, without the end token."""
+    for t in texts:
+        if len(chunks) > CACHED:
+            chunks.clear()
+        if not t:
+            yield b""
+        elif b"<|" in t:  # special tokens' names are found before letters become lower case
+            yield chunks.whole(t.decode())
+        else:  # a letter that a mark follows composes before it becomes lower case
+            yield b"".join(map(chunks.__getitem__, (t if b"\xcc" in t or b"\xcd" in t else t.lower()).split()))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -187,7 +236,8 @@ def ranked(table: DataFrame, chunk_rows: int = 50_000) -> DataFrame:
     offsets = materialize(per.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "offsets")
     inside = Window.partitionBy("length", "_chunk").orderBy("doc_id", "piece", "ids_crc32")
     local = dealt.withColumn("_at", F.row_number().over(inside) - 1)
-    return local.join(offsets, ["length", "_chunk"]).withColumn("rank", F.col("_before") + F.col("_at")).drop("_chunk", "_before", "_at")
+    # no broadcast: the offsets grow with the rows, and the window has dealt by these keys already
+    return local.join(offsets.hint("shuffle_hash"), ["length", "_chunk"]).withColumn("rank", F.col("_before") + F.col("_at")).drop("_chunk", "_before", "_at")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
