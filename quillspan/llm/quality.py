@@ -3,15 +3,21 @@
 Fixed base rules fail a document outright. Of the rest, four integer measures go into
 log-linear histograms (128 buckets a power of two, so a bucket is within 1/128 of its
 values), one per (lang, source). Such sketches merge by adding counts, exactly and in
-any order: groups with fewer than `min_rows` documents use the sum of their language's
-sketches, or of all. A document passes if each measure lies within `reach` quartile
-ranges of its group's quartiles, plus a least margin. Cutoffs are joined back to the
-measures, never to texts; a source with a third of all rows is pre-aggregated for its
-sketch and its join is left to adaptive skew handling.
+any order. Each language's sketch is added to those of its sources, scaled down to the
+weight of `PRIOR` documents, and the sketch of all documents to each language's in the
+same way: a source of few documents gets about its language's cutoffs, a large one its
+own, and nothing switches at a size.
+
+A cutoff is read off the group's sketch alone: as far beyond its tail quantile (`LEVELS`)
+as that lies from the median. A group in which the quantile is zero, such as a source
+without markup, so admits none of the measure, one in which it is common admits much.
+Cutoffs are joined back to the measures, never to texts; a source with a third of all
+rows is pre-aggregated for its sketch and its join is left to adaptive skew handling.
 
 Defined results. Null, empty or wordless text: zero counts, base_failed. Null lang or
 source: a group of its own. Repeated rows count each and are returned each. Ties fall in
-one bucket. An empty table gives no rows. Whole texts are read, however long.
+one bucket, and a document is judged by its bucket. An empty table gives no rows. Whole
+texts are read, however long.
 """
 
 from __future__ import annotations
@@ -24,13 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import byte_texts, keyed, lean, materialize, wide
+from quillspan.llm.common import byte_texts, discard, keyed, lean, materialize, wide
 
 MIN_WORDS = 10
-MIN_ROWS = 100
-REACH = 3
-#: Least margin beyond the quartiles, in thousandths, of each measure.
-MARGINS = {"word_len": 1500, "symbols": 60, "dup_lines": 200, "repeats": 150}
+PRIOR = 50  # documents that the coarser sketch counts for in a finer one
+#: The tail quantile of each measure, in thousandths, and whether short values are judged too.
+LEVELS = {"word_len": (900, True), "symbols": (900, False), "dup_lines": (990, False), "repeats": (990, False)}
+_UNIT = 1000  # a document's weight, so that the prior's shares are integers
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -117,38 +123,59 @@ def merged(table: DataFrame, by: list[str]) -> DataFrame:
     return table.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(table: DataFrame, by: list[str], reach: int = REACH) -> DataFrame:
-    """lo and hi of each group and measure, with the group's number of documents."""
+def _same(a: DataFrame, b: DataFrame, by: list[str]) -> Column:
+    """Null-safe equality of a's columns with b's, whose names end in an underscore."""
+    out = F.lit(True)
+    for c in by:
+        out &= a[c].eqNullSafe(b[c + "_"])
+    return out
+
+
+def shrunk(fine: DataFrame, coarse: DataFrame, by: list[str], prior: int = PRIOR) -> DataFrame:
+    """fine's sketches plus the coarser group's, scaled to the weight of prior documents.
+
+    fine has the columns `by`, of which coarse has the first ones. Weights of fine are
+    documents; the result's are thousandths of one, as are coarse's, if it was shrunk itself.
+    """
+    shared = [c for c in by if c in coarse.columns]
+    share = coarse.withColumn("t", F.sum("n").over(Window.partitionBy(*shared, "measure")))
+    share = share.select(*[F.col(c).alias(c + "_") for c in shared], "measure", "bucket", F.expr(f"{prior * _UNIT} * n div t").alias("n"))
+    groups = fine.select(*by).distinct()
+    lent = groups.join(share, _same(groups, share, shared)).select(*by, "measure", "bucket", "n")
+    return merged(fine.withColumn("n", F.col("n") * _UNIT).select(*by, "measure", "bucket", "n").unionByName(lent), by)
+
+
+def fences(table: DataFrame, by: list[str]) -> DataFrame:
+    """by, measure, lo and hi of each group's sketch."""
     w = Window.partitionBy(*by, "measure")
-    below = table.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket")))
-    cut = below.groupBy(*by, "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("total").alias("total"))
-    margin = F.coalesce(*[F.when(F.col("measure") == k, v) for k, v in MARGINS.items()])
-    spread = (F.col("q3") - F.col("q1")) * reach + margin
-    return cut.select(*by, "measure", "total", (F.col("q1") - spread).alias("lo"), (F.col("q3") + spread).alias("hi"))
-
-
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """lang, source and lo_*, hi_* of each measure, from the finest group that is large enough."""
-    own = fences(sketch, ["lang", "source"])
-    lang = fences(merged(sketch, ["lang"]), ["lang"]).toDF("lang2", "measure", "total2", "lo2", "hi2")
-    every = fences(merged(sketch, []), []).toDF("measure", "total3", "lo3", "hi3")
-    rows = own.join(lang, own.lang.eqNullSafe(lang.lang2) & (own.measure == lang.measure)).drop(lang.measure).join(every, "measure")
-    pick = lambda c: F.when(F.col("total") >= min_rows, F.col(c)).when(F.col("total2") >= min_rows, F.col(c + "2")).otherwise(F.col(c + "3"))
-    rows = rows.select("lang", "source", "measure", pick("lo").alias("lo"), pick("hi").alias("hi"))
-    wide_ = [F.max(F.when(F.col("measure") == k, F.col(c))).alias(f"{c}_{k}") for k in MARGINS for c in ("lo", "hi")]
-    return rows.groupBy("lang", "source").agg(*wide_)
-
-
-def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    level = F.coalesce(*[F.when(F.col("measure") == k, v) for k, (v, _) in LEVELS.items()])
+    below = table.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w)).withColumn("level", level)
+    at = lambda q: F.min(F.when(F.col("upto") * 1000 >= F.col("total") * q, F.col("bucket")))
+    cut = below.groupBy(*by, "measure").agg(at(1000 - F.col("level")).alias("low"), at(F.lit(500)).alias("mid"), at(F.col("level")).alias("high"))
+    return cut.select(*by, "measure", (2 * F.col("low") - F.col("mid")).alias("lo"), (2 * F.col("high") - F.col("mid")).alias("hi"))
+
+
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """lang, source and lo_*, hi_* of each measure."""
+    langs = shrunk(merged(sketch, ["lang"]), merged(sketch, []), ["lang"], prior)
+    rows = fences(shrunk(sketch, langs, ["lang", "source"], prior), ["lang", "source"])
+    each = [F.max(F.when(F.col("measure") == k, F.col(c))).alias(f"{c}_{k}") for k in LEVELS for c in ("lo", "hi")]
+    return rows.groupBy("lang", "source").agg(*each)
+
+
+def judge(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """doc_id, the counts, base_failed and kept for each row of docs."""
     bad = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     table = materialize(measures(docs).withColumn("base_failed", bad), "measures")
-    cuts = materialize(thresholds(sketches(table.where("NOT base_failed")), min_rows), "cuts").withColumnsRenamed({"lang": "lang_", "source": "source_"})
-    rows = table.join(cuts, table.lang.eqNullSafe(cuts.lang_) & table.source.eqNullSafe(cuts.source_), "left")
+    sketch = materialize(sketches(table.where("NOT base_failed")), "sketch")
+    cuts = materialize(thresholds(sketch, prior), "cuts").withColumnsRenamed({"lang": "lang_", "source": "source_"})
+    discard(sketch)
+    rows = table.join(cuts, _same(table, cuts, ["lang", "source"]), "left")
     inside = F.lit(True)
     for k, v in per_mille().items():
-        inside &= v.between(F.col(f"lo_{k}"), F.col(f"hi_{k}"))
+        inside &= bucket(v) <= F.col(f"hi_{k}")
+        if LEVELS[k][1]:
+            inside &= bucket(v) >= F.col(f"lo_{k}")
     kept = F.when(F.col("base_failed"), False).otherwise(inside)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
@@ -171,16 +198,20 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 v AS (SELECT lang, source, unnest(['word_len', 'symbols', 'dup_lines', 'repeats']) AS measure, unnest([word_len, symbols, dup_lines, repeats]) AS x FROM b WHERE NOT base_failed),
 k AS (SELECT lang, source, measure, (x >> greatest(length(bin(x)) - 7, 0)) << greatest(length(bin(x)) - 7, 0) AS bucket FROM v),
 g AS (SELECT lang, source, measure, bucket, count(*) AS n FROM k GROUP BY ALL),
-levels AS (SELECT 1 AS level, * FROM g UNION ALL SELECT 2, lang, NULL, measure, bucket, sum(n) FROM g GROUP BY lang, measure, bucket
-           UNION ALL SELECT 3, NULL, NULL, measure, bucket, sum(n) FROM g GROUP BY measure, bucket),
-cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM levels),
-q AS (SELECT level, lang, source, measure, max(total) AS total, min(bucket) FILTER (WHERE upto * 4 >= total) AS q1, min(bucket) FILTER (WHERE upto * 4 >= total * 3) AS q3 FROM cum GROUP BY ALL),
-f AS (SELECT *, (q3 - q1) * 3 + CASE measure WHEN 'word_len' THEN 1500 WHEN 'symbols' THEN 60 WHEN 'dup_lines' THEN 200 ELSE 150 END AS spread FROM q),
-c AS (SELECT a.lang, a.source, a.measure, CASE WHEN a.total >= 100 THEN a.q1 - a.spread WHEN l.total >= 100 THEN l.q1 - l.spread ELSE e.q1 - e.spread END AS lo,
-             CASE WHEN a.total >= 100 THEN a.q3 + a.spread WHEN l.total >= 100 THEN l.q3 + l.spread ELSE e.q3 + e.spread END AS hi
-      FROM f a JOIN f l ON l.level = 2 AND l.lang IS NOT DISTINCT FROM a.lang AND l.measure = a.measure JOIN f e ON e.level = 3 AND e.measure = a.measure WHERE a.level = 1),
-ok AS (SELECT b.r, bool_and(CASE c.measure WHEN 'word_len' THEN word_len WHEN 'symbols' THEN symbols WHEN 'dup_lines' THEN dup_lines ELSE repeats END BETWEEN lo AND hi) AS inside
-       FROM b JOIN c ON c.lang IS NOT DISTINCT FROM b.lang AND c.source IS NOT DISTINCT FROM b.source WHERE NOT base_failed GROUP BY b.r)
+every AS (SELECT measure, bucket, sum(n)::BIGINT AS n, (sum(sum(n)) OVER (PARTITION BY measure))::BIGINT AS t FROM g GROUP BY measure, bucket),
+l AS (SELECT lang, measure, bucket, sum(n)::BIGINT AS n FROM (SELECT lang, measure, bucket, n * 1000 AS n FROM g
+      UNION ALL SELECT lang, measure, bucket, 50000 * n // t FROM (SELECT DISTINCT lang FROM g), every) GROUP BY lang, measure, bucket),
+lt AS (SELECT *, (sum(n) OVER (PARTITION BY lang, measure))::BIGINT AS t FROM l),
+s AS (SELECT lang, source, measure, bucket, sum(n)::BIGINT AS n FROM (SELECT lang, source, measure, bucket, n * 1000 AS n FROM g
+      UNION ALL SELECT x.lang, x.source, measure, bucket, 50000 * n // t FROM (SELECT DISTINCT lang, source FROM g) x JOIN lt ON lt.lang IS NOT DISTINCT FROM x.lang) GROUP BY lang, source, measure, bucket),
+cum AS (SELECT *, (sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket))::BIGINT AS upto, (sum(n) OVER (PARTITION BY lang, source, measure))::BIGINT AS total,
+               CASE WHEN measure IN ('word_len', 'symbols') THEN 900 ELSE 990 END AS level FROM s),
+q AS (SELECT lang, source, measure, min(bucket) FILTER (WHERE upto * 1000 >= total * (1000 - level)) AS low, min(bucket) FILTER (WHERE upto * 1000 >= total * 500) AS mid,
+             min(bucket) FILTER (WHERE upto * 1000 >= total * level) AS high FROM cum GROUP BY ALL),
+c AS (SELECT lang, source, measure, CASE WHEN measure = 'word_len' THEN 2 * low - mid ELSE 0 END AS lo, 2 * high - mid AS hi FROM q),
+x AS (SELECT r, lang, source, unnest(['word_len', 'symbols', 'dup_lines', 'repeats']) AS measure, unnest([word_len, symbols, dup_lines, repeats]) AS x FROM b WHERE NOT base_failed),
+ok AS (SELECT x.r, bool_and((x >> greatest(length(bin(x)) - 7, 0)) << greatest(length(bin(x)) - 7, 0) BETWEEN lo AND hi) AS inside
+       FROM x JOIN c ON c.lang IS NOT DISTINCT FROM x.lang AND c.source IS NOT DISTINCT FROM x.source AND c.measure = x.measure GROUP BY x.r)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, CASE WHEN base_failed THEN false ELSE inside END AS kept
 FROM b LEFT JOIN ok USING (r)
