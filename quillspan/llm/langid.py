@@ -3,16 +3,20 @@
 A fixed public vocabulary gives the pieces; each language has a probability for each
 piece. A word's probability is the sum over all its segmentations into pieces, found by
 the forward algorithm; a text's is the product over its words, as no piece crosses a
-word's start. Training is expectation-maximisation over the same sum (forward-backward)
-on word counts of a sample of labelled documents: about `max_docs` a language, chosen by
-a hash of doc_id, and at most `max_words` of their most frequent words a language. Those
-two bounds hold the model's cost; prediction reads every whole text.
+word's start. Pieces of every length count. Training is expectation-maximisation over
+the same sum (forward-backward) on the word counts of a sample of labelled documents:
+about `max_docs` a language, chosen by a hash of the row, with all their words. That bound
+holds the model's cost; prediction reads every whole text.
 
 Scale. One pass over the texts, no shuffle of texts; the model has fixed size.
 
 Defined results. Null text or no letter: `und`, score 0. No labelled row at all: every
 text is `und`. Ties go to the language that sorts first. Repeated rows are returned each.
-Letters that no piece covers count as one unknown piece. Extra columns are not read.
+Letters that no piece covers count as one unknown piece each. Extra columns are not read.
+The score compares the learned languages with each other, so a text in none of them can
+have a high one; keep_known() therefore also asks for a fit: letter by letter, the text
+may be at most FAR times as surprising as its language's labelled documents are in the
+median (measured on rows outside the sample).
 """
 
 from __future__ import annotations
@@ -25,20 +29,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspan.llm.common import byte_texts, keyed, lean, tokenizer_path, wide
 
 VOCABULARY = "piece_bpe_32k.model"
-MAX_DOCS = 800
-MAX_WORDS = 30_000
-MAX_PIECE = 12
+MAX_DOCS = 300
 ROUNDS = 3
+FAR = 3.0  # times as surprising, letter by letter, as the language's own texts
 CACHED = 250_000
 _START = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TABLE = 18
+_POWERS = np.array([pow(int(_BASE), k, 1 << 64) for k in range(256)], np.uint64)
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -47,7 +50,7 @@ def vocabulary_pieces(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
-    fit = lambda p: (q := p.removeprefix(_START)) and _LETTERS.fullmatch(q) and q == q.lower() and len(p) <= MAX_PIECE
+    fit = lambda p: (q := p.removeprefix(_START)) and _LETTERS.fullmatch(q) and q == q.lower()
     return sorted({p for p in found if fit(p)})
 
 
@@ -61,50 +64,56 @@ class Pieces:
 
     keys: np.ndarray
     numbers: np.ndarray
-    probes: int
     size: int
     longest: int
 
     @classmethod
     def of(cls, pieces: list[str]) -> Pieces:
-        keys, numbers, most = np.zeros(1 << _TABLE, np.uint64), np.full(1 << _TABLE, -1, np.int32), 1
+        keys, numbers = np.zeros(1 << _TABLE, np.uint64), np.full(1 << _TABLE, -1, np.int32)
         for k, p in enumerate(pieces):
             h = np.uint64(0)
             with np.errstate(over="ignore"):
                 for c in p:
                     h = h * _BASE + np.uint64(ord(c) + 1)
-            s, n = int(_slot(np.array([h]))[0]), 1
+            s = int(_slot(np.array([h]))[0])
             while numbers[s] >= 0:
-                s, n = (s + 1) & ((1 << _TABLE) - 1), n + 1
-            keys[s], numbers[s], most = h, k, max(most, n)
-        return cls(keys, numbers, most, len(pieces), max(map(len, pieces), default=1))
+                s = (s + 1) & ((1 << _TABLE) - 1)
+            keys[s], numbers[s] = h, k
+        return cls(keys, numbers, len(pieces), max(map(len, pieces), default=1))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers of hashes, -1 if none; the unknown piece is number `size`."""
-        s, out = _slot(h), np.full(len(h), -1, np.int32)
-        for n in range(self.probes):
-            at = (s + n) & ((1 << _TABLE) - 1)
-            hit = (self.keys[at] == h) & (self.numbers[at] >= 0)
-            out[hit] = self.numbers[at[hit]]
+        s = _slot(h)
+        out = self.numbers[s]
+        wrong = np.flatnonzero((out >= 0) & (self.keys[s] != h))
+        out[wrong] = -1
+        while len(wrong):
+            s[wrong] = (s[wrong] + 1) & ((1 << _TABLE) - 1)
+            n = self.numbers[s[wrong]]
+            hit = self.keys[s[wrong]] == h[wrong]
+            out[wrong[hit]] = n[hit]
+            wrong = wrong[(n >= 0) & ~hit]
         return out
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices and code points (with the word start) of the words of each length."""
+    """Indices, and hashes of the first 0, 1, ... letters (after the word start) of the
+    words of each length."""
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
         flat = "".join(words[i] for i in at).encode("utf-32-le")
-        codes = np.frombuffer(flat, "<u4").reshape(len(at), n).astype(np.uint64)
-        yield at, np.concatenate([np.full((len(at), 1), ord(_START), np.uint64), codes], axis=1)
+        codes = np.frombuffer(flat, "<u4").reshape(len(at), n).astype(np.uint64) + np.uint64(1)
+        first = np.zeros((n + 2, len(at)), np.uint64)
+        first[1] = ord(_START) + 1
+        for j in range(n):
+            first[j + 2] = first[j + 1] * _BASE + codes[:, j]
+        yield at, first
 
 
-def _piece_ids(codes: np.ndarray, table: Pieces, j: int, span: int) -> np.ndarray:
+def _piece_ids(first: np.ndarray, table: Pieces, j: int, span: int) -> np.ndarray:
     """Pieces that end before position j and are `span` long; single letters always are one."""
-    h = np.zeros(len(codes), np.uint64)
-    for i in range(j - span, j):
-        h = h * _BASE + (codes[:, i] + np.uint64(1))
-    ids = table.find(h)
+    ids = table.find(first[j] - first[j - span] * _POWERS[span])
     return np.where(ids < 0, table.size, ids) if span == 1 else ids
 
 
@@ -115,13 +124,13 @@ def word_scores(words: list[str], table: Pieces, probs: np.ndarray) -> np.ndarra
     last one is zero. Forward values are scaled as they go, so long words don't vanish.
     """
     out = np.zeros((len(words), probs.shape[1]))
-    for at, codes in _by_length(words):
-        t = codes.shape[1]
+    for at, first in _by_length(words):
+        t = len(first) - 1
         ring, log = [np.ones((len(at), probs.shape[1]))], np.zeros((len(at), probs.shape[1]))
         for j in range(1, t + 1):
             now = np.zeros_like(log)
             for span in range(1, min(j, table.longest) + 1):
-                ids = _piece_ids(codes, table, j, span)
+                ids = _piece_ids(first, table, j, span)
                 if (ids >= 0).any():
                     now += ring[-span] * probs[ids]
             scale = np.maximum(now, 1e-280)
@@ -135,23 +144,25 @@ def word_scores(words: list[str], table: Pieces, probs: np.ndarray) -> np.ndarra
 def _expected(words: list[str], weights: np.ndarray, table: Pieces, probs: np.ndarray) -> np.ndarray:
     """Expected piece counts of one language's words under its probabilities."""
     counts = np.zeros(table.size + 2)
-    for at, codes in _by_length(words):
-        t, n = codes.shape[1], len(at)
-        ids = {(j, s): _piece_ids(codes, table, j, s) for j in range(1, t + 1) for s in range(1, min(j, table.longest) + 1)}
+    for at, first in _by_length(words):
+        t, n = len(first) - 1, len(at)
+        ids = {(j, s): _piece_ids(first, table, j, s) for j in range(1, t + 1) for s in range(1, min(j, table.longest) + 1)}
         ids = {k: v for k, v in ids.items() if (v >= 0).any()}
         fore, back = np.zeros((t + 1, n)), np.zeros((t + 1, n))
         fore[0], back[t] = 1, 1
+        # a factor for each letter keeps long words from vanishing; it cancels out
+        scale = np.exp(-word_scores([words[i] for i in at], table, probs[:, None])[:, 0] / t) if t > 30 else np.ones(n)
         for j in range(1, t + 1):
             for s in range(1, min(j, table.longest) + 1):
                 if (j, s) in ids:
-                    fore[j] += fore[j - s] * probs[ids[j, s]]
+                    fore[j] += fore[j - s] * probs[ids[j, s]] * scale**s
         for j in range(t, 0, -1):
             for s in range(1, min(j, table.longest) + 1):
                 if (j, s) in ids:
-                    back[j - s] += back[j] * probs[ids[j, s]]
+                    back[j - s] += back[j] * probs[ids[j, s]] * scale**s
         share = weights[at] / np.maximum(fore[t], 1e-300)
         for (j, s), v in ids.items():
-            counts += np.bincount(np.where(v < 0, table.size + 1, v), share * fore[j - s] * back[j] * probs[v], table.size + 2)
+            counts += np.bincount(np.where(v < 0, table.size + 1, v), np.nan_to_num(share * fore[j - s] * back[j] * probs[v] * scale**s), table.size + 2)
     counts[-1] = 0
     return counts
 
@@ -161,22 +172,27 @@ class Model:
     langs: list[str]
     table: Pieces
     probs: np.ndarray
+    floors: np.ndarray  # by language: the least log-likelihood a letter of a text that fits
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, vocabulary: str | None = None) -> Model:
-    """Learn from the rows of docs with a lang: text and lang only; doc_id picks the sample."""
+def _drawn(labelled: DataFrame, sizes: dict[str, int], max_docs: int, turn: int) -> DataFrame:
+    """About max_docs rows of each language, by a hash of the row; other rows each turn
+    (the same ones for a language that has fewer than twice as many)."""
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, max_docs / n))) for k, n in sizes.items()])
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
+    return labelled.where((draw >= share * turn) & (draw < share * (turn + 1)) | (share > 0.5) & (draw < share))
+
+
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, vocabulary: str | None = None) -> Model:
+    """Learn from the rows of docs with a lang: text and lang only; doc_id picks the samples."""
     labelled = keyed(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     table = Pieces.of(vocabulary_pieces(vocabulary or tokenizer_path(VOCABULARY)))
     if not langs:
-        return Model([], table, np.zeros((table.size + 2, 0)))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, max_docs / n))) for k, n in sizes.items()])
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    words = sample.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).where("length(word) <= 40")
-    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    rows = counted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_words).select("lang", "word", "n").toPandas()
+        return Model([], table, np.zeros((table.size + 2, 0)), np.zeros(0))
+    words = _drawn(labelled, sizes, max_docs, 0).select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
+    rows = words.groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy("lang", "word").toPandas()
     probs = np.zeros((table.size + 2, len(langs)))
     for k, lang in enumerate(langs):
         own = rows[rows.lang == lang]
@@ -187,7 +203,29 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS,
             p = counts / counts[:-1].sum()
         p[-1] = 0
         probs[:, k] = p
-    return Model(langs, table, probs)
+    model = Model(langs, table, probs, np.full(len(langs), -np.inf))
+    model.floors = _floors(_drawn(labelled, sizes, max_docs, 1), model)
+    return model
+
+
+def _floors(docs: DataFrame, model: Model) -> np.ndarray:
+    """By language, FAR times the median log-likelihood a letter of its labelled documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                _, log, letters = next(totals(iter([part.column(0)]), model))
+                own = np.array([model.langs.index(x) for x in part.column(1).to_pylist()])
+                fit = log[np.arange(len(own)), own] / np.maximum(letters, 1)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(fit)], ["lang", "fit"]).filter(pa.array(letters > 0))
+
+    rows = docs.select("text", "lang").mapInArrow(lean(run), "lang string, fit double").toPandas()
+    out = np.full(len(model.langs), -np.inf)
+    for k, lang in enumerate(model.langs):
+        fit = rows.fit[rows.lang == lang].to_numpy()
+        if len(fit):
+            out[k] = FAR * np.median(fit)
+    return out
 
 
 class _Scores(dict):
@@ -202,7 +240,7 @@ class _Scores(dict):
         return k
 
     def fill(self) -> np.ndarray:
-        """Row of each chunk: log probabilities by language, and whether it has a letter."""
+        """Row of each chunk: log probabilities by language, and its letters and words."""
         if self.new:
             found = [[w for w in _LETTERS.findall(c.decode().lower()) if any(map(str.isalpha, w))] for c in self.new]
             words = list(dict.fromkeys(w for f in found for w in f))
@@ -210,7 +248,7 @@ class _Scores(dict):
             scores = word_scores(words, self.model.table, self.model.probs)
             n = [len(f) for f in found]
             rows = np.zeros((len(found), scores.shape[1] + 1))
-            np.add.at(rows, np.repeat(np.arange(len(found)), n), np.append(scores, np.ones((len(words), 1)), axis=1)[[number[w] for f in found for w in f]])
+            np.add.at(rows, np.repeat(np.arange(len(found)), n), np.append(scores, np.array([len(w) + 1.0 for w in words]).reshape(-1, 1), axis=1)[[number[w] for f in found for w in f]])
             grown = np.empty((max(len(self), 2 * len(self.rows)) if len(self) > len(self.rows) else len(self.rows), rows.shape[1]))
             at = len(self) - len(rows)
             grown[:at] = self.rows[:at]
@@ -219,23 +257,29 @@ class _Scores(dict):
         return self.rows
 
 
-def predictions(texts: Iterator[pa.Array], model: Model) -> Iterator[tuple[list[str], np.ndarray]]:
-    """lang_pred and score of each text, array by array."""
+def totals(texts: Iterator[pa.Array], model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each array: its length, the texts' log-likelihoods by language, and their letters and words."""
     cache = _Scores(model)
-    names = np.array([*model.langs, "und"], object)
     for column in texts:
         if len(cache) > CACHED:
             cache = _Scores(model)
         at = [np.fromiter(map(cache.__getitem__, p), np.int64, len(p)) if (p := t.split() if t else []) else np.zeros(0, np.int64) for t in byte_texts(column)]
         rows = cache.fill()
         total = np.array([rows[a].sum(axis=0) if len(a) else np.zeros(rows.shape[1]) for a in at]).reshape(len(at), len(model.langs) + 1)
-        log, letters = total[:, :-1], total[:, -1] > 0
+        yield len(at), total[:, :-1], total[:, -1]
+
+
+def predictions(texts: Iterator[pa.Array], model: Model) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """lang_pred and score of each text, and whether it fits its language; array by array."""
+    names = np.array([*model.langs, "und"], object)
+    for n, log, letters in totals(texts, model):
         if not model.langs:
-            yield ["und"] * len(at), np.zeros(len(at))
+            yield ["und"] * n, np.zeros(n), np.zeros(n, bool)
             continue
         best = log.argmax(axis=1)
         score = 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
-        yield names[np.where(letters, best, len(model.langs))].tolist(), np.where(letters, score, 0.0)
+        fits = (letters > 0) & (log.max(axis=1) >= model.floors[best] * letters)
+        yield names[np.where(letters > 0, best, len(model.langs))].tolist(), np.where(letters > 0, score, 0.0), fits
 
 
 def _parts(batch: pa.RecordBatch, size: int = 250) -> list[pa.RecordBatch]:
@@ -255,14 +299,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     parts.append(part)
                     yield part.column(1)
 
-        for lang, score in predictions(texts(), shared.value):
+        for lang, score, _ in predictions(texts(), shared.value):
             yield pa.RecordBatch.from_arrays([parts.pop().column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return wide(keyed(docs, "doc_id", "text")).mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is identified with min_score or more; all columns."""
+    """The rows of docs whose language is identified with min_score or more and that fit
+    it; all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,8 +319,8 @@ def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFra
                     parts.append(part)
                     yield part.column("text")
 
-        for lang, score in predictions(texts(), shared.value):
-            yield parts.pop().filter(pa.array([k != "und" and s >= min_score for k, s in zip(lang, score, strict=True)]))
+        for _, score, fits in predictions(texts(), shared.value):
+            yield parts.pop().filter(pa.array(fits & (score >= min_score)))
 
     return docs.mapInArrow(lean(run), docs.schema)
 
