@@ -4,18 +4,26 @@ Equal vectors are collapsed to their smallest vec_id first. The rest are dealt t
 by a hash of vec_id; each shard builds its graph, and every vector is searched in every
 shard, in blocks. A query whose whole beam links is searched again with twice
 the beam, down to brute force, so a dense cluster is not cut off. A block's first beam
-is narrow and doubles until an audit of some of its queries against brute force over
-the shard finds `AUDIT_RECALL` of the links. Found pairs are verified by cosine in double precision.
+is narrow and doubles until an audit against brute force over the shard finds
+`AUDIT_RECALL` of the links; audited are queries from all over the block and, as most
+have no links at all, the ones whose best hit comes closest to the cut. Found pairs are
+verified by cosine in double precision, on the numbers as they were given. Vectors of
+each length have graphs of their own.
 
 A block returns a count for each query and a spanning forest of its links, so rows stay
 linear in the vectors even if a third of them link with each other. Components are then
 united over all forests.
 
-Defined results. Null, empty, zero or non-finite vectors, and vectors whose length is
-not the most frequent one, link with nothing: 0 links, a component of their own. Rows
-that repeat a vec_id with one vector count as one vector; a null vec_id links with
-nothing, has a null component_id and is kept. An empty table gives no rows. Only vec_id
-and the embedding are read, labels and further columns never.
+Scale. Rows moved are vectors times shards, and there is a shard for every 200,000
+vectors: the square of the input, divided by that. 8 shards serve 1.6 million vectors.
+
+Defined results. Null, empty, zero or non-finite vectors link with nothing: 0 links, a
+component of their own. Vectors of different lengths don't link. Rows that repeat a
+vec_id with one vector count as one vector. A vec_id with several different vectors is
+one node: links of any of them lead to it, and n_links is at least that of its
+best-linked vector. A null
+vec_id links with nothing, has a null component_id and is kept. An empty table gives no
+rows. Only vec_id and the embedding are read, labels and further columns never.
 """
 
 from __future__ import annotations
@@ -28,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import keyed, lean, map_groups, materialize
+from quillspan.llm.common import discard, keyed, lean, map_groups, materialize
 from quillspan.llm.graph import connected_components
 
 COSINE = 0.95
@@ -101,6 +109,14 @@ def _diverse(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, degree: int) -> n
     return np.pad(out, ((0, 0), (0, degree - out.shape[1])), constant_values=-1)
 
 
+def _unit(raw: np.ndarray) -> np.ndarray:
+    """Rows as doubles of length 1. Scaled by a power of two first, so that squares of
+    very small or large components neither vanish nor overflow."""
+    x = raw.astype(float)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Graph:
     """Layers over vectors in order of falling level: layer l holds the first rows."""
 
@@ -110,7 +126,7 @@ class Graph:
         order = np.argsort(-level, kind="stable")
         self.ids, self.raw, level = ids[order], x[order], level[order]
         self.x = np.zeros((len(ids) + 1, x.shape[1]), np.float32)  # the last row serves -1
-        self.x[:-1] = self.raw / np.linalg.norm(self.raw.astype(float), axis=1, keepdims=True)
+        self.x[:-1] = _unit(self.raw)
         self.layers: list[np.ndarray] = []  # from the top
         for lev in range(level.max(initial=0), -1, -1):
             n = int((level >= lev).sum())
@@ -192,25 +208,35 @@ class Graph:
             beam *= 2
         return np.concatenate(at), np.concatenate(node)
 
+    def _audited(self, q: np.ndarray, beam: int, cut: np.float32) -> np.ndarray:
+        """Rows from all over q, and those whose best hits at this beam lie closest to the cut."""
+        step, near = max(16, min(512, 16_000_000 // max(len(self.ids), 1))), np.zeros(len(q), np.float32)
+        for i in range(0, len(q), step):
+            sims = self.search(q[i : i + step], beam)[1]
+            near[i : i + step] = np.abs(sims - cut).min(axis=1)
+        spread = np.linspace(0, len(q) - 1, AUDITED).astype(int)
+        return np.unique(np.concatenate([spread, np.argsort(near, kind="stable")[:AUDITED]]))
+
     def links(self, raw: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of raw, node) with at least this cosine, verified in double precision.
 
         The audit holds what _found() finds, wider beams for full ones included: so a dense
         cluster widens the beams of its own rows and not those of the whole block."""
-        n, norm = len(self.ids), np.linalg.norm(raw.astype(float), axis=1)
-        q = (raw / norm[:, None]).astype(np.float32)
-        cut = np.float32(cosine - 1e-5)
-        audit = np.unique(np.linspace(0, len(q) - 1, AUDITED).astype(int))
-        want = int((q[audit] @ self.x[:-1].T >= cut).sum())
-        beam = 16
-        while beam < n // 4 and len(self._found(q, audit, beam, cut)[0]) < AUDIT_RECALL * want:
-            beam *= 2
+        n, unit = len(self.ids), _unit(raw)
+        q = unit.astype(np.float32)
+        cut, beam = np.float32(cosine - 1e-5), 16
+        if beam < n // 4:
+            audit = self._audited(q, beam, cut)
+            want = int((q[audit] @ self.x[:-1].T >= cut).sum())
+            while beam < n // 4 and len(self._found(q, audit, beam, cut)[0]) < AUDIT_RECALL * want:
+                beam *= 2
         at, node = self._found(q, np.arange(len(q)), beam, cut)
-        own = np.linalg.norm(self.raw.astype(float), axis=1)
+        own = _unit(self.raw[np.unique(node)])
+        place = np.searchsorted(np.unique(node), node)
         ok = np.zeros(len(at), bool)
         for i in range(0, len(at), 100_000):
             s = slice(i, i + 100_000)
-            ok[s] = np.einsum("kd,kd->k", raw[at[s]].astype(float), self.raw[node[s]].astype(float)) / (norm[at[s]] * own[node[s]]) >= cosine
+            ok[s] = np.einsum("kd,kd->k", unit[at[s]], own[place[s]]) >= cosine
         return at[ok], node[ok]
 
 
@@ -232,18 +258,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(nodes[out].tolist(), nodes[label[out]].tolist(), strict=True))
 
 
-def _floats(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, dims)
+def _numbers(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _valid(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (float32 bytes) of the vectors that can link."""
+def _valid(vectors: DataFrame, kind: str) -> DataFrame:
+    """vec_id and v (the numbers' bytes) of the vectors that can link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [None if v is None or any(c is None for c in v) else np.array(v, "<f4") for v in b.column(1).to_pylist()]
-            with np.errstate(over="ignore"):
-                got = [v.tobytes() if v is not None and len(v) and np.isfinite(v).all() and v.any() else None for v in got]
+            got = [None if v is None or any(c is None for c in v) else np.array(v, kind) for v in b.column(1).to_pylist()]
+            got = [v.tobytes() if v is not None and len(v) and np.isfinite(v).all() and v.any() else None for v in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["vec_id", "v"])
 
     return keyed(vectors, "vec_id", "embedding").where("vec_id IS NOT NULL").mapInArrow(lean(run), "vec_id long, v binary").where("v IS NOT NULL")
@@ -251,35 +276,34 @@ def _valid(vectors: DataFrame) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors."""
-    valid = materialize(_valid(vectors).dropDuplicates(["vec_id", "v"]), "vectors")
-    width = valid.groupBy(F.length("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    number = "<f4" if element == "float" else "<f8"
+    valid = materialize(_valid(vectors, number).dropDuplicates(["vec_id", "v"]), "vectors")
     every = keyed(vectors, "vec_id")
-    alone = lambda n: (n, F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if width is None:
-        return every.select("vec_id", *alone(F.lit(0).cast("long").alias("n_links")))
-    valid, dims = valid.where(F.length("v") == width.w), width.w // 4
-    reps = materialize(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    total = reps.count()
-    shards, blocks = max(SHARDS, -(-total // SHARD_ROWS)), max(BLOCKS, -(-total // BLOCK_ROWS))
-    rows = reps.select("rep", "copies", "v", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
+    reps = materialize(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("w", F.length("v")), "reps")
+    parts = lambda n, least, size: F.when(n < 1000, 1).otherwise(F.greatest(F.lit(least), F.ceil(n / size))).cast("int")
+    n = F.col("n")
+    sizes = materialize(reps.groupBy("w").agg(F.count("*").alias("n")).select("w", parts(n, SHARDS, SHARD_ROWS).alias("shards"), parts(n, BLOCKS, BLOCK_ROWS).alias("blocks")), "sizes")
+    rows = reps.join(sizes, "w").select("w", "rep", "copies", "v", "shards", "blocks", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int").alias("shard"))
 
     def build(table: pa.Table) -> pa.RecordBatch:
         ids, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-        graph = Graph(np.stack([ids, copies], axis=1), _floats(table.column("v"), dims))
+        graph = Graph(np.stack([ids, copies], axis=1), _numbers(table.column("v"), number))
         blob = pickle.dumps(graph, protocol=5)
         parts = [blob[i : i + _CHUNK] for i in range(0, len(blob), _CHUNK)]
-        return pa.RecordBatch.from_arrays([pa.array([table.column("shard")[0].as_py()] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["shard", "id", "data"])
+        same = lambda c: pa.array([table.column(c)[0].as_py()] * len(parts), pa.int32())
+        return pa.RecordBatch.from_arrays([same("w"), same("shard"), same("blocks"), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["w", "shard", "blocks", "id", "data"])
 
-    graphs = materialize(map_groups(rows, ["shard"], build, "shard int, id long, data binary", ["rep"]), "graphs")
+    graphs = materialize(map_groups(rows, ["w", "shard"], build, "w int, shard int, blocks int, id long, data binary", ["rep"]), "graphs")
 
-    def query(table: pa.Table) -> pa.RecordBatch:
+    def query(table: pa.Table) -> pa.RecordBatch | None:
         kind = table.column("kind").to_numpy()
         n = int((kind == 0).sum())
         if not n or n == len(kind):
             return None
         graph: Graph = pickle.loads(b"".join(table.column("data")[:n].to_pylist()))
         ids = table.column("id").to_numpy()[n:]
-        at, node = graph.links(_floats(table.column("data")[n:], dims), cosine)
+        at, node = graph.links(_numbers(table.column("data")[n:], number), cosine)
         a, b, weight = ids[at], graph.ids[node, 0], graph.ids[node, 1]
         other = a != b
         at, a, b, weight = at[other], a[other], b[other], weight[other]
@@ -288,13 +312,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         one, two = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.RecordBatch.from_arrays([pa.array([*ids.tolist(), *one], pa.int64()), pa.array([*n_links.tolist(), *[0] * len(one)], pa.int64()), pa.array([*[None] * len(ids), *two], pa.int64())], ["id", "n", "other"])
 
-    left = graphs.select("shard", F.lit(0).alias("kind"), "id", "data", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("rep").alias("id"), F.col("v").alias("data"), F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(blocks)).cast("int").alias("block"))
-    found = materialize(map_groups(left.unionByName(right), ["shard", "block"], query, "id long, n long, other long", ["kind", "id"]), "found")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = graphs.select("w", "shard", F.lit(0).alias("kind"), "id", "data", upto("blocks").alias("block"))
+    right = rows.select("w", upto("shards").alias("shard"), F.lit(1).alias("kind"), F.col("rep").alias("id"), F.col("v").alias("data"), F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int").alias("block"))
+    found = materialize(map_groups(left.unionByName(right), ["w", "shard", "block"], query, "id long, n long, other long", ["kind", "id"]), "found")
     counts = found.where("other IS NULL").groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     classes = reps.join(counts, "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     classes = materialize(classes.select("v", (F.col("n") + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("class")), "classes")
     per = valid.join(classes, "v").groupBy("vec_id").agg(F.max("n").alias("n"), F.min("class").alias("class"))
     component = F.coalesce("class", "vec_id")
-    return every.join(per, "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    out = every.join(per, "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    for old in (graphs, found, sizes):
+        discard(old)
+    return out
