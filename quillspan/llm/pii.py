@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import ipaddress
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,7 +67,7 @@ def base_spans(text: str) -> list[Span]:
     out = list(_emails(text))
     if _DIGIT.search(text):
         if "." in text:
-            out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+            out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p := x.lstrip("0")) < 4 and int(p or "0") <= 255 for x in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -76,15 +78,21 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-# Generators: (kind, a character any match has, pattern)
+# Generators: (kind, a cheap pattern that any match of it contains, pattern). None has an
+# upper length: a hit ends where its run of characters ends.
+_COLONS = re.compile(r"::|(?:[0-9A-Fa-f]{1,4}:){7}")
+_BRACKET_AT = re.compile(r"[\[({]at[\])}]", re.IGNORECASE)
+_KEY_HEAD = re.compile(r"AKIA|ASIA|gh[opsu]_|xox[abprs]-|[sr]k_live_|-----BEGIN")
+_ASSIGN = re.compile(r"[=:]")
 GENERATORS = [
-    ("email", "", re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?[A-Za-z0-9-]+)+", re.IGNORECASE)),
-    ("phone", "0", re.compile(r"(?<![0-9.+-])\(?[0-9]{2,5}\)?(?:[ .-]\(?[0-9]{2,4}\)?){1,4}(?![0-9])")),
-    ("ip", "0", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])")),
-    ("card", "0", re.compile(r"(?<![0-9.])[0-9]{3,4}(?:[._/][0-9]{3,6}){2,4}(?![0-9.])")),
-    ("account", "0", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("secret", "=", re.compile(r"\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b ?[=:] ?\"?[A-Za-z0-9_/+-]{6,80}\"?", re.IGNORECASE)),
-    ("secret", "0", re.compile(r"\b(?:AKIA|ASIA|ghp_|xox[bp]-|sk_live_)[A-Za-z0-9-]{12,60}\b")),
+    ("email", _BRACKET_AT, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]+(?:(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?| dot )[A-Za-z0-9-]+)+", re.IGNORECASE)),
+    ("phone", _DIGIT, re.compile(r"(?<![0-9.+-])\(?[0-9]{2,5}\)?(?:[ .-]\(?[0-9]{2,4}\)?){1,4}(?![0-9])")),
+    ("ip", _COLONS, re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")),
+    ("card", _DIGIT, re.compile(r"(?<![0-9.])[0-9]{3,4}(?:[._/][0-9]{3,6}){2,4}(?![0-9.])")),
+    ("account", _DIGIT, re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
+    ("secret", _ASSIGN, re.compile(r"\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b ?[=:] ?\"?[A-Za-z0-9_/+-]{6,}\"?", re.IGNORECASE)),
+    ("secret", _KEY_HEAD, re.compile(r"\b(?:AKIA|ASIA|gh[opsu]_|xox[abprs]-|[sr]k_live_)[A-Za-z0-9-]{12,}")),
+    ("secret", _KEY_HEAD, re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?")),
 ]
 _CUES = {
     "phone": re.compile(r"(?:tel|phone|call|mobile|cell|fax|dial|whatsapp)\W*(?:\w+\W+)?$", re.IGNORECASE),
@@ -109,14 +117,21 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
+def _is_ip6(run: str) -> bool:
+    try:
+        return len(run) > 3 and bool(ipaddress.IPv6Address(run))
+    except ValueError:
+        return False
+
+
 def propose(text: str) -> list[Span]:
     """All spans of all generators; they may overlap."""
-    digit, equal = bool(_DIGIT.search(text)), "=" in text or ":" in text
-    bracket = any(x in text for x in ("at]", "at)", "at}", "AT]", "AT)", "At]"))
-    out = []
+    out, held = [], {}
     for kind, need, pattern in GENERATORS:
-        if (digit if need == "0" else equal if need == "=" else bracket):
-            out += [(kind, *m.span()) for m in pattern.finditer(text)]
+        if need not in held:
+            held[need] = need.search(text) is not None
+        if held[need]:
+            out += [(kind, *m.span()) for m in pattern.finditer(text) if kind != "ip" or _is_ip6(m[0])]
     return out
 
 
@@ -135,14 +150,18 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         return sep.join(s[i : i + 4] for i in range(0, len(s), 4))
 
     good = [
-        lambda: (rng.choice(["mail ", "contact me at ", "write to ", ""]), f"{word()} {rng.choice(['[at]', '(at)'])} {word()} {rng.choice(['[dot]', '(dot)'])} com"),
+        lambda: (rng.choice(["mail ", "contact me at ", "write to ", ""]), f"{word()}{rng.choice([' ', ''])}{rng.choice(['[at]', '(at)', '{at}', '(At)', '[AT]', '{AT}'])} {word()}{rng.choice([' [dot] ', ' (dot) ', ' dot ', '.', ' {dot} '])}{rng.choice(['com', 'org', 'net', 'de', 'example'])}"),
         lambda: (rng.choice(["call ", "phone: ", "tel. ", "fax ", "my mobile is ", ""]), rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(3)}"])),
         lambda: (rng.choice(["host ", "from ", ""]), ":".join(hexes(4) for _ in range(8))),
+        lambda: (rng.choice(["host ", "from ", "address ", ""]), rng.choice([f"2001:db8::{hexes(rng.randint(1, 4))}", f"fe80::{hexes(rng.randint(1, 4))}", f"fe80::{hexes(4)}:{hexes(4)}", f"{hexes(4)}:{hexes(3)}::{hexes(2)}", ":".join(rng.choice("abcdef") * 4 for _ in range(8))])),
         lambda: (rng.choice(["card ", "visa ", ""]), grouped(card(), rng.choice("._/"))),
         lambda: (rng.choice(["ssn ", "social security number ", ""]), f"{d(3)}-{d(2)}-{d(4)}"),
         lambda: (rng.choice(["iban ", "account ", ""]), rng.choice(["DE", "FR", "ES", "GB"]) + d(2) + " " + grouped(d(18), " ")),
         lambda: (rng.choice(["use ", "with ", ""]), rng.choice(["password=", "token = ", "api_key: ", "secret="]) + rng.choice([hexes(rng.randint(8, 24)), f'"{hexes(40)}"'])),
         lambda: ("", rng.choice(["AKIA", "ghp_"]) + hexes(20).upper()),
+        lambda: (rng.choice(["key ", ""]), rng.choice(["AKIA", "ghp_", "sk_live_", "xoxb-"]) + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([16, 24, 36, 120])))),
+        lambda: (rng.choice(["use ", "with ", ""]), rng.choice(["password=", "token=", "secret: "]) + hexes(rng.randint(60, 200))),
+        lambda: ("", "-----BEGIN " + rng.choice(["", "RSA ", "EC "]) + "PRIVATE KEY-----\n" + "".join(hexes(64) + "\n" for _ in range(rng.randint(1, 20))) + rng.choice(["-----END PRIVATE KEY-----", ""])),
     ]
     bad = [
         lambda: (rng.choice(["date ", "on ", ""]), f"{rng.choice(['19', '20'])}{d(2)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"),
@@ -155,6 +174,7 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: (rng.choice(["at ", ""]), ":".join(d(2) for _ in range(4))),
         lambda: (rng.choice(["item ", "part "]), f"{d(3)}/{d(3)}/{d(3)}"),
         lambda: ("the ", rng.choice(["token: something", "password: required", "secret: nothing-here"])),
+        lambda: ("use ", rng.choice(["std::", "face::", "add::", "a::"]) + rng.choice(["bad", "add", "cafe", "de"])),
     ]
     rows, labels = [], []
     while len(rows) < n:
@@ -215,7 +235,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(precision: float = 0.98, n: int = 3000, seed: int = 11) -> tuple[Trees, dict[str, float]]:
+def trained(precision: float = 0.98, n: int = 5000, seed: int = 11) -> tuple[Trees, dict[str, float]]:
     """The trees, and by kind the lowest threshold that has the precision on other examples."""
     trees = boost(*examples(n, seed))
     x, y = examples(n, seed + 1)
@@ -230,16 +250,37 @@ def trained(precision: float = 0.98, n: int = 3000, seed: int = 11) -> tuple[Tre
     return trees, cuts
 
 
+class _Covered:
+    """Disjoint intervals; whether a new one meets them takes a binary search."""
+
+    def __init__(self, spans: list[Span] = ()) -> None:
+        self.starts, self.ends = [], []
+        for _, s, e in sorted(spans, key=lambda x: x[1]):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s), self.ends.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        k = bisect_left(self.starts, e)
+        return k > 0 and self.ends[k - 1] > s
+
+    def add(self, s: int, e: int) -> None:
+        k = bisect_left(self.starts, s)
+        self.starts.insert(k, s), self.ends.insert(k, e)
+
+
 def find(text: str, model: tuple[Trees, dict[str, float]]) -> tuple[list[Span], list[Span]]:
     """Base spans and the spans that the trees add, both in order of kind and start."""
     base = sorted(base_spans(text), key=lambda s: (_RANK[s[0]], s[1]))
-    offered = [s for s in propose(text) if not any(s[1] < e and b < s[2] for _, b, e in base)]
-    added: list[Span] = []
+    taken, added = _Covered(base), []
+    offered = [s for s in propose(text) if not taken.meets(s[1], s[2])]
     if offered:
         trees, cuts = model
         score = trees.score(np.array([features(text, *s) for s in offered]))
-        for _, s in sorted(zip(-score, offered, strict=True)):
-            if -_ >= cuts[s[0]] and not any(s[1] < e and b < s[2] for _k, b, e in added):
+        for x, s in sorted(zip(-score, offered, strict=True)):
+            if -x >= cuts[s[0]] and not taken.meets(s[1], s[2]):
+                taken.add(s[1], s[2])
                 added.append(s)
     return base, sorted(added, key=lambda s: (_RANK[s[0]], s[1]))
 
@@ -249,7 +290,7 @@ def _joined(spans: list[Span]) -> str:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans for each row of docs."""
+    """doc_id, counts of the base kinds and of all spans, base_sha256, spans for each row of docs."""
     model = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,13 +300,13 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 counts, digests, spans = [], [], []
                 for t in part.column(1):
                     base, added = find(t.as_py() or "", model)
-                    counts.append([sum(k == s[0] for s in base) for k in BASE_KINDS])
+                    counts.append([*(sum(k == s[0] for s in base) for k in BASE_KINDS), len(base) + len(added)])
                     digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                     spans.append(_joined(base + added))
-                cols = np.array(counts, np.int64).reshape(-1, len(BASE_KINDS)).T
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
+                cols = np.array(counts, np.int64).reshape(-1, len(BASE_KINDS) + 1).T
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in (*BASE_KINDS, "spans")), "base_sha256", "spans"])
 
-    counts = ", ".join(f"n_{k} long" for k in BASE_KINDS)
+    counts = ", ".join(f"n_{k} long" for k in (*BASE_KINDS, "spans"))
     return wide(keyed(docs, "doc_id", "text")).mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {counts}, base_sha256 string, spans string")
 
 
