@@ -7,16 +7,18 @@ merges the shards of a tier once there are `FAN` of them, into files of about
 shards and writes new ones without a shuffle. Every change is one new manifest version:
 it is written under a temporary name and renamed to its number, which fails if another
 writer had that number first. Readers use a version's list of files, so they never see
-half a change; files that no version lists are removed by vacuum().
+half a change; vacuum() forgets old versions and removes files that none of the kept ones
+lists, once they are old enough not to be another writer's next change.
 
 A failed or lost task leaves files that no manifest names. Defined results: an append of
 no rows commits a version without a new shard; nulls, repeated rows and any columns are
-stored as they are; the columns of all appends must agree.
+stored as they are (shard_documents gives a null text 0 bytes and a null digest); the columns of all appends must agree.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -127,19 +129,25 @@ class ShardStore:
         m = self.manifest(version)
         return self._read(m, m["shards"])
 
-    def vacuum(self) -> int:
-        """Delete files that the newest manifest doesn't list; returns how many."""
-        live = {s.path for s in self.manifest()["shards"]}
-        gone = 0
+    def vacuum(self, keep_versions: int = 10, min_age: float = 86_400.0) -> int:
+        """Forget all but the newest keep_versions manifests, and delete files that none of
+        those lists and that are older than min_age seconds, so that what another writer has
+        written but not yet committed stays; returns how many files."""
+        versions = self.versions()
+        live = {s.path for v in versions[-keep_versions:] for s in self.manifest(v)["shards"]}
+        for v in versions[:-keep_versions]:
+            self.fs.delete(self._path(f"manifest/v{v:08d}.json"), False)
+        if not self.fs.exists(self._path("data")):
+            return 0
+        gone, before = 0, (time.time() - min_age) * 1000
         for folder in self.fs.listStatus(self._path("data")):
-            name = folder.getPath().getName()
-            kept = False
+            name, kept = folder.getPath().getName(), False
             for f in self.fs.listStatus(folder.getPath()):
-                if f"data/{name}/{f.getPath().getName()}" in live:
+                if f"data/{name}/{f.getPath().getName()}" in live or f.getModificationTime() > before:
                     kept = True
                 else:
-                    gone += bool(self.fs.delete(f.getPath(), False))
-            if not kept:
+                    gone += bool(self.fs.delete(f.getPath(), True))
+            if not kept and folder.getModificationTime() <= before:
                 self.fs.delete(folder.getPath(), True)
         return gone
 
@@ -157,7 +165,7 @@ def shard_documents(docs: DataFrame, target_bytes: int = TARGET, arrivals: int =
         hi = lo + max(1, slices >> (k + 1)) if k < arrivals - 1 else slices
         store.append(docs.where((draw >= lo) & (draw < hi)))
         store.compact()
-        store.vacuum()
+        store.vacuum(keep_versions=1, min_age=-60)  # the store is this call's own, so nobody else writes
         lo = hi
     out = store.read().select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("shard"))
     return out.withColumn("version", F.lit(store.versions()[-1]).cast("long"))
