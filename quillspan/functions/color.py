@@ -1,9 +1,13 @@
-"""OKLab colour arithmetic as column expressions."""
+"""OKLab colour arithmetic: column expressions, and numpy over Arrow batches where a colour
+is searched for by bisection (all rows of a batch move together)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 # Linear sRGB to cone responses, and cone responses to OKLab.
 TO_LMS = (
@@ -16,6 +20,18 @@ TO_LAB = (
     (1.9779984951, -2.428592205, 0.4505937099),
     (0.0259040371, 0.7827717662, -0.808675766),
 )
+# OKLab to the roots of cone responses, and cone responses to linear sRGB.
+FROM_LAB = (
+    (1.0, 0.3963377774, 0.2158037573),
+    (1.0, -0.1055613458, -0.0638541728),
+    (1.0, -0.0894841775, -1.291485548),
+)
+FROM_LMS = (
+    (4.0767416621, -3.3077115913, 0.2309699292),
+    (-1.2684380046, 2.6097574011, -0.3413193965),
+    (-0.0041960863, -0.7034186147, 1.707614701),
+)
+LUMA = (0.2126, 0.7152, 0.0722)
 
 
 def channel(hex6: Column, i: int) -> Column:
@@ -24,21 +40,295 @@ def channel(hex6: Column, i: int) -> Column:
     return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
 
 
+def _apply(matrix, values):
+    return [sum(k * c for k, c in zip(row, values, strict=True)) for row in matrix]
+
+
+def lab_of_linear(rgb) -> tuple[Column, Column, Column]:
+    return tuple(_apply(TO_LAB, [F.cbrt(c) for c in _apply(TO_LMS, rgb)]))
+
+
 def oklab(hex6: Column) -> tuple[Column, Column, Column]:
-    rgb = [channel(hex6, i) for i in range(3)]
-    lms = [F.cbrt(sum(k * c for k, c in zip(row, rgb, strict=True))) for row in TO_LMS]
-    return tuple(sum(k * c for k, c in zip(row, lms, strict=True)) for row in TO_LAB)
+    return lab_of_linear([channel(hex6, i) for i in range(3)])
+
+
+def linear_of_lab(lab) -> list:
+    """Linear sRGB, columns or arrays; outside [0, 1] if the colour has no place there."""
+    return _apply(FROM_LMS, [c * c * c for c in _apply(FROM_LAB, lab)])
 
 
 def luminance(hex6: Column) -> Column:
-    return sum(w * channel(hex6, i) for i, w in enumerate((0.2126, 0.7152, 0.0722)))
+    return sum(w * channel(hex6, i) for i, w in enumerate(LUMA))
 
 
 def contrast(one: Column, other: Column) -> Column:
     return (F.greatest(one, other) + 0.05) / (F.least(one, other) + 0.05)
 
 
+def hex6_of(text: Column) -> Column:
+    """rrggbb of a colour written with or without #; null if it is none."""
+    return F.nullif(F.lower(F.regexp_extract(F.trim(text), "^#?([0-9a-fA-F]{6})$", 1)), F.lit(""))
+
+
+def palette_of(colors: Column) -> Column:
+    """array<array<double>> of five OKLab colours; null unless there are five and all are written well."""
+    each = F.transform(colors, lambda c: F.array(*oklab(hex6_of(c))))
+    return F.when((F.size(colors) == 5) & F.forall(colors, lambda c: hex6_of(c).isNotNull()), each)
+
+
+def lch(lab) -> tuple[Column, Column, Column]:
+    """Lightness, chroma and hue in degrees; a colour without chroma has hue 0."""
+    light, a, b = lab
+    c, h = F.hypot(a, b), F.degrees(F.atan2(b, a))
+    return light, c, F.when(c < 1e-4, 0.0).when(h < 0, h + 360).otherwise(h)
+
+
+def lab_of_lch(light, c, h) -> tuple[Column, Column, Column]:
+    return light, c * F.cos(F.radians(h)), c * F.sin(F.radians(h))
+
+
+def hue_between(one, other, t: Column) -> tuple[Column, Column, Column]:
+    """Lightness, chroma and hue at t in [0, 1] between two colours, over the shorter arc.
+    A grey (chroma below 0.005) borrows the other's hue."""
+    (l1, c1, h1), (l2, c2, h2) = one, other
+    a, b = F.when(c1 < 0.005, h2).otherwise(h1), F.when(c2 < 0.005, h1).otherwise(h2)
+    arc = F.pmod(b - a + 540, F.lit(360.0)) - 180  # exactly opposite hues go down
+    arc = F.when((arc == -180) & (b > a), 180.0).otherwise(arc)
+    return l1 + (l2 - l1) * t, c1 + (c2 - c1) * t, F.pmod(a + arc * t + 360, F.lit(360.0))
+
+
+def blended(weighted: Column) -> Column:
+    """One palette of several: array<struct<w, palette>> to an array of five colours. Chroma is
+    averaged apart from hue, which is averaged on the circle, so unlike hues don't turn grey."""
+
+    def total(f) -> Column:
+        return F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x["w"] * f(x["palette"]))
+
+    def slot(i: int) -> Column:
+        part = lambda k: lambda p: p[i][k]
+        chroma = lambda p: F.hypot(p[i][1], p[i][2])
+        unit = lambda k: lambda p: F.when(chroma(p) > 1e-6, p[i][k] / chroma(p)).otherwise(0.0)
+        c, h = total(chroma), F.atan2(total(unit(2)), total(unit(1)))
+        return F.array(total(part(0)), c * F.cos(h), c * F.sin(h))
+
+    return F.array(*map(slot, range(5)))
+
+
+def palette_gap(one: Column, other: Column) -> Column:
+    """Mean distance of two palettes, slot by slot."""
+    gaps = F.zip_with(one, other, lambda p, q: F.sqrt(F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / F.size(gaps)
+
+
+def mean_tone(pixels: Column) -> Column:
+    """Mean OKLab colour of an array of rrggbb pixels, to four places (half to even)."""
+    labs = F.transform(pixels, lambda p: F.array(*oklab(p)))
+    part = lambda k: F.aggregate(F.transform(labs, lambda x: x[k]), F.lit(0.0), lambda s, x: s + x)
+    return F.array(*[F.bround(part(k) / F.size(labs), 4) for k in range(3)])
+
+
+def in_gamut(rgb, slack: float = 1e-4) -> Column:
+    out = F.lit(True)
+    for c in rgb:
+        out &= (c >= -slack) & (c <= 1 + slack)
+    return out
+
+
+def to_gamut(light: Column, c: Column, h: Column, steps: int = 20) -> Column:
+    """The largest chroma, found by `steps` bisections, that shows in sRGB at this lightness and hue."""
+    fits = lambda x: in_gamut(linear_of_lab(lab_of_lch(light, x, h)))
+
+    def halve(s: Column, _) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        return F.struct(F.when(fits(mid), mid).otherwise(s["lo"]).alias("lo"), F.when(fits(mid), s["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0.0).alias("lo"), c.alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
+    return F.when((light <= 0) | (light >= 1), 0.0).when(fits(c), c).otherwise(found)
+
+
 def season(month: Column, south: Column) -> Column:
     """winter from December in the north; half a year later in the south."""
     at = F.pmod(F.floor(F.pmod(month, F.lit(12)) / 3) + F.when(south, 2).otherwise(0), F.lit(4))
     return F.element_at(F.array(*map(F.lit, ("winter", "spring", "summer", "autumn"))), (at + 1).cast("int"))
+
+
+def southern(latitude: Column) -> Column:
+    """Whether a latitude is below zero; an unknown one counts as north."""
+    return F.coalesce(F.nanvl(latitude.cast("double"), F.lit(0.0)) < 0, F.lit(False))
+
+
+# --- readable text: numpy, colours as rows of (L, a, b) -----------------------------------
+
+TEXT_TARGET, INK_TARGET, PAPER_TARGET = 4.6, 7.0, 4.5
+SOFT_MIX = 0.4
+# The layers of each room light, as lightness, chroma, hue and strength.
+LIGHTS = {
+    "dawn": ((0.86, 0.09, 40, 0.3), (0.76, 0.06, 250, 0.2)),
+    "golden-hour": ((0.82, 0.15, 70, 0.42),),
+    "overcast": ((0.82, 0.02, 240, 0.24), (0.72, 0.025, 240, 0.24)),
+    "neon": ((0.66, 0.26, 340, 0.36), (0.82, 0.14, 200, 0.36)),
+    "candle": ((0.82, 0.15, 62, 0.45),),
+    "moonlight": ((0.86, 0.045, 240, 0.32),),
+    "desk-lamp": ((0.9, 0.11, 76, 0.5), (0, 0, 0, 0.14)),
+    "fluorescent": ((1, 0, 0, 0.025), (0.96, 0.035, 150, 0.4), (0.9, 0.02, 150, 0.14)),
+}
+
+
+def np_lch(lab: np.ndarray) -> np.ndarray:
+    c, h = np.hypot(lab[:, 1], lab[:, 2]), np.degrees(np.arctan2(lab[:, 2], lab[:, 1])) % 360
+    return np.stack([lab[:, 0], c, np.where(c < 1e-4, 0.0, h)], axis=1)
+
+
+def np_lab(lch_: np.ndarray) -> np.ndarray:
+    h = np.radians(lch_[:, 2])
+    return np.stack([lch_[:, 0], lch_[:, 1] * np.cos(h), lch_[:, 1] * np.sin(h)], axis=1)
+
+
+def np_gamut(lch_: np.ndarray) -> np.ndarray:
+    """Chroma cut to what sRGB shows; black and white have none."""
+    out, edge = lch_.copy(), (lch_[:, 0] <= 0) | (lch_[:, 0] >= 1)
+    out[edge, 0], out[edge, 1] = np.clip(out[edge, 0], 0, 1), 0
+
+    def fits(c: np.ndarray) -> np.ndarray:
+        rgb = np.stack(linear_of_lab(np_lab(np.stack([out[:, 0], c, out[:, 2]], axis=1)).T))
+        return ((rgb >= -1e-4) & (rgb <= 1 + 1e-4)).all(axis=0)
+
+    whole, lo, hi = fits(out[:, 1]), np.zeros(len(out)), out[:, 1].copy()
+    for _ in range(20):
+        mid = (lo + hi) / 2
+        ok = fits(mid)
+        lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid)
+    out[:, 1] = np.where(whole | edge, out[:, 1], lo)
+    return out
+
+
+def np_linear(lab: np.ndarray) -> np.ndarray:
+    """Linear sRGB in [0, 1] of the nearest colour in the gamut; a row a channel."""
+    return np.clip(np.stack(linear_of_lab(np_lab(np_gamut(np_lch(lab))).T)), 0, 1)
+
+
+def np_srgb(lab: np.ndarray) -> np.ndarray:
+    v = np_linear(lab)
+    return np.where(v <= 0.0031308, 12.92 * v, 1.055 * np.maximum(v, 1e-12) ** (1 / 2.4) - 0.055)
+
+
+def np_from_srgb(rgb: np.ndarray) -> np.ndarray:
+    linear = np.where(rgb <= 0.04045, rgb / 12.92, ((rgb + 0.055) / 1.055) ** 2.4)
+    return (np.array(TO_LAB) @ np.cbrt(np.array(TO_LMS) @ linear)).T
+
+
+def np_contrast(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x, y = (np.array(LUMA) @ np_linear(v) + 0.05 for v in (a, b))
+    return np.maximum(x, y) / np.minimum(x, y)
+
+
+def np_worst(ink: np.ndarray, grounds: list[np.ndarray]) -> np.ndarray:
+    """The least contrast of the ink with any of the grounds."""
+    return np.min([np_contrast(ink, g) for g in grounds], axis=0)
+
+
+def np_readable(ink: np.ndarray, grounds: list[np.ndarray], target: float) -> np.ndarray:
+    """The ink, its lightness moved as little as it takes (24 bisections) to reach the target
+    contrast with all grounds. Where both lighter and darker would do, a dark first ground
+    decides for lighter; where neither does, the better end is taken."""
+    own = np_lch(ink)
+    ends = [np_worst(np_lab(np_gamut(np.stack([np.full(len(ink), float(x)), own[:, 1], own[:, 2]], axis=1))), grounds) for x in (1, 0)]
+    light, dark = ends
+    up = np.where((light >= target) & (dark >= target), grounds[0][:, 0] < 0.5, (light >= target) | ((dark < target) & (light > dark)))
+    lo, hi = own[:, 0].copy(), np.where(up, 1.0, 0.0)
+    at = lambda x: np_lab(np_gamut(np.stack([x, own[:, 1], own[:, 2]], axis=1)))
+    for _ in range(24):
+        mid = (lo + hi) / 2
+        ok = np_worst(at(mid), grounds) >= target
+        hi, lo = np.where(ok, mid, hi), np.where(ok, lo, mid)
+    return np.where((np_worst(ink, grounds) >= target)[:, None], ink, at(hi))
+
+
+def np_lit(ground: np.ndarray, light: str | None, strength: np.ndarray | float = 1.0) -> list[np.ndarray]:
+    """The plain ground, and the ground under each layer of a light as sRGB blending shows it."""
+    out, under = [ground], np_srgb(ground)
+    for *color, alpha in LIGHTS.get(light, ()):
+        top = np_srgb(np_lab(np.array([color], float)))
+        a = alpha * strength
+        out.append(np_from_srgb(top * a + under * (1 - a)))
+    return out
+
+
+def np_most_contrast(colors: list[np.ndarray], ground: np.ndarray) -> np.ndarray:
+    """The index of the colour with the most contrast; the first one wins a tie."""
+    return np.argmax([np_contrast(c, ground) for c in colors], axis=0)
+
+
+def np_tokens(palette: np.ndarray, light: str | None) -> dict[str, np.ndarray]:
+    """Ground, inks, papers and the light's strength of palettes, an array (rows, 5, 3)."""
+    rows, ground, rest = np.arange(len(palette)), palette[:, 0], [palette[:, k] for k in range(1, 5)]
+    grounds, best = np_lit(ground, light), np_most_contrast(rest, ground)
+
+    def floor(c: np.ndarray) -> np.ndarray:
+        lit = np_readable(c, grounds, TEXT_TARGET)
+        return np.where((np_worst(lit, grounds) >= TEXT_TARGET)[:, None], lit, np_readable(c, [ground], INK_TARGET))
+
+    ink = floor(np_readable(palette[rows, best + 1], [ground], INK_TARGET))
+    soft = floor(ink + (ground - ink) * SOFT_MIX)
+    others = np.array([[k for k in range(4) if k != b] for b in range(4)])[best] + 1
+    mids = [palette[rows, others[:, k]] for k in range(3)]
+    paper = np.where((np_contrast(ink, mids[0]) >= np_contrast(ground, mids[0]))[:, None], ink, ground)
+    lo, hi = np.zeros(len(rows)), np.ones(len(rows))
+    holds = lambda k: np.minimum(np_worst(ink, np_lit(ground, light, k)), np_worst(soft, np_lit(ground, light, k))) >= TEXT_TARGET
+    whole = holds(hi) if light else np.ones(len(rows), bool)
+    for _ in range(16 if light else 0):
+        mid = (lo + hi) / 2
+        ok = holds(mid)
+        lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid)
+    return {"ground": ground, "ink": ink, "soft": soft, "mid1": mids[0], "mid2": mids[1], "mid3": mids[2], "paper_ink": np_readable(paper, [mids[0]], PAPER_TARGET), "strength": np.where(whole, 1.0, lo)}
+
+
+_LAB = ArrayType(DoubleType())
+_TOKENS = StructType([*[StructField(n, _LAB) for n in ("ground", "ink", "soft", "mid1", "mid2", "mid3", "paper_ink")], StructField("strength", DoubleType())])
+
+
+def _stack(colors: pd.Series) -> np.ndarray:
+    return np.array([np.stack(c) if len(c) and not np.isscalar(c[0]) else np.asarray(c, float) for c in colors], float)
+
+
+@F.pandas_udf(_TOKENS)
+def tokens(palette: pd.Series, light: pd.Series) -> pd.DataFrame:
+    """The display colours of array<array<double>> palettes under a named light (null: none);
+    nulls for a null palette."""
+    out = {f.name: pd.Series([None] * len(palette), dtype=object) for f in _TOKENS.fields}
+    for name in light.where(light.notna(), None).unique():
+        at = np.flatnonzero(palette.notna() & (light.isna() if name is None else light == name))
+        if len(at):
+            for k, v in np_tokens(_stack(palette.iloc[at]), name).items():
+                for i, x in zip(at, v, strict=True):
+                    out[k].iat[i] = x.tolist() if isinstance(x, np.ndarray) else float(x)
+    return pd.DataFrame(out)
+
+
+def readable_on(target: float):
+    """A function (ink, ground) that moves the ink until it has the target contrast."""
+
+    @F.pandas_udf(_LAB)
+    def move(ink: pd.Series, ground: pd.Series) -> pd.Series:
+        return pd.Series(np_readable(_stack(ink), [_stack(ground)], target).tolist())
+
+    return move
+
+
+@F.pandas_udf(_LAB)
+def text_on(paper: pd.Series, palette: pd.Series) -> pd.Series:
+    """The palette's colour with the most contrast on paper, moved until text is readable."""
+    p, colors = _stack(paper), _stack(palette)
+    best = np_most_contrast([colors[:, k] for k in range(5)], p)
+    return pd.Series(np_readable(colors[np.arange(len(p)), best], [p], TEXT_TARGET).tolist())
+
+
+def valid_palette(hexes: Column) -> Column:
+    """Whether there are exactly five #rrggbb."""
+    return F.coalesce((F.size(hexes) == 5) & F.forall(hexes, lambda h: F.coalesce(h.rlike("(?i)^#[0-9a-f]{6}$"), F.lit(False))), F.lit(False))
+
+
+def four_places(x: Column) -> Column:
+    """Rounded to four places, halves up."""
+    return F.floor(x * 1e4 + 0.5) / 1e4
