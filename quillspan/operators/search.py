@@ -1,4 +1,4 @@
-"""Vector search: the nearest items per category, one per creator."""
+"""Vector search: the nearest items per category, one per creator, in blocks of bounded size."""
 
 from __future__ import annotations
 
@@ -6,86 +6,185 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-QUERY_BYTES = 64 << 20  # of query vectors that one pass broadcasts
+from quillspan.functions.vectors import dot, half
+from quillspan.sources.scratch import dropped, staged
 
+QUERY_BYTES = 16 << 20  # of query vectors in a block
+ITEM_ROWS = 50_000  # in a block
+CELLS = 2 << 20  # of a score matrix
+_OUT = pa.schema([("qid", pa.int64()), ("category", pa.int32()), ("id", pa.int64()), ("creator", pa.int64()), ("score", pa.float64())])
+_ITEM = ["id", "category", "creator", "title", "vector", "penalty"]
+_QUERY = ["qid", "qcategory", "qcreator", "qtitle", "qvector", "qexclude"]
 
-def scores(items: DataFrame, queries: DataFrame, k: int, per_creator: bool = True, own: bool = False, digits: int = 6) -> DataFrame:
-    """Candidate rows qid, category, id, creator, score: a superset of each query's k best
-    items per category (one per creator), from products in double precision.
 
-    items: id, category, creator, vector, penalty. queries: qid, qcreator, qvector. With
-    own, an item with the query's id or creator is skipped. Each batch of items keeps only
-    its k best, so the shuffle carries k rows a batch, query and category. Query vectors
-    are broadcast in blocks of bounded size.
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float)
+    return values.reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+
+
+def _ints(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+
+
+class _Queries:
+    """A block of queries: arrays, and the (query, item) pairs that a query leaves out."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.id, self.category, self.creator, self.title = (_ints(table.column(c)) for c in ("qid", "qcategory", "qcreator", "qtitle"))
+        self.vector = _matrix(table.column("qvector"))
+        self.exclude = table.column("qexclude").to_pylist()
+
+
+def _best(items: pa.Table | pa.RecordBatch, q: _Queries, same: int, other: int, per_creator: bool, own: bool, digits: int) -> Iterator[pa.RecordBatch]:
+    """The rows that can be among a query's best of these items: of each category, the ones that
+    reach its k-th best score, and one a creator. A matrix of CELLS scores is held at a time."""
+    columns = [_ints(items.column(c)) for c in ("id", "category", "creator", "title", "penalty")]
+    order = np.lexsort((columns[0], columns[2], columns[1]))
+    ids, category, creator, title, penalty = (c[order] for c in columns)
+    vectors = _matrix(items.column("vector"))[order]
+    groups = np.stack([category, creator if per_creator else ids])
+    starts = np.flatnonzero(np.r_[True, (groups[:, 1:] != groups[:, :-1]).any(axis=0)])
+    sizes, kinds = np.diff(np.r_[starts, len(ids)]), category[starts]
+    place = np.arange(len(ids))
+    row_of = {k: i for i, k in enumerate(ids.tolist())} if any(q.exclude) else {}
+    step = max(1, CELLS // len(ids))
+    for at in range(0, len(q.id), step):
+        part = slice(at, at + step)
+        s = np.round(q.vector[part] @ vectors.T - penalty, digits)
+        if own:
+            s[(q.id[part, None] == ids) | (q.creator[part, None] == creator) | (q.title[part, None] == title)] = -np.inf
+        for i, gone in enumerate(q.exclude[part]):
+            cols = [row_of[g] for g in gone or () if g in row_of]
+            s[i, cols] = -np.inf
+        best = np.maximum.reduceat(s, starts, axis=1)
+        for kind in np.unique(kinds):
+            cols = np.flatnonzero(kinds == kind)
+            k = np.where(q.category[part] == kind, same, other)
+            few = best[:, cols]
+            top = min(max(same, other), len(cols))
+            high = -np.partition(-few, top - 1, axis=1)[:, :top]
+            high.sort(axis=1)
+            cut = high[np.arange(len(few)), np.clip(top - k, 0, top - 1)]
+            a, b = np.nonzero((few >= np.maximum(cut, -1e300)[:, None]) & (k > 0)[:, None])
+            if not len(a):
+                continue
+            g = cols[b]
+            # the first item of the group that has its best score: the smallest id
+            first = np.array([starts[y] + int(np.argmax(s[x, starts[y] : starts[y] + sizes[y]])) for x, y in zip(a, g, strict=True)]) if per_creator else place[starts[g]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([q.id[part][a], category[first], ids[first], creator[first], few[a, b]], _OUT.types, strict=True)], schema=_OUT)
+
+
+def scores(items: DataFrame, queries: DataFrame, same: int, other: int | None = None, per_creator: bool = True, own: bool = False, digits: int = 6) -> DataFrame:
+    """Candidate rows qid, category, id, creator, score: a superset of each query's best items,
+    `same` of its own category and `other` (same, if None) of each other one, one per creator,
+    from products in double precision less the item's penalty.
+
+    items: id, category, creator, vector, penalty and, if there is one, title. queries: qid,
+    qcreator, qvector and, if there are any, qcategory, qtitle, qexclude (ids never to be
+    found). With own, an item with the query's id, creator or title is skipped. Titles are
+    compared by a 64-bit hash.
+
+    Queries that fit QUERY_BYTES are broadcast to the items' partitions. More of them are dealt
+    to blocks of that size, as items are to blocks of ITEM_ROWS, and every pair of blocks is
+    one group: rows move as often as there are blocks on the other side.
     """
-    n = queries.count()
-    dims = len((queries.select("qvector").first() or [[0]])[0])
-    blocks = max(1, -(-n * dims * 8 // QUERY_BYTES))
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        rows = part.select("qid", "qcreator", "qvector").toPandas().sort_values("qid")
-        data = items.sparkSession.sparkContext.broadcast((rows.qid.to_numpy(), rows.qcreator.to_numpy(), np.array(rows.qvector.tolist(), float).reshape(len(rows), -1)))
-
-        def run(batches: Iterator[pa.RecordBatch], data=data) -> Iterator[pa.RecordBatch]:
-            qid, qcreator, q = data.value
+    other = same if other is None else other
+    titled = F.xxhash64("title") if "title" in items.columns else F.col("id")
+    things = items.select("id", F.col("category").cast("int").alias("category"), F.col("creator").cast("long").alias("creator"), titled.alias("title"), "vector", F.col("penalty").cast("double").alias("penalty"))
+    has = lambda c, v: F.col(c) if c in queries.columns else F.lit(v)
+    qtitle = F.xxhash64("qtitle") if "qtitle" in queries.columns else F.col("qid")
+    asked = queries.select("qid", has("qcategory", -1).cast("int").alias("qcategory"), F.col("qcreator").cast("long").alias("qcreator"), qtitle.alias("qtitle"), F.transform("qvector", lambda x: x.cast("double")).alias("qvector"), has("qexclude", None).cast("array<long>").alias("qexclude"))
+    asked = staged(asked, "queries")
+    size = asked.agg(F.sum(8 * F.size("qvector") + 8 * F.coalesce(F.size("qexclude"), F.lit(0)) + 64)).first()[0] or 0
+    schema = "qid long, category int, id long, creator long, score double"
+    if size <= QUERY_BYTES:
+        block = asked.sparkSession.sparkContext.broadcast(asked.orderBy("qid").toArrow())  # its size is checked above
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = _Queries(block.value)
             for batch in batches:
-                if not batch.num_rows or not len(qid):
-                    continue
-                ids, category, creator = (batch.column(i).to_numpy() for i in range(3))
-                v = np.array(batch.column(3).to_pylist(), float)
-                s = np.round(q @ v.T - batch.column(4).to_numpy(), digits)
-                if own:
-                    s[(qid[:, None] == ids) | (qcreator[:, None] == creator)] = -np.inf
-                found = []
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s))
-                for i, at in enumerate(order):
-                    seen, taken = set(), {}
-                    for j in at:
-                        c, w = category[j], creator[j] if per_creator else ids[j]
-                        if s[i, j] == -np.inf or taken.get(c, 0) >= k or (c, w) in seen:
-                            continue
-                        seen.add((c, w))
-                        taken[c] = taken.get(c, 0) + 1
-                        found.append((qid[i], c, ids[j], creator[j], s[i, j]))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], ["qid", "category", "id", "creator", "score"]).cast(pa.schema([("qid", pa.int64()), ("category", pa.int32()), ("id", pa.int64()), ("creator", pa.int64()), ("score", pa.float64())]))
-
-        one = items.select("id", "category", "creator", "vector", "penalty").mapInArrow(run, "qid long, category int, id long, creator long, score double")
-        out = one if out is None else out.union(one)
-    return out
-
-
-def nearest(items: DataFrame, queries: DataFrame, k: int, per_creator: bool = True, own: bool = False) -> DataFrame:
-    """qid, category, id, score, place: k best per category; equal scores in id order."""
-    rows = scores(items, queries, k, per_creator, own)
+                for at in range(0, batch.num_rows if len(q.id) else 0, ITEM_ROWS):
+                    yield from _best(batch.slice(at, ITEM_ROWS), q, same, other, per_creator, own, digits)
+
+        return things.mapInArrow(run, schema)
+
+    qblocks, iblocks = -(-size // QUERY_BYTES), max(1, -(-things.count() // ITEM_ROWS))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    nothing = lambda df, names: [F.lit(None).cast(df.schema[n].dataType).alias(n) for n in names]
+    left = asked.select(*_QUERY, *nothing(things, _ITEM), F.pmod(F.xxhash64("qid"), F.lit(qblocks)).alias("_q")).withColumn("_i", spread(iblocks))
+    right = things.select(*nothing(asked, _QUERY), *_ITEM, F.pmod(F.xxhash64("id"), F.lit(iblocks)).alias("_i")).withColumn("_q", spread(qblocks))
+
+    def pair(table: pa.Table) -> pa.Table:
+        asks = table.column("qid").is_valid()
+        q, rows = table.filter(asks), table.filter(pc.invert(asks))
+        out = [] if not q.num_rows or not rows.num_rows else list(_best(rows, _Queries(q), same, other, per_creator, own, digits))
+        return pa.Table.from_batches(out, schema=_OUT)
+
+    return left.unionByName(right).groupBy("_q", "_i").applyInArrow(pair, schema)
+
+
+def nearest(items: DataFrame, queries: DataFrame, k: int, per_creator: bool = True, own: bool = False, other: int | None = None) -> DataFrame:
+    """qid, category, id, score, place: the best per category; equal scores in id order. With
+    `other`, k counts in the query's own category (qcategory) and other in the rest."""
+    rows = scores(items, queries, k, other, per_creator, own)
     best = [F.desc("score"), F.asc("id")]
     if per_creator:
         rows = rows.withColumn("_c", F.row_number().over(W.partitionBy("qid", "category", "creator").orderBy(*best))).where("_c = 1")
     rows = rows.withColumn("place", F.row_number().over(W.partitionBy("qid", "category").orderBy(*best)))
-    return rows.where(F.col("place") <= k).select("qid", "category", "id", "score", "place")
-
-
-def representative(items: DataFrame, group: str) -> DataFrame:
-    """The item with the largest product with its group's summed vector; the first id wins a tie."""
-    total = items.select(group, F.posexplode("vector").alias("d", "x")).groupBy(group, "d").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    total = total.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("total"))
-    dot = F.aggregate(F.zip_with("vector", "total", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    rows = items.join(F.broadcast(total), group).withColumn("score", F.round(dot, 6))
-    return rows.groupBy(group).agg(F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("id"), F.max("score").alias("score"))
-
-
-def exposure(items: DataFrame, queries: DataFrame, rounds: int, beta: float = 0.02) -> DataFrame:
-    """id, category, penalty: each round counts top-2 places and moves the penalty half way
-    to beta * log(share), where share is the item's places over its category's mean, plus one."""
-    every = items
-    for _ in range(rounds):
-        wins = nearest(every, queries, 2, per_creator=False).groupBy("id").agg(F.count("*").alias("wins"))
-        mean = F.avg(F.coalesce("wins", F.lit(0))).over(W.partitionBy("category"))
-        step = F.lit(beta) * F.log(F.greatest((F.coalesce("wins", F.lit(0)) + 1) / (mean + 1), F.lit(1.0)))
-        every = every.join(wins, "id", "left").withColumn("penalty", 0.5 * F.col("penalty") + 0.5 * step).drop("wins")
-    return every.select("id", "category", F.round("penalty", 8).alias("penalty"))
+    if other is not None and other != k:
+        rows = rows.join(queries.select("qid", "qcategory"), "qid").where(F.col("place") <= F.when(F.col("category") == F.col("qcategory"), k).otherwise(other))
+    return rows.where(F.col("place") <= max(k, other or 0)).select("qid", "category", "id", "score", "place")
+
+
+def representative(items: DataFrame, *group: str) -> DataFrame:
+    """group, id, score: the item with the largest product with its group's summed vector; the
+    first id wins a tie. Sums are pre-aggregated by dimension, and the join's side is theirs to choose."""
+    total = items.select(*group, F.posexplode("vector").alias("d", "x")).groupBy(*group, "d").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    total = total.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("total"))
+    rows = items.join(total, list(group)).withColumn("score", F.round(dot(F.col("vector"), F.col("total")), 6))
+    return rows.groupBy(*group).agg(F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("id"), F.max("score").alias("score"))
+
+
+def wins(items: DataFrame, queries: DataFrame) -> DataFrame:
+    """id, category, penalty, wins: how often an item is among its category's two best (no rule
+    about creators here)."""
+    n = nearest(items, queries, 2, per_creator=False).groupBy("id").agg(F.count("*").alias("wins"))
+    return items.select("id", "category", "penalty").join(n, "id", "left").withColumn("wins", F.coalesce("wins", F.lit(0)))
+
+
+def exposure(items: DataFrame, queries: DataFrame, rounds: int = 6, beta: float = 0.02) -> DataFrame:
+    """id, category, penalty: each round counts wins and moves the penalty half way to
+    beta * log(share), where share is an item's wins over its category's mean, each plus one.
+    The last penalty is rounded to half precision, as it is stored; in between, to eight places."""
+    every = staged(items, "items")
+    penalty = staged(every.select("id", F.col("penalty").cast("double").alias("penalty")), "penalty")
+    for k in range(rounds):
+        counted = wins(every.drop("penalty").join(penalty, "id"), queries)
+        mean = F.avg("wins").over(W.partitionBy("category"))
+        step = F.lit(beta) * F.log(F.greatest((F.col("wins") + 1) / (mean + 1), F.lit(1.0)))
+        moved = F.round(0.5 * F.col("penalty") + 0.5 * step, 8)
+        after = staged(counted.select("id", (half(moved) if k == rounds - 1 and rounds > 1 else moved).alias("penalty")), "penalty")
+        dropped(penalty)
+        penalty = after
+    return every.select("id", "category").join(penalty, "id").select("id", "category", "penalty")
+
+
+def concentration(counted: DataFrame, wins_: str = "wins", part: int = 100) -> DataFrame:
+    """One row: the mean over categories of the share of all wins that the most frequent
+    1 / part of a category's items take (rounded down: a small category has none), and the most wins."""
+    rows = counted.withColumn("_r", F.row_number().over(W.partitionBy("category").orderBy(F.desc(wins_), "id"))).withColumn("_n", F.count("*").over(W.partitionBy("category")))
+    top = F.coalesce(F.sum(F.when(F.col("_r") <= F.floor(F.col("_n") / part), F.col(wins_))), F.lit(0))
+    each = rows.groupBy("category").agg((top / F.nullif(F.sum(wins_), F.lit(0))).alias("share"), F.max(wins_).alias("most"))
+    return each.agg(F.avg("share").alias("share"), F.max("most").alias("most"))
+
+
+def flat(found: DataFrame, *keys: Column | str) -> DataFrame:
+    """keys and ids: each query's finds as one list, category by category, best first."""
+    row = F.struct("category", "place", "id")
+    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["id"]).alias("ids"))
