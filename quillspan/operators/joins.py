@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,49 @@ def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_v")).select(key, "_v.*")
 
 
+def truthy(value: Column) -> Column:
+    """Null for an empty text or a zero, as for null."""
+    return F.when((value.cast("string") != "") & (value.cast("string") != "0"), value)
+
+
+def with_latest(rows: DataFrame, other: DataFrame, key: str, order: Column) -> DataFrame:
+    """Inner join with the last row of each key in other."""
+    return rows.join(last_wins(other, key, order), key)
+
+
+def enriched(rows: DataFrame, key: str, extras: list[tuple[DataFrame, str, Column]]) -> DataFrame:
+    """Left joins with the last row of each key in each extra (table, value, order); an empty or
+    missing value gives null."""
+    for other, value, order in extras:
+        one = other.groupBy(key).agg(truthy(F.max_by(value, order)).alias(value))
+        rows = rows.join(one, key, "left")
+    return rows
+
+
+def overlaid(base: DataFrame, over: DataFrame, key: str, fields: list[str], maps: list[str] = ()) -> DataFrame:
+    """base's rows with over's fields where over has them; map columns are merged key by key, and
+    over's entries win. A row of over whose key base lacks stays out."""
+    cols = over.select(key, *[F.col(c).alias(f"_{c}") for c in [*fields, *maps]])
+    rows = base.join(cols, key, "left")
+    empty = lambda c: F.coalesce(F.col(c), F.create_map().cast(base.schema[c.removeprefix("_")].dataType))
+
+    def merge(m: str) -> Column:
+        own, new = empty(m), empty(f"_{m}")
+        return F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(new, k)), new).alias(m)
+
+    merged = [merge(m) for m in maps]
+    untouched = [F.col(c) for c in base.columns if c not in fields and c not in maps]
+    return rows.select(*untouched, *[F.coalesce(f"_{c}", c).alias(c) for c in fields], *merged)
+
+
+def refreshed(results: DataFrame, candidates: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The results that are still candidates, with the candidates' current fields where they have
+    them: a selection that changed keeps what was worked out and takes the new order."""
+    cols = candidates.select(key, *[F.col(c).alias(f"_{c}") for c in fields])
+    rows = results.join(cols, key)
+    return rows.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in results.columns])
+
+
 def unambiguous(rows: DataFrame, key: str, value: str) -> DataFrame:
     """key, value (null if the key has several), owners."""
     return rows.groupBy(key).agg(F.count_distinct(value).alias("owners"), F.min(value).alias("_m")).select(key, F.when(F.col("owners") == 1, F.col("_m")).alias(value), "owners")
@@ -28,9 +73,43 @@ def pending(candidates: DataFrame, *done: DataFrame, key: str) -> DataFrame:
     return candidates
 
 
+def known(rows: DataFrame, *tables: tuple[DataFrame, str]) -> DataFrame:
+    """Rows whose key each table (table, key) has."""
+    for t, key in tables:
+        rows = rows.join(t.select(key).distinct(), key, "left_semi")
+    return rows
+
+
+def precedence(base: DataFrame, key: str, layers: list[tuple[DataFrame, str, Column]]) -> DataFrame:
+    """key, origin (number of the layer), v: the value of the first layer (table, value, order) that
+    has one; within a layer the later row wins."""
+    for k, (layer, value, order) in enumerate(layers):
+        base = base.join(layer.groupBy(key).agg(F.max_by(value, order).alias(f"_v{k}")), key, "left")
+    names = [F.col(f"_v{k}") for k in range(len(layers))]
+    origin = F.coalesce(*[F.when(v.isNotNull(), k) for k, v in enumerate(names)])
+    return base.select(key, origin.alias("origin"), F.coalesce(*names).alias("v"))
+
+
+def first_key_match(rows: DataFrame, tables: list[tuple[DataFrame, str]], value: str, default: str) -> DataFrame:
+    """rows with value: of the first table (table, key; one row a key) that has the row's key."""
+    for k, (t, key) in enumerate(tables):
+        rows = rows.join(t.select(key, F.col(value).alias(f"_v{k}")), key, "left")
+    return rows.withColumn(value, F.coalesce(*[F.col(f"_v{k}") for k in range(len(tables))], F.lit(default))).drop(*[f"_v{k}" for k in range(len(tables))])
+
+
+def shared_rows(one: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
+    """key, mine, theirs: the rows of two catalogues that both have the key."""
+    return one.select(key, F.col(value).alias("mine")).join(other.select(key, F.col(value).alias("theirs")), key)
+
+
 def within(left: DataFrame, right: DataFrame, on: str, a: str, b: str, width: int) -> DataFrame:
     """Pairs with equal `on` and |a - b| <= width: a range join on buckets of the width, so
     a pair meets in one of two neighbouring buckets and no key is crossed with itself."""
     left = left.withColumn("_b", F.explode(F.array(*[F.floor(F.col(a) / width) + i for i in (-1, 0, 1)])))
     right = right.withColumn("_b", F.floor(F.col(b) / width))
     return left.join(right, [on, "_b"]).where(F.abs(F.col(a) - F.col(b)) <= width).drop("_b")
+
+
+def union_of(*tables: DataFrame) -> DataFrame:
+    """All rows; a column that a table lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
