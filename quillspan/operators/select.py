@@ -2,24 +2,62 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillspan.functions.text import UNKNOWN
+from quillspan.sources.scratch import dropped, staged
 
-def wanted(quota: float, factor: float) -> Column:
+
+def wanted(quota: float | Column, factor: float | Column) -> Column:
     """Candidates for a quota, rounded half to even on doubles."""
-    return F.bround(F.lit(float(quota)) * F.lit(float(factor))).cast("int")
+    number = lambda x: x.cast("double") if isinstance(x, Column) else F.lit(float(x))
+    return F.bround(number(quota) * number(factor)).cast("int")
+
+
+def era_name(start: Column, end: Column) -> Column:
+    return F.when(start > 0, F.concat_ws("-", start.cast("string"), end.cast("string"))).otherwise(F.concat(F.lit("before-"), (end + 1).cast("string")))
+
+
+def eras(spark: SparkSession, table: list[tuple[int, int, int]]) -> DataFrame:
+    """era, first, last, quota of a fixed list of year ranges, both ends included."""
+    rows = spark.createDataFrame(table, "first int, last int, quota int")
+    return rows.select(era_name(F.col("first"), F.col("last")).alias("era"), "first", "last", "quota")
+
+
+def in_eras(rows: DataFrame, table: DataFrame, year: str) -> DataFrame:
+    """rows with the era (era, quota) that their year lies in; other rows go. The table is a short
+    list, so the range join is a broadcast of it."""
+    return rows.join(F.broadcast(table), F.col(year).between(F.col("first"), F.col("last"))).drop("first", "last")
+
+
+def class_targets(spark: SparkSession, total: int, shares: dict[str, float], fixed: dict[str, int]) -> DataFrame:
+    """grp, target: total split by shares, each rounded half to even and the remainder given to the
+    last class, beside groups of fixed size."""
+    names = list(shares)
+    split = {k: round(total * s) for k, s in shares.items()}
+    split[names[-1]] += total - sum(split.values())
+    return spark.createDataFrame([*split.items(), *fixed.items()], "grp string, target int")
+
+
+def effective_targets(defaults: DataFrame, chosen: DataFrame) -> DataFrame:
+    """grp, target: the defaults, overruled by what the chosen rows (grp, target) record."""
+    own = chosen.where("target IS NOT NULL").groupBy("grp").agg(F.max("target").alias("own"))
+    return defaults.join(own, "grp", "full_outer").select("grp", F.coalesce("own", "target").alias("target"))
 
 
 def spread(rows: DataFrame, n: int, year: str, order: list[Column], factor: float = 1.0, by: str | None = None) -> DataFrame:
     """The best n rows (of each `by`), spread over years: a first pass takes at most
-    ceil(factor * n / years) of a year, free places go to the best of the rest. Adds place."""
+    ceil(factor * n / years) of a year, free places go to the best of the rest. Adds place.
+
+    No row below the n-th of its year can be chosen, so each year is cut to n first (in many
+    tasks, before the shuffle); what is left of a group is n rows a year.
+    """
     group = [by] if by else []
     every, each = W.partitionBy(*group), W.partitionBy(*group, year)
+    rows = rows.withColumn("_in_year", F.row_number().over(each.orderBy(*order))).where(F.col("_in_year") <= n)
     rows = rows.withColumn("_years", F.size(F.collect_set(year).over(every)))
-    rows = rows.withColumn("_in_year", F.row_number().over(each.orderBy(*order)))
     cap = F.greatest(F.lit(1), F.ceil(F.lit(factor * n) / F.col("_years")))
     rows = rows.withColumn("_fits", F.col("_in_year") <= cap)
     rows = rows.withColumn("_first", F.col("_fits") & (F.row_number().over(W.partitionBy(*group, "_fits").orderBy(*order)) <= n))
@@ -27,54 +65,186 @@ def spread(rows: DataFrame, n: int, year: str, order: list[Column], factor: floa
     return rows.where(F.col("place") <= n).drop("_years", "_in_year", "_fits", "_first")
 
 
-def with_floors(rows: DataFrame, n: int, floor: int, scene: str, year: str, order: list[Column], key: str, by: str) -> DataFrame:
-    """Reserve the best `floor` of each scene, spread the rest over years: n rows of each `by`."""
-    rows = rows.withColumn("_s", F.row_number().over(W.partitionBy(by, scene).orderBy(*order)))
-    held = rows.where(F.col("_s") <= floor).drop("_s").withColumn("reserved", F.lit(True))
-    rest = rows.where(F.col("_s") > floor).drop("_s")
+def with_floors(rows: DataFrame, n: int, floor: int, scene: str, year: str, order: list[Column], by: str) -> DataFrame:
+    """The best `floor` rows of each scene are reserved, the other places of n spread over years:
+    n rows of each `by`, with reserved and place. Free places depend on how many scenes a group
+    has, so the rest is spread for the n it could be and cut to what is free."""
+    ranked = rows.withColumn("_s", F.row_number().over(W.partitionBy(by, scene).orderBy(*order)))
+    held = ranked.where(F.col("_s") <= floor).drop("_s")
     counts = held.groupBy(by).agg(F.count("*").alias("_held"))
-    filled = spread(rest, n, year, order, by=by).drop("place").withColumn("reserved", F.lit(False))
-    out = held.unionByName(filled).join(counts, by)
-    out = out.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(F.desc("reserved"), *order)))
-    return out.where(F.col("place") <= n).drop("_held")
-
-
-def capped(rows: DataFrame, n: int, cap: int, shape: list[str], maker: str, order: list[Column], unknown: str = "") -> DataFrame:
+    rest = ranked.where(F.col("_s") > floor).drop("_s").join(counts, by, "left").withColumn("_free", F.greatest(F.lit(n) - F.coalesce("_held", F.lit(0)), F.lit(0)))
+    rest = rest.withColumn("_in_year", F.row_number().over(W.partitionBy(by, year).orderBy(*order))).where(F.col("_in_year") <= n)
+    rest = rest.withColumn("_years", F.size(F.collect_set(year).over(W.partitionBy(by))))
+    rest = rest.withColumn("_fits", F.col("_in_year") <= F.greatest(F.lit(1), F.ceil(F.col("_free") / F.col("_years"))))
+    rest = rest.withColumn("_first", F.col("_fits") & (F.row_number().over(W.partitionBy(by, "_fits").orderBy(*order)) <= F.col("_free")))
+    rest = rest.withColumn("_p", F.row_number().over(W.partitionBy(by).orderBy(F.desc("_first"), *order))).where(F.col("_p") <= F.col("_free"))
+    out = held.withColumns({"reserved": F.lit(True), "_first": F.lit(True)}).unionByName(rest.withColumn("reserved", F.lit(False)).drop("_held", "_free", "_in_year", "_years", "_fits", "_p"))
+    place = F.row_number().over(W.partitionBy(by).orderBy(F.desc("reserved"), F.desc("_first"), *order))
+    return out.withColumn("place", place).drop("_first")
+
+
+def capped(rows: DataFrame, n: int, cap: int, shape: list[str], maker: str, order: list[Column], unknown: str = UNKNOWN) -> DataFrame:
     """One per title shape, at most `cap` of a known maker, the first n. shape decides maker."""
     rows = rows.withColumn("_s", F.row_number().over(W.partitionBy(*shape).orderBy(*order))).where("_s = 1")
     rows = rows.withColumn("_m", F.row_number().over(W.partitionBy(maker).orderBy(*order))).where((F.col("_m") <= cap) | (F.col(maker) == unknown))
     return rows.orderBy(*order).limit(n).drop("_s", "_m")
 
 
-def two_key_cap(rows: DataFrame, component: str, a: str, b: str, order: list[str], limit: int) -> DataFrame:
-    """Greedy in order: a row stays if fewer than `limit` kept rows share its a and its b.
-
-    The two counts interact, so windows give other rows; each component of the a-b graph
-    is walked on its own."""
-    schema = rows.schema
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        na: dict = {}
-        nb: dict = {}
-        keep = []
-        for x, y in zip(pdf[a], pdf[b], strict=True):
-            ok = na.get(x, 0) < limit and nb.get(y, 0) < limit
-            if ok:
-                na[x], nb[y] = na.get(x, 0) + 1, nb.get(y, 0) + 1
-            keep.append(ok)
-        return pdf[keep]
-
-    return rows.groupBy(component).applyInPandas(walk, schema)
+def capped_by_class(rows: DataFrame, kind: str, sizes: dict[str, int], cap: int, shape: str, maker: str, order: list[Column], unknown: str = UNKNOWN) -> DataFrame:
+    """capped() class by class in the order of sizes, which share shapes and makers: a shape that an
+    earlier class took is gone, and its makers' places count. shape decides maker, and a class
+    that is full looks at no further rows. Each class's picks are written, so plans stay short."""
+    taken = None
+    for name, n in sizes.items():
+        own = rows.where(F.col(kind) == name)
+        if taken is not None:
+            had = taken.groupBy(maker).agg(F.count("*").alias("_had"))
+            own = own.join(taken.select(shape).distinct(), shape, "left_anti").join(had, maker, "left")
+        else:
+            own = own.withColumn("_had", F.lit(0))
+        own = own.withColumn("_s", F.row_number().over(W.partitionBy(shape).orderBy(*order))).where("_s = 1")
+        place = F.row_number().over(W.partitionBy(maker).orderBy(*order)) + F.coalesce("_had", F.lit(0))
+        own = own.withColumn("_m", place).where((F.col("_m") <= cap) | (F.col(maker) == unknown))
+        picked = staged(own.orderBy(*order).limit(n).select(*rows.columns), "picked")
+        taken = picked if taken is None else taken.unionByName(picked)
+    return taken
+
+
+def two_key_cap(rows: DataFrame, a: str, b: str, order: list[str], limit: int, seen: list[str] | None = None) -> DataFrame:
+    """Greedy in order: a row stays if fewer than `limit` kept rows before it have its a, and fewer
+    its b. With `seen`, it must also be the first row with these columns that would be kept.
+
+    The counts interact, so plain windows give other rows. Each round decides what is certain: a
+    row is kept once the undecided rows before it, all counted as kept, leave room in both of
+    its groups, and dropped once a group is full of kept ones. Rows that no round touches wait
+    for ones before them; the first undecided row is always decided, so rounds end, and in data
+    that is not built against it each round decides most rows. Only windows over a and b are
+    needed, so a group of keys that are all connected is still worked on in many tasks.
+    """
+    key = F.struct(*order)
+    left = staged(rows.withColumn("_k", key), "undecided")
+    kept = None
+    counts = lambda c, name: kept.groupBy(c).agg(F.count("*").alias(name))
+    while left.limit(1).count():
+        now = left
+        if kept is not None:
+            now = now.join(counts(a, "_na"), a, "left").join(counts(b, "_nb"), b, "left")
+            if seen:
+                now = now.join(kept.select(*seen).distinct().withColumn("_dup", F.lit(True)), seen, "left").where("_dup IS NULL").drop("_dup")
+        else:
+            now = now.withColumns({"_na": F.lit(0), "_nb": F.lit(0)})
+        now = now.fillna(0, ["_na", "_nb"]).where((F.col("_na") < limit) & (F.col("_nb") < limit))
+        before = lambda *c: F.row_number().over(W.partitionBy(*c).orderBy("_k")) - 1
+        now = now.withColumn("_pa", before(a)).withColumn("_pb", before(b))
+        sure = (F.col("_na") + F.col("_pa") < limit) & (F.col("_nb") + F.col("_pb") < limit)
+        if seen:
+            now = now.withColumn("_ps", before(*seen))
+            sure &= F.col("_ps") == 0
+        now = staged(now.withColumn("_sure", sure), "round")
+        new = now.where("_sure").select(*rows.columns)
+        # tables of earlier rounds are small beside the input: rows that are kept
+        joined = staged(new if kept is None else kept.unionByName(new), "kept")
+        dropped(left, *([kept] if kept is not None else []))
+        kept, left = joined, staged(now.where("NOT _sure").select(*rows.columns, "_k"), "undecided")
+        dropped(now)
+    return kept if kept is not None else rows.limit(0)
+
+
+def hash_order(seed: str, key: str) -> Column:
+    """A fixed random order: a hash of seed and key."""
+    return F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)
+
+
+def ranked_by_flags(rows: DataFrame, flags: list[Column], seed: str, key: str) -> DataFrame:
+    """rows with place: those with the first flag first, then the second, ...; equals in hash order."""
+    order = [F.desc(F.coalesce(f, F.lit(False))) for f in flags]
+    return rows.withColumn("_h", hash_order(seed, key)).withColumn("place", F.row_number().over(W.orderBy(*order, "_h", key))).drop("_h")
+
+
+def best_by_flags(rows: DataFrame, group: str, flags: list[Column], seed: str, key: str, n: int) -> DataFrame:
+    """The first n rows of each group in that order, with place: cut before the shuffle."""
+    order = [F.desc(F.coalesce(f, F.lit(False))) for f in flags]
+    rows = rows.withColumn("_h", hash_order(seed, key))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order, "_h", key))).where(F.col("place") <= n).drop("_h")
 
 
 def round_robin(rows: DataFrame, pool: str, key: Column, n: int) -> DataFrame:
     """Pools take turns in name order, each up to ceil(2 n / pools); pools share no row."""
     pools = rows.select(F.count_distinct(pool).alias("_pools"))
-    rows = rows.withColumn("_turn", F.row_number().over(W.partitionBy(pool).orderBy(key)))
-    rows = rows.join(F.broadcast(pools)).where(F.col("_turn") <= F.greatest(F.lit(1), F.ceil(F.lit(2.0 * n) / F.col("_pools"))))
+    rows = rows.withColumn("_turn", F.row_number().over(W.partitionBy(pool).orderBy(key))).where(F.col("_turn") <= 2 * n)
+    rows = rows.crossJoin(pools).where(F.col("_turn") <= F.greatest(F.lit(1), F.ceil(F.lit(2.0 * n) / F.col("_pools"))))
     return rows.orderBy("_turn", pool).limit(n).withColumnRenamed("_turn", "turn").drop("_pools")
 
 
+def moved_quotas(groups: DataFrame, shares: list[float]) -> DataFrame:
+    """grp, have, quota, filled, target: places that groups with movable quotas can't fill go to the
+    others (in order of rank), by shares rounded half to even, and the rest to the last of them.
+
+    groups: grp, have, quota, rank (null for those whose places move). A short list of groups."""
+    rows = groups.withColumn("filled", F.when(F.col("rank").isNull(), F.least("have", "quota")).otherwise(F.col("quota")))
+    free = rows.agg(F.sum(F.col("quota") - F.col("filled")).alias("_free"))
+    part = [F.bround(F.col("_free").cast("double") * F.lit(s)).cast("long") for s in shares]
+    rest = F.col("_free") - sum(part) if part else F.col("_free")
+    extra = F.lit(0).cast("long")
+    for k, p in enumerate([*part, rest], 1):
+        extra = F.when(F.col("rank") == k, p).otherwise(extra)
+    return rows.crossJoin(free).select("grp", "have", "quota", "filled", (F.col("filled") + extra).alias("target"))
+
+
 def top_per_group(rows: DataFrame, group: str, order: list[Column], target: int | Column) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("place") <= target)
+
+
+def cutoffs(kept: DataFrame, group: str, key: list[str], targets: DataFrame) -> DataFrame:
+    """group, cut: of each group (group, target) that is full, the key (a struct) of its last kept row."""
+    k = F.struct(*key)
+    ranked = kept.join(targets, group).withColumn("_p", F.row_number().over(W.partitionBy(group).orderBy(k)))
+    return ranked.where(F.col("_p") == F.col("target")).select(group, k.alias("cut"))
+
+
+def not_beaten(candidates: DataFrame, cuts: DataFrame, group: str, key: list[str]) -> DataFrame:
+    """The candidates that come before their group's cutoff; all, if the group is not full."""
+    return candidates.join(cuts, group, "left").where(F.col("cut").isNull() | (F.struct(*key) < F.col("cut"))).drop("cut")
+
+
+def first_of_shape(rows: DataFrame, shape: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each title shape in the order of fetching."""
+    return rows.withColumn("_k", F.row_number().over(W.partitionBy(*shape).orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def sampled(rows: DataFrame, group: str, key: str, sizes: dict[str, int], salt: str) -> DataFrame:
+    """The first rows of each group in the order of a hash: a row that goes changes no other's place."""
+    most = max(sizes.values(), default=0)
+    size = F.coalesce(*[F.when(F.col(group) == g, n) for g, n in sizes.items()], F.lit(0))
+    rows = rows.withColumn("_h", hash_order(salt, key))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy("_h", key))).where((F.col("place") <= most) & (F.col("place") <= size)).drop("_h")
+
+
+def ordered_union(*parts: DataFrame, key: str, order: str) -> DataFrame:
+    """key, part, order of the first appearance of each key: part by part, by order within one."""
+    every = None
+    for k, p in enumerate(parts):
+        one = p.select(key, F.lit(k).alias("part"), F.col(order).alias("order"))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy(key).agg(F.min(F.struct("part", "order")).alias("_m")).select(key, "_m.part", "_m.order")
+
+
+def pool_fill(first: DataFrame, rest: DataFrame, key: str, size: int, order: Column) -> DataFrame:
+    """key, filled: all of first's keys, and of the rest as many others as `size` has room for,
+    in order."""
+    have = first.select(key).distinct()
+    room = size - have.count()
+    others = rest.select(key).distinct().join(have, key, "left_anti")
+    return have.withColumn("filled", F.lit(False)).union(others.orderBy(order, key).limit(max(room, 0)).withColumn("filled", F.lit(True)))
+
+
+def unlike_ids(rows: DataFrame, id_: str, mark: str) -> DataFrame:
+    """rows whose id several have get all "-mark" behind it, so none depends on the others' order."""
+    n = F.count("*").over(W.partitionBy(id_))
+    return rows.withColumn("_n", n).withColumn(id_, F.when(F.col("_n") > 1, F.concat_ws("-", id_, F.col(mark).cast("string"))).otherwise(F.col(id_))).drop("_n")
+
+
+def numbered_ids(rows: DataFrame, id_: str, order: list[str]) -> DataFrame:
+    """rows whose id came before get -2, -3, ... in order; what comes out is not checked again."""
+    k = F.row_number().over(W.partitionBy(id_).orderBy(*order))
+    return rows.withColumn("_k", k).withColumn(id_, F.when(F.col("_k") > 1, F.concat_ws("-", id_, F.col("_k").cast("string"))).otherwise(F.col(id_))).drop("_k")
