@@ -1,4 +1,4 @@
-"""Ranking metrics and gates."""
+"""Ranks, ranking metrics and gates."""
 
 from __future__ import annotations
 
@@ -6,6 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillspan.sources.scratch import staged
+
+FIT, NON_FIT = 2.0, 0.5
+SHIP_MARGIN, INSTALLED_MARGIN = 0.05, 0.01
+
+
+def ordinal(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with their place, from 1, in the order of a unique key. Rows are dealt to ranges of the
+    key; places within a range are offset by the sizes of the ranges before it, so only one
+    number a range comes together."""
+    dealt = staged(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(key))
+    return dealt.withColumn("_in", inside).join(before, "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_before", "_in")
+
+
+def shared_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """value, name: ranks from 1 over all rows, equal values sharing their mean. Counts of values are
+    ranked by ranges, as in ordinal()."""
+    counts = rows.groupBy(value).agg(F.count("*").alias("_c")).repartitionByRange(value).withColumn("_part", F.spark_partition_id())
+    counts = staged(counts, "counts")
+    sizes = counts.groupBy("_part").agg(F.sum("_c").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    upto = F.sum("_c").over(W.partitionBy("_part").orderBy(value))
+    return counts.withColumn("_upto", upto).join(before, "_part").select(value, (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
+
+
+def spearman(rows: DataFrame, one: str, other: str) -> DataFrame:
+    """One row, rho: the correlation of shared ranks over all rows."""
+    return rows.join(shared_ranks(rows, one, "_x"), one).join(shared_ranks(rows, other, "_y"), other).agg(F.corr("_x", "_y").alias("rho"))
+
 
 def average_rank(value: str, *by: str) -> Column:
     """Ranks from 1; equal values share their mean rank."""
@@ -19,6 +51,17 @@ def within_auc(rows: DataFrame, group: str, fit: str, score: str) -> DataFrame:
     return g.agg((F.sum(F.when(F.col("n") > 0, F.coalesce("s", F.lit(0)) - F.col("p") * (F.col("p") + 1) / 2)) / F.nullif(F.sum(F.col("p") * F.col("n")), F.lit(0))).alias("auc"))
 
 
+def objective(rows: DataFrame, group: str, rating: str, score: str, fit: float = FIT) -> DataFrame:
+    """One row: auc, rho and their mean, -inf if it isn't finite; a score that is no finite number
+    makes auc and rho NaN."""
+    r = rows.withColumn("_fit", F.col(rating) >= fit)
+    odd = rows.agg(F.count_if(F.col(score).isNull() | F.isnan(score) | (F.abs(score) == float("inf"))).alias("_odd"))
+    both = within_auc(r, group, "_fit", score).crossJoin(spearman(rows, rating, score)).crossJoin(odd)
+    nan = lambda c: F.when(F.col("_odd") > 0, float("nan")).otherwise(F.coalesce(c, F.lit(float("nan")))).alias(c)
+    out = both.select(nan("auc"), nan("rho"))
+    return out.select("auc", "rho", F.coalesce(finite((F.col("auc") + F.col("rho")) / 2), F.lit(float("-inf"))).alias("objective"))
+
+
 def finite(x: Column) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
@@ -26,3 +69,70 @@ def finite(x: Column) -> Column:
 def at_least(x: Column, margin: float) -> Column:
     """x >= margin, where null and NaN fail."""
     return F.coalesce(finite(x) >= margin, F.lit(False))
+
+
+def ship_gate(student: Column, baseline: Column, new: Column | None = None, old: Column | None = None) -> Column:
+    """struct<ok, reasons>: the student must lead the baseline, and not fall behind the installed
+    one on the pairs that both have. Without an installed one only the lead counts."""
+    lead = F.when(~at_least(student - baseline, SHIP_MARGIN), "lead")
+    fall = F.lit(None).cast("string") if new is None else F.when(~at_least(new - old, -INSTALLED_MARGIN), "installed")
+    reasons = F.filter(F.array(lead, fall), lambda r: r.isNotNull())
+    return F.struct((F.size(reasons) == 0).alias("ok"), F.array_join(reasons, ",").alias("reasons"))
+
+
+def worst(rows: DataFrame, group: str, rating: str, score: str, key: str, n: int = 25) -> DataFrame:
+    """kind (missed or false), key, group, rating, place of the fits that their group ranks lowest and
+    of the others that it ranks highest: a report of fixed length. place is 0 at the top, 1 at the bottom."""
+    k, size = F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), key)), F.count("*").over(W.partitionBy(group))
+    p = rows.withColumn("_place", (k - 1) / F.greatest(size - 1, F.lit(1)))
+    missed = p.where(F.col(rating) >= FIT).orderBy(F.desc("_place"), score, key).limit(n).withColumn("kind", F.lit("missed"))
+    false = p.where(F.col(rating) <= NON_FIT).orderBy("_place", F.desc(score), key).limit(n).withColumn("kind", F.lit("false"))
+    return missed.unionByName(false).select("kind", key, group, rating, F.col("_place").alias("place"))
+
+
+def label_metrics(rows: DataFrame, gap: str, choices: list[tuple[str, str]]) -> DataFrame:
+    """One row: the mean of gap (null without a palette), and the share of right choices where there
+    is a label, for pairs of columns (label, predicted)."""
+    share = [F.avg(F.when(F.col(a).isNotNull(), F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0))).alias(f"{a}_accuracy") for a, b in choices]
+    return rows.agg(F.avg(gap).alias("gap"), *share)
+
+
+def prior_correction(rows: DataFrame, prior: DataFrame, taus: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75), loss: float = 0.02) -> DataFrame:
+    """One row, tau and accuracy: the largest tau whose accuracy is at most `loss` below that of none.
+    rows: logits (array) and label (an index); prior: one row, prior (an array)."""
+    each = rows.crossJoin(prior).withColumn("tau", F.explode(F.array(*map(F.lit, taus))))
+    z = F.zip_with("logits", "prior", lambda x, p: x - F.col("tau") * F.log(p))
+    right = each.withColumn("_z", z).withColumn("_c", F.array_position("_z", F.array_max("_z")) - 1)
+    acc = right.groupBy("tau").agg(F.avg(F.when(F.col("_c") == F.col("label"), 1.0).otherwise(0.0)).alias("accuracy"))
+    plain = acc.where("tau = 0").select(F.col("accuracy").alias("_plain"))
+    return acc.crossJoin(plain).where(F.col("accuracy") >= F.col("_plain") - loss).agg(F.max("tau").alias("tau"), F.max_by("accuracy", "tau").alias("accuracy"))
+
+
+def best_recipe(recipes: DataFrame, cap: int) -> DataFrame:
+    """One row, name: the recipe (name, bytes, digest, score) under the size cap with the best score,
+    then the smallest; recipes with one digest share the score that the first of them has."""
+    fit = recipes.where(F.col("bytes") <= cap)
+    first = fit.groupBy("digest").agg(F.min_by("score", "name").alias("_s"))
+    score = F.coalesce(finite(F.col("_s")), F.lit(float("-inf")))
+    return fit.join(first, "digest").agg(F.max_by("name", F.struct(score, -F.col("bytes"), F.col("name"))).alias("name"))
+
+
+def fit_groups(ratings: DataFrame, splits: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """feeling, category, items, ratings: rated works of training feelings by category, padded with -1
+    and 0 to width; groups whose works all have one rating go, as do unknown works."""
+    rows = ratings.join(splits.where("split = 'train'").select("feeling"), "feeling", "left_semi").join(items, "item")
+    g = rows.groupBy("feeling", "category").agg(F.array_sort(F.collect_list(F.struct("item", "rating"))).alias("_g"), F.count_distinct("rating").alias("_d")).where("_d > 1")
+    pad = lambda c, v: F.slice(F.concat(F.transform("_g", lambda x: x[c]), F.array_repeat(F.lit(v), width)), 1, width)
+    return g.select("feeling", "category", pad("item", -1).alias("items"), pad("rating", 0.0).alias("ratings"))
+
+
+def listwise_targets(rows: DataFrame, group: list[str], rating: str, tau: float = 1.0) -> DataFrame:
+    """rows with target: the softmax of rating / tau within each group."""
+    w = W.partitionBy(*group)
+    e = F.exp((F.col(rating) - F.max(rating).over(w)) / F.lit(tau))
+    return rows.withColumn("_e", e).withColumn("target", F.col("_e") / F.sum("_e").over(w)).drop("_e")
+
+
+def useful_rows(rows: DataFrame) -> DataFrame:
+    """Rows of the evaluation split, with a positive, a palette or a label; others teach nothing."""
+    return rows.where((F.col("split") == "eval") | F.col("positive").isNotNull() | F.coalesce("has_palette", F.lit(False)) | F.coalesce("light", "face").isNotNull())

@@ -1,592 +1,7 @@
-"""The registered queries over the driver's tables, and the same queries in DuckDB SQL.
+"""All registered queries over the driver's tables, and the same queries in DuckDB SQL.
 
-The engine's own data is absent, so driver tables stand in: embeddings for items and
-query vectors (creator = vec_id % 50), orders for ranked candidates by year, parts for
-works with makers, lineitems for artist-name pools, documents and conversations for texts.
+The engine's own data is absent, so driver tables stand in; each module says which for what.
 """
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
-
-from quillspan.functions import color, hashing, text
-from quillspan.operators import audit, joins, metrics, search, select, state
-from quillspan.sources.io import table
-from quillspan.streaming.puts import put_if_absent
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-# --- search -------------------------------------------------------------------------------
-
-
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("category"), F.pmod("vec_id", F.lit(50)).alias("creator"), F.col("embedding").alias("vector"), F.lit(0.0).alias("penalty"))
-
-
-def _vectors(items: DataFrame, where: str) -> DataFrame:
-    return items.where(where).select(F.col("id").alias("qid"), F.col("creator").alias("qcreator"), F.col("vector").alias("qvector"))
-
-
-_PAIRS = """WITH i AS (SELECT vec_id AS id, label AS category, vec_id % 50 AS creator, embedding::DOUBLE[] AS v FROM embeddings),
-q AS (SELECT id AS qid, creator AS qcreator, v AS qv, category AS qcategory FROM i WHERE id % {mod} = 0),
-s AS (SELECT qid, qcreator, qcategory, category, id, creator, round(list_inner_product({qv}, v), 6) AS score FROM q, i),"""
-_DIVERSE = """c AS (SELECT *, row_number() OVER (PARTITION BY qid, category, creator ORDER BY score DESC, id) AS rc FROM s WHERE {where}),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid, category ORDER BY score DESC, id) AS place FROM c WHERE rc = 1)
-SELECT qid, category, id, score, place::INT AS place FROM r WHERE place <= 2"""
-
-
-@query(_PAIRS.format(mod=25, qv="qv") + _DIVERSE.format(where="true"))
-def knn_diverse_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir)
-    return search.nearest(items, _vectors(items, "id % 25 = 0"), 2)
-
-
-@query(_PAIRS.format(mod=40, qv="qv") + _DIVERSE.format(where="id <> qid AND creator <> qcreator"))
-def world_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir)
-    return search.nearest(items, _vectors(items, "id % 40 = 0"), 2, own=True)
-
-
-@query("""WITH i AS (SELECT vec_id AS id, label AS category, vec_id % 50 AS creator, embedding::DOUBLE[] AS v FROM embeddings),
-b AS (SELECT a.id AS qid, a.creator AS qcreator, [0.7 * x[1] + 0.3 * x[2] FOR x IN list_zip(t.v, a.v)] AS m FROM i a JOIN i t ON t.id = a.id + 1 WHERE a.id % 50 = 0),
-q AS (SELECT qid, qcreator, [x / sqrt(list_inner_product(m, m)) FOR x IN m] AS qv FROM b),
-s AS (SELECT qid, category, id, creator, round(list_inner_product(qv, v), 6) AS score FROM q, i),""" + _DIVERSE.format(where="true"))
-def anchor_blend_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries are 0.7 of an item's vector (the next id) and 0.3 of the text's, normalised."""
-    items = _items(spark, sf_dir)
-    near = items.select((F.col("id") - 1).alias("qid"), F.col("vector").alias("anchor"))
-    mixed = _vectors(items, "id % 50 = 0").join(near, "qid").withColumn("m", F.zip_with("anchor", "qvector", lambda t, q: F.lit(0.7).cast("double") * t.cast("double") + F.lit(0.3).cast("double") * q.cast("double")))
-    norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x))
-    return search.nearest(items, mixed.select("qid", "qcreator", F.transform("m", lambda x: x / norm).alias("qvector")), 2)
-
-
-@query("""WITH i AS (SELECT vec_id AS id, label AS category, embedding::DOUBLE[] AS v FROM embeddings),
-t AS (SELECT category, list(x ORDER BY d) AS total FROM (SELECT category, d, sum(v[d]) AS x FROM i, range(1, 65) r(d) GROUP BY category, d) GROUP BY category),
-s AS (SELECT category, id, round(list_inner_product(v, total), 6) AS score FROM i JOIN t USING (category))
-SELECT category, id, score FROM s QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, id) = 1""")
-def group_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.representative(_items(spark, sf_dir), "category")
-
-
-@query(_PAIRS.format(mod=5, qv="qv") + """w AS (SELECT id, count(*) AS wins FROM (SELECT id, row_number() OVER (PARTITION BY qid, category ORDER BY score DESC, id) AS p FROM s) WHERE p <= 2 GROUP BY id),
-m AS (SELECT i.id, category, coalesce(wins, 0) AS n, avg(coalesce(wins, 0)) OVER (PARTITION BY category) AS mean FROM i LEFT JOIN w USING (id))
-SELECT id, category, round(0.5 * 0.02 * ln(greatest((n + 1) / (mean + 1), 1.0)), 8) AS penalty FROM m""")
-def exposure_penalty_round1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir)
-    return search.exposure(items, _vectors(items, "id % 5 = 0"), 1)
-
-
-@query(_PAIRS.format(mod=5, qv="qv") + """w AS (SELECT category, id, count(*) AS wins FROM (SELECT category, id, row_number() OVER (PARTITION BY qid, category ORDER BY score DESC, id) AS p FROM s) WHERE p <= 2 GROUP BY ALL),
-a AS (SELECT i.category, coalesce(wins, 0) AS wins, row_number() OVER (PARTITION BY i.category ORDER BY coalesce(wins, 0) DESC, i.id) AS r, count(*) OVER (PARTITION BY i.category) AS n FROM i LEFT JOIN w USING (id))
-SELECT category, sum(wins)::BIGINT AS wins, coalesce(sum(wins) FILTER (WHERE r <= greatest(n // 100, 1)), 0)::BIGINT AS top_wins FROM a GROUP BY category""")
-def exposure_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places in the top two, all and those of the most frequent hundredth of a category's items."""
-    items = _items(spark, sf_dir)
-    wins = search.nearest(items, _vectors(items, "id % 5 = 0"), 2, per_creator=False).groupBy("id").agg(F.count("*").alias("w"))
-    rows = items.select("id", "category").join(wins, "id", "left").withColumn("w", F.coalesce("w", F.lit(0)))
-    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("category").orderBy(F.desc("w"), "id"))).withColumn("n", F.count("*").over(W.partitionBy("category")))
-    return rows.groupBy("category").agg(F.sum("w").alias("wins"), F.coalesce(F.sum(F.when(F.expr("r <= greatest(n div 100, 1)"), F.col("w"))), F.lit(0)).alias("top_wins"))
-
-
-@query(_PAIRS.format(mod=25, qv="qv") + """h AS (SELECT qid, category, id, round(list_inner_product(qv[1:32], v[1:32]), 6) AS half FROM q, i),
-a AS (SELECT qid, category, id FROM s QUALIFY row_number() OVER (PARTITION BY qid, category ORDER BY score DESC, id) <= 10),
-b AS (SELECT qid, category, id FROM h QUALIFY row_number() OVER (PARTITION BY qid, category ORDER BY half DESC, id) <= 10),
-o AS (SELECT a.qid, a.category, count(b.id) AS both_ FROM a LEFT JOIN b USING (qid, category, id) GROUP BY ALL)
-SELECT category, round(avg(both_ / 10.0), 6) AS fidelity FROM o GROUP BY category""")
-def fidelity_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of the ten best under the full vectors and under their first half."""
-    items = _items(spark, sf_dir)
-    half = items.withColumn("vector", F.slice("vector", 1, 32))
-    pick = lambda x: search.nearest(x, _vectors(x, "id % 25 = 0"), 10, per_creator=False).select("qid", "category", "id")
-    both = pick(items).join(pick(half).withColumn("hit", F.lit(1)), ["qid", "category", "id"], "left")
-    return both.groupBy("qid", "category").agg(F.count("hit").alias("n")).groupBy("category").agg(F.round(F.avg(F.col("n") / 10), 6).alias("fidelity"))
-
-
-@query(_PAIRS.format(mod=25, qv="qv") + """p AS (SELECT qid, score AS own FROM s WHERE id = qid + 1),
-r AS (SELECT p.qid, count(*) FILTER (WHERE s.score > own) AS above FROM p JOIN s USING (qid) JOIN i t ON t.id = p.qid + 1 AND t.category = s.category GROUP BY p.qid)
-SELECT count(*) AS queries, round(avg(CASE WHEN above < 10 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM r""")
-def recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The positive of each query is the next id; a hit has fewer than ten better items in its category."""
-    items = _items(spark, sf_dir)
-    q = _vectors(items, "id % 25 = 0").join(items.select((F.col("id") - 1).alias("qid"), F.col("category").alias("pc"), F.col("vector").alias("pv")), "qid")
-    dot = lambda a, b: F.round(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x), 6)
-    own = q.select("qid", "pc", dot("qvector", "pv").alias("own"))
-    best = search.nearest(items, q.select("qid", "qcreator", "qvector"), 10, per_creator=False)
-    # fewer than ten better ones: the tenth best does not beat the positive
-    tenth = best.join(own, "qid").where("category = pc").groupBy("qid", "own").agg(F.count_if(F.col("score") > F.col("own")).alias("above"))
-    return tenth.agg(F.count("*").alias("queries"), F.round(F.avg(F.when(F.col("above") < 10, 1.0).otherwise(0.0)), 6).alias("recall"))
-
-
-@query("""WITH i AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), e AS (SELECT * FROM i WHERE id % 20 = 0)
-SELECT i.id, round(max(list_cosine_similarity(i.v, e.v)), 6) AS nearest FROM i, e WHERE i.id % 20 <> 0 GROUP BY i.id HAVING round(max(list_cosine_similarity(i.v, e.v)), 6) < 0.88""")
-def near_eval_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that stay: their best cosine to an evaluation row is below 0.88."""
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    e = _items(spark, sf_dir).withColumn("vector", unit(F.col("vector"))).withColumn("category", F.lit(0))
-    evals = e.where("id % 20 = 0").withColumn("category", F.lit(0))
-    rows = _vectors(e, "id % 20 <> 0")
-    return search.nearest(evals, rows, 1, per_creator=False).where("score < 0.88").select(F.col("qid").alias("id"), F.col("score").alias("nearest"))
-
-
-# --- hashing and text ---------------------------------------------------------------------
-
-
-@query("""WITH h AS (SELECT doc_id, ('0x' || substr(sha1('heldout:' || doc_id), 1, 8))::BIGINT / 4294967296.0 AS a, ('0x' || substr(sha1('val:' || doc_id), 1, 8))::BIGINT / 4294967296.0 AS b FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'eval' WHEN doc_id % 2 = 0 AND a < 0.1 THEN 'heldout' WHEN b < 0.05 THEN 'val' ELSE 'train' END AS split FROM h""")
-def stable_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """eval, then heldout among rows with a positive, then val, then train, by salted hashes."""
-    d = table(spark, sf_dir, "documents")
-    salted = lambda s: hashing.hash_fraction(F.concat(F.lit(s), F.col("doc_id").cast("string")))
-    split = F.when(F.col("doc_id") % 50 == 0, "eval").when((F.col("doc_id") % 2 == 0) & (salted("heldout:") < 0.1), "heldout").when(salted("val:") < 0.05, "val").otherwise("train")
-    return d.select("doc_id", split.alias("split"))
-
-
-@query("""WITH n AS (SELECT doc_id, ('0x' || substr(sha256(trim(text)), 1, 12))::BIGINT AS n FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, list_aggregate([substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', (1 + (n // (62 ** k)::BIGINT) % 62)::INT, 1) FOR k IN [6, 5, 4, 3, 2, 1, 0]], 'string_agg', '') AS code FROM n""")
-def share_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return d.select("doc_id", hashing.share_code(F.trim("text")).alias("code"))
-
-
-@query(r"""WITH n AS (SELECT conv_id, turn, text, regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^[\s\p{P}]+|[\s\p{P}]+$', '', 'g') AS t FROM conversations WHERE text IS NOT NULL),
-e AS (SELECT DISTINCT t FROM n WHERE turn = 0 AND conv_id % 10 = 0),
-r AS (SELECT conv_id, turn, t, row_number() OVER (PARTITION BY t ORDER BY conv_id, turn) AS k, length(text) AS l FROM n)
-SELECT conv_id, turn, CASE WHEN r.t = '' THEN 'empty' WHEN l > 500 THEN 'too_long' WHEN e.t IS NOT NULL THEN 'eval' WHEN k > 1 THEN 'duplicate' END AS reason
-FROM r LEFT JOIN e ON e.t = r.t""")
-def feeling_normalize_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL").withColumn("t", text.normalize_feeling(F.col("text")))
-    evals = c.where("turn = 0 AND conv_id % 10 = 0").select("t").distinct().withColumn("eval", F.lit(True))
-    k = F.row_number().over(W.partitionBy("t").orderBy("conv_id", "turn"))
-    reason = F.when(F.col("t") == "", "empty").when(F.length("text") > 500, "too_long").when(F.col("eval"), "eval").when(F.col("k") > 1, "duplicate")
-    return c.withColumn("k", k).join(evals, "t", "left").select("conv_id", "turn", reason.alias("reason"))
-
-
-@query(r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS t FROM pages)
-SELECT page_id, nullif(CASE WHEN length(t) <= 200 THEN t ELSE regexp_replace(regexp_replace(substr(t, 1, 200), ' [^ ]*$', ''), '[,;:]+$', '') || ' ...' END, '') AS clipped FROM t""")
-def html_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.clip(F.col("html"), 200).alias("clipped"))
-
-
-@query(r"""WITH s AS (SELECT p_partkey, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 12), '-+$', ''), ''), 'untitled') AS slug FROM part),
-k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS n FROM s)
-SELECT p_partkey, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS id FROM k""")
-def slug_and_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs; the second, third, ... of one get -2, -3, ... in key order."""
-    p = table(spark, sf_dir, "part").select("p_partkey", text.slugify(text.ascii_fold("p_name"), 12).alias("slug"))
-    n = F.row_number().over(W.partitionBy("slug").orderBy("p_partkey"))
-    return p.withColumn("n", n).select("p_partkey", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), "n")).alias("id"))
-
-
-@query("""SELECT region.r_regionkey, regexp_replace(replace(lower(r_name), '&', 'and'), '[^a-z0-9]+', '', 'g') AS key,
-list_aggregate(list(lower(n_name) ORDER BY n_nationkey), 'string_agg', ', ') AS names FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL""")
-def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One line per region: its key and the names below it, in key order."""
-    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", text.name_key(F.col("n_name")).alias("k")))), lambda x: x["k"]), ", ")
-    return r.join(n, r.r_regionkey == n.n_regionkey).groupBy("r_regionkey", text.norm(F.col("r_name")).alias("key")).agg(names.alias("names"))
-
-
-@query("""SELECT substr(sha256(string_agg(n_nationkey || ' ' || n_name, chr(10) ORDER BY n_nationkey || ' ' || n_name)), 1, 8) AS version FROM nation""")
-def content_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hashing.content_version(table(spark, sf_dir, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("string")), "n_nationkey", "n_name")
-
-
-# --- selection ----------------------------------------------------------------------------
-
-_ORDERS = "o AS (SELECT o_orderkey, year(o_orderdate)::INT AS y, o_totalprice AS rank, CASE WHEN year(o_orderdate) < 1997 THEN 'early' ELSE 'late' END AS era, o_custkey FROM orders)"
-
-
-def _ranked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate"))
-    return o.select("o_orderkey", "y", F.col("o_totalprice").alias("rank"), F.when(F.col("y") < 1997, "early").otherwise("late").alias("era"), "o_custkey")
-
-
-def _best():
-    return [F.desc("rank"), F.asc("o_orderkey")]
-
-
-@query("WITH " + _ORDERS + """, y AS (SELECT *, row_number() OVER (PARTITION BY era, y ORDER BY rank DESC, o_orderkey) AS iny FROM o),
-c AS (SELECT era, greatest(1, ceil(300.0 / count(DISTINCT y))) AS cap FROM o GROUP BY era),
-f AS (SELECT y.*, iny <= cap AS fits FROM y JOIN c USING (era)),
-p AS (SELECT *, fits AND row_number() OVER (PARTITION BY era, fits ORDER BY rank DESC, o_orderkey) <= 300 AS first FROM f),
-r AS (SELECT era, o_orderkey, row_number() OVER (PARTITION BY era ORDER BY first DESC, rank DESC, o_orderkey) AS place FROM p)
-SELECT era, o_orderkey, place::INT AS place FROM r WHERE place <= 300""")
-def era_spread_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.spread(_ranked_orders(spark, sf_dir), 300, "y", _best(), by="era").select("era", "o_orderkey", "place")
-
-
-@query("WITH " + _ORDERS + """, s AS (SELECT o.*, c_mktsegment AS scene, row_number() OVER (PARTITION BY era, c_mktsegment ORDER BY rank DESC, o_orderkey) AS s FROM o JOIN customer ON c_custkey = o_custkey),
-k AS (SELECT *, s <= 18 AS reserved FROM s),
-y AS (SELECT *, row_number() OVER (PARTITION BY era, y ORDER BY rank DESC, o_orderkey) AS iny FROM k WHERE NOT reserved),
-c AS (SELECT era, greatest(1, ceil(200.0 / count(DISTINCT y))) AS cap FROM y GROUP BY era),
-f AS (SELECT y.*, iny <= cap AS fits FROM y JOIN c USING (era)),
-p AS (SELECT *, fits AND row_number() OVER (PARTITION BY era, fits ORDER BY rank DESC, o_orderkey) <= 200 AS first FROM f),
-r AS (SELECT *, row_number() OVER (PARTITION BY era ORDER BY first DESC, rank DESC, o_orderkey) AS q FROM p),
-u AS (SELECT era, o_orderkey, rank, true AS reserved FROM k WHERE reserved UNION ALL SELECT era, o_orderkey, rank, false FROM r WHERE q <= 200),
-z AS (SELECT era, o_orderkey, reserved, row_number() OVER (PARTITION BY era ORDER BY reserved DESC, rank DESC, o_orderkey) AS place FROM u)
-SELECT era, o_orderkey, reserved, place::INT AS place FROM z WHERE place <= 290""")
-def scene_floor_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five scenes reserve 18 each of an era's 290 places; 200 of the rest are spread over years."""
-    o, c = _ranked_orders(spark, sf_dir), table(spark, sf_dir, "customer")
-    rows = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "y", "rank", "era", F.col("c_mktsegment").alias("scene"))
-    held = rows.withColumn("_s", F.row_number().over(W.partitionBy("era", "scene").orderBy(*_best())))
-    first = held.where("_s <= 18").select("era", "o_orderkey", "rank", F.lit(True).alias("reserved"))
-    rest = select.spread(held.where("_s > 18"), 200, "y", _best(), by="era").select("era", "o_orderkey", "rank", F.lit(False).alias("reserved"))
-    out = first.union(rest).withColumn("place", F.row_number().over(W.partitionBy("era").orderBy(F.desc("reserved"), *_best())))
-    return out.where("place <= 290").select("era", "o_orderkey", "reserved", "place")
-
-
-@query(r"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(p_name, '[0-9]+', '', 'g'), p_brand ORDER BY p_retailprice DESC, p_partkey) AS s FROM part),
-m AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS m FROM s WHERE s = 1)
-SELECT p_partkey, p_brand FROM m WHERE m <= 8 ORDER BY p_retailprice DESC, p_partkey LIMIT 150""")
-def maker_cap_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").withColumn("shape", text.title_shape(F.col("p_name")))
-    return select.capped(p, 150, 8, ["shape", "p_brand"], "p_brand", [F.desc("p_retailprice"), F.asc("p_partkey")]).select("p_partkey", "p_brand")
-
-
-@query()
-def two_key_cap_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 3 lines per supplier and per name, greedily; keys meet only within a block of ten."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.col("l_suppkey").alias("artist"), (F.floor(F.col("l_suppkey") / 10) * 1000 + F.pmod("l_partkey", F.lit(25))).alias("name"))
-    rows = rows.withColumn("block", F.floor(F.col("artist") / 10)).withColumn("users", -F.col("l_extendedprice"))
-    return select.two_key_cap(rows, "block", "artist", "name", ["users", "l_orderkey", "l_linenumber"], 3).select("l_orderkey", "l_linenumber", "artist", "name")
-
-
-@query("""WITH t AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('topic:' || doc_id)) AS turn FROM documents WHERE source IS NOT NULL),
-c AS (SELECT greatest(1, ceil(400.0 / count(DISTINCT source))) AS cap FROM t)
-SELECT doc_id, source, turn::INT AS turn FROM t, c WHERE turn <= cap ORDER BY turn, source LIMIT 200""")
-def topic_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", "source")
-    return select.round_robin(d, "source", F.sha2(F.concat(F.lit("topic:"), F.col("doc_id").cast("string")), 256), 200)
-
-
-@query("""WITH g AS (SELECT substr(p_brand, 1, 7) AS grp, count(*) AS have FROM part GROUP BY 1), w AS (SELECT *, 90 AS quota, least(have, 90) AS filled FROM g),
-f AS (SELECT sum(quota - filled) AS free FROM w), t AS (SELECT *, row_number() OVER (ORDER BY have DESC, grp) AS r FROM w)
-SELECT grp, have, filled, (filled + CASE r WHEN 1 THEN round_even(free * 0.6, 0) WHEN 2 THEN round_even(free * 0.25, 0) WHEN 3 THEN free - round_even(free * 0.6, 0) - round_even(free * 0.25, 0) ELSE 0 END)::BIGINT AS target FROM t, f""")
-def quota_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unfilled places go to the three largest groups: 60 %, 25 % and the rest, rounded half to even."""
-    g = table(spark, sf_dir, "part").groupBy(F.substring("p_brand", 1, 7).alias("grp")).agg(F.count("*").alias("have")).withColumn("filled", F.least("have", F.lit(90)).cast("long"))
-    free = g.agg(F.sum(90 - F.col("filled")).alias("free"))
-    share = lambda x: F.bround(F.col("free").cast("double") * F.lit(x)).cast("long")
-    r = F.row_number().over(W.orderBy(F.desc("have"), "grp"))
-    extra = F.when(F.col("r") == 1, share(0.6)).when(F.col("r") == 2, share(0.25)).when(F.col("r") == 3, F.col("free") - share(0.6) - share(0.25)).otherwise(0)
-    return g.withColumn("r", r).crossJoin(F.broadcast(free)).select("grp", "have", "filled", (F.col("filled") + extra).cast("long").alias("target"))
-
-
-@query("""SELECT o_orderpriority, o_orderkey, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 25""")
-def top_target_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.top_per_group(table(spark, sf_dir, "orders"), "o_orderpriority", [F.desc("o_totalprice"), F.asc("o_orderkey")], 25).select("o_orderpriority", "o_orderkey", "place")
-
-
-@query("""WITH c AS (SELECT d.doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, d.doc_id) AS place
-FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL)
-SELECT doc_id, lang, place::INT AS place FROM c WHERE place <= 20""")
-def refill_after_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rejected documents leave, and the next of the same language enter."""
-    drops = table(spark, sf_dir, "labels").where("quality = 0")
-    rows = joins.pending(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), drops, key="doc_id")
-    return select.top_per_group(rows, "lang", [F.desc("n_chars"), F.asc("doc_id")], 20).select("doc_id", "lang", "place")
-
-
-# --- joins and state ----------------------------------------------------------------------
-
-
-@query("""SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey WHERE o_totalprice > 200000""")
-def catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, c, n, r = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
-    rows = o.where("o_totalprice > 200000").join(c, o.o_custkey == c.c_custkey).join(n, n.n_nationkey == c.c_nationkey, "left").join(r, r.r_regionkey == n.n_regionkey, "left")
-    return rows.select("o_orderkey", "c_name", "n_name", "r_name")
-
-
-@query("""WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
-SELECT d.doc_id, coalesce(nullif(lang, ''), 'unknown') AS lang, quality FROM documents d LEFT JOIN l USING (doc_id)""")
-def enrich_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return d.join(labels, "doc_id", "left").select("doc_id", F.coalesce(F.nullif("lang", F.lit("")), F.lit("unknown")).alias("lang"), "quality")
-
-
-@query("""SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_type, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS n FROM events GROUP BY user_id""")
-def first_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    at = F.struct("ts", "event_id")
-    a = joins.first_wins(e.select("user_id", "event_type", "ts", "event_id"), "user_id", at).select("user_id", F.col("event_type").alias("first_type"))
-    b = joins.last_wins(e.select("user_id", "event_type", "ts", "event_id"), "user_id", at).select("user_id", F.col("event_type").alias("last_type"))
-    return a.join(b, "user_id").join(e.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
-
-
-@query("""SELECT text, CASE WHEN count(DISTINCT conv_id) = 1 THEN min(conv_id) END AS conv_id, count(DISTINCT conv_id) AS owners FROM conversations GROUP BY text""")
-def ambiguous_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.unambiguous(table(spark, sf_dir, "conversations").select("text", "conv_id"), "text", "conv_id")
-
-
-@query("""WITH a AS (SELECT doc_id, 'label' AS origin, quality AS v FROM labels WHERE toxic = 0), b AS (SELECT doc_id, 'size' AS origin, (n_chars % 7)::INT AS v FROM documents WHERE n_chars % 3 = 0)
-SELECT d.doc_id, coalesce(a.origin, b.origin) AS origin, coalesce(a.v, b.v)::INT AS v FROM documents d LEFT JOIN (SELECT doc_id, any_value(origin) AS origin, max(v) AS v FROM a GROUP BY doc_id) a USING (doc_id) LEFT JOIN b USING (doc_id)""")
-def overlay_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    a = table(spark, sf_dir, "labels").where("toxic = 0").groupBy("doc_id").agg(F.max("quality").alias("va")).withColumn("oa", F.lit("label"))
-    b = d.where("n_chars % 3 = 0").select("doc_id", (F.col("n_chars") % 7).cast("int").alias("vb"), F.lit("size").alias("ob"))
-    return d.select("doc_id").join(a, "doc_id", "left").join(b, "doc_id", "left").select("doc_id", F.coalesce("oa", "ob").alias("origin"), F.coalesce("va", "vb").cast("int").alias("v"))
-
-
-@query("""SELECT s_suppkey, coalesce(a.n_name, b.n_name, 'sitewide') AS scene FROM supplier LEFT JOIN nation a ON a.n_nationkey = s_nationkey AND a.n_nationkey < 12 LEFT JOIN nation b ON b.n_nationkey = s_suppkey % 25 AND b.n_nationkey >= 12""")
-def id_then_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    a = n.where("n_nationkey < 12").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("by_id"))
-    b = n.where("n_nationkey >= 12").select(F.col("n_nationkey").cast("long").alias("other"), F.col("n_name").alias("by_name"))
-    return s.withColumn("other", F.pmod("s_suppkey", F.lit(25))).join(a, "s_nationkey", "left").join(b, "other", "left").select("s_suppkey", F.coalesce("by_id", "by_name", F.lit("sitewide")).alias("scene"))
-
-
-@query("""SELECT a.event_id AS one, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND abs(epoch(a.ts)::BIGINT - epoch(b.ts)::BIGINT) <= 600""")
-def duration_tolerance_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("s", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long"))
-    a = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("one"), F.col("s").alias("a"))
-    b = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("other"), F.col("s").alias("b"))
-    return joins.within(a, b, "user_id", "a", "b", 600).select("one", "other")
-
-
-@query("""WITH b AS (SELECT item_id, string_split(text, ' ')[1:4] AS w FROM benchmark), p AS (SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS probe FROM b)
-SELECT d.doc_id, p.item_id FROM documents d JOIN p ON contains(' ' || replace(d.text, chr(10), ' ') || ' ', probe)""")
-def probe_coverage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's first four words: an equi-join on four-word windows."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("probe"))
-    w = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", w.alias("w")).where("size(w) >= 4")
-    each = d.select("doc_id", F.explode(F.expr("transform(sequence(1, size(w) - 3), i -> array_join(slice(w, i, 4), ' '))")).alias("probe"))
-    return each.join(b, "probe").select("doc_id", "item_id").distinct()
-
-
-_WORDS = r"regexp_extract_all(replace(lower(regexp_replace(strip_accents({x}), '[^\x00-\x7F]', '', 'g')), '''', ''), '[a-z0-9]+')"
-
-
-@query("WITH p AS (SELECT item_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: array_to_string((" + _WORDS.format(x="l") + ")[1:4], ' ')), lambda q: len(string_split(q, ' ')) = 4)[1:8] AS probes FROM benchmark), d AS (SELECT doc_id, ' ' || array_to_string(" + _WORDS.format(x="text") + """, ' ') || ' ' AS body FROM documents),
-h AS (SELECT doc_id, item_id, len(list_filter(probes, lambda q: contains(body, ' ' || q || ' '))) AS hits, len(probes) AS n FROM d, p)
-SELECT DISTINCT doc_id, item_id FROM h WHERE n > 0 AND 5 * hits >= 3 * n""")
-def line_coverage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the opening words of 60% or more of an item's first eight lines."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", text.line_probes("text").alias("probes"))
-    each = b.select("item_id", F.size("probes").alias("n"), F.posexplode("probes").alias("line", "probe"))
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.ascii_words("text").alias("w")).where("size(w) >= 4")
-    windows = d.select("doc_id", F.explode(F.expr("array_distinct(transform(sequence(1, size(w) - 3), i -> concat_ws(' ', w[i - 1], w[i], w[i + 1], w[i + 2])))")).alias("probe"))
-    hits = windows.join(each, "probe").groupBy("doc_id", "item_id", "n").agg(F.count_distinct("line").alias("hits"))
-    return hits.where("5 * hits >= 3 * n").select("doc_id", "item_id")
-
-
-@query("""WITH t AS (SELECT a.p_partkey AS id, b.p_partkey AS hit, CASE WHEN a.p_size = b.p_size THEN 1 ELSE 2 END AS tier, b.p_retailprice AS price FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey)
-SELECT id, hit, tier::INT AS tier FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, price, hit) = 1""")
-def tiered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first tier with a hit wins: same maker, kind and size, else same maker and kind."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    b = p.toDF("hit", "p_brand", "p_type", "size2", "price")
-    rows = p.join(b, ["p_brand", "p_type"]).where("p_partkey <> hit").withColumn("tier", F.when(F.col("p_size") == F.col("size2"), 1).otherwise(2))
-    return rows.groupBy(F.col("p_partkey").alias("id")).agg(F.min(F.struct("tier", "price", "hit")).alias("m")).select("id", "m.hit", "m.tier")
-
-
-@query("""WITH s AS (SELECT DISTINCT user_id FROM events WHERE event_id % 97 = 0), a AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE event_id % 97 <> 0 GROUP BY user_id)
-SELECT user_id, event_id FROM a WHERE user_id NOT IN (SELECT user_id FROM s)""")
-def put_if_absent_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    store, new = e.where("event_id % 97 = 0").select("user_id").distinct(), e.where("event_id % 97 <> 0")
-    return put_if_absent(store, new, "user_id", F.struct("ts", "event_id")).select("user_id", "event_id")
-
-
-@query("""SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
-def pending_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    return joins.pending(c, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id")), key="conv_id")
-
-
-@query("""WITH a AS (SELECT s_suppkey AS key, s_name, s_nationkey FROM supplier WHERE s_suppkey % 7 <> 0), b AS (SELECT s_suppkey AS key, s_name, CASE WHEN s_suppkey % 5 = 0 THEN s_nationkey + 1 ELSE s_nationkey END AS s_nationkey FROM supplier WHERE s_suppkey % 11 <> 0)
-SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS reason FROM a FULL JOIN b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR a.s_name <> b.s_name OR a.s_nationkey <> b.s_nationkey""")
-def stamp_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    new = s.where("s_suppkey % 11 <> 0").withColumn("s_nationkey", F.when(F.col("s_suppkey") % 5 == 0, F.col("s_nationkey") + 1).otherwise(F.col("s_nationkey")))
-    snap = lambda d: state.snapshot(d, "s_suppkey", "s_name", "s_nationkey")
-    return state.changes(snap(s.where("s_suppkey % 7 <> 0")), snap(new))
-
-
-@query("""WITH c AS (SELECT user_id AS key, event_type AS digest, event_id AS ordinal, value FROM events), p AS (SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS digest FROM events GROUP BY user_id)
-SELECT key, arg_max(c.ordinal, c.ordinal) AS ordinal, arg_max(c.value, c.ordinal) AS value FROM c JOIN p USING (key, digest) WHERE c.value > 0 GROUP BY key""")
-def fingerprint_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    cache = e.select(F.col("user_id").alias("key"), F.col("event_type").alias("digest"), F.col("event_id").alias("ordinal"), "value")
-    prints = joins.last_wins(e.select(F.col("user_id").alias("key"), F.col("event_type").alias("digest"), "ts", "event_id"), "key", F.struct("ts", "event_id")).select("key", "digest")
-    return state.reusable(cache, prints, F.col("value") > 0)
-
-
-# --- audit, metrics, validation -----------------------------------------------------------
-
-_SHARES = "w AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), t AS (SELECT lang, count(*) AS texts FROM documents GROUP BY lang), s AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL)"
-
-
-@query("WITH " + _SHARES + " SELECT lang, word, n, round(n / texts, 6) AS share FROM s JOIN t USING (lang) WHERE n / texts > 0.1")
-def word_share_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = audit.word_shares(table(spark, sf_dir, "documents"), "lang", "text").withColumn("r", F.col("n") / F.col("texts"))
-    return s.where("r > 0.1").select("lang", "word", "n", F.round("r", 6).alias("share"))
-
-
-@query("WITH " + _SHARES + " SELECT word, max(n / texts) > 0.4 AS severe, count(*) AS groups FROM s JOIN t USING (lang) WHERE n / texts > 0.25 GROUP BY word")
-def overuse_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = audit.word_shares(table(spark, sf_dir, "documents"), "lang", "text").withColumn("r", F.col("n") / F.col("texts")).where("r > 0.25")
-    return s.groupBy("word").agg((F.max("r") > 0.4).alias("severe"), F.count("*").alias("groups"))
-
-
-@query("""WITH d AS (SELECT DISTINCT doc_id, toxic FROM labels), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
-c AS (SELECT count(*) FILTER (WHERE toxic = 1) AS n, count(*) FILTER (WHERE toxic = 0) AS m FROM d JOIN (SELECT DISTINCT doc_id FROM documents) USING (doc_id)),
-k AS (SELECT word, count(*) FILTER (WHERE toxic = 1) AS a, count(*) FILTER (WHERE toxic = 0) AS b FROM w JOIN d USING (doc_id) GROUP BY word),
-g AS (SELECT *, a / n AS pa, b / m AS pb FROM k, c),
-f AS (SELECT *, list_sum([exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + lgamma(m + 1) - lgamma(a + b - x + 1) - lgamma(m - a - b + x + 1) - lgamma(n + m + 1) + lgamma(a + b + 1) + lgamma(n + m - a - b + 1)) FOR x IN range(greatest(a, a + b - m), least(n, a + b) + 1)]) AS p FROM g WHERE pa - pb >= 0.05 - 1e-9 AND pa >= 2 * greatest(pb, 1 / m) - 1e-9)
-SELECT word, a, b, round(p, 6) AS p FROM f WHERE p < 0.05""")
-def leak_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that toxic documents use more than others: gain, ratio and an exact test."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").distinct()
-    d = table(spark, sf_dir, "documents").join(labels, "doc_id")
-    total = d.select("doc_id", "toxic").distinct().agg(F.count_if(F.col("toxic") == 1).alias("n"), F.count_if(F.col("toxic") == 0).alias("m"))
-    w = d.select("toxic", F.explode(text.words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
-    w = w.crossJoin(F.broadcast(total)).withColumn("pa", F.col("a") / F.col("n")).withColumn("pb", F.col("b") / F.col("m"))
-    w = w.where((F.col("pa") - F.col("pb") >= 0.05 - 1e-9) & (F.col("pa") >= 2 * F.greatest(F.col("pb"), 1 / F.col("m")) - 1e-9))
-    return w.withColumn("p", audit.fisher_greater("a", "n", "b", "m")).where("p < 0.05").select("word", "a", "b", F.round("p", 6).alias("p"))
-
-
-_RATED = "r AS (SELECT lang, (quality + 2 * (1 - toxic))::DOUBLE AS rating, n_chars::DOUBLE AS sim, l.doc_id FROM labels l JOIN documents d USING (doc_id))"
-_AUC = """, p AS (SELECT sum(CASE WHEN a.sim > b.sim THEN 1.0 WHEN a.sim = b.sim THEN 0.5 ELSE 0.0 END) / count(*) AS auc FROM r a JOIN r b ON a.lang = b.lang AND a.rating >= 3 AND b.rating < 3),
-k AS (SELECT rank() OVER (ORDER BY rating) + (count(*) OVER (PARTITION BY rating) - 1) / 2.0 AS x, rank() OVER (ORDER BY sim) + (count(*) OVER (PARTITION BY sim) - 1) / 2.0 AS y FROM r), c AS (SELECT corr(x, y) AS rho FROM k)"""
-
-
-def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    return rows.select("doc_id", "lang", (F.col("quality") + 2 * (1 - F.col("toxic"))).cast("double").alias("rating"), F.col("n_chars").cast("double").alias("sim")).withColumn("fit", F.col("rating") >= 3)
-
-
-def _spearman(rows: DataFrame) -> DataFrame:
-    # value counts are small beside the rows, so ranks come from them and not from one global window
-    def ranks(c: str, out: str) -> DataFrame:
-        n = rows.groupBy(c).agg(F.count("*").alias("n"))
-        below = n.select(c, "n", (F.coalesce(F.sum("n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + (F.col("n") + 1) / 2).alias(out))
-        return below.drop("n")
-
-    return rows.join(ranks("rating", "x"), "rating").join(ranks("sim", "y"), "sim").agg(F.corr("x", "y").alias("rho"))
-
-
-@query("WITH " + _RATED + _AUC + " SELECT round(auc, 6) AS auc FROM p")
-def rated_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.within_auc(_rated(spark, sf_dir), "lang", "fit", "sim").select(F.round("auc", 6).alias("auc"))
-
-
-@query("WITH " + _RATED + _AUC + " SELECT round(rho, 6) AS rho FROM c")
-def rated_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spearman(_rated(spark, sf_dir)).select(F.round("rho", 6).alias("rho"))
-
-
-@query("WITH " + _RATED + _AUC + " SELECT round((auc + rho) / 2, 6) AS objective, (auc + rho) / 2 >= 0.55 AS ships FROM p, c")
-def ship_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objective: the mean of AUC and rank correlation; -inf if not finite. NaN never ships."""
-    r = _rated(spark, sf_dir)
-    both = metrics.within_auc(r, "lang", "fit", "sim").crossJoin(_spearman(r)).select(((F.col("auc") + F.col("rho")) / 2).alias("o"))
-    return both.select(F.round(F.coalesce(metrics.finite(F.col("o")), F.lit(float("-inf"))), 6).alias("objective"), metrics.at_least(F.col("o"), 0.55).alias("ships"))
-
-
-@query("WITH " + _RATED + """, p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sim DESC, doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM r),
-q AS (SELECT doc_id, lang, rating, (k - 1) / greatest(n - 1, 1) AS place, sim FROM p)
-SELECT doc_id, lang, rating, round(place, 6) AS place FROM q WHERE rating >= 2 ORDER BY q.place DESC, sim, doc_id LIMIT 25""")
-def worst_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 25 fits that their group ranks lowest: a report of fixed length."""
-    r = _rated(spark, sf_dir)
-    k, n = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("sim"), "doc_id")), F.count("*").over(W.partitionBy("lang"))
-    p = r.withColumn("place", (k - 1) / F.greatest(n - 1, F.lit(1))).where("rating >= 2")
-    return p.orderBy(F.desc("place"), "sim", "doc_id").limit(25).select("doc_id", "lang", "rating", F.round("place", 6).alias("place"))
-
-
-@query("""WITH v AS (SELECT range::INT AS label FROM range(0, 12)), c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
-SELECT v.label, round((coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER (), 8) AS prior FROM v LEFT JOIN c USING (label)""")
-def class_prior_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class priors with one count added, over a vocabulary that has unused classes."""
-    v = spark.range(12).select(F.col("id").cast("int").alias("label"))
-    c = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-    rows = v.join(c, "label", "left").select("label", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
-    return rows.crossJoin(F.broadcast(rows.agg(F.sum("n").alias("t")))).select("label", F.round(F.col("n") / F.col("t"), 8).alias("prior"))
-
-
-@query("""SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type""")
-def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
-
-
-@query("""SELECT label, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) ORDER BY n DESC, label LIMIT 1""")
-def mode_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-    return c.agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"), F.max("n").alias("n"), F.round(F.max("n") / F.sum("n"), 6).alias("share"))
-
-
-@query(r"""WITH d AS (SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) AS lines, row_number() OVER (PARTITION BY lower(substr(text, 1, 60)) ORDER BY doc_id) AS k FROM documents)
-SELECT CASE WHEN lines < 2 THEN 'short' WHEN lines > 40 THEN 'long' WHEN k > 1 THEN 'repeat' ELSE 'kept' END AS reason, count(*) AS n FROM d GROUP BY 1""")
-def drop_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("lines", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")))
-    d = d.withColumn("k", F.row_number().over(W.partitionBy(F.lower(F.substring("text", 1, 60))).orderBy("doc_id")))
-    reason = F.when(F.col("lines") < 2, "short").when(F.col("lines") > 40, "long").when(F.col("k") > 1, "repeat").otherwise("kept")
-    return d.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
-@query("""WITH o AS (SELECT month(o_orderdate) AS m, o_custkey % 4 = 0 AS south FROM orders)
-SELECT ['winter', 'spring', 'summer', 'autumn'][((m % 12) // 3 + CASE WHEN south THEN 2 ELSE 0 END) % 4 + 1] AS season, south, count(*) AS n FROM o GROUP BY ALL""")
-def season_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").withColumn("south", F.col("o_custkey") % 4 == 0)
-    return o.groupBy(color.season(F.month("o_orderdate"), F.col("south")).alias("season"), "south").agg(F.count("*").alias("n"))
-
-
-_LINEAR = "CASE WHEN {c} <= 0.04045 THEN {c} / 12.92 ELSE pow(({c} + 0.055) / 1.055, 2.4) END"
-_LIGHT = """h AS (SELECT doc_id, substr(sha1(doc_id::VARCHAR), 1, 6) AS x, substr(sha1(doc_id::VARCHAR), 7, 6) AS z FROM documents),
-c AS (SELECT doc_id, ('0x' || x[1:2])::INT / 255.0::DOUBLE AS r0, ('0x' || x[3:4])::INT / 255.0::DOUBLE AS g0, ('0x' || x[5:6])::INT / 255.0::DOUBLE AS b0, ('0x' || z[1:2])::INT / 255.0::DOUBLE AS r1, ('0x' || z[3:4])::INT / 255.0::DOUBLE AS g1, ('0x' || z[5:6])::INT / 255.0::DOUBLE AS b1 FROM h),
-l AS (SELECT doc_id, """ + ", ".join(f"{_LINEAR.format(c=c)} AS {c}" for c in ("r0", "g0", "b0", "r1", "g1", "b1")) + " FROM c)"
-
-
-def _lab_sql(k: int) -> str:
-    cone = [f"cbrt({a} * r{k} + {b} * g{k} + {c} * b{k})" for a, b, c in color.TO_LMS]
-    return ", ".join("(" + " + ".join(f"({w}) * {v}" for w, v in zip(row, cone, strict=True)) + f") AS {n}{k}" for n, row in zip("LAB", color.TO_LAB, strict=True))
-
-
-@query("WITH " + _LIGHT + ", k AS (SELECT doc_id, " + _lab_sql(0) + " FROM l) SELECT doc_id, round(L0, 6) AS l, round(A0, 6) AS a, round(B0, 6) AS b FROM k")
-def palette_oklab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = color.oklab(F.substring(F.sha1(F.col("doc_id").cast("string")), 1, 6))
-    return table(spark, sf_dir, "documents").select("doc_id", *[F.round(c, 6).alias(n) for c, n in zip(lab, "lab", strict=True)])
-
-
-@query("WITH " + _LIGHT + ", k AS (SELECT doc_id, " + _lab_sql(0) + ", " + _lab_sql(1) + """ FROM l),
-m AS (SELECT doc_id, 0.2126 * r0 + 0.7152 * g0 + 0.0722 * b0 AS y0, 0.2126 * r1 + 0.7152 * g1 + 0.0722 * b1 AS y1 FROM l)
-SELECT doc_id, round(sqrt(pow(L0 - L1, 2) + pow(A0 - A1, 2) + pow(B0 - B1, 2)), 6) AS distance, round((greatest(y0, y1) + 0.05) / (least(y0, y1) + 0.05), 6) AS contrast FROM k JOIN m USING (doc_id)""")
-def palette_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.col("doc_id").cast("string")).alias("h"))
-    x, z = F.substring("h", 1, 6), F.substring("h", 7, 6)
-    gap = F.sqrt(sum(F.pow(a - b, F.lit(2)) for a, b in zip(color.oklab(x), color.oklab(z), strict=True)))
-    return h.select("doc_id", F.round(gap, 6).alias("distance"), F.round(color.contrast(color.luminance(x), color.luminance(z)), 6).alias("contrast"))
-
-
-@query("""SELECT event_id, (props ->> '$.k')::BIGINT AS k FROM events""")
-def json_props_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
-@query(r"""WITH t AS (SELECT conv_id, turn, text, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS n FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, CASE WHEN n = 0 THEN 'empty' WHEN n < 6 THEN 'too short' WHEN n > 30 THEN 'too long' WHEN regexp_matches(text, '[0-9@#]') THEN 'characters' END AS reason FROM t""")
-def validate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first check that fails names the reason; null if none does."""
-    c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("n", text.word_count(F.lower("text")))
-    reason = F.when(F.col("n") == 0, "empty").when(F.col("n") < 6, "too short").when(F.col("n") > 30, "too long").when(F.col("text").rlike("[0-9@#]"), "characters")
-    return c.select("conv_id", "turn", reason.alias("reason"))
+from quillspan.plans import checks, choice, ledger, matching, palettes, ratings, texts, wall  # noqa: F401
+from quillspan.plans.base import QUERIES, SQL  # noqa: F401
