@@ -34,9 +34,28 @@ def test_same_rows_as_sql(spark, duck, name):
     assert got == sorted((tuple(float(r[i]) if isinstance(r[i], Decimal) else r[i] for i in at) for r in want.fetchall()), key=repr)
 
 
+def greedy(rows, limit):
+    """The sequential rule: (key, a, b, seen) in order."""
+    na, nb, seen, out = {}, {}, set(), []
+    for k, a, b, x in sorted(rows):
+        if na.get(a, 0) < limit and nb.get(b, 0) < limit and (a, x) not in seen:
+            na[a], nb[b] = na.get(a, 0) + 1, nb.get(b, 0) + 1
+            seen.add((a, x))
+            out.append(k)
+    return out
+
+
 def test_two_key_cap_is_greedy(spark):
-    rows = spark.createDataFrame([(0, i, a, n) for i, (a, n) in enumerate([("A", 1), ("A", 2), ("B", 2), ("B", 1), ("C", 2)])], "c int, i int, a string, n int")
-    assert sorted(r.i for r in select.two_key_cap(rows, "c", "a", "n", ["i"], 1).collect()) == [0, 2]
+    import random
+
+    rows = spark.createDataFrame([(i, a, n) for i, (a, n) in enumerate([("A", 1), ("A", 2), ("B", 2), ("B", 1), ("C", 2)])], "i int, a string, n int")
+    assert sorted(r.i for r in select.two_key_cap(rows, "a", "n", ["i"], 1).collect()) == [0, 2]
+    assert select.two_key_cap(rows.limit(0), "a", "n", ["i"], 1).count() == 0
+    rng = random.Random(5)
+    for limit, na, nb in ((1, 9, 9), (3, 6, 11), (2, 30, 2)):
+        made = [(k, rng.randrange(na), rng.randrange(nb), rng.randrange(4)) for k in range(160)]
+        df = spark.createDataFrame(made, "k int, a int, b int, x int")
+        assert sorted(r.k for r in select.two_key_cap(df, "a", "b", ["k"], limit, seen=["a", "x"]).collect()) == greedy(made, limit)
 
 
 def test_spread_equals_the_sequential_rule(spark):
