@@ -5,7 +5,7 @@ and `SAMPLES` values that are folded into a parity bitmap (an odd sketch): the X
 two bitmaps has few ones exactly if the sets agree in most samples. Documents that
 share a band key with the key's smallest document form a family; within a family every
 pair is compared by sketch, in blocks, and pairs the sketch does not rule out are
-confirmed on the full sets.
+confirmed on the full sets of the shingles' 64-bit hashes.
 
 Scale. Equal sets are collapsed before anything is paired, so a group of exact copies
 costs one row each. Band keys are reduced by a pre-aggregated minimum, never gathered.
@@ -135,19 +135,6 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, print binary, bands array<long>, sketch binary")
 
 
-def _pack(s: np.ndarray) -> bytes:
-    """A set as sorted 6-byte values."""
-    top = np.unique(s >> _U(16))
-    return top.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view("<u8").ravel()
-
-
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -156,7 +143,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 part = batch.slice(at, 500)
                 sets = [shingles(t, size, hashes) for t in byte_texts(part.column("text"))]
                 own = [_print(s) == p for s, p in zip(sets, part.column("print").to_pylist(), strict=True)]
-                packed = pa.array([_pack(s) for s in sets], pa.binary())
+                packed = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
                 out = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "family", "blocks", "sketch")), packed], ["doc_id", "family", "blocks", "sketch", "items"])
                 yield out.filter(pa.array(own))
 
@@ -184,12 +171,12 @@ def _forest(percent: int):
 
         across = side[0] != side[-1] or table.column("i")[0].as_py() != table.column("j")[0].as_py()
         cut = percent / 100 - MARGIN
-        size = np.array([len(r) // 6 for r in raw])
+        size = np.array([len(r) // 8 for r in raw])
         edges = []
         for x in range(len(ids) - 1):
             ones = np.bitwise_count(bits[x + 1 :] ^ bits[x]).sum(axis=1)
             small, large = np.minimum(size[x + 1 :], size[x]), np.maximum(size[x + 1 :], size[x])
-            like = (sketch_similarity(ones) >= cut) & (100 * small >= percent * large - 1)
+            like = (sketch_similarity(ones) >= cut) & (100 * small >= percent * large)
             if across:
                 like &= side[x + 1 :] != side[x]
             for y in (np.flatnonzero(like) + x + 1).tolist():
@@ -197,7 +184,7 @@ def _forest(percent: int):
                     continue
                 for z in (x, y):
                     if z not in sets:
-                        sets[z] = _unpack(raw[z])
+                        sets[z] = np.frombuffer(raw[z], "<u8")
                 both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                 if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
                     root[find(x)] = find(y)
