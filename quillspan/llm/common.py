@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import os
 import tempfile
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20  # of the Arrow batches that go to a Python worker, about
 _caches: dict[str, dict] = {}
 
@@ -34,8 +36,22 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+_folders: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/quillspan/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's folder, which goes when the driver process ends."""
+    folder = f"{shared_root(spark)}/quillspan/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_sweep, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _sweep(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session has no file access left
+        with contextlib.suppress(Exception):  # nor has one whose JVM is going down
+            filesystem(spark, folder).delete(hadoop_path(spark, folder), True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -105,13 +121,17 @@ def _give_back() -> None:
         trim(0)
 
 
+def _batch_default(spark: SparkSession) -> str:
+    return spark.newSession().conf.get(_BATCH_SETTING)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run for mapInArrow with bounded memory. Workers are reused and outlive their stages:
     a task first drops what other modules cached, and at its end freed memory goes back to
     the system. Batches are bounded by bytes, as 10,000 long texts are too many to hold."""
     owner, spark = run.__module__, SparkSession.getActiveSession()
-    if spark is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if spark is not None and spark.conf.get(_BATCH_SETTING) == _batch_default(spark):  # not one that the user chose
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _let_go(owner)
