@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,14 +12,10 @@ from quillspan.operators import joins, publish, state
 from quillspan.plans.base import query
 from quillspan.sources import io
 from quillspan.sources.io import table
-from quillspan.sources.scratch import shared_folder
+from quillspan.sources.scratch import scratch_path
 from quillspan.streaming.puts import put_if_absent
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/quillspan-core/{name}-{uuid.uuid4().hex}"
-
-
 # --- files ----------------------------------------------------------------------------------
 
 
@@ -30,7 +24,7 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three of a CSV file's columns, as text, of the rows that are free and have a title."""
     header = ["p_partkey", "title", "free", "Classification", "note"]
     p = table(spark, sf_dir, "part").selectExpr("p_partkey", "CASE WHEN p_partkey % 5 <> 0 THEN 'say \"' || p_name || '\", twice' END AS title", "CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'False' END AS free", "p_type || ' | other' AS Classification", "'one\ntwo' AS note")
-    path = _place(spark, "csv")
+    path = scratch_path(spark, "csv")
     p.write.option("header", True).option("escape", '"').csv(path)
     rows = io.csv_columns(spark, path, header, ["p_partkey", "title", "free", "Classification"])
     return rows.where("free = 'True' AND title IS NOT NULL").select("p_partkey", "title", F.trim(F.element_at(F.split("Classification", r"\|"), 1)).alias("cls"))
@@ -40,7 +34,7 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log written in two appends and read again, and its summary."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    path = _place(spark, "log")
+    path = scratch_path(spark, "log")
     io.append_json_lines(e.where("event_id % 2 = 0"), path)
     io.append_json_lines(e.where("event_id % 2 = 1"), path)
     schema = StructType([f for f in e.schema.fields])
@@ -52,7 +46,7 @@ def json_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sorted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log rewritten in order of a key and of whole rows, in the place of the old one."""
     c = table(spark, sf_dir, "conversations").select("turn", "conv_id")
-    path = _place(spark, "sorted")
+    path = scratch_path(spark, "sorted")
     io.write_json_lines(c, path)
     io.write_sorted(io.json_rows(spark, path, c.schema), path, "conv_id")
     lines = spark.read.text(path)
@@ -169,7 +163,7 @@ def kv_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precomputed results before computed ones."""
     c = table(spark, sf_dir, "customer")
-    path = _place(spark, "rooms")
+    path = scratch_path(spark, "rooms")
     publish.write_rooms(c.where("c_custkey % 4 = 0").select((F.col("c_custkey") % 4).alias("code"), "c_custkey", F.col("c_name").alias("value"), F.lit("t").alias("text")), path)
     ready = spark.read.parquet(path).select("c_custkey", "value")
     return publish.ready_or_computed(c, ready, c.select("c_custkey", F.col("c_mktsegment").alias("value")), "c_custkey")
@@ -214,7 +208,7 @@ def publish_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bundle_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bundle written, installed over an older one, and read back with its manifest."""
     tables = {"supplier": table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "id"), "nation": table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "id")}
-    target = _place(spark, "bundle")
+    target = scratch_path(spark, "bundle")
     publish.write_bundle({k: v.limit(3) for k, v in tables.items()}, "id", target)
     publish.write_bundle(tables, "id", target)
     told = publish.read_document(spark, f"{target}/manifest.json")["tables"]

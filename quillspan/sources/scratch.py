@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_swept: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,9 +28,29 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's folder, which goes when the driver process ends."""
+    folder = f"{shared_folder(spark)}/quillspan-core/{spark.sparkContext.applicationId}"
+    if folder not in _swept:
+        _swept.add(folder)
+        atexit.register(_sweep, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _sweep(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session has no file access left
+        with contextlib.suppress(Exception):  # nor has one whose JVM is going down
+            _delete(spark, folder)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: its lineage ends, and a lost executor costs a reread."""
-    path = f"{shared_folder(df.sparkSession)}/quillspan-core/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
@@ -40,5 +62,4 @@ def dropped(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_staged_at", None)
         if path:
-            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(t.sparkSession, path)
