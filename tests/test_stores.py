@@ -172,3 +172,42 @@ def test_edges_of_paths(spark):
     urls = spark.createDataFrame([("a", "A"), ("x", "X")], "src string, url string")
     got = publish.repointed(rec, "r", ["src", "near[].src"], urls).orderBy("k").collect()
     assert [(r.r.src, r.r.near and [n.src for n in r.r.near]) for r in got] == [("X", ["A"]), ("y", None), (None, [])]
+
+
+def test_job_takes_up_what_was_refused(spark):
+    from quillspan.operators import jobs
+
+    def parse(keys, answer):
+        if answer == "broken":
+            raise ValueError("no answer")
+        return {k: {"v": answer} for k in keys if k != "3" or answer == "second"}
+
+    asked = lambda p: "broken" if "x" in p else "second" if "refused" in p else "first"
+    job = jobs.Job(lambda rows: "|".join(r["t"] for r in rows), parse, ("t",), 2)
+    rows = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c"), ("4", "d"), ("5", "x")], "key string, t string")
+    requests = job.requests(rows)
+    assert sorted(r.prompt for r in requests.collect()) == ["a|b", "c|d", "x"]
+    got = {r.key: (r.record, r.error) for r in job.records(requests, asked).collect()}
+    assert got["1"] == ('{"v": "first"}', None) and got["3"][0] == '{"v": "second"}' and got["4"][0] == '{"v": "first"}' and got["5"] == (None, "no answer")
+
+
+def test_encoder_shrinks_its_batches(spark):
+    from quillspan.operators import jobs
+
+    def encode(texts):
+        if len(texts) > 3:
+            raise MemoryError
+        return np.array([[len(t)] for t in texts])
+
+    df = spark.createDataFrame([(i, "a" * (i % 9) if i else None) for i in range(50)], "i int, t string").coalesce(1)
+    assert {r.i: list(r.vector) for r in jobs.encoded(df, "t", encode, 10_000).collect()} == {i: [float(i % 9)] for i in range(50)}
+    assert jobs.encoded(df.limit(0), "t", encode).count() == 0
+    with pytest.raises(ValueError):
+        jobs.seed_grid(spark, ["a"], ["b"], 30, 10)
+
+
+def test_command_line_shows_rows(spark, capfd):
+    from quillspan.__main__ import main
+
+    assert main([]) == 2 and main(["content_version", "/root/testdata/sf0.001", "1"]) == 0
+    assert "version" in capfd.readouterr().out
