@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from quillspan.llm.common import byte_texts, keyed, lean, materialize, read_table, wide
 
@@ -188,6 +189,23 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return wide(keyed(docs, "doc_id", "text")).mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, p array<double>")
 
 
+def _classified(docs: DataFrame, model: Classifier) -> DataFrame:
+    """docs with n_tokens as _n and the posterior as _p, under names that docs doesn't have."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        known = _Features(own.rows)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                bags = [_bag(t, known) for t in byte_texts(part.column("text"))]
+                new = [pa.array([n for n, _ in bags], pa.int64()), pa.array([own.posterior(b).tolist() for _, b in bags], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *new], [*names, "_n", "_p"])
+
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField("_n", LongType()), StructField("_p", ArrayType(DoubleType()))]))
+
+
 def rates(n: np.ndarray, p: np.ndarray, steps: list[np.ndarray], least: np.ndarray | None = None) -> np.ndarray:
     """The rates of documents after the steps so far; least: by likeliest domain, 0 if None."""
     low = 0.0 if least is None else least[p.argmax(axis=1)]
@@ -218,7 +236,8 @@ def _sums(table: DataFrame, k: int, tried: np.ndarray, least: np.ndarray) -> tup
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "x"])
 
     out = np.zeros(k + len(tried) * (1 + k + k * k))
-    for r in table.select("n_tokens", "p").mapInArrow(lean(run), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+    columns = ["_n", "_p"] if "_p" in table.columns else ["n_tokens", "p"]
+    for r in table.select(*columns).mapInArrow(lean(run), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
         out[r.i] = r.x
     each = out[k:].reshape(len(tried), -1)
     return out[:k], each[:, 0], each[:, 1 : k + 1], each[:, k + 1 :].reshape(-1, k, k)
@@ -281,22 +300,20 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     model = fit_classifier(docs, labels, max_labelled)
     targets = targets or TARGETS
     least = np.array([float(targets.get(d, 1.0) >= 1) for d in model.domains])
-    steps, _, _ = fit_rates(materialize(memberships(docs, model), "memberships"), model.domains, targets, least=least)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # one pass classifies; texts are written once beside their posteriors, and not classified again
+    table = materialize(_classified(docs, model), "classified")
+    steps, _, _ = fit_rates(table, model.domains, targets, least=least)
+    names, k = docs.columns, len(model.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        known = _Features(own.rows)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                texts = byte_texts(part.column("text"))
-                bags = [_bag(t, known) for t in texts]
-                r = rates(np.array([n for n, _ in bags]), np.array([own.posterior(b) for _, b in bags]), steps, least)
-                u = np.array([xxhash.xxh3_64_intdigest(b"%s/%s" % (str(i).encode(), t or b"")) / 2.0**64 for i, t in zip(part.column("doc_id").to_pylist(), texts, strict=True)])
-                yield part.take(pa.array(np.repeat(np.arange(part.num_rows), np.floor(r + u).astype(np.int64))))
+                r = rates(part.column("_n").to_numpy(), _matrix(part.column("_p"), k), steps, least)
+                u = np.array([xxhash.xxh3_64_intdigest(b"%s/%s" % (str(i).encode(), t or b"")) / 2.0**64 for i, t in zip(part.column("doc_id").to_pylist(), byte_texts(part.column("text")), strict=True)])
+                yield part.select(names).take(pa.array(np.repeat(np.arange(part.num_rows), np.floor(r + u).astype(np.int64))))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return table.mapInArrow(lean(run), docs.schema)
 
 
 def read_labels(spark, sf_dir: str) -> DataFrame:
