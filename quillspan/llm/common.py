@@ -37,6 +37,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 _folders: set[str] = set()
+_written: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -51,7 +52,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def _sweep(spark: SparkSession, folder: str) -> None:
     if spark.sparkContext._jsc is not None:  # a stopped session has no file access left
         with contextlib.suppress(Exception):  # nor has one whose JVM is going down
-            filesystem(spark, folder).delete(hadoop_path(spark, folder), True)
+            delete(spark, folder)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -60,6 +61,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
+    _written.append(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._quillspan_path = path
     return out
@@ -69,7 +71,21 @@ def discard(df: DataFrame) -> None:
     """Delete a table of materialize() that no plan needs any more."""
     path = getattr(df, "_quillspan_path", None)
     if path:
-        filesystem(df.sparkSession, path).delete(hadoop_path(df.sparkSession, path), True)
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    filesystem(spark, path).delete(hadoop_path(spark, path), True)
+
+
+@contextlib.contextmanager
+def tables_inside(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, what materialize() has written inside: for work whose result is written too."""
+    first = len(_written)
+    yield
+    for path in _written[first:]:
+        delete(spark, path)
+    del _written[first:]
 
 
 def hadoop_path(spark: SparkSession, path: str):

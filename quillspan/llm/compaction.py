@@ -6,7 +6,8 @@ merges the shards of a tier once there are `FAN` of them, into files of about
 `target_bytes`; files that have the target size are left alone. A merge reads its
 shards and writes new ones without a shuffle. Every change is one new manifest version:
 it is written under a temporary name and renamed to its number, which fails if another
-writer had that number first. Readers use a version's list of files, so they never see
+writer had that number first (on file systems whose rename is atomic; on an object store
+one writer at a time may commit). Readers use a version's list of files, so they never see
 half a change; vacuum() forgets old versions and removes files that none of the kept ones
 lists, once they are old enough not to be another writer's next change.
 
@@ -169,3 +170,7 @@ def shard_documents(docs: DataFrame, target_bytes: int = TARGET, arrivals: int =
         lo = hi
     out = store.read().select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("shard"))
     return out.withColumn("version", F.lit(store.versions()[-1]).cast("long"))
+
+
+#: The rows that come back; their files have no fixed names.
+SQL = "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, md5(text) AS text_md5 FROM documents"

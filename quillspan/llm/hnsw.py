@@ -185,9 +185,16 @@ class Graph:
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         return _lockstep(self.x, self.layers[-1], q, self._entries(q, self.layers[:-1]), beam)
 
-    def _found(self, q: np.ndarray, rows: np.ndarray, beam: int, cut: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    def _searched(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """search() of all rows, in steps that bound the memory."""
+        step = max(16, min(512, 16_000_000 // max(len(self.ids), 1)))
+        parts = [self.search(q[i : i + step], beam) for i in range(0, len(q), step)]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+    def _found(self, q: np.ndarray, rows: np.ndarray, beam: int, cut: np.float32, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row, node) of at least cut. A row whose whole beam links is searched again with
-        twice the beam, and by brute force from a quarter of the nodes on."""
+        twice the beam, and by brute force from a quarter of the nodes on. known: what a search
+        of all rows of q with this beam has found."""
         n = len(self.ids)
         at, node = [], []
         while len(rows):
@@ -199,38 +206,32 @@ class Graph:
                     a, b = np.nonzero(q[part] @ self.x[:-1].T >= cut)
                     at.append(part[a]), node.append(b)
                     continue
-                ids, sims = self.search(q[part], beam)
+                ids, sims = self.search(q[part], beam) if known is None else (known[0][part], known[1][part])
                 full = (sims >= cut).sum(axis=1) > 0.75 * beam
                 again.append(part[full])
                 a, k = np.nonzero((sims >= cut) & ~full[:, None])
                 at.append(part[a]), node.append(ids[a, k])
             rows = np.concatenate(again) if again else np.zeros(0, int)
-            beam *= 2
+            beam, known = beam * 2, None
         return np.concatenate(at), np.concatenate(node)
 
-    def _audited(self, q: np.ndarray, beam: int, cut: np.float32) -> np.ndarray:
-        """Rows from all over q, and those whose best hits at this beam lie closest to the cut."""
-        step, near = max(16, min(512, 16_000_000 // max(len(self.ids), 1))), np.zeros(len(q), np.float32)
-        for i in range(0, len(q), step):
-            sims = self.search(q[i : i + step], beam)[1]
-            near[i : i + step] = np.abs(sims - cut).min(axis=1)
-        spread = np.linspace(0, len(q) - 1, AUDITED).astype(int)
-        return np.unique(np.concatenate([spread, np.argsort(near, kind="stable")[:AUDITED]]))
-
     def links(self, raw: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of raw, node) with at least this cosine, verified in double precision.
 
-        The audit holds what _found() finds, wider beams for full ones included: so a dense
-        cluster widens the beams of its own rows and not those of the whole block."""
+        Audited are rows from all over raw, and those whose best hits lie closest to the cut. The
+        audit holds what _found() finds, wider beams for full ones included: so a dense cluster
+        widens the beams of its own rows and not those of the whole block."""
         n, unit = len(self.ids), _unit(raw)
         q = unit.astype(np.float32)
-        cut, beam = np.float32(cosine - 1e-5), 16
+        cut, beam, known = np.float32(cosine - 1e-5), 16, None
         if beam < n // 4:
-            audit = self._audited(q, beam, cut)
+            known = self._searched(q, beam)
+            near = np.argsort(np.abs(known[1] - cut).min(axis=1), kind="stable")[:AUDITED]
+            audit = np.unique(np.concatenate([np.linspace(0, len(q) - 1, AUDITED).astype(int), near]))
             want = int((q[audit] @ self.x[:-1].T >= cut).sum())
-            while beam < n // 4 and len(self._found(q, audit, beam, cut)[0]) < AUDIT_RECALL * want:
-                beam *= 2
-        at, node = self._found(q, np.arange(len(q)), beam, cut)
+            while beam < n // 4 and len(self._found(q, audit, beam, cut, known)[0]) < AUDIT_RECALL * want:
+                beam, known = beam * 2, None
+        at, node = self._found(q, np.arange(len(q)), beam, cut, known)
         own = _unit(self.raw[np.unique(node)])
         place = np.searchsorted(np.unique(node), node)
         ok = np.zeros(len(at), bool)

@@ -31,7 +31,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compaction.shard_documents(read_table(spark, sf_dir, "documents"))
+    # the operator also tells each row's file and version, which have no fixed names
+    return compaction.shard_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "text_md5")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +59,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op3_chat_format": chat.SQL, "op7_warc": warc.SQL}
+SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op3_chat_format": chat.SQL, "op6_sharding": compaction.SQL, "op7_warc": warc.SQL}

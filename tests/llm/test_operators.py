@@ -486,3 +486,17 @@ def test_long_conversation(spark):
     rows = [(c, t, "user", f"turn {t}") for c in (1, 2) for t in range(600 if c == 1 else 599)]
     got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert [(r.conv_id, r.n_turns) for r in got] == [(1, 600)]
+
+
+def test_pipeline_leaves_its_result_only(spark):
+    import os
+
+    import corpus_pipeline
+    from quillspan.llm import common
+
+    first = len(common._written)
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0 and len(common._written) == first
+    kept = {f.split("/")[-2] for f in out.inputFiles()}
+    folder = os.path.dirname(os.path.dirname(out.inputFiles()[0].removeprefix("file://")))
+    assert {n for n in os.listdir(folder) if n.startswith("stage-")} == kept
