@@ -70,10 +70,17 @@ def hex6_of(text: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.trim(text), "^#?([0-9a-fA-F]{6})$", 1)), F.lit(""))
 
 
+def labs_of(hexes: Column) -> Column:
+    """array<array<double>>: OKLab of each rrggbb. One step at a time, as a step's result that an
+    expression uses nine times would be worked out nine times."""
+    light = F.transform(hexes, lambda h: F.array(*[channel(h, i) for i in range(3)]))
+    cones = F.transform(light, lambda c: F.array(*[F.cbrt(x) for x in _apply(TO_LMS, [c[i] for i in range(3)])]))
+    return F.transform(cones, lambda c: F.array(*_apply(TO_LAB, [c[i] for i in range(3)])))
+
+
 def palette_of(colors: Column) -> Column:
     """array<array<double>> of five OKLab colours; null unless there are five and all are written well."""
-    each = F.transform(colors, lambda c: F.array(*oklab(hex6_of(c))))
-    return F.when((F.size(colors) == 5) & F.forall(colors, lambda c: hex6_of(c).isNotNull()), each)
+    return F.when((F.size(colors) == 5) & F.forall(colors, lambda c: hex6_of(c).isNotNull()), labs_of(F.transform(colors, hex6_of)))
 
 
 def lch(lab) -> tuple[Column, Column, Column]:
@@ -100,31 +107,41 @@ def hue_between(one, other, t: Column) -> tuple[Column, Column, Column]:
 def blended(weighted: Column) -> Column:
     """One palette of several: array<struct<w, palette>> to an array of five colours. Chroma is
     averaged apart from hue, which is averaged on the circle, so unlike hues don't turn grey."""
+    names = ("l", "c", "x", "y")
+    zero = F.array(*[F.struct(*[F.lit(0.0).alias(n) for n in names])] * 5)
+
+    def add(sums: Column, one: Column) -> Column:
+        def slot(s: Column, p: Column) -> Column:
+            c = F.hypot(p[1], p[2])
+            unit = lambda v: F.when(c > 1e-6, v / c).otherwise(0.0)
+            parts = zip(names, (p[0], c, unit(p[1]), unit(p[2])), strict=True)
+            return F.struct(*[(s[n] + one["w"] * v).alias(n) for n, v in parts])
+
+        return F.zip_with(sums, one["palette"], slot)
+
+    def color_(s: Column) -> Column:
+        h = F.atan2(s["y"], s["x"])
+        return F.array(s["l"], s["c"] * F.cos(h), s["c"] * F.sin(h))
 
-    def total(f) -> Column:
-        return F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x["w"] * f(x["palette"]))
+    return F.aggregate(weighted, zero, add, lambda sums: F.transform(sums, color_))
 
-    def slot(i: int) -> Column:
-        part = lambda k: lambda p: p[i][k]
-        chroma = lambda p: F.hypot(p[i][1], p[i][2])
-        unit = lambda k: lambda p: F.when(chroma(p) > 1e-6, p[i][k] / chroma(p)).otherwise(0.0)
-        c, h = total(chroma), F.atan2(total(unit(2)), total(unit(1)))
-        return F.array(total(part(0)), c * F.cos(h), c * F.sin(h))
 
-    return F.array(*map(slot, range(5)))
+def _mean(values: Column) -> Column:
+    """The mean of an array, which is worked out once."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    return F.aggregate(values, zero, lambda t, x: F.struct((t["s"] + x).alias("s"), (t["n"] + 1).alias("n")), lambda t: t["s"] / t["n"])
 
 
 def palette_gap(one: Column, other: Column) -> Column:
     """Mean distance of two palettes, slot by slot."""
-    gaps = F.zip_with(one, other, lambda p, q: F.sqrt(F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))
-    return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / F.size(gaps)
+    return _mean(F.zip_with(one, other, lambda p, q: F.sqrt(F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))))
 
 
 def mean_tone(pixels: Column) -> Column:
     """Mean OKLab colour of an array of rrggbb pixels, to four places (half to even)."""
-    labs = F.transform(pixels, lambda p: F.array(*oklab(p)))
-    part = lambda k: F.aggregate(F.transform(labs, lambda x: x[k]), F.lit(0.0), lambda s, x: s + x)
-    return F.array(*[F.bround(part(k) / F.size(labs), 4) for k in range(3)])
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in "lab"], F.lit(0).alias("n"))
+    add = lambda t, p: F.struct(*[(t[n] + p[k]).alias(n) for k, n in enumerate("lab")], (t["n"] + 1).alias("n"))
+    return F.aggregate(labs_of(pixels), zero, add, lambda t: F.array(*[F.bround(t[n] / t["n"], 4) for n in "lab"]))
 
 
 def in_gamut(rgb, slack: float = 1e-4) -> Column:

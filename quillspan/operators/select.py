@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillspan.functions.text import UNKNOWN
-from quillspan.sources.scratch import dropped, staged
+from quillspan.sources.scratch import staged
 
 
 def wanted(quota: float | Column, factor: float | Column) -> Column:
@@ -121,33 +123,26 @@ def two_key_cap(rows: DataFrame, a: str, b: str, order: list[str], limit: int, s
     that is not built against it each round decides most rows. Only windows over a and b are
     needed, so a group of keys that are all connected is still worked on in many tasks.
     """
-    key = F.struct(*order)
-    left = staged(rows.withColumn("_k", key), "undecided")
-    kept = None
-    counts = lambda c, name: kept.groupBy(c).agg(F.count("*").alias(name))
-    while left.limit(1).count():
+    left, rounds = rows.withColumn("_k", F.struct(*order)), []
+    before = lambda *c: F.row_number().over(W.partitionBy(*c).orderBy("_k")) - 1
+    while True:
+        kept = reduce(DataFrame.unionByName, [r.where("_sure").select(*rows.columns) for r in rounds]) if rounds else None
         now = left
-        if kept is not None:
-            now = now.join(counts(a, "_na"), a, "left").join(counts(b, "_nb"), b, "left")
+        if kept is not None:  # these tables are small beside the input: rows that are kept
+            for c, n in ((a, "_na"), (b, "_nb")):
+                now = now.join(kept.groupBy(c).agg(F.count("*").alias(n)), c, "left").fillna(0, [n])
+            now = now.where((F.col("_na") < limit) & (F.col("_nb") < limit))
             if seen:
-                now = now.join(kept.select(*seen).distinct().withColumn("_dup", F.lit(True)), seen, "left").where("_dup IS NULL").drop("_dup")
+                now = now.join(kept.select(*seen).distinct(), seen, "left_anti")
         else:
             now = now.withColumns({"_na": F.lit(0), "_nb": F.lit(0)})
-        now = now.fillna(0, ["_na", "_nb"]).where((F.col("_na") < limit) & (F.col("_nb") < limit))
-        before = lambda *c: F.row_number().over(W.partitionBy(*c).orderBy("_k")) - 1
-        now = now.withColumn("_pa", before(a)).withColumn("_pb", before(b))
-        sure = (F.col("_na") + F.col("_pa") < limit) & (F.col("_nb") + F.col("_pb") < limit)
+        sure = (F.col("_na") + before(a) < limit) & (F.col("_nb") + before(b) < limit)
         if seen:
-            now = now.withColumn("_ps", before(*seen))
-            sure &= F.col("_ps") == 0
-        now = staged(now.withColumn("_sure", sure), "round")
-        new = now.where("_sure").select(*rows.columns)
-        # tables of earlier rounds are small beside the input: rows that are kept
-        joined = staged(new if kept is None else kept.unionByName(new), "kept")
-        dropped(left, *([kept] if kept is not None else []))
-        kept, left = joined, staged(now.where("NOT _sure").select(*rows.columns, "_k"), "undecided")
-        dropped(now)
-    return kept if kept is not None else rows.limit(0)
+            sure &= before(*seen) == 0
+        rounds.append(staged(now.select(*rows.columns, "_k", sure.alias("_sure")), "round"))
+        left = rounds[-1].where("NOT _sure").drop("_sure")
+        if not left.limit(1).count():
+            return reduce(DataFrame.unionByName, [r.where("_sure").select(*rows.columns) for r in rounds])
 
 
 def hash_order(seed: str, key: str) -> Column:

@@ -51,9 +51,12 @@ d AS (SELECT *, CASE WHEN hb - ha > 180 THEN hb - ha - 360 WHEN hb - ha < -180 T
 SELECT doc_id, round(c0, 6) AS chroma, round(h0, 5) AS hue, round(L0 + (L1 - L0) * 0.3, 6) AS l, round(c0 + (c1 - c0) * 0.3, 6) AS c, round(CASE WHEN ha + arc * 0.3 < 0 THEN ha + arc * 0.3 + 360 WHEN ha + arc * 0.3 >= 360 THEN ha + arc * 0.3 - 360 ELSE ha + arc * 0.3 END, 5) AS h FROM d""")
 def hue_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chroma and hue, and the colour at three tenths of the way to another over the shorter arc."""
-    t = _two(spark, sf_dir)
-    one, other = color.lch(color.oklab(F.col("x"))), color.lch(color.oklab(F.col("z")))
-    light, c, h = color.hue_between(one, other, F.lit(0.3))
+    t = _two(spark, sf_dir).select("doc_id", color.labs_of(F.array("x", "z")).alias("p"))  # used many times below
+    lab = lambda k: [F.get(F.get("p", F.lit(k)), F.lit(i)) for i in range(3)]
+    t = t.select("doc_id", *[F.array(*color.lch(lab(k))).alias(n) for k, n in enumerate(("one", "other"))])
+    part = lambda n: [F.get(n, F.lit(i)) for i in range(3)]
+    one = part("one")
+    light, c, h = color.hue_between(one, part("other"), F.lit(0.3))
     return t.select("doc_id", F.round(one[1], 6).alias("chroma"), F.round(one[2], 5).alias("hue"), F.round(light, 6).alias("l"), F.round(c, 6).alias("c"), F.round(h, 5).alias("h"))
 
 

@@ -111,7 +111,8 @@ def test_preferred_track_cascade(spark):
             (3, 30, True, "Greatest Hits", "compile", "C", "1970", True, True), (3, 31, True, "Live at Home", "album", "C", "1970", True, True), (3, 32, False, "", "", "C", "1990", True, True)]
     g = "id long, gid long, gtitle string, release_titles array<string>, primary string, secondary array<string>, date string"
     groups = [(1, 1, "One", None, "Single", [], "1979"), (1, 2, "The Steel", None, "Album", [], "2000"), (1, 3, "Best Of", None, "Album", ["Compilation"], "1970"), (2, 4, "Absent", None, "Single", [], "1960"), (3, 5, "Nothing", None, "Album", [], "1990")]
-    got = {r.id: (r.tid, r.tier) for r in match.preferred_tracks(spark.createDataFrame(rows, m), spark.createDataFrame(groups, g)).collect()}
+    all_ = spark.createDataFrame(rows, m)
+    got = {r.id: (r.tid, r.tier) for r in match.preferred_tracks(all_.select("id", "tid", "exact"), all_.drop("id", "exact"), spark.createDataFrame(groups, g)).collect()}
     assert got == {1: (11, 1), 2: (22, 2), 3: (32, 3)}
 
 
