@@ -210,7 +210,7 @@ def leak_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(labels, "doc_id")
     side = [F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)]
     sizes = d.select("doc_id", "toxic").distinct().agg(side[0].alias("n"), side[1].alias("m"))
-    used = d.select("toxic", F.explode(audit.counted_words(F.col("text"))).alias("word")).groupBy("word").agg(side[0].alias("a"), side[1].alias("b"))
+    used = audit.each_word(d, "text", "toxic").groupBy("word").agg(side[0].alias("a"), side[1].alias("b"))
     return audit.leaks(used, sizes).select("word", "a", "b", F.round("p", 6).alias("p"))
 
 
