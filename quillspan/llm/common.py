@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 8 << 20  # of the Arrow batches that go to a Python worker, about
+BATCH_BYTES = 4 << 20  # of the Arrow batches that go to a Python worker, about
 _caches: dict[str, dict] = {}
 
 

@@ -34,7 +34,7 @@ from quillspan.llm.common import byte_texts, keyed, lean, materialize, tokenizer
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED = 250_000  # chunks a worker remembers; beyond that it starts anew
+CACHED = 150_000  # chunks a worker remembers; beyond that it starts anew
 
 
 #: Bytes of UTF-8 that no word of lower-case letters has stand for "last byte of the word".
