@@ -55,12 +55,12 @@ def _sweep(spark: SparkSession, folder: str) -> None:
             delete(spark, folder)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it again. The lineage ends
     there, so a lost executor costs a reread and not a recomputation."""
     path = scratch_path(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _written.append(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._quillspan_path = path

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import centroids, chat, compaction, hnsw, langid, minhash, mixing, packing, pii, quality, spelling, warc
+from quillspan.llm import centroids, chat, compaction, hnsw, langid, matroska, minhash, mixing, packing, pii, quality, spelling, warc
 from quillspan.llm.common import read_table
 
 
@@ -59,12 +59,16 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.stored_texts(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_mix_sources, op3_chat_format, op4_best_fit_packing, op5_language_id,
         op6_sharding, op7_warc, op8_embedding_dedup, op9_pii, op10_minhash_dedup,
-        op11_spelling_variants, op12_centroid_clusters,
+        op11_spelling_variants, op12_centroid_clusters, op13_media_columns,
     )
 }
 
