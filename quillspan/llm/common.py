@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import os
 import tempfile
@@ -37,7 +38,8 @@ def shared_root(spark: SparkSession) -> str:
 
 
 _folders: set[str] = set()
-_written: list[str] = []
+#: What materialize() has written inside the tables_inside() of this thread or task of the driver.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -61,7 +63,9 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     path = scratch_path(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path, compression=compression)
-    _written.append(path)
+    own = _written.get()
+    if own is not None:
+        own.append(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._quillspan_path = path
     return out
@@ -80,12 +84,26 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def tables_inside(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, what materialize() has written inside: for work whose result is written too."""
-    first = len(_written)
-    yield
-    for path in _written[first:]:
-        delete(spark, path)
-    del _written[first:]
+    """Deletes, at its end or when it fails, what materialize() has written inside it in this
+    thread: for work whose result is written too."""
+    own: list[str] = []
+    token = _written.set(own)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in own:
+            delete(spark, path)
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores behind it as make it differ from all taken ones."""
+    out: list[str] = []
+    for name in wanted:
+        while name.lower() in {t.lower() for t in [*taken, *out]}:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def hadoop_path(spark: SparkSession, path: str):

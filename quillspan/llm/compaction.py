@@ -13,7 +13,8 @@ lists, once they are old enough not to be another writer's next change.
 
 A failed or lost task leaves files that no manifest names. Defined results: an append of
 no rows commits a version without a new shard; nulls, repeated rows and any columns are
-stored as they are (shard_documents gives a null text 0 bytes and a null digest); the columns of all appends must agree.
+stored as they are (shard_documents gives a null text 0 bytes and a null digest); 
+an append whose columns differ from the store's in name, type or order is refused before anything is written.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspan.llm.common import filesystem, hadoop_path, scratch_path
 
@@ -87,6 +89,11 @@ class ShardStore:
     def append(self, df: DataFrame) -> int:
         """Store df's partitions as new small shards and commit; returns the version."""
         base = self.manifest()
+        if base["schema"]:
+            shape = lambda schema: [(f.name, f.dataType.simpleString()) for f in schema.fields]
+            have, new = shape(StructType.fromJson(json.loads(base["schema"]))), shape(df.schema)
+            if have != new:
+                raise ValueError(f"the store has the columns {have}, the append {new}")
         new = self._write(df, 0)
         return self._commit(base, base["shards"] + new, base["schema"] or df.schema.json())
 
@@ -119,8 +126,6 @@ class ShardStore:
             self._commit(base, [s for s in base["shards"] if s.path not in gone] + merged, base["schema"])
 
     def _read(self, manifest: dict, shards: list[Shard]) -> DataFrame:
-        from pyspark.sql.types import StructType
-
         schema = StructType.fromJson(json.loads(manifest["schema"]))
         if not shards:
             return self.spark.createDataFrame([], schema)

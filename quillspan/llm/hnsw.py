@@ -20,9 +20,8 @@ vectors: the square of the input, divided by that. 8 shards serve 1.6 million ve
 Defined results. Null, empty, zero or non-finite vectors link with nothing: 0 links, a
 component of their own. Vectors of different lengths don't link. Rows that repeat a
 vec_id with one vector count as one vector. A vec_id with several different vectors is
-one node: links of any of them lead to it, and n_links is at least that of its
-best-linked vector. A null
-vec_id links with nothing, has a null component_id and is kept. An empty table gives no
+one node: links of any of them lead to it and through it, and n_links adds up the links of
+each of its vectors, those among them included. A null vec_id links with nothing, has a null component_id and is kept. An empty table gives no
 rows. Only vec_id and the embedding are read, labels and further columns never.
 """
 
@@ -275,6 +274,14 @@ def _valid(vectors: DataFrame, kind: str) -> DataFrame:
     return keyed(vectors, "vec_id", "embedding").where("vec_id IS NOT NULL").mapInArrow(lean(run), "vec_id long, v binary").where("v IS NOT NULL")
 
 
+def _same_id(valid: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges between the representatives of the different vectors that rows of one vec_id have."""
+    several = materialize(valid.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "several-vectors")
+    nodes = materialize(valid.join(several, "vec_id", "left_semi").join(reps.select("v", "rep"), "v").select("vec_id", "rep"), "several-nodes")
+    low = nodes.groupBy("vec_id").agg(F.min("rep").alias("low"))
+    return nodes.join(low, "vec_id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors."""
     element = vectors.schema["embedding"].dataType.elementType.simpleString()
@@ -318,10 +325,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     right = rows.select("w", upto("shards").alias("shard"), F.lit(1).alias("kind"), F.col("rep").alias("id"), F.col("v").alias("data"), F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int").alias("block"))
     found = materialize(map_groups(left.unionByName(right), ["w", "shard", "block"], query, "id long, n long, other long", ["kind", "id"]), "found")
     counts = found.where("other IS NULL").groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
-    parts = connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    edges = found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    parts = connected_components(edges.union(_same_id(valid, reps)))
     classes = reps.join(counts, "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     classes = materialize(classes.select("v", (F.col("n") + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("class")), "classes")
-    per = valid.join(classes, "v").groupBy("vec_id").agg(F.max("n").alias("n"), F.min("class").alias("class"))
+    per = valid.join(classes, "v").groupBy("vec_id").agg(F.sum("n").alias("n"), F.min("class").alias("class"))
     component = F.coalesce("class", "vec_id")
     out = every.join(per, "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
     for old in (graphs, found, sizes):

@@ -5,8 +5,11 @@ piece. A word's probability is the sum over all its segmentations into pieces, f
 the forward algorithm; a text's is the product over its words, as no piece crosses a
 word's start. Pieces of every length count. Training is expectation-maximisation over
 the same sum (forward-backward) on the word counts of a sample of labelled documents:
-about `max_docs` a language, chosen by a hash of the row, with all their words. That bound
-holds the model's cost; prediction reads every whole text.
+about `max_docs` a language, chosen by a hash of the row, with all their words of up to
+LONG letters (longer runs are no words of a language). That bound holds the model's cost;
+prediction reads every whole text. A longer run is scored exactly too: it is cut into
+parts that are worked off side by side, for each of the states that a part can begin in,
+and the parts are then joined like matrices, so a run of a million letters takes seconds.
 
 Scale. One pass over the texts, no shuffle of texts; the model has fixed size.
 
@@ -37,6 +40,9 @@ MAX_DOCS = 300
 ROUNDS = 3
 FAR = 3.0  # times as surprising, letter by letter, as the language's own texts
 CACHED = 250_000
+LONG = 256  # letters of a word that a sample may teach; longer ones are scored in parts
+PART = 512  # letters of a part
+SIDE = 64  # parts that are worked off at a time
 _START = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -124,7 +130,11 @@ def word_scores(words: list[str], table: Pieces, probs: np.ndarray) -> np.ndarra
     last one is zero. Forward values are scaled as they go, so long words don't vanish.
     """
     out = np.zeros((len(words), probs.shape[1]))
-    for at, first in _by_length(words):
+    for k, word in enumerate(words):
+        if len(word) > LONG:
+            out[k] = _long_score(word, table, probs)
+    short = [k for k, word in enumerate(words) if len(word) <= LONG]
+    for at, first in _by_length([words[k] for k in short]):
         t = len(first) - 1
         ring, log = [np.ones((len(at), probs.shape[1]))], np.zeros((len(at), probs.shape[1]))
         for j in range(1, t + 1):
@@ -137,10 +147,53 @@ def word_scores(words: list[str], table: Pieces, probs: np.ndarray) -> np.ndarra
             ring = [np.minimum(r / scale, 1e280) for r in ring[1 - table.longest :]] + [np.ones_like(now)] if j % 8 == 0 else [*ring[-table.longest :], now]
             if j % 8 == 0:
                 log += np.log(scale)
-        out[at] = log + np.log(np.maximum(ring[-1], 1e-300))
+        out[[short[k] for k in at]] = log + np.log(np.maximum(ring[-1], 1e-300))
     return out
 
 
+def _long_score(word: str, table: Pieces, probs: np.ndarray) -> np.ndarray:
+    """word_scores() of one long word. The forward values at a part's end are linear in the
+    `longest` values before its start; the parts' matrices come from running each part on
+    the unit vectors, SIDE parts at a time, and the values go through them in order."""
+    deep, langs = table.longest, probs.shape[1]
+    codes = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+    codes = np.concatenate([np.array([ord(_START) + 1], np.uint64), codes])
+    state, log = np.zeros((deep, langs)), np.zeros(langs)  # values at the last positions, the newest last
+    state[-1] = 1
+    done = 0  # positions whose values are known
+    while done < len(codes):
+        whole = min(SIDE, (len(codes) - done) // PART)
+        parts, size = (whole, PART) if whole else (1, len(codes) - done)
+        before = min(done, deep)
+        text = np.concatenate([np.zeros(deep - before, np.uint64), codes[done - before : done + parts * size]])
+        rows = np.stack([text[k * size : k * size + size + deep] for k in range(parts)])
+        hashes = np.zeros((size + deep + 1, parts), np.uint64)
+        for j in range(size + deep):
+            hashes[j + 1] = hashes[j] * _BASE + rows[:, j]
+        ring = [np.zeros((parts, deep, langs)) for _ in range(deep)]
+        for b in range(deep):
+            ring[b][:, b] = 1
+        part_log = np.zeros((parts, langs))
+        for j in range(1, size + 1):
+            now = np.zeros((parts, deep, langs))
+            for span in range(1, deep + 1):
+                ids = _piece_ids(hashes, table, deep + j, span)
+                if (ids >= 0).any():
+                    now += ring[-span] * probs[ids][:, None, :]
+            ring = [*ring[1:], now]
+            if j % 8 == 0:
+                scale = np.maximum(np.max([r.max(axis=1) for r in ring], axis=0), 1e-280)
+                ring = [r / scale[:, None] for r in ring]
+                part_log += np.log(scale)
+        matrices = np.stack(ring, axis=1)  # part, place at the end, place before the start, language
+        for k in range(parts):
+            state = np.einsum("obl,bl->ol", matrices[k], state)
+            scale = np.maximum(state.max(axis=0), 1e-280)
+            state, log = state / scale, log + np.log(scale) + part_log[k]
+        done += parts * size
+    return log + np.log(np.maximum(state[-1], 1e-300))
+
+
 def _expected(words: list[str], weights: np.ndarray, table: Pieces, probs: np.ndarray) -> np.ndarray:
     """Expected piece counts of one language's words under its probabilities."""
     counts = np.zeros(table.size + 2)
@@ -191,7 +244,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, vocabulary: str | None = No
     table = Pieces.of(vocabulary_pieces(vocabulary or tokenizer_path(VOCABULARY)))
     if not langs:
         return Model([], table, np.zeros((table.size + 2, 0)), np.zeros(0))
-    words = _drawn(labelled, sizes, max_docs, 0).select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
+    words = _drawn(labelled, sizes, max_docs, 0).select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).where(F.length("word") <= LONG)
     rows = words.groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy("lang", "word").toPandas()
     probs = np.zeros((table.size + 2, len(langs)))
     for k, lang in enumerate(langs):

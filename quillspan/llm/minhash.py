@@ -197,6 +197,17 @@ def _forest(percent: int):
     return run
 
 
+def _same_document(sig: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges between the representatives of the different sets that rows of one doc_id have."""
+    own = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    several = own.groupBy("doc_id").agg(F.min("print").alias("one"), F.max("print").alias("two")).where("one <> two").select("doc_id")
+    several = materialize(several, "several-texts")
+    sets = own.join(several, "doc_id", "left_semi").select("doc_id", "print").distinct().join(reps, "print").select("doc_id", "rep")
+    sets = materialize(sets, "several-sets")
+    low = sets.groupBy("doc_id").agg(F.min("rep").alias("low"))
+    return sets.join(low, "doc_id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
@@ -223,8 +234,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "sketch", "items")
-    links = map_groups(dealt, ["family", "i", "j"], _forest(percent), "a long, b long", ["block"])
-    parts = connected_components(materialize(links, "links"))
+    links = materialize(map_groups(dealt, ["family", "i", "j"], _forest(percent), "a long, b long", ["block"]), "links")
+    parts = connected_components(links.union(_same_document(sig, reps)))
     for old in (bands, first):
         discard(old)
     classes = reps.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("class"))

@@ -2,11 +2,17 @@
 
 A classifier learned from a labelled table gives each document a posterior over domains.
 Document rates r >= 0 are then fitted so that the expected domain token totals,
-sum_i r_i * tokens_i * p_i, meet the targets with the least change (squares of r - 1,
-weighted by tokens): r_i = max(0, 1 - p_i . y). y is found by steps on the dual function,
-its gradient (target - total) times the inverse of G = sum_i tokens_i p_i p_i' over the
-documents that are not at their bound, until each total is within 1e-4 of its own target;
-shorter steps are tried in the same pass. Targets that no rates meet are logged as missed.
+sum_i r_i * tokens_i * p_i, meet the targets, by projected gradient steps on the least
+squares of the misfit. Its gradient for document i is p_i . (total - target), so the
+gradients of all steps add up to one number a domain, y, and the steps are projected in
+their lazy form: r_i = max(0, 1 - p_i . y), the starting rate moved by all steps so far
+and cut at the bound. Among the rates that meet the targets this leads to those with the
+least change (squares of r - 1, weighted by tokens). Plain steps need hundreds of passes
+where domains overlap, so a step is preconditioned: (total - target) times the inverse of
+G = sum_i tokens_i p_i p_i' over the documents that are not at their bound; it is halved,
+in the same pass, where that comes closer. Steps end when each total is within 1e-4 of its
+own target. Targets that no rates meet are logged as missed, and mix_rates() returns the
+relative miss of each row's domain.
 
 Scale. A pass reads one narrow table (tokens and posteriors) and needs only domains-many
 sums for each tried step, so no state per document is kept, nothing is shuffled and a
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from quillspan.llm.common import byte_texts, keyed, lean, materialize, read_table, wide
+from quillspan.llm.common import byte_texts, free_names, keyed, lean, materialize, read_table, wide
 
 MAX_LABELLED = 2000  # documents that the classifier is fitted on, about
 LEAST_DOCS = 3  # that have a feature, in the sample
@@ -189,9 +195,10 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return wide(keyed(docs, "doc_id", "text")).mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, p array<double>")
 
 
-def _classified(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs with n_tokens as _n and the posterior as _p, under names that docs doesn't have."""
+def _classified(docs: DataFrame, model: Classifier) -> tuple[DataFrame, list[str]]:
+    """docs with n_tokens and the posterior, and the names of these two, which docs doesn't have."""
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    added = free_names(names, "_n", "_p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -201,9 +208,9 @@ def _classified(docs: DataFrame, model: Classifier) -> DataFrame:
                 part = batch.slice(at, 1000)
                 bags = [_bag(t, known) for t in byte_texts(part.column("text"))]
                 new = [pa.array([n for n, _ in bags], pa.int64()), pa.array([own.posterior(b).tolist() for _, b in bags], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *new], [*names, "_n", "_p"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *new], [*names, *added])
 
-    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField("_n", LongType()), StructField("_p", ArrayType(DoubleType()))]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(added[0], LongType()), StructField(added[1], ArrayType(DoubleType()))])), added
 
 
 def rates(n: np.ndarray, p: np.ndarray, steps: list[np.ndarray], least: np.ndarray | None = None) -> np.ndarray:
@@ -220,7 +227,7 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
 
 
 def _sums(table: DataFrame, k: int, tried: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Domain totals at rate 1, and for each tried y: the dual function without its linear
+    """Of a table of (tokens, posterior): domain totals at rate 1, and for each tried y: the dual function without its linear
     part, the domain totals, and G over the documents that are not at their bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +243,7 @@ def _sums(table: DataFrame, k: int, tried: np.ndarray, least: np.ndarray) -> tup
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "x"])
 
     out = np.zeros(k + len(tried) * (1 + k + k * k))
-    columns = ["_n", "_p"] if "_p" in table.columns else ["n_tokens", "p"]
-    for r in table.select(*columns).mapInArrow(lean(run), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+    for r in table.mapInArrow(lean(run), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
         out[r.i] = r.x
     each = out[k:].reshape(len(tried), -1)
     return out[:k], each[:, 0], each[:, 1 : k + 1], each[:, k + 1 :].reshape(-1, k, k)
@@ -260,7 +266,8 @@ def _solve(table: DataFrame, goals: np.ndarray, least: np.ndarray, passes: int,
 
 
 def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], passes: int = PASSES, tolerance: float = 1e-4, least: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The steps y, the domain totals they reach, and the target totals.
+    """The sum of the steps, y, the domain totals that it reaches, and the target totals, for a
+    table of (tokens, posterior) rows.
 
     Each total is within tolerance of its own target. If no rates do that, a warning names
     the domains that miss and by how much, and rates stay moderate (GIVE).
@@ -278,19 +285,24 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], p
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, n_tokens, domain (the likeliest), rate for each row of docs."""
+    """doc_id, n_tokens, domain (the likeliest), rate, domain_miss for each row of docs.
+
+    domain_miss: by how much of its target the domain's expected total differs from it after
+    mixing, at most 1e-4 where the targets can be met."""
     model = fit_classifier(docs, labels, max_labelled)
     table = materialize(memberships(docs, model), "memberships")
-    steps, _, _ = fit_rates(table, model.domains, targets or TARGETS)
+    steps, reached, goal = fit_rates(table.select("n_tokens", "p"), model.domains, targets or TARGETS)
+    miss = np.abs(reached - goal) / np.maximum(goal, 1)
     names, k = np.array(model.domains, object), len(model.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = _matrix(b.column(2), k)
             r = rates(b.column(1).to_numpy(), p, steps)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[p.argmax(axis=1)], pa.string()), pa.array(r)], ["doc_id", "n_tokens", "domain", "rate"])
+            own = p.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[own], pa.string()), pa.array(r), pa.array(miss[own])], ["doc_id", "n_tokens", "domain", "rate", "domain_miss"])
 
-    return table.mapInArrow(lean(run), f"doc_id {table.schema['doc_id'].dataType.simpleString()}, n_tokens long, domain string, rate double")
+    return table.mapInArrow(lean(run), f"doc_id {table.schema['doc_id'].dataType.simpleString()}, n_tokens long, domain string, rate double, domain_miss double")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -301,15 +313,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     targets = targets or TARGETS
     least = np.array([float(targets.get(d, 1.0) >= 1) for d in model.domains])
     # one pass classifies; texts are written once beside their posteriors, and not classified again
-    table = materialize(_classified(docs, model), "classified")
-    steps, _, _ = fit_rates(table, model.domains, targets, least=least)
+    table, (tokens, posterior) = _classified(docs, model)
+    table = materialize(table, "classified")
+    steps, _, _ = fit_rates(table.select(tokens, posterior), model.domains, targets, least=least)
     names, k = docs.columns, len(model.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                r = rates(part.column("_n").to_numpy(), _matrix(part.column("_p"), k), steps, least)
+                r = rates(part.column(tokens).to_numpy(), _matrix(part.column(posterior), k), steps, least)
                 u = np.array([xxhash.xxh3_64_intdigest(b"%s/%s" % (str(i).encode(), t or b"")) / 2.0**64 for i, t in zip(part.column("doc_id").to_pylist(), byte_texts(part.column("text")), strict=True)])
                 yield part.select(names).take(pa.array(np.repeat(np.arange(part.num_rows), np.floor(r + u).astype(np.int64))))
 

@@ -1,0 +1,132 @@
+"""Ids with several texts or vectors, clashing columns, long runs, differing appends, threads."""
+
+import random
+import threading
+
+import numpy as np
+import pytest
+
+from quillspan.llm import common, compaction, hnsw, langid, minhash, mixing, pii
+
+SF = "/root/testdata/sf0.001"
+
+
+def united(links, ids):
+    parent = {i: i for i in ids}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_documents_of_one_id_unite_what_they_link(spark):
+    rng = random.Random(3)
+    bases = [[f"w{rng.randrange(4000)}" for _ in range(80)] for _ in range(8)]
+    rows = [(0, bases[0]), (7, bases[0]), (7, bases[1]), (9, [*bases[1][:-1], "other"])]
+    rows += [(rng.randrange(10, 40), b if rng.random() < 0.5 else [*b[:40], f"x{rng.randrange(3)}", *b[41:]]) for b in bases[2:] for _ in range(5)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    sets = [(i, set(zip(w, w[1:], w[2:], strict=False))) for i, w in rows]
+    links = [(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if 100 * len(a & b) >= 85 * len(a | b)]
+    want = united(links, {i for i, _ in rows})
+    got = minhash.near_duplicates(docs, size=3, percent=85).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] and r.kept == (want[r.doc_id] == r.doc_id) for r in got)
+    assert want[9] == 0
+
+
+def test_vectors_of_one_id_unite_what_they_link(spark):
+    rng = np.random.default_rng(5)
+    bases = rng.normal(size=(10, 16))
+    rows = [(0, bases[0]), (7, bases[0]), (7, bases[1]), (9, bases[1] + rng.normal(size=16) * 0.01)]
+    rows += [(int(rng.integers(10, 40)), b + rng.normal(size=16) * rng.choice([0.0, 0.01])) for b in bases[2:] for _ in range(5)]
+    data = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v in data]
+    links = [(i, j) for k, (i, a) in enumerate(unit) for j, b in unit[:k] if a @ b >= 0.95]
+    want = united(links, {i for i, _ in rows})
+    got = hnsw.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.vec_id] for r in got) and want[9] == 0
+
+
+def test_mixing_with_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 AS _n", "'x' AS _P", "2 AS n_tokens", "3 AS p", "4 AS rate")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    plain = mixing.mix(docs.drop("_n", "_P", "n_tokens", "p", "rate"), labels)
+    out = mixing.mix(docs, labels)
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in plain.collect())
+    got = mixing.mix_rates(docs, labels).collect()
+    assert max(r.domain_miss for r in got) <= 1e-4  # all targets are met here
+    few = mixing.mix_rates(docs, labels, {"good": 5.0, "plain": 0.0, "toxic": 0.0}).collect()
+    assert max(r.domain_miss for r in few) > 0.01  # these can't be
+
+
+def test_stages_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "write to a.b@example.org about it", "x", 1, "y"), (2, None, None, None, None)], "doc_id long, text string, kind string, score int, spans string")
+    assert pii.redact(docs).columns == docs.columns
+    own = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(own)
+    extra = own.selectExpr("*", "'x' AS lang_pred", "1 AS score", "2 AS family", "3 AS block")
+    assert langid.keep_known(extra, model).columns == extra.columns
+    assert minhash.near_duplicates(extra).count() == own.count()
+
+
+def test_long_runs_are_scored_whole():
+    table = langid.Pieces.of(langid.vocabulary_pieces(langid.tokenizer_path(langid.VOCABULARY)))
+    probs = np.random.default_rng(1).dirichlet(np.ones(table.size + 2) * 0.3, 3).T.copy()
+    probs[-1] = 0
+    rng = random.Random(2)
+    words = ["".join(rng.choices("etaoinshrdlucmé", k=n)) for n in (257, 300, 511, 512, 513, 1025, 2000)]
+    got = langid.word_scores(words, table, probs)
+    numbers = {p: k for k, p in enumerate(langid.vocabulary_pieces(langid.tokenizer_path(langid.VOCABULARY)))}
+    for word, row in zip(words, got, strict=True):
+        text = "▁" + word
+        fore, log = [np.ones(3)], np.zeros(3)
+        for j in range(1, len(text) + 1):
+            now = np.zeros(3)
+            for s in range(1, min(j, table.longest) + 1):
+                k = numbers.get(text[j - s : j], table.size if s == 1 else None)
+                if k is not None:
+                    now = now + fore[-s] * probs[k]
+            fore, log = [f / now for f in fore[1 - table.longest :]] + [np.ones(3)], log + np.log(now)
+        assert np.allclose(row, log, rtol=1e-9)
+
+
+def test_a_million_letters(spark):
+    rng = random.Random(4)
+    run = "".join(rng.choices("acgt", k=1_000_000))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").union(spark.createDataFrame([(-1, run, "en")], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert got[-1].lang_pred != "und" and len(got) == docs.count()
+
+
+def test_an_append_with_other_columns_is_refused(spark, tmp_path):
+    store = compaction.ShardStore(spark, str(tmp_path / "s"))
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    for other in ("other string", "doc_id long", "doc_id int, text string", "text string, doc_id long"):
+        with pytest.raises(ValueError, match="columns"):
+            store.append(spark.createDataFrame([], other))
+    assert store.append(spark.createDataFrame([(2, "b")], "doc_id long not null, text string")) == 2
+    assert sorted(tuple(r) for r in store.read().collect()) == [(1, "a"), (2, "b")]
+
+
+def test_tables_of_other_threads_stay(spark):
+    """tables_inside() drops what its own thread wrote, also when it fails."""
+    made = {}
+
+    def other():
+        made["kept"] = common.materialize(spark.range(3), "kept")
+
+    with pytest.raises(ZeroDivisionError), common.tables_inside(spark):
+        made["gone"] = common.materialize(spark.range(3), "gone")
+        t = threading.Thread(target=other)
+        t.start()
+        t.join()
+        raise ZeroDivisionError
+    assert made["kept"].count() == 3
+    assert not common.filesystem(spark, "/").exists(common.hadoop_path(spark, made["gone"]._quillspan_path))
+    assert common.free_names(["_N", "_n_", "x"], "_n", "p") == ["_n__", "p"]
