@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from quillspan.functions.text import UNKNOWN
@@ -150,25 +153,93 @@ def hash_order(seed: str, key: str) -> Column:
     return F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)
 
 
-def ranked_by_flags(rows: DataFrame, flags: list[Column], seed: str, key: str) -> DataFrame:
-    """rows with place: those with the first flag first, then the second, ...; equals in hash order."""
-    order = [F.desc(F.coalesce(f, F.lit(False))) for f in flags]
-    return rows.withColumn("_h", hash_order(seed, key)).withColumn("place", F.row_number().over(W.orderBy(*order, "_h", key))).drop("_h")
-
-
 def best_by_flags(rows: DataFrame, group: str, flags: list[Column], seed: str, key: str, n: int) -> DataFrame:
-    """The first n rows of each group in that order, with place: cut before the shuffle."""
+    """The first n rows of each group, with place: those with the first flag first, then the second,
+    ...; equals in hash order. Cut before the shuffle."""
     order = [F.desc(F.coalesce(f, F.lit(False))) for f in flags]
     rows = rows.withColumn("_h", hash_order(seed, key))
     return rows.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order, "_h", key))).where(F.col("place") <= n).drop("_h")
 
 
-def round_robin(rows: DataFrame, pool: str, key: Column, n: int) -> DataFrame:
-    """Pools take turns in name order, each up to ceil(2 n / pools); pools share no row."""
-    pools = rows.select(F.count_distinct(pool).alias("_pools"))
-    rows = rows.withColumn("_turn", F.row_number().over(W.partitionBy(pool).orderBy(key))).where(F.col("_turn") <= 2 * n)
-    rows = rows.crossJoin(pools).where(F.col("_turn") <= F.greatest(F.lit(1), F.ceil(F.lit(2.0 * n) / F.col("_pools"))))
-    return rows.orderBy("_turn", pool).limit(n).withColumnRenamed("_turn", "turn").drop("_pools")
+FEW = 100_000  # rows that one task may walk
+
+
+def _turns(rows: DataFrame) -> DataFrame:
+    """rows with the least and the largest turn that they can be taken in: one more than the kept
+    rows before them in their pool, and than those that may be kept."""
+    before = W.partitionBy("_pool").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
+    sure, maybe = F.coalesce(F.sum(F.col("_sure").cast("int")).over(before), F.lit(0)), F.coalesce(F.count("*").over(before), F.lit(0))
+    return rows.withColumns({"_least": sure + 1, "_most": maybe + 1})
+
+
+def round_robin(rows: DataFrame, pool: str, place: list[Column], n: int, shape: str, maker: str, cap: int, unknown: str = UNKNOWN, few: int = FEW) -> DataFrame:
+    """Pools take turns, in the order of their names, until n rows are taken: each takes its first row
+    whose shape no pool has taken, and whose maker (unless unknown) has fewer than cap rows so
+    far. A row that is passed over costs no turn; no pool takes more than ceil(2 n / pools).
+    Pools may share rows. shape decides maker. Adds turn.
+
+    A pool passes over a row only if its shape is taken or its maker is full. So of a pool only
+    the first row of a shape and the first cap of a maker count, and of these the first
+    ceil(2 n / pools) + 2 n, however large the pool is. The rest is decided in rounds: the turn
+    of a row lies between those with none and with all of the open rows before it taken; a row is
+    dropped if rows that surely come before it take its shape or fill its maker, and kept if
+    no row that may come before it could. The earliest open row is always decided. Once
+    `few` rows are left, one task walks them in their order.
+    """
+    pools = rows.select(pool).distinct().count()
+    most = max(1, -(-2 * n // max(1, pools)))
+    own = rows.withColumns({"_pool": F.col(pool), "_shape": F.col(shape), "_maker": F.when(F.col(maker) != unknown, F.col(maker)), "_order": F.struct(*place)})
+    own = own.withColumn("_s", F.row_number().over(W.partitionBy("_pool", "_shape").orderBy("_order"))).where("_s = 1")
+    own = own.withColumn("_m", F.row_number().over(W.partitionBy("_pool", "_maker").orderBy("_order"))).where((F.col("_m") <= cap) | F.col("_maker").isNull())
+    own = own.withColumn("_place", F.row_number().over(W.partitionBy("_pool").orderBy("_order"))).where(F.col("_place") <= most + 2 * n)
+    left = staged(own.drop("_s", "_m", "_order").withColumn("_sure", F.lit(False)), "pools")
+    size = left.count()
+    while size > few:
+        now = staged(_turns(left).where(F.col("_least") <= most), "turns")
+        if not now.where("NOT _sure").limit(1).count():
+            left = now.drop("_least", "_most")
+            break
+        key = F.struct(F.col("_least").alias("a"), F.col("_most").alias("b"), F.col("_pool").alias("p"), F.col("_sure").alias("s"))
+        held = lambda c: now.where(F.col(c).isNotNull()).groupBy(c).agg(F.collect_list(key).alias(f"{c}s"))  # noqa: E731  # a row a pool and shape; cap rows a pool and maker
+        both = now.join(held("_shape"), "_shape").join(held("_maker"), "_maker", "left")
+        sooner = lambda k: F.struct(k["b"], k["p"]) < F.struct("_least", "_pool")
+        maybe = lambda k: F.struct(k["a"], k["p"]) < F.struct("_most", "_pool")
+        other = lambda k: k["p"] != F.col("_pool")
+        count = lambda c, test: F.coalesce(F.size(F.filter(c, test)), F.lit(0))
+        gone = (count("_shapes", lambda k: k["s"] & sooner(k) & other(k)) > 0) | (F.coalesce(count("_makers", lambda k: k["s"] & sooner(k)), F.lit(0)) >= cap)
+        free = (count("_shapes", lambda k: maybe(k) & other(k)) == 0) & (F.col("_makers").isNull() | (count("_makers", lambda k: maybe(k)) < cap))
+        decided = both.where(F.col("_sure") | ~gone).withColumn("_sure", F.col("_sure") | free)
+        left = staged(decided.select(*rows.columns, *[c for c in left.columns if c not in rows.columns and c != "_sure"], "_sure"), "pools")
+        size = left.count()
+    if size <= few:
+        names = rows.columns
+
+        def walk(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("_place")
+            known = frame["_maker"].notna()
+            heads = {p: list(zip(part.index, part["_shape"], part["_maker"], known[part.index], strict=True)) for p, part in sorted(frame.groupby("_pool"), key=lambda x: x[0])}
+            at, taken, shapes, makers, out = dict.fromkeys(heads, 0), dict.fromkeys(heads, 0), set(), Counter(), []
+            while len(out) < n:
+                before = len(out)
+                for p, mine in heads.items():
+                    while taken[p] < most and at[p] < len(mine) and len(out) < n:
+                        i, kind, who, named = mine[at[p]]
+                        at[p] += 1
+                        if kind not in shapes and not (named and makers[who] >= cap):
+                            shapes.add(kind)
+                            makers[who] += bool(named)
+                            taken[p] += 1
+                            out.append((i, taken[p]))
+                            break
+                if len(out) == before:
+                    break
+            return frame.loc[[i for i, _ in out]].assign(turn=[t for _, t in out])[[*names, "turn"]]
+
+        one = left.select(*rows.columns, *[c for c in ("_pool", "_shape", "_maker", "_place") if c not in rows.columns]).withColumns({"_shape": F.col("_shape").cast("string"), "_maker": F.col("_maker").cast("string"), "_one": F.lit(0)})
+        return one.groupBy("_one").applyInPandas(walk, StructType([*rows.schema.fields, StructField("turn", IntegerType())]))
+    turns = left.withColumn("turn", F.row_number().over(W.partitionBy("_pool").orderBy("_place")))
+    turns = turns.where(F.col("turn") <= most)
+    return turns.orderBy("turn", "_pool").limit(n).select(*rows.columns, "turn")
 
 
 def moved_quotas(groups: DataFrame, shares: list[float]) -> DataFrame:

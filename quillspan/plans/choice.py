@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import text
+from quillspan.functions.text import UNKNOWN
 from quillspan.operators import joins, select, state
 from quillspan.plans.base import query
 from quillspan.sources.io import table
@@ -108,12 +109,28 @@ def two_key_cap_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.two_key_cap(rows, "artist", "name", ["price", "l_orderkey", "l_linenumber", "l_partkey"], 3).select("l_orderkey", "l_linenumber", "artist", "name")
 
 
-@query("""WITH t AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('topic:' || doc_id)) AS turn FROM documents WHERE source IS NOT NULL),
-c AS (SELECT greatest(1, ceil(400.0 / count(DISTINCT source))) AS cap FROM t)
-SELECT doc_id, source, turn::INT AS turn FROM t, c WHERE turn <= cap ORDER BY turn, source LIMIT 200""")
+_ROBIN = """WITH RECURSIVE d AS (SELECT doc_id, n_chars % 460 AS shape, CASE WHEN n_chars % 460 % 23 > 0 THEN 'm' || n_chars % 460 % 23 ELSE 'Unknown artist' END AS maker, sha256('topic:' || doc_id) AS h, source, lang FROM documents WHERE n_chars IS NOT NULL),
+p AS (SELECT 's:' || source AS pool, * FROM d WHERE source IS NOT NULL UNION ALL SELECT 'l:' || lang, * FROM d WHERE lang IS NOT NULL),
+c AS (SELECT *, dense_rank() OVER (ORDER BY pool) - 1 AS k, row_number() OVER (PARTITION BY pool ORDER BY h, doc_id) AS place FROM p),
+z AS (SELECT count(DISTINCT pool) AS pools, greatest(1, ceil(180.0 / count(DISTINCT pool))) AS most FROM c),
+t AS (SELECT 0 AS step, NULL::STRUCT(place BIGINT, doc_id BIGINT, pool VARCHAR, shape BIGINT, maker VARCHAR, k BIGINT) AS pick, []::BIGINT[] AS shapes, []::VARCHAR[] AS makers, []::BIGINT[] AS took, 0 AS idle
+  UNION ALL SELECT step + 1, pick, CASE WHEN pick IS NULL THEN shapes ELSE list_append(shapes, pick.shape) END, CASE WHEN pick IS NULL THEN makers ELSE list_append(makers, pick.maker) END,
+    CASE WHEN pick IS NULL THEN took ELSE list_append(took, pick.k) END, CASE WHEN pick IS NULL THEN idle + 1 ELSE 0 END
+  FROM (SELECT t.step, t.shapes, t.makers, t.took, t.idle, min(struct_pack(place := c.place, doc_id := c.doc_id, pool := c.pool, shape := c.shape, maker := c.maker, k := c.k)) FILTER (WHERE c.k IS NOT NULL) AS pick
+    FROM t CROSS JOIN z LEFT JOIN c ON c.k = t.step % z.pools AND NOT list_contains(t.shapes, c.shape) AND (c.maker = 'Unknown artist' OR len(list_filter(t.makers, lambda m: m = c.maker)) < 3) AND len(list_filter(t.took, lambda m: m = c.k)) < z.most
+    WHERE len(t.took) < 90 AND t.idle < z.pools GROUP BY ALL))
+SELECT pick.doc_id AS doc_id, pick.pool AS pool, pick.shape AS shape, pick.maker AS maker, len(list_filter(took, lambda m: m = pick.k))::INT AS turn FROM t WHERE pick IS NOT NULL"""
+
+
+@query(_ROBIN)
 def topic_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", "source")
-    return select.round_robin(d, "source", F.sha2(F.concat(F.lit("topic:"), F.col("doc_id").cast("string")), 256), 200)
+    """Pools by source and by language share documents, shapes and makers; 90 of them in turns, one of
+    each shape, three of a known maker."""
+    d = table(spark, sf_dir, "documents").where("n_chars IS NOT NULL").selectExpr("doc_id", "source", "lang", "n_chars % 460 AS shape")
+    d = d.withColumn("maker", F.when(F.col("shape") % 23 > 0, F.concat(F.lit("m"), F.col("shape") % 23)).otherwise(UNKNOWN))
+    pools = d.withColumn("pool", F.explode(F.array(F.concat(F.lit("s:"), "source"), F.concat(F.lit("l:"), "lang")))).where("pool IS NOT NULL")
+    order = [F.sha2(F.concat(F.lit("topic:"), F.col("doc_id").cast("string")), 256), F.col("doc_id")]
+    return select.round_robin(pools, "pool", order, 90, "shape", "maker", 3).select("doc_id", "pool", "shape", "maker", "turn")
 
 
 @query("""SELECT p_type, p_partkey, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_size % 5 = 0 DESC, p_brand < 'Brand#15' DESC, p_retailprice > 1000 DESC, sha256('1337' || p_partkey), p_partkey) AS place FROM part) WHERE place <= 30""")
