@@ -1,4 +1,5 @@
-"""Ranks, ranking metrics and gates."""
+"""Ranks, ranking metrics and gates. Ranks write the ranges that they deal rows to, so a call that
+returns them runs a job."""
 
 from __future__ import annotations
 
@@ -12,26 +13,31 @@ FIT, NON_FIT = 2.0, 0.5
 SHIP_MARGIN, INSTALLED_MARGIN = 0.05, 0.01
 
 
-def ordinal(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """rows with their place, from 1, in the order of a unique key. Rows are dealt to ranges of the
-    key; places within a range are offset by the sizes of the ranges before it, so only one
+def running(rows: DataFrame, order: list[Column | str], size: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with name: the sum of `size` over the rows up to them in `order`, which is unique, within
+    `by`. Rows are dealt to ranges of (by, order), so a group that has most rows lies in many of
+    them; sums within a range are offset by those of the group's ranges before it, and only one
     number a range comes together."""
-    dealt = staged(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(key))
-    return dealt.withColumn("_in", inside).join(before, "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_before", "_in")
+    dealt = staged(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*by, "_range").agg(F.sum(size).alias("_held"))
+    before = sizes.select(F.col("_range").alias("_of_range"), *[F.col(c).alias(f"_of_by{k}") for k, c in enumerate(by)], (F.sum("_held").over(W.partitionBy(*by).orderBy("_range")) - F.col("_held")).alias("_before"))
+    inside = dealt.withColumn("_inside", F.sum(size).over(W.partitionBy(*by, "_range").orderBy(*order)))
+    same = F.col("_range") == F.col("_of_range")
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_of_by{k}"))
+    return inside.join(before, same).withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_of_range", "_before", "_inside", *[f"_of_by{k}" for k in range(len(by))])
+
+
+def ordinal(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with their place, from 1, in the order of a unique key."""
+    return running(rows.withColumn("_one", F.lit(1)), [key], "_one", name).drop("_one")
 
 
-def shared_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """value, name: ranks from 1 over all rows, equal values sharing their mean. Counts of values are
-    ranked by ranges, as in ordinal()."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("_c")).repartitionByRange(value).withColumn("_part", F.spark_partition_id())
-    counts = staged(counts, "counts")
-    sizes = counts.groupBy("_part").agg(F.sum("_c").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    upto = F.sum("_c").over(W.partitionBy("_part").orderBy(value))
-    return counts.withColumn("_upto", upto).join(before, "_part").select(value, (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
+def shared_ranks(rows: DataFrame, value: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, value, name: ranks from 1 over all rows (of each `by`), equal values sharing their mean.
+    Counts of values are ranked, not rows."""
+    counts = running(rows.groupBy(*by, value).agg(F.count("*").alias("_c")), [value], "_c", "_upto", by)
+    return counts.select(*by, value, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
 
 
 def spearman(rows: DataFrame, one: str, other: str) -> DataFrame:
@@ -39,16 +45,13 @@ def spearman(rows: DataFrame, one: str, other: str) -> DataFrame:
     return rows.join(shared_ranks(rows, one, "_x"), one).join(shared_ranks(rows, other, "_y"), other).agg(F.corr("_x", "_y").alias("rho"))
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Ranks from 1; equal values share their mean rank."""
-    return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2
-
-
 def within_auc(rows: DataFrame, group: str, fit: str, score: str) -> DataFrame:
-    """One row: pairs ordered right (ties half) over all fit/other pairs of a group; null if none."""
-    r = rows.withColumn("_r", average_rank(score, group))
-    g = r.groupBy(group).agg(F.sum(F.when(F.col(fit), F.col("_r"))).alias("s"), F.count_if(fit).alias("p"), F.count_if(~F.col(fit)).alias("n"))
-    return g.agg((F.sum(F.when(F.col("n") > 0, F.coalesce("s", F.lit(0)) - F.col("p") * (F.col("p") + 1) / 2)) / F.nullif(F.sum(F.col("p") * F.col("n")), F.lit(0))).alias("auc"))
+    """One row: pairs ordered right (ties half) over all fit/other pairs of a group; null if none. Rank
+    sums come from the counts of (group, score), so no task holds a group."""
+    counts = rows.groupBy(group, score).agg(F.count("*").alias("_c"), F.count_if(fit).alias("_p"), F.count_if(~F.col(fit)).alias("_o"))
+    ranked = running(counts, [score], "_c", "_upto", (group,))
+    g = ranked.groupBy(group).agg(F.sum(F.col("_p") * (F.col("_upto") - (F.col("_c") - 1) / 2)).alias("s"), F.sum("_p").alias("p"), F.sum("_o").alias("n"))
+    return g.agg((F.sum(F.when(F.col("n") > 0, F.col("s") - F.col("p") * (F.col("p") + 1) / 2)) / F.nullif(F.sum(F.col("p") * F.col("n")), F.lit(0))).alias("auc"))
 
 
 def objective(rows: DataFrame, group: str, rating: str, score: str, fit: float = FIT) -> DataFrame:
@@ -83,8 +86,9 @@ def ship_gate(student: Column, baseline: Column, new: Column | None = None, old:
 def worst(rows: DataFrame, group: str, rating: str, score: str, key: str, n: int = 25) -> DataFrame:
     """kind (missed or false), key, group, rating, place of the fits that their group ranks lowest and
     of the others that it ranks highest: a report of fixed length. place is 0 at the top, 1 at the bottom."""
-    k, size = F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), key)), F.count("*").over(W.partitionBy(group))
-    p = rows.withColumn("_place", (k - 1) / F.greatest(size - 1, F.lit(1)))
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_size"))  # a row a group
+    p = running(rows.withColumn("_one", F.lit(1)), [F.desc(score), key], "_one", "_k", (group,)).join(sizes, F.col(group).eqNullSafe(F.col("_g")))
+    p = p.withColumn("_place", (F.col("_k") - 1) / F.greatest(F.col("_size") - 1, F.lit(1)))
     missed = p.where(F.col(rating) >= FIT).orderBy(F.desc("_place"), score, key).limit(n).withColumn("kind", F.lit("missed"))
     false = p.where(F.col(rating) <= NON_FIT).orderBy("_place", F.desc(score), key).limit(n).withColumn("kind", F.lit("false"))
     return missed.unionByName(false).select("kind", key, group, rating, F.col("_place").alias("place"))

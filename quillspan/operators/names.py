@@ -8,7 +8,9 @@ there are, and items of one creator or album are reduced to the best before the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import FILLER_WORDS, content_words, exact_name, plain_words
@@ -19,6 +21,10 @@ from quillspan.sources.scratch import staged
 CATEGORY_ORDER = ("film", "song", "book", "art", "poem")
 
 
+#: A vocabulary's entry that is a word, without the marks of its start or end.
+_ENTRY = re.compile("(?:\u2581|\u0120|##)?([a-z0-9]+)(?:</w>)?")
+
+
 def _all_common(words: Column, common: list[str]) -> Column:
     return F.forall(words, lambda w: w.isin(common)) if common else F.size(words) == 0
 
@@ -108,11 +114,27 @@ def anchors(queries: DataFrame, items: DataFrame, common: list[str]) -> DataFram
 
 
 def common_words(texts: DataFrame, text: str, share: float) -> DataFrame:
-    """word: those in at least `share` of the texts (there is no tokenizer to ask)."""
+    """word: those in at least `share` of the texts, where there is no vocabulary to ask."""
     n = texts.select(F.explode(F.array_distinct(plain_words(F.col(text)))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return n.crossJoin(texts.agg(F.count("*").alias("t"))).where(F.col("n") >= F.col("t") * share).select("word")
 
 
+def one_piece_words(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
+    """word: those of small letters and digits that the tokenizer of this file takes as one piece. A
+    word that is one piece stands in the vocabulary, alone or with a mark of its start or end, so
+    only its entries are asked: as many words as it has, whatever the texts."""
+    from tokenizers import Tokenizer
+
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    asked = Tokenizer.from_file(vocabulary)
+    entries = sorted({m[1] for entry in asked.get_vocab() if (m := _ENTRY.fullmatch(entry))})
+    pieces = asked.encode_batch(entries, add_special_tokens=False)
+    return spark.createDataFrame([(w,) for w, p in zip(entries, pieces, strict=True) if len(p.ids) == 1], "word string")
+
+
 def name_words(items: DataFrame, words: DataFrame) -> DataFrame:
     """The words (word) that some name of the items has."""
     every = items.select(F.explode(plain_words(F.concat_ws(" ", "title", "creator", "album"))).alias("word")).distinct()

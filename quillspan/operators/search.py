@@ -41,7 +41,7 @@ class _Queries:
         self.exclude = table.column("qexclude").to_pylist()
 
 
-def _best(items: pa.Table | pa.RecordBatch, q: _Queries, same: int, other: int, per_creator: bool, own: bool, digits: int) -> Iterator[pa.RecordBatch]:
+def _best(items: pa.Table | pa.RecordBatch, q: _Queries, same: int, other: int, per_creator: bool, own: bool, digits: int | None) -> Iterator[pa.RecordBatch]:
     """The rows that can be among a query's best of these items: of each category, the ones that
     reach its k-th best score, and one a creator. A matrix of CELLS scores is held at a time."""
     columns = [_ints(items.column(c)) for c in ("id", "category", "creator", "title", "penalty")]
@@ -56,7 +56,9 @@ def _best(items: pa.Table | pa.RecordBatch, q: _Queries, same: int, other: int,
     step = max(1, CELLS // len(ids))
     for at in range(0, len(q.id), step):
         part = slice(at, at + step)
-        s = np.round(q.vector[part] @ vectors.T - penalty, digits)
+        s = q.vector[part] @ vectors.T - penalty
+        if digits is not None:
+            s = np.round(s, digits)
         if own:
             s[(q.id[part, None] == ids) | (q.creator[part, None] == creator) | (q.title[part, None] == title)] = -np.inf
         for i, gone in enumerate(q.exclude[part]):
@@ -80,10 +82,11 @@ def _best(items: pa.Table | pa.RecordBatch, q: _Queries, same: int, other: int,
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([q.id[part][a], category[first], ids[first], creator[first], few[a, b]], _OUT.types, strict=True)], schema=_OUT)
 
 
-def scores(items: DataFrame, queries: DataFrame, same: int, other: int | None = None, per_creator: bool = True, own: bool = False, digits: int = 6) -> DataFrame:
+def scores(items: DataFrame, queries: DataFrame, same: int, other: int | None = None, per_creator: bool = True, own: bool = False, digits: int | None = 6) -> DataFrame:
     """Candidate rows qid, category, id, creator, score: a superset of each query's best items,
     `same` of its own category and `other` (same, if None) of each other one, one per creator,
-    from products in double precision less the item's penalty.
+    from products in double precision less the item's penalty, rounded to `digits` if told.
+    The queries are written before this returns, as their size decides the plan.
 
     items: id, category, creator, vector, penalty and, if there is one, title. queries: qid,
     qcreator, qvector and, if there are any, qcategory, qtitle, qexclude (ids never to be
@@ -158,14 +161,45 @@ def wins(items: DataFrame, queries: DataFrame) -> DataFrame:
     return items.select("id", "category", "penalty").join(n, "id", "left").withColumn("wins", F.coalesce("wins", F.lit(0)))
 
 
-def exposure(items: DataFrame, queries: DataFrame, rounds: int = 6, beta: float = 0.02) -> DataFrame:
+def shortlists(items: DataFrame, queries: DataFrame, size: int) -> DataFrame:
+    """qid, category, id, raw, least: each query's `size` best items of each category by the product
+    alone, and the product that no other item of the category exceeds (null if there is none)."""
+    raw = scores(items.withColumn("penalty", F.lit(0.0)), queries, size + 1, per_creator=False, digits=None)
+    ranked = raw.withColumn("_p", F.row_number().over(W.partitionBy("qid", "category").orderBy(F.desc("score"), "id"))).where(F.col("_p") <= size + 1)
+    least = F.max(F.when(F.col("_p") > size, F.col("score"))).over(W.partitionBy("qid", "category"))
+    return ranked.withColumn("least", least).where(F.col("_p") <= size).select("qid", "category", "id", F.col("score").alias("raw"), "least")
+
+
+def wins_of(short: DataFrame, items: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """wins() from shortlists, and the queries (qid) that were searched anew: those with a category
+    where an item off the list could reach the second place, whatever its penalty (at least the
+    category's smallest) is."""
+    smallest = items.groupBy("category").agg(F.min("penalty").alias("_free"))  # a row a category
+    rows = short.join(items.select("id", "penalty"), "id").join(F.broadcast(smallest), "category")
+    rows = rows.withColumn("score", F.round(F.col("raw") - F.col("penalty"), 6)).withColumn("_most", F.round(F.col("least") - F.col("_free"), 6))
+    rows = rows.withColumn("_p", F.row_number().over(W.partitionBy("qid", "category").orderBy(F.desc("score"), "id"))).where("_p <= 2")
+    places = staged(rows.select("qid", "category", "id", F.col("_p").alias("place"), (F.col("_most").isNotNull() & (F.col("score") <= F.col("_most"))).alias("_open")), "places")
+    anew = staged(places.where("_open").select("qid").distinct(), "searched-anew")
+    found = places.join(anew, "qid", "left_anti").select("id")
+    if not anew.isEmpty():
+        found = found.union(nearest(items, queries.join(anew, "qid", "left_semi"), 2, per_creator=False).select("id"))
+    n = found.groupBy("id").agg(F.count("*").alias("wins"))
+    return items.select("id", "category", "penalty").join(n, "id", "left").withColumn("wins", F.coalesce("wins", F.lit(0))), anew
+
+
+def exposure(items: DataFrame, queries: DataFrame, rounds: int = 6, beta: float = 0.02, size: int = 16) -> DataFrame:
     """id, category, penalty: each round counts wins and moves the penalty half way to
     beta * log(share), where share is an item's wins over its category's mean, each plus one.
-    The last penalty is rounded to half precision, as it is stored; in between, to eight places."""
+    The last penalty is rounded to half precision, as it is stored; in between, to eight places.
+
+    All pairs are scored once, for lists of `size` items a query and category; penalties move the
+    places on them. Only a query whose list may miss a winner is searched again in a round."""
     every = staged(items, "items")
+    asked = staged(queries, "queries")
     penalty = staged(every.select("id", F.col("penalty").cast("double").alias("penalty")), "penalty")
+    short = staged(shortlists(every, asked, size), "shortlists")
     for k in range(rounds):
-        counted = wins(every.drop("penalty").join(penalty, "id"), queries)
+        counted, _ = wins_of(short, every.drop("penalty").join(penalty, "id"), asked)
         mean = F.avg("wins").over(W.partitionBy("category"))
         step = F.lit(beta) * F.log(F.greatest((F.col("wins") + 1) / (mean + 1), F.lit(1.0)))
         moved = F.round(0.5 * F.col("penalty") + 0.5 * step, 8)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillspan.functions import color, hashing, vectors
+from quillspan.functions.text import plain_words
 from quillspan.operators import names, search, space
 from quillspan.plans.base import query
 from quillspan.sources.io import table
@@ -348,6 +349,16 @@ def name_common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.name_words(_named(spark, sf_dir), names.common_words(texts, "text", 0.02))
 
 
+@query()
+def name_one_piece_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a public tokenizer takes as one piece, with the names and the texts that have them."""
+    named = _named(spark, sf_dir).select(F.lit(1).alias("name"), F.concat_ws(" ", "title", "creator", "album").alias("text"))
+    texts = table(spark, sf_dir, "documents").select(F.lit(0).alias("name"), "text")
+    used = named.union(texts).select("name", F.explode(F.array_distinct(plain_words(F.col("text")))).alias("word"))
+    counts = used.groupBy("word").agg(F.sum("name").alias("names"), F.sum(1 - F.col("name")).alias("texts"))
+    return counts.join(names.one_piece_words(spark), "word")
+
+
 @query("WITH " + _MATCHED + ", " + _REPRESENTED + """, chosen AS (SELECT m.qid, coalesce(r.id, m.id) AS aid FROM matched m JOIN named a ON a.id = m.id LEFT JOIN reps r ON kind > 0 AND r.creator = a.creator AND r.album IS NOT DISTINCT FROM CASE WHEN kind = 1 THEN a.album END),
 base AS (SELECT x.qid, t.v AS tv, a.creator AS acreator, a.title AS atitle, a.v AS av FROM texts x JOIN named t ON t.id = x.qid LEFT JOIN chosen USING (qid) LEFT JOIN named a ON a.id = aid),
 mixed AS (SELECT *, CASE WHEN av IS NULL THEN tv ELSE [0.7 * x[1] + (1 - 0.7) * x[2] FOR x IN list_zip(av, tv)] END AS m FROM base),
