@@ -1,8 +1,10 @@
 """OKLab colour arithmetic: column expressions, and numpy over Arrow batches where a colour
-is searched for by bisection (all rows of a batch move together)."""
+is searched for (all rows of a batch move together)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -245,21 +247,35 @@ def np_worst(ink: np.ndarray, grounds: list[np.ndarray]) -> np.ndarray:
     return np.min([np_contrast(ink, g) for g in grounds], axis=0)
 
 
+STEPS = np.arange(1, 5) / 4  # a range is searched by four places at a time
+
+
+def np_first(holds: Callable[[np.ndarray], np.ndarray], start: np.ndarray, end: np.ndarray, rounds: int) -> np.ndarray:
+    """Of each row, the place nearest to start, on the way to end, from which on holds() is true: it
+    must be so at end, and change once. The places of a round are asked at once, and the
+    range shrinks to the one before the first that holds."""
+    for _ in range(rounds):
+        places = start + (end - start) * STEPS[:, None]
+        first = np.argmax(np.stack([holds(p) for p in places]), axis=0)
+        rows = np.arange(len(start))
+        start, end = np.where(first == 0, start, places[np.maximum(first - 1, 0), rows]), places[first, rows]
+    return end
+
+
 def np_readable(ink: np.ndarray, grounds: list[np.ndarray], target: float) -> np.ndarray:
-    """The ink, its lightness moved as little as it takes (24 bisections) to reach the target
-    contrast with all grounds. Where both lighter and darker would do, a dark first ground
-    decides for lighter; where neither does, the better end is taken."""
+    """The ink at the lightness nearest to its own that has the target contrast with all grounds.
+
+    On either side of the grounds contrast grows with the distance in lightness, so the place is
+    the first one on the way to white or to black. The way is chosen by what its end reaches, up
+    to the target; of equal ends, a dark first ground takes white. If no end reaches the target,
+    the ink ends there."""
     own = np_lch(ink)
-    ends = [np_worst(np_lab(np_gamut(np.stack([np.full(len(ink), float(x)), own[:, 1], own[:, 2]], axis=1))), grounds) for x in (1, 0)]
-    light, dark = ends
-    up = np.where((light >= target) & (dark >= target), grounds[0][:, 0] < 0.5, (light >= target) | ((dark < target) & (light > dark)))
-    lo, hi = own[:, 0].copy(), np.where(up, 1.0, 0.0)
-    at = lambda x: np_lab(np_gamut(np.stack([x, own[:, 1], own[:, 2]], axis=1)))
-    for _ in range(24):
-        mid = (lo + hi) / 2
-        ok = np_worst(at(mid), grounds) >= target
-        hi, lo = np.where(ok, mid, hi), np.where(ok, lo, mid)
-    return np.where((np_worst(ink, grounds) >= target)[:, None], ink, at(hi))
+    shown = lambda lightness: np_lab(np_gamut(np.column_stack([lightness, own[:, 1:]])))
+    enough = lambda lightness: np_worst(shown(lightness), grounds) >= target
+    white, black = (np.minimum(np_worst(shown(np.full(len(ink), x)), grounds), target) for x in (1.0, 0.0))
+    end = np.where(white == black, grounds[0][:, 0] < 0.5, white > black).astype(float)
+    moved = np.where(np.maximum(white, black) >= target, np_first(enough, own[:, 0], end, 12), end)
+    return np.where((np_worst(ink, grounds) >= target)[:, None], ink, shown(moved))
 
 
 def np_lit(ground: np.ndarray, light: str | None, strength: np.ndarray | float = 1.0) -> list[np.ndarray]:
@@ -278,27 +294,29 @@ def np_most_contrast(colors: list[np.ndarray], ground: np.ndarray) -> np.ndarray
 
 
 def np_tokens(palette: np.ndarray, light: str | None) -> dict[str, np.ndarray]:
-    """Ground, inks, papers and the light's strength of palettes, an array (rows, 5, 3)."""
-    rows, ground, rest = np.arange(len(palette)), palette[:, 0], [palette[:, k] for k in range(1, 5)]
-    grounds, best = np_lit(ground, light), np_most_contrast(rest, ground)
-
-    def floor(c: np.ndarray) -> np.ndarray:
-        lit = np_readable(c, grounds, TEXT_TARGET)
-        return np.where((np_worst(lit, grounds) >= TEXT_TARGET)[:, None], lit, np_readable(c, [ground], INK_TARGET))
-
-    ink = floor(np_readable(palette[rows, best + 1], [ground], INK_TARGET))
-    soft = floor(ink + (ground - ink) * SOFT_MIX)
-    others = np.array([[k for k in range(4) if k != b] for b in range(4)])[best] + 1
-    mids = [palette[rows, others[:, k]] for k in range(3)]
-    paper = np.where((np_contrast(ink, mids[0]) >= np_contrast(ground, mids[0]))[:, None], ink, ground)
-    lo, hi = np.zeros(len(rows)), np.ones(len(rows))
-    holds = lambda k: np.minimum(np_worst(ink, np_lit(ground, light, k)), np_worst(soft, np_lit(ground, light, k))) >= TEXT_TARGET
-    whole = holds(hi) if light else np.ones(len(rows), bool)
-    for _ in range(16 if light else 0):
-        mid = (lo + hi) / 2
-        ok = holds(mid)
-        lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid)
-    return {"ground": ground, "ink": ink, "soft": soft, "mid1": mids[0], "mid2": mids[1], "mid3": mids[2], "paper_ink": np_readable(paper, [mids[0]], PAPER_TARGET), "strength": np.where(whole, 1.0, lo)}
+    """Display colours and the light's strength of palettes, an array (rows, 5, 3).
+
+    The first colour is the ground, the one with the most contrast to it the ink, the others keep
+    their order as mid tones. Each written colour passes through its requirements in turn; one
+    under a light that can't be met is taken back to what the plain ground allows. The light
+    is as strong as both inks bear."""
+    ground = palette[:, 0]
+    ranked = np.argsort(np.arange(1, 5) + 10 * (np.arange(4) == np_most_contrast(list(palette[:, 1:].swapaxes(0, 1)), ground)[:, None]), axis=1) + 1
+    mid1, mid2, mid3, lead = (np.take_along_axis(palette, ranked[:, k, None, None], axis=1)[:, 0] for k in range(4))
+    plain, lit = [ground], np_lit(ground, light)
+
+    def written(color: np.ndarray) -> np.ndarray:
+        best = np_readable(color, lit, TEXT_TARGET)
+        met = np_worst(best, lit) >= TEXT_TARGET
+        return np.where(met[:, None], best, np_readable(color, plain, INK_TARGET))
+
+    ink = written(np_readable(lead, plain, INK_TARGET))
+    soft = written((1 - SOFT_MIX) * ink + SOFT_MIX * ground)
+    on_paper = np.stack([ink, ground])[np_most_contrast([ink, ground], mid1), np.arange(len(ink))]
+    dark = lambda away: np.minimum(*(np_worst(x, np_lit(ground, light, 1 - away)) for x in (ink, soft))) >= TEXT_TARGET
+    none, full = np.zeros(len(ink)), np.ones(len(ink))
+    strength = full if light is None else np.where(dark(none), 1.0, 1 - np_first(lambda away: dark(away) | (away >= 1), none, full, 8))
+    return {"ground": ground, "ink": ink, "soft": soft, "mid1": mid1, "mid2": mid2, "mid3": mid3, "paper_ink": np_readable(on_paper, [mid1], PAPER_TARGET), "strength": strength}
 
 
 _LAB = ArrayType(DoubleType())
