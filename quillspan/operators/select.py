@@ -115,21 +115,25 @@ def capped_by_class(rows: DataFrame, kind: str, sizes: dict[str, int], cap: int,
     return taken
 
 
-def two_key_cap(rows: DataFrame, a: str, b: str, order: list[str], limit: int, seen: list[str] | None = None) -> DataFrame:
+FEW = 100_000  # rows that one task may walk
+
+
+def two_key_cap(rows: DataFrame, a: str, b: str, order: list[str], limit: int, seen: list[str] | None = None, few: int = FEW) -> DataFrame:
     """Greedy in order: a row stays if fewer than `limit` kept rows before it have its a, and fewer
     its b. With `seen`, it must also be the first row with these columns that would be kept.
 
     The counts interact, so plain windows give other rows. Each round decides what is certain: a
     row is kept once the undecided rows before it, all counted as kept, leave room in both of
     its groups, and dropped once a group is full of kept ones. Rows that no round touches wait
-    for ones before them; the first undecided row is always decided, so rounds end, and in data
-    that is not built against it each round decides most rows. Only windows over a and b are
-    needed, so a group of keys that are all connected is still worked on in many tasks.
+    for ones before them; the first undecided row is always decided, so rounds end. Only windows
+    over a and b are needed, so a group of keys that are all connected is still worked on in many
+    tasks. Once `few` rows are undecided, which chains of keys would decide one by one, one
+    task walks them.
     """
-    left, rounds = rows.withColumn("_k", F.struct(*order)), []
+    left, rounds, names = rows.withColumn("_k", F.struct(*order)), [], rows.columns
     before = lambda *c: F.row_number().over(W.partitionBy(*c).orderBy("_k")) - 1
     while True:
-        kept = reduce(DataFrame.unionByName, [r.where("_sure").select(*rows.columns) for r in rounds]) if rounds else None
+        kept = reduce(DataFrame.unionByName, [r.where("_sure").select(*names) for r in rounds]) if rounds else None
         now = left
         if kept is not None:  # these tables are small beside the input: rows that are kept
             for c, n in ((a, "_na"), (b, "_nb")):
@@ -139,13 +143,36 @@ def two_key_cap(rows: DataFrame, a: str, b: str, order: list[str], limit: int, s
                 now = now.join(kept.select(*seen).distinct(), seen, "left_anti")
         else:
             now = now.withColumns({"_na": F.lit(0), "_nb": F.lit(0)})
+        if rounds and rounds[-1]._undecided <= few:
+            return kept.unionByName(_walked(now, a, b, limit, seen or [], names))
         sure = (F.col("_na") + before(a) < limit) & (F.col("_nb") + before(b) < limit)
         if seen:
             sure &= before(*seen) == 0
-        rounds.append(staged(now.select(*rows.columns, "_k", sure.alias("_sure")), "round"))
+        rounds.append(staged(now.select(*names, "_k", sure.alias("_sure")), "round"))
         left = rounds[-1].where("NOT _sure").drop("_sure")
-        if not left.limit(1).count():
-            return reduce(DataFrame.unionByName, [r.where("_sure").select(*rows.columns) for r in rounds])
+        rounds[-1]._undecided = left.count()
+        if not rounds[-1]._undecided:
+            return reduce(DataFrame.unionByName, [r.where("_sure").select(*names) for r in rounds])
+
+
+def _walked(rows: DataFrame, a: str, b: str, limit: int, seen: list[str], names: list[str]) -> DataFrame:
+    """The rows (FEW at most) that stay, by a walk in the order of _k; _na and _nb are the places that
+    are taken of their groups."""
+    kind = lambda c: F.to_json(F.struct(*c)) if c else F.lit(None).cast("string")
+    one = rows.withColumn("_one", F.lit(0)).select("*", F.row_number().over(W.partitionBy("_one").orderBy("_k")).alias("_at"), kind([a]).alias("_a"), kind([b]).alias("_b"), kind(seen).alias("_seen")).drop("_k")
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_at").reset_index(drop=True)
+        left, right, had, stays = {}, {}, set(), []
+        for k, (x, y, na, nb, s) in enumerate(zip(frame["_a"], frame["_b"], frame["_na"], frame["_nb"], frame["_seen"], strict=True)):
+            if left.setdefault(x, na) < limit and right.setdefault(y, nb) < limit and (s is None or s not in had):
+                left[x] += 1
+                right[y] += 1
+                had.add(s)
+                stays.append(k)
+        return frame.loc[stays, names]
+
+    return one.groupBy("_one").applyInPandas(walk, StructType([rows.schema[n] for n in names]))
 
 
 def hash_order(seed: str, key: str) -> Column:
@@ -161,9 +188,6 @@ def best_by_flags(rows: DataFrame, group: str, flags: list[Column], seed: str, k
     return rows.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order, "_h", key))).where(F.col("place") <= n).drop("_h")
 
 
-FEW = 100_000  # rows that one task may walk
-
-
 def _turns(rows: DataFrame) -> DataFrame:
     """rows with the least and the largest turn that they can be taken in: one more than the kept
     rows before them in their pool, and than those that may be kept."""

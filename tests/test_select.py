@@ -52,3 +52,23 @@ def test_pools_that_share_rows(spark, seed):
 
 def test_no_pools(spark):
     assert select.round_robin(spark.createDataFrame([], ROWS).drop("_pool"), "pool", [F.col("rank")], 5, "shape", "maker", 1).count() == 0
+
+
+def greedy(rows, limit):
+    a, b, out = Counter(), Counter(), []
+    for i, x, y in sorted(rows):
+        if a[x] < limit and b[y] < limit:
+            a[x] += 1
+            b[y] += 1
+            out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 40, select.FEW])
+def test_chained_keys_are_walked(spark, few):
+    """A chain decides one row after the other; the last ones in one task."""
+    chain = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(14)]
+    rng = random.Random(3)
+    rows = chain + [(100 + i, f"x{rng.randrange(6)}", f"y{rng.randrange(9)}") for i in range(60)]
+    got = select.two_key_cap(spark.createDataFrame(rows, "i long, a string, b string"), "a", "b", ["i"], 1, few=few)
+    assert sorted(r.i for r in got.collect()) == greedy(rows, 1)
