@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from quillspan.functions import hashing
 from quillspan.functions.vectors import half
-from quillspan.operators import joins, publish, state
+from quillspan.operators import joins, publish, state, versions
 from quillspan.plans.base import query
 from quillspan.sources import io
 from quillspan.sources.io import table
@@ -353,3 +353,35 @@ def step_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamps = state.Stamps({"fetch": {"inputs": {"a": 1}}, "curate": {"config": {"n": 1}}, "resolve": {"config": {}}})
     rows = [(name, "will run" if why else "up to date", "; ".join(why)) for name, why in state.dry_run(steps, stamps, "build")]
     return spark.createDataFrame(rows, "step string, status string, reasons string")
+
+
+# --- versions -----------------------------------------------------------------------------------
+
+
+@query("""WITH used AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
+SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN 3 ELSE 1 END AS since FROM events WHERE user_id IN (SELECT user_id FROM used)""")
+def raced_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache that one writer prunes and another appends to: the prune that was decided on the older
+    version is refused, and is done on the newest one; what the newest version shows."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    used = rows.where("event_type = 'purchase'").select("user_id").distinct()
+    store = versions.VersionedTable(spark, scratch_path(spark, "cache"))
+    first = store.change(lambda _: rows.where("event_id % 5 <> 0").select("event_id", "user_id", F.lit(1).alias("since")))
+    store.change(lambda old: old.union(rows.where("event_id % 5 = 0").select("event_id", "user_id", F.lit(3).alias("since"))))
+    keep = lambda df: df.join(used, "user_id", "left_semi").select("event_id", "user_id", "since")
+    try:
+        versions.prune(store, first, keep)
+    except versions.Lost:
+        versions.prune(store, store.version(), keep)
+    return store.read()
+
+
+@query("""SELECT p_type AS category, count(*) AS n, min(p_partkey) AS first FROM part WHERE p_size > 3 GROUP BY p_type""")
+def bundle_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle of items published, and published again without some; what readers of the newest
+    version count."""
+    items = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
+    store = versions.VersionedTable(spark, scratch_path(spark, "bundle"))
+    store.change(lambda _: items)
+    store.change(lambda old: old.where("p_size > 3"))
+    return store.read().groupBy(F.col("p_type").alias("category")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
