@@ -14,9 +14,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
+from quillspan.operators.metrics import ordinal
 from quillspan.operators.validate import chunked
 
 Ask = Callable[[str], str]
@@ -78,33 +80,60 @@ class Job:
 
 def encoded(texts: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray], budget: int = 8192) -> DataFrame:
     """texts with vector: encode is called on texts of like length, so many that the longest times
-    their number stays within budget; a MemoryError halves the budget and tries again."""
+    their number stays within budget; a MemoryError halves the budget and tries again.
+
+    Rows are dealt to ranges of the length over the whole table and sorted within, and a batch
+    goes on over the bounds of Arrow batches, so little is padded: only a range's last batch
+    is smaller than it could be. Equal lengths are spread by a hash of the row."""
+    plain = [F.col(f"`{f.name}`") for f in texts.schema.fields if isinstance(f.dataType, AtomicType)]
+    length = free_name(texts.columns, "length")
+    dealt = texts.withColumn(length, F.coalesce(F.length(text), F.lit(0))).repartitionByRange(length, F.xxhash64(*plain)).sortWithinPartitions(length)
+
+    def vectors(values: list[str], room: list[int]) -> list[np.ndarray]:
+        try:
+            return [np.asarray(v, np.float32) for v in encode(values)]
+        except MemoryError:
+            if len(values) == 1:
+                raise
+            room[0] = max(1, room[0] // 2)
+            half = len(values) // 2
+            return vectors(values[:half], room) + vectors(values[half:], room)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        room = budget
-        for batch in batches:
-            values = [t or "" for t in batch.column(text).to_pylist()]
-            order = sorted(range(len(values)), key=lambda i: (len(values[i]), i))
-            vectors: list = [None] * len(values)
+        room, held, count = [budget], [], 0  # slices of rows that wait for their batch to fill
+
+        def done() -> Iterator[pa.RecordBatch]:
+            values = [t or "" for part in held for t in part.column(text).to_pylist()]
+            found = vectors(values, room)
             at = 0
-            while at < len(order):
-                end = at + 1
-                while end < len(order) and (end - at + 1) * max(len(values[order[end]]), 1) <= room:
-                    end += 1
-                try:
-                    rows = encode([values[i] for i in order[at:end]])
-                except MemoryError:
-                    if end - at == 1:
-                        raise
-                    room = max(1, room // 2)
-                    continue
-                for i, v in zip(order[at:end], rows, strict=True):
-                    vectors[i] = np.asarray(v, np.float32)
-                at = end
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], [*batch.schema.names, "vector"])
+            for part in held:
+                own = pa.array(found[at : at + part.num_rows], pa.list_(pa.float32()))
+                at += part.num_rows
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), own], [*names, "vector"])
 
+        for batch in batches:
+            start = 0
+            for k, n in enumerate(batch.column(length).to_pylist()):
+                if count and (count + 1) * max(n, 1) > room[0]:
+                    if k > start:
+                        held.append(batch.slice(start, k - start))
+                    yield from done()
+                    held, count, start = [], 0, k
+                count += 1
+            if batch.num_rows > start:
+                held.append(batch.slice(start))
+        if held:
+            yield from done()
+
+    names = texts.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
-    return texts.mapInArrow(run, f"{fields}, vector array<float>")
+    return dealt.mapInArrow(run, f"{fields}, vector array<float>")
+
+
+def free_name(taken: list[str], name: str) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def by_category(rows: DataFrame, category: str, rules: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -112,13 +141,14 @@ def by_category(rows: DataFrame, category: str, rules: dict[str, Callable[[DataF
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rule(rows.where(F.col(category) == name)) for name, rule in rules.items()])
 
 
-def seed_grid(spark: SparkSession, situations: list[str], styles: list[str], total: int, per_request: int) -> DataFrame:
+def seed_grid(situations: DataFrame, situation: str, styles: list[str], total: int, per_request: int) -> DataFrame:
     """key, situation, style, n of requests for `total` texts: all styles of a situation come before
-    the next situation, situations in hash order; raises if the grid is too small."""
-    need = -(-total // per_request)
-    if total < 1 or per_request < 1 or need > len(situations) * len(styles):
+    the next situation, situations in the order of their hash; raises if the grid is too small."""
+    need = -(-total // per_request) if per_request > 0 else 0
+    if total < 1 or need < 1 or need > situations.count() * len(styles):
         raise ValueError("the grid has fewer seeds than requests, or a count isn't positive")
-    grid = spark.range(need).select(F.col("id"), F.floor(F.col("id") / len(styles)).cast("int").alias("s"), (F.col("id") % len(styles)).cast("int").alias("t"))
-    ordered = F.transform(F.array_sort(F.array(*[F.struct(F.sha2(F.lit(x), 256).alias("h"), F.lit(x).alias("x")) for x in situations])), lambda r: r["x"])
-    n = F.least(F.lit(per_request), F.lit(total) - F.col("id") * per_request)
-    return grid.select(F.format_string("seed-%04d", "id").alias("key"), F.get(ordered, F.col("s")).alias("situation"), F.get(F.array(*map(F.lit, styles)), F.col("t")).alias("style"), n.cast("int").alias("n"))
+    hashed = situations.select(F.col(situation).alias("situation")).withColumn("_order", F.struct(F.sha2("situation", 256).alias("h"), F.col("situation").alias("s")))
+    numbered = ordinal(hashed, "_order", "_i").withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(len(styles) - 1))))
+    grid = numbered.withColumn("_id", (F.col("_i") - 1) * len(styles) + F.col("_t")).where(F.col("_id") < need)
+    n = F.least(F.lit(per_request), F.lit(total) - F.col("_id") * per_request)
+    return grid.select(F.format_string("seed-%04d", "_id").alias("key"), "situation", F.get(F.array(*map(F.lit, styles)), F.col("_t")).alias("style"), n.cast("int").alias("n"))

@@ -104,7 +104,8 @@ def shared_rows(one: DataFrame, other: DataFrame, key: str, value: str) -> DataF
 
 def within(left: DataFrame, right: DataFrame, on: str, a: str, b: str, width: int) -> DataFrame:
     """Pairs with equal `on` and |a - b| <= width: a range join on buckets of the width, so
-    a pair meets in one of two neighbouring buckets and no key is crossed with itself."""
+    a pair meets in one of three neighbouring buckets (left has three copies) and no key is
+    crossed with itself; a hot (key, bucket) is split by adaptive execution."""
     left = left.withColumn("_b", F.explode(F.array(*[F.floor(F.col(a) / width) + i for i in (-1, 0, 1)])))
     right = right.withColumn("_b", F.floor(F.col(b) / width))
     return left.join(right, [on, "_b"]).where(F.abs(F.col(a) - F.col(b)) <= width).drop("_b")

@@ -48,13 +48,13 @@ def farther_than(rows: DataFrame, evals: DataFrame, limit: float, digits: int =
     return found.where(F.col("nearest") < limit)
 
 
-def candidates(items: DataFrame, queries: DataFrame, positives: DataFrame, k: int, drawn: int) -> DataFrame:
-    """qid, id, picked: every query against the union of all queries' k best items a category, the
-    positives (id) and `drawn` items in the order of a hash. One training step has few queries."""
-    top = nearest(items, queries, k, per_creator=False).select("qid", "id")
+def candidates(items: DataFrame, queries: DataFrame, positives: DataFrame, k: int, drawn: int) -> tuple[DataFrame, DataFrame]:
+    """The items (id) of a training step, once each: the union of all queries' k best a category, the
+    positives (id) and `drawn` items in the order of a hash; and beside it which of them each
+    query picked (qid, id). A query meets every item of the step, so the list isn't repeated."""
+    picked = staged(nearest(items, queries, k, per_creator=False).select("qid", "id"), "picked")
     lot = items.select("id").orderBy(F.sha2(F.concat(F.lit("draw:"), F.col("id").cast("string")), 256)).limit(drawn)
-    every = top.select("id").union(positives.select("id")).union(lot).distinct()
-    return queries.select("qid").crossJoin(every).join(top.withColumn("picked", F.lit(True)), ["qid", "id"], "left").select("qid", "id", F.coalesce("picked", F.lit(False)).alias("picked"))
+    return picked.select("id").union(positives.select("id")).union(lot).distinct(), picked
 
 
 def directions(items: DataFrame, dims: int) -> np.ndarray:

@@ -35,12 +35,14 @@ def era_spread_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.spread(_ranked_orders(spark, sf_dir), 300, "y", _best(), by="era").select("era", "o_orderkey", "place")
 
 
-@query("""WITH e AS (SELECT * FROM (VALUES ('before-1996', 400), ('1996-1997', 222), ('1998-2100', 150)) t(era, quota)), f AS (SELECT * FROM (VALUES ('film', 1.3::DOUBLE), ('song', 1.8::DOUBLE), ('book', 1.35::DOUBLE)) t(category, factor))
+@query("WITH " + _ORDERS + """, e AS (SELECT era, count(*) // 7 AS quota FROM o GROUP BY era), f AS (SELECT * FROM (VALUES ('film', 1.3::DOUBLE), ('song', 1.8::DOUBLE), ('book', 1.35::DOUBLE)) t(category, factor))
 SELECT category || ':' || era AS grp, quota::INT AS quota, round_even(quota::DOUBLE * factor, 0)::INT AS wanted FROM e, f""")
 def era_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups by category and era, and how many candidates their quotas ask for."""
+    """Groups by category and era with a seventh of the era's orders as quota, and how many candidates
+    that asks for."""
     factors = spark.createDataFrame([("film", 1.3), ("song", 1.8), ("book", 1.35)], "category string, factor double")
-    rows = select.eras(spark, _ERAS).crossJoin(factors)
+    quotas = _ranked_orders(spark, sf_dir).groupBy("era").agg(F.floor(F.count("*") / 7).cast("int").alias("quota"))
+    rows = quotas.crossJoin(F.broadcast(factors))
     return rows.select(F.concat_ws(":", "category", "era").alias("grp"), "quota", select.wanted(F.col("quota"), F.col("factor")).alias("wanted"))
 
 

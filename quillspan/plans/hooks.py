@@ -59,10 +59,11 @@ def category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.by_category(table(spark, sf_dir, "part"), "p_type", rules)
 
 
-_SITUATIONS, _STYLES = [f"situation {k}" for k in range(100)], [f"style {k}" for k in range(30)]
+_STYLES = [f"style {k}" for k in range(30)]
 
 
-@query("WITH s AS (SELECT s, row_number() OVER (ORDER BY sha256(s)) - 1 AS i FROM (SELECT 'situation ' || range AS s FROM range(100))) SELECT 'seed-' || lpad(range::VARCHAR, 4, '0') AS key, s.s AS situation, 'style ' || range % 30 AS style, least(10, 19995 - range * 10)::INT AS n FROM range(2000) JOIN s ON s.i = range // 30")
+@query("WITH s AS (SELECT c_name AS s, row_number() OVER (ORDER BY sha256(c_name), c_name) - 1 AS i, count(*) OVER () AS c FROM customer), g AS (SELECT s, c, i * 30 + k AS id, k FROM s, range(30) r(k)) SELECT format('seed-{:04d}', id) AS key, s AS situation, 'style ' || k AS style, least(10, c * 200 - 5 - id * 10)::INT AS n FROM g WHERE id < c * 20")
 def request_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds of 2,000 requests over a grid of situations and styles."""
-    return jobs.seed_grid(spark, _SITUATIONS, _STYLES, 19995, 10)
+    """Seeds of requests over a grid of situations (customers) and styles, two thirds of it used."""
+    customers = table(spark, sf_dir, "customer").select("c_name")
+    return jobs.seed_grid(customers, "c_name", _STYLES, customers.count() * 200 - 5, 10)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -345,14 +347,18 @@ def observed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.read_files(table(spark, sf_dir, "orders")).union(state.read_files(table(spark, sf_dir, "nation")))
 
 
-@query("""SELECT 'fetch' AS step, 'up to date' AS status, '' AS reasons UNION ALL SELECT 'curate', 'will run', 'config.n changed' UNION ALL SELECT 'resolve', 'will run', 'curate will run' UNION ALL SELECT 'export', 'will run', 'no stamp'""")
+@query("""WITH n AS (SELECT (SELECT count(*) FROM part) AS part, (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM lineitem) AS lineitem)
+SELECT 'part' AS step, part AS rows, 'up to date' AS status, '' AS reasons FROM n UNION ALL SELECT 'orders', orders, 'will run', 'inputs.rows changed' FROM n
+UNION ALL SELECT 'lineitem', lineitem, 'will run', 'orders will run' FROM n UNION ALL SELECT 'export', orders + lineitem, 'will run', 'no stamp' FROM n""")
 def step_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dry run over a graph of steps: what would run, and why."""
-    noop = lambda: None
-    steps = [state.Step("fetch", "build", lambda: {"inputs": {"a": 1}}, noop), state.Step("curate", "build", lambda: {"config": {"n": 2}}, noop, ("fetch",)), state.Step("resolve", "build", lambda: {"config": {}}, noop, ("curate",)), state.Step("export", "build", lambda: {}, noop)]
-    stamps = state.Stamps({"fetch": {"inputs": {"a": 1}}, "curate": {"config": {"n": 1}}, "resolve": {"config": {}}})
-    rows = [(name, "will run" if why else "up to date", "; ".join(why)) for name, why in state.dry_run(steps, stamps, "build")]
-    return spark.createDataFrame(rows, "step string, status string, reasons string")
+    """A dry run over steps whose inputs are tables: stamps know part and lineitem as they are, and
+    orders with a row less."""
+    noop, have = lambda: None, {t: table(spark, sf_dir, t).count() for t in ("part", "orders", "lineitem")}
+    have["export"] = have["orders"] + have["lineitem"]
+    steps = [state.Step(t, "build", lambda t=t: {"inputs": {"rows": have[t]}}, noop, needs) for t, needs in (("part", ()), ("orders", ()), ("lineitem", ("orders",)), ("export", ()))]
+    known = {t: {"inputs": {"rows": have[t] - (t == "orders")}} for t in ("part", "orders", "lineitem")}
+    rows = [(name, have[name], "will run" if why else "up to date", "; ".join(why)) for name, why in state.dry_run(steps, state.Stamps(known), "build")]
+    return spark.createDataFrame(rows, "step string, rows long, status string, reasons string")
 
 
 # --- versions -----------------------------------------------------------------------------------
@@ -385,3 +391,60 @@ def bundle_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.change(lambda _: items)
     store.change(lambda old: old.where("p_size > 3"))
     return store.read().groupBy(F.col("p_type").alias("category")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+
+
+# --- documents, swaps and runs that write and are read back -----------------------------------
+
+
+@query("SELECT o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderpriority")
+def document_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document of the orders' totals by priority (five rows), replaced once, and read back."""
+    totals = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    path = scratch_path(spark, "totals") + ".json"
+    publish.write_document(spark, path, {"rows": []})
+    publish.write_document(spark, path, {"rows": [r.asDict() for r in totals.collect()]})
+    return spark.createDataFrame([(r["priority"], r["n"], float(r["total"])) for r in publish.read_document(spark, path)["rows"]], "priority string, n long, total double")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 25")
+def swap_install(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table installed in the place of an older one."""
+    rows, place = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), scratch_path(spark, "installed")
+    for part in (rows.where("l_quantity > 45"), rows.where("l_quantity > 25")):
+        staging = scratch_path(spark, "staging")
+        part.write.parquet(staging)
+        publish.swapped_in(spark, staging, place)
+    return spark.read.parquet(place)
+
+
+def _built(spark: SparkSession, sf_dir: str) -> tuple[list[state.Step], str, dict[str, str]]:
+    """Steps: customers with their orders' sum, then the sums by nation; the inputs' digests are their states."""
+    root, limit = scratch_path(spark, "steps"), {"least": "0"}
+    sums = lambda: table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spent"))
+    customers = lambda: table(spark, sf_dir, "customer").join(sums(), "c_custkey").where(F.col("spent") > float(limit["least"])).select("c_custkey", "c_nationkey", "spent").write.mode("overwrite").parquet(f"{root}/customers")
+    nations = lambda: spark.read.parquet(f"{root}/customers").groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.round(F.sum("spent"), 2).alias("spent")).write.mode("overwrite").parquet(f"{root}/nations")
+    digest = state.table_digest(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
+    steps = [state.Step("customers", "build", lambda: {"inputs": {"customer": digest}, "config": dict(limit)}, customers), state.Step("nations", "build", lambda: {"config": dict(limit)}, nations, ("customers",))]
+    return steps, root, limit
+
+
+@query("SELECT c_nationkey, count(*) AS customers, round(sum(spent), 2) AS spent, 'done,done,up to date,up to date,done,done' AS runs FROM (SELECT c_custkey, c_nationkey, sum(o_totalprice) AS spent FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL HAVING sum(o_totalprice) > 100000) GROUP BY c_nationkey")
+def steps_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that run, are found current, and run again after a change; what they have written."""
+    steps, root, limit = _built(spark, sf_dir)
+    stamps, runs = state.Stamps(), []
+    for least in ("0", "0", "100000"):
+        limit["least"] = least
+        runs += [status for _, status in state.run_steps(steps, stamps, "build")]
+    return spark.read.parquet(f"{root}/nations").withColumn("runs", F.lit(",".join(runs)))
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS customers FROM customer GROUP BY 1")
+def provenance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provenance document whose step has counted a table; its configuration, read back from the file."""
+    counts, path = {r.s: r.n for r in table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("s")).agg(F.count("*").alias("n")).collect()}, scratch_path(spark, "provenance") + ".json"  # five segments
+    stamps = state.Stamps()
+    state.run_steps([state.Step("count", "build", lambda: {"inputs": counts}, lambda: None)], stamps, "build")
+    publish.write_document(spark, path, json.loads(state.provenance(stamps, {"format": "1"}, {"table": "customer"})))
+    found = publish.read_document(spark, path)["steps"]["count"]["inputs"]
+    return spark.createDataFrame(sorted(found.items()), "segment string, customers long")

@@ -273,14 +273,15 @@ def mixed_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PAIRS.format(mod=25, qv="qv") + """t AS (SELECT qid, id FROM s QUALIFY row_number() OVER (PARTITION BY qid, category ORDER BY score DESC, id) <= 3),
 c AS (SELECT id FROM t UNION SELECT qid + 1 FROM q JOIN i ON i.id = qid + 1 UNION SELECT id FROM (SELECT id FROM i ORDER BY sha256('draw:' || id) LIMIT 20))
-SELECT qid, c.id, t.id IS NOT NULL AS picked FROM q CROSS JOIN c LEFT JOIN t USING (qid, id)""")
+SELECT c.id, count(t.qid) AS picks, min(t.qid) AS first FROM c LEFT JOIN t USING (id) GROUP BY c.id""")
 def candidate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items of one training step and which of them each query picked: the best three a
+    """The items of one training step, with how many queries picked them and the first: the best three a
     category of any query, the positives (the next ids) and twenty in the order of a hash."""
     items = _items(spark, sf_dir)
     asked = _vectors(items, "id % 25 = 0")
     positives = asked.select((F.col("qid") + 1).alias("id")).join(items, "id", "left_semi")
-    return space.candidates(items, asked, positives, 3, 20)
+    every, picked = space.candidates(items, asked, positives, 3, 20)
+    return every.join(picked.groupBy("id").agg(F.count("*").alias("picks"), F.min("qid").alias("first")), "id", "left").select("id", F.coalesce("picks", F.lit(0)).alias("picks"), "first")
 
 
 @query()

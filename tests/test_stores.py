@@ -1,6 +1,7 @@
 """Files, stores, steps and resolution by hand."""
 
 import json
+import os
 import pickle
 import random
 
@@ -204,7 +205,22 @@ def test_encoder_shrinks_its_batches(spark):
     assert {r.i: list(r.vector) for r in jobs.encoded(df, "t", encode, 10_000).collect()} == {i: [float(i % 9)] for i in range(50)}
     assert jobs.encoded(df.limit(0), "t", encode).count() == 0
     with pytest.raises(ValueError):
-        jobs.seed_grid(spark, ["a"], ["b"], 30, 10)
+        jobs.seed_grid(spark.createDataFrame([("a",)], "s string"), "s", ["b"], 30, 10)
+
+
+def test_encoder_pads_little_over_the_whole_table(spark, tmp_path):
+    from quillspan.operators import jobs
+
+    def encode(texts):
+        with open(f"{tmp_path}/{os.getpid()}", "a") as f:
+            f.write(f"{len(texts) * max(1, *map(len, texts))} {sum(map(len, texts))}\n")
+        return np.array([[len(t)] for t in texts])
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "left(text, 2000) AS text", "1 AS length")
+    out = jobs.encoded(docs.repartition(9), "text", encode, 60_000)
+    assert out.columns == ["doc_id", "text", "length", "vector"] and {r.doc_id: len(r.text or "") for r in docs.collect()} == {r.doc_id: int(r.vector[0]) for r in out.collect()}
+    room, used = map(sum, zip(*[map(int, line.split()) for p in tmp_path.iterdir() for line in p.read_text().splitlines()], strict=True))
+    assert (room - used) / room < 0.1
 
 
 def test_command_line_shows_rows(spark, capfd):
