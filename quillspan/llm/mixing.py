@@ -265,13 +265,14 @@ def _solve(table: DataFrame, goals: np.ndarray, least: np.ndarray, passes: int,
         tried = y + 2.0 ** -np.arange(0, 16, 2)[:, None] * step
 
 
-def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], passes: int = PASSES, tolerance: float = 1e-4, least: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The sum of the steps, y, the domain totals that it reaches, and the target totals, for a
-    table of (tokens, posterior) rows.
+def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], passes: int = PASSES, tolerance: float = 1e-4, least: np.ndarray | None = None, columns: tuple[str, str] = ("n_tokens", "p")) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The sum of the steps, y, the domain totals that it reaches, and the target totals; columns name
+    the table's tokens and posterior.
 
     Each total is within tolerance of its own target. If no rates do that, a warning names
     the domains that miss and by how much, and rates stay moderate (GIVE).
     """
+    table = table.select(*[F.col(f"`{c}`") for c in columns])
     goals = np.array([targets.get(d, 1.0) for d in domains])
     least = np.zeros(len(domains)) if least is None else least
     met = lambda now, goal: np.abs(now - goal) <= tolerance * np.maximum(goal, 1)
@@ -291,7 +292,7 @@ def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
     mixing, at most 1e-4 where the targets can be met."""
     model = fit_classifier(docs, labels, max_labelled)
     table = materialize(memberships(docs, model), "memberships")
-    steps, reached, goal = fit_rates(table.select("n_tokens", "p"), model.domains, targets or TARGETS)
+    steps, reached, goal = fit_rates(table, model.domains, targets or TARGETS)
     miss = np.abs(reached - goal) / np.maximum(goal, 1)
     names, k = np.array(model.domains, object), len(model.domains)
 
@@ -315,7 +316,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     # one pass classifies; texts are written once beside their posteriors, and not classified again
     table, (tokens, posterior) = _classified(docs, model)
     table = materialize(table, "classified")
-    steps, _, _ = fit_rates(table.select(tokens, posterior), model.domains, targets, least=least)
+    steps, _, _ = fit_rates(table, model.domains, targets, least=least, columns=(tokens, posterior))
     names, k = docs.columns, len(model.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
