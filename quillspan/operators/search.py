@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,32 @@ def _ints(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A caller's rule: skip(queries, items) is given the named columns of some queries and items as
+    dicts of arrays, and returns which items (columns) each query (row) may not find. An item's
+    columns and a query's have different names."""
+
+    skip: Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
+    query_columns: tuple[str, ...] = ()
+    item_columns: tuple[str, ...] = ()
+
+
+def _values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.asarray(column.to_pandas())
+
+
 class _Queries:
     """A block of queries: arrays, and the (query, item) pairs that a query leaves out."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, table: pa.Table, rule: Rule | None) -> None:
+        self.own = {c: _values(table.column(c)) for c in (rule.query_columns if rule else ())}
         self.id, self.category, self.creator, self.title = (_ints(table.column(c)) for c in ("qid", "qcategory", "qcreator", "qtitle"))
         self.vector = _matrix(table.column("qvector"))
         self.exclude = table.column("qexclude").to_pylist()
 
 
-def _best(items: pa.Table | pa.RecordBatch, q: _Queries, same: int, other: int, per_creator: bool, own: bool, digits: int | None) -> Iterator[pa.RecordBatch]:
+def _best(items: pa.Table | pa.RecordBatch, q: _Queries, same: int, other: int, per_creator: bool, own: bool, digits: int | None, rule: Rule | None = None) -> Iterator[pa.RecordBatch]:
     """The rows that can be among a query's best of these items: of each category, the ones that
     reach its k-th best score, and one a creator. A matrix of CELLS scores is held at a time."""
     columns = [_ints(items.column(c)) for c in ("id", "category", "creator", "title", "penalty")]
@@ -52,6 +69,7 @@ def _best(items: pa.Table | pa.RecordBatch, q: _Queries, same: int, other: int,
     starts = np.flatnonzero(np.r_[True, (groups[:, 1:] != groups[:, :-1]).any(axis=0)])
     sizes, kinds = np.diff(np.r_[starts, len(ids)]), category[starts]
     place = np.arange(len(ids))
+    told = {c: _values(items.column(c))[order] for c in (rule.item_columns if rule else ())}
     row_of = {k: i for i, k in enumerate(ids.tolist())} if any(q.exclude) else {}
     step = max(1, CELLS // len(ids))
     for at in range(0, len(q.id), step):
@@ -61,6 +79,8 @@ def _best(items: pa.Table | pa.RecordBatch, q: _Queries, same: int, other: int,
             s = np.round(s, digits)
         if own:
             s[(q.id[part, None] == ids) | (q.creator[part, None] == creator) | (q.title[part, None] == title)] = -np.inf
+        if rule:
+            s[np.broadcast_to(rule.skip({c: v[part] for c, v in q.own.items()}, told), s.shape)] = -np.inf
         for i, gone in enumerate(q.exclude[part]):
             cols = [row_of[g] for g in gone or () if g in row_of]
             s[i, cols] = -np.inf
@@ -82,7 +102,7 @@ def _best(items: pa.Table | pa.RecordBatch, q: _Queries, same: int, other: int,
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([q.id[part][a], category[first], ids[first], creator[first], few[a, b]], _OUT.types, strict=True)], schema=_OUT)
 
 
-def scores(items: DataFrame, queries: DataFrame, same: int, other: int | None = None, per_creator: bool = True, own: bool = False, digits: int | None = 6) -> DataFrame:
+def scores(items: DataFrame, queries: DataFrame, same: int, other: int | None = None, per_creator: bool = True, own: bool = False, digits: int | None = 6, rule: Rule | None = None) -> DataFrame:
     """Candidate rows qid, category, id, creator, score: a superset of each query's best items,
     `same` of its own category and `other` (same, if None) of each other one, one per creator,
     from products in double precision less the item's penalty, rounded to `digits` if told.
@@ -91,7 +111,7 @@ def scores(items: DataFrame, queries: DataFrame, same: int, other: int | None =
     items: id, category, creator, vector, penalty and, if there is one, title. queries: qid,
     qcreator, qvector and, if there are any, qcategory, qtitle, qexclude (ids never to be
     found). With own, an item with the query's id, creator or title is skipped. Titles are
-    compared by a 64-bit hash.
+    compared by a 64-bit hash. What a rule skips isn't found either.
 
     Queries that fit QUERY_BYTES are broadcast to the items' partitions. More of them are dealt
     to blocks of that size, as items are to blocks of ITEM_ROWS, and every pair of blocks is
@@ -99,10 +119,10 @@ def scores(items: DataFrame, queries: DataFrame, same: int, other: int | None =
     """
     other = same if other is None else other
     titled = F.xxhash64("title") if "title" in items.columns else F.col("id")
-    things = items.select("id", F.col("category").cast("int").alias("category"), F.col("creator").cast("long").alias("creator"), titled.alias("title"), "vector", F.col("penalty").cast("double").alias("penalty"))
+    things = items.select("id", F.col("category").cast("int").alias("category"), F.col("creator").cast("long").alias("creator"), titled.alias("title"), "vector", F.col("penalty").cast("double").alias("penalty"), *(rule.item_columns if rule else ()))
     has = lambda c, v: F.col(c) if c in queries.columns else F.lit(v)
     qtitle = F.xxhash64("qtitle") if "qtitle" in queries.columns else F.col("qid")
-    asked = queries.select("qid", has("qcategory", -1).cast("int").alias("qcategory"), F.col("qcreator").cast("long").alias("qcreator"), qtitle.alias("qtitle"), F.transform("qvector", lambda x: x.cast("double")).alias("qvector"), has("qexclude", None).cast("array<long>").alias("qexclude"))
+    asked = queries.select("qid", has("qcategory", -1).cast("int").alias("qcategory"), F.col("qcreator").cast("long").alias("qcreator"), qtitle.alias("qtitle"), F.transform("qvector", lambda x: x.cast("double")).alias("qvector"), has("qexclude", None).cast("array<long>").alias("qexclude"), *(rule.query_columns if rule else ()))
     asked = staged(asked, "queries")
     size = asked.agg(F.sum(8 * F.size("qvector") + 8 * F.coalesce(F.size("qexclude"), F.lit(0)) + 64)).first()[0] or 0
     schema = "qid long, category int, id long, creator long, score double"
@@ -110,32 +130,33 @@ def scores(items: DataFrame, queries: DataFrame, same: int, other: int | None =
         block = asked.sparkSession.sparkContext.broadcast(asked.orderBy("qid").toArrow())  # its size is checked above
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = _Queries(block.value)
+            q = _Queries(block.value, rule)
             for batch in batches:
                 for at in range(0, batch.num_rows if len(q.id) else 0, ITEM_ROWS):
-                    yield from _best(batch.slice(at, ITEM_ROWS), q, same, other, per_creator, own, digits)
+                    yield from _best(batch.slice(at, ITEM_ROWS), q, same, other, per_creator, own, digits, rule)
 
         return things.mapInArrow(run, schema)
 
     qblocks, iblocks = -(-size // QUERY_BYTES), max(1, -(-things.count() // ITEM_ROWS))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     nothing = lambda df, names: [F.lit(None).cast(df.schema[n].dataType).alias(n) for n in names]
-    left = asked.select(*_QUERY, *nothing(things, _ITEM), F.pmod(F.xxhash64("qid"), F.lit(qblocks)).alias("_q")).withColumn("_i", spread(iblocks))
-    right = things.select(*nothing(asked, _QUERY), *_ITEM, F.pmod(F.xxhash64("id"), F.lit(iblocks)).alias("_i")).withColumn("_q", spread(qblocks))
+    of_query, of_item = [*_QUERY, *(rule.query_columns if rule else ())], [*_ITEM, *(rule.item_columns if rule else ())]
+    left = asked.select(*of_query, *nothing(things, of_item), F.pmod(F.xxhash64("qid"), F.lit(qblocks)).alias("_q")).withColumn("_i", spread(iblocks))
+    right = things.select(*nothing(asked, of_query), *of_item, F.pmod(F.xxhash64("id"), F.lit(iblocks)).alias("_i")).withColumn("_q", spread(qblocks))
 
     def pair(table: pa.Table) -> pa.Table:
         asks = table.column("qid").is_valid()
         q, rows = table.filter(asks), table.filter(pc.invert(asks))
-        out = [] if not q.num_rows or not rows.num_rows else list(_best(rows, _Queries(q), same, other, per_creator, own, digits))
+        out = [] if not q.num_rows or not rows.num_rows else list(_best(rows, _Queries(q, rule), same, other, per_creator, own, digits, rule))
         return pa.Table.from_batches(out, schema=_OUT)
 
     return left.unionByName(right).groupBy("_q", "_i").applyInArrow(pair, schema)
 
 
-def nearest(items: DataFrame, queries: DataFrame, k: int, per_creator: bool = True, own: bool = False, other: int | None = None) -> DataFrame:
+def nearest(items: DataFrame, queries: DataFrame, k: int, per_creator: bool = True, own: bool = False, other: int | None = None, rule: Rule | None = None) -> DataFrame:
     """qid, category, id, score, place: the best per category; equal scores in id order. With
     `other`, k counts in the query's own category (qcategory) and other in the rest."""
-    rows = scores(items, queries, k, other, per_creator, own)
+    rows = scores(items, queries, k, other, per_creator, own, rule=rule)
     best = [F.desc("score"), F.asc("id")]
     if per_creator:
         rows = rows.withColumn("_c", F.row_number().over(W.partitionBy("qid", "category", "creator").orderBy(*best))).where("_c = 1")

@@ -49,6 +49,20 @@ def world_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(items, path, 2, own=True, other=2)
 
 
+@query(_PAIRS.format(mod=25, qv="qv") + _DIVERSE.format(where="abs(qid - id) > 40 AND (qid + creator) % 3 <> 0"))
+def rule_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two works a category that a caller's own rule allows: far enough by number, and of creators that
+    suit the query."""
+    items = _items(spark, sf_dir).withColumn("maker", F.col("creator"))
+    asked = _vectors(items, "id % 25 = 0").withColumn("qn", F.col("qid"))
+
+    def skip(queries, items):
+        far = abs(queries["qn"][:, None] - items["nr"]) > 40
+        return ~far | ((queries["qn"][:, None] + items["maker"]) % 3 == 0)
+
+    return search.nearest(items.withColumn("nr", F.col("id")), asked, 2, rule=search.Rule(skip, ("qn",), ("nr", "maker")))
+
+
 @query("""WITH i AS (SELECT vec_id AS id, label AS category, vec_id % 50 AS creator, embedding::DOUBLE[] AS v FROM embeddings),
 b AS (SELECT a.id AS qid, a.creator AS qcreator, [0.7 * x[1] + 0.3 * x[2] FOR x IN list_zip(t.v, a.v)] AS m FROM i a JOIN i t ON t.id = a.id + 1 WHERE a.id % 50 = 0),
 q AS (SELECT qid, qcreator, [x / sqrt(list_inner_product(m, m)) FOR x IN m] AS qv FROM b),

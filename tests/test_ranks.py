@@ -89,3 +89,26 @@ def test_one_piece_words(spark):
     words = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(1, 4))) for _ in range(4000)}
     words |= {"love", "film", "quillspan", "mountain", "2000", "zzyzx", *(w[: rng.randint(1, len(w))] for w in sorted(got)[:2000])}
     assert {w for w in words if one(w)} == words & got and len(got) > 10_000
+
+
+@pytest.mark.parametrize("room", [search.QUERY_BYTES, 1500])
+def test_a_callers_rule(spark, room, monkeypatch):
+    """In one broadcast block, and in pairs of blocks."""
+    monkeypatch.setattr(search, "QUERY_BYTES", room)
+    rng = np.random.default_rng(8)
+    items = [(i, i % 2, i % 7, rng.normal(size=6).tolist(), 0.0, 1990 + i % 20, "ab"[i % 3 == 0]) for i in range(90)]
+    df = spark.createDataFrame(items, "id long, category int, creator long, vector array<double>, penalty double, year int, kind string")
+    queries = df.where("id % 6 = 0").selectExpr("id AS qid", "creator AS qcreator", "vector AS qvector", "year AS qyear")
+    rule = search.Rule(lambda q, i: (abs(q["qyear"][:, None] - i["year"]) > 4) | (i["kind"] == "b"), ("qyear",), ("year", "kind"))
+    got = {(r.qid, r.category, r.place): r.id for r in search.nearest(df, queries, 2, rule=rule).collect()}
+    want = {}
+    for q in items[::6]:
+        for c in (0, 1):
+            best = {}
+            for i in items:
+                if i[1] == c and abs(q[5] - i[5]) <= 4 and i[6] != "b":
+                    key = (-round(float(np.dot(q[3], i[3])), 6), i[0])
+                    best[i[2]] = min(best.get(i[2], key), key)
+            for place, (_, i) in enumerate(sorted(best.values())[:2], 1):
+                want[q[0], c, place] = i
+    assert got == want
