@@ -190,6 +190,7 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: (rng.choice(["key ", "use ", "value ", ""]), mixed(rng.choice([24, 32, 40, 64]))),
         lambda: (rng.choice(["key ", "use ", ""]), hexes(rng.choice([32, 40, 64]))),
         lambda: (rng.choice(["use ", "my ", "the ", ""]), rng.choice(["password: ", "password=", "pwd = ", "Password: "]) + word() + d(rng.randint(1, 4)) + rng.choice(["", word()[:2]])),
+        lambda: (rng.choice(["key ", "see ", ""]), rng.choice(["ghp_", "gho_", "sk_live_", "rk_live_", "xoxp-", "xoxb-"]) + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz" + rng.choice(["", "0123456789"])) for _ in range(rng.randint(14, 44)))),
         lambda: (rng.choice(["key ", ""]), rng.choice(["AKIA", "ASIA"]) + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))),
     ]
     bad = [
