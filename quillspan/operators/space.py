@@ -48,13 +48,16 @@ def farther_than(rows: DataFrame, evals: DataFrame, limit: float, digits: int =
     return found.where(F.col("nearest") < limit)
 
 
-def candidates(items: DataFrame, queries: DataFrame, positives: DataFrame, k: int, drawn: int) -> tuple[DataFrame, DataFrame]:
-    """The items (id) of a training step, once each: the union of all queries' k best a category, the
-    positives (id) and `drawn` items in the order of a hash; and beside it which of them each
-    query picked (qid, id). A query meets every item of the step, so the list isn't repeated."""
-    picked = staged(nearest(items, queries, k, per_creator=False).select("qid", "id"), "picked")
+def candidates(items: DataFrame, queries: DataFrame, positives: DataFrame, k: int, drawn: int) -> DataFrame:
+    """qid, id, picked: every query against the items of a training step, which are the union of all
+    queries' k best a category, the positives (id) and `drawn` items in the order of a hash.
+
+    A query carries its own picks (k a category) to the items, so the pairs aren't shuffled."""
+    top = staged(nearest(items, queries, k, per_creator=False).select("qid", "id"), "picked")
     lot = items.select("id").orderBy(F.sha2(F.concat(F.lit("draw:"), F.col("id").cast("string")), 256)).limit(drawn)
-    return picked.select("id").union(positives.select("id")).union(lot).distinct(), picked
+    every = staged(top.select("id").union(positives.select("id")).union(lot).distinct(), "step")
+    own = queries.select("qid").join(top.groupBy("qid").agg(F.collect_set("id").alias("_own")), "qid", "left")
+    return own.crossJoin(every).select("qid", "id", F.coalesce(F.array_contains("_own", F.col("id")), F.lit(False)).alias("picked"))
 
 
 def directions(items: DataFrame, dims: int) -> np.ndarray:

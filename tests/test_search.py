@@ -140,3 +140,12 @@ def test_softmax_and_choice(spark):
     row = spark.range(1).select(vectors.softmax(F.array(*map(F.lit, z)), 0.5).alias("s"), vectors.first_largest(F.array(F.lit(1.0), F.lit(2.0), F.lit(2.0))).alias("i")).first()
     e = np.exp(np.array(z) / 0.5)
     assert np.allclose(row.s, e / e.sum()) and row.i == 1
+
+
+def test_every_query_meets_every_item_of_the_step(spark):
+    from quillspan.plans import wall
+
+    rows = wall.candidate_sample(spark, "/root/testdata/sf0.001").collect()
+    queries, items = {r.qid for r in rows}, {r.id for r in rows}
+    assert len(rows) == len({(r.qid, r.id) for r in rows}) == len(queries) * len(items)
+    assert {r.qid for r in rows if r.picked} == queries and not all(r.picked for r in rows)
