@@ -4,14 +4,16 @@ A fixed public vocabulary gives the pieces; each language has a probability for
 piece. A word's probability is the sum over all its segmentations into pieces, found by
 the forward algorithm; a text's is the product over its words, as no piece crosses a
 word's start. Pieces of every length count. Training is expectation-maximisation over
-the same sum (forward-backward) on the word counts of a sample of labelled documents:
-about `max_docs` a language, chosen by a hash of the row, with all their words of up to
-LONG letters (longer runs are no words of a language). That bound holds the model's cost;
-prediction reads every whole text. A longer run is scored exactly too: it is cut into
+the same sum (forward-backward) on the word counts of all labelled documents, with all
+their words of up to LONG letters (longer runs are no words of a language). Prediction
+reads every whole text. A longer run is scored exactly too: it is cut into
 parts that are worked off side by side, for each of the states that a part can begin in,
 and the parts are then joined like matrices, so a run of a million letters takes seconds.
 
-Scale. One pass over the texts, no shuffle of texts; the model has fixed size.
+Scale. Training counts words in one pass; each round works on the distinct words of a
+language in many tasks, and only the sums by piece come to the driver (languages x pieces).
+One more pass for prediction, no shuffle of texts; the model has fixed size. keep_known()
+needs one pass before it, over the labelled documents, for its thresholds.
 
 Defined results. Null text or no letter: `und`, score 0. No labelled row at all: every
 text is `und`. Ties go to the language that sorts first. Repeated rows are returned each.
@@ -19,7 +21,7 @@ Letters that no piece covers count as one unknown piece each. Extra columns are
 The score compares the learned languages with each other, so a text in none of them can
 have a high one; keep_known() therefore also asks for a fit: letter by letter, the text
 may be at most FAR times as surprising as its language's labelled documents are in the
-median (measured on rows outside the sample).
+median (of all of them, to three decimals).
 """
 
 from __future__ import annotations
@@ -27,16 +29,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import byte_texts, keyed, lean, tokenizer_path, wide
+from quillspan.llm.common import byte_texts, keyed, lean, materialize, tokenizer_path, wide
 
 VOCABULARY = "piece_bpe_32k.model"
-MAX_DOCS = 300
 ROUNDS = 3
 FAR = 3.0  # times as surprising, letter by letter, as the language's own texts
 CACHED = 250_000
@@ -44,6 +46,7 @@ LONG = 256  # letters of a word that a sample may teach; longer ones are scored
 PART = 512  # letters of a part
 SIDE = 64  # parts that are worked off at a time
 _START = "▁"
+MILLION = 1_000_000  # parts of a count
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TABLE = 18
@@ -195,7 +198,8 @@ def _long_score(word: str, table: Pieces, probs: np.ndarray) -> np.ndarray:
 
 
 def _expected(words: list[str], weights: np.ndarray, table: Pieces, probs: np.ndarray) -> np.ndarray:
-    """Expected piece counts of one language's words under its probabilities."""
+    """Expected piece counts of one language's words under its probabilities, each word's in whole
+    millionths: sums don't depend on the order of the words."""
     counts = np.zeros(table.size + 2)
     for at, first in _by_length(words):
         t, n = len(first) - 1, len(at)
@@ -215,9 +219,9 @@ def _expected(words: list[str], weights: np.ndarray, table: Pieces, probs: np.nd
                     back[j - s] += back[j] * probs[ids[j, s]] * scale**s
         share = weights[at] / np.maximum(fore[t], 1e-300)
         for (j, s), v in ids.items():
-            counts += np.bincount(np.where(v < 0, table.size + 1, v), np.nan_to_num(share * fore[j - s] * back[j] * probs[v] * scale**s), table.size + 2)
+            counts += np.bincount(np.where(v < 0, table.size + 1, v), np.rint(MILLION * np.nan_to_num(share * fore[j - s] * back[j] * probs[v] * scale**s)), table.size + 2)
     counts[-1] = 0
-    return counts
+    return counts / MILLION
 
 
 @dataclass
@@ -225,59 +229,86 @@ class Model:
     langs: list[str]
     table: Pieces
     probs: np.ndarray
-    floors: np.ndarray  # by language: the least log-likelihood a letter of a text that fits
+    docs: DataFrame | None = None  # the labelled documents that it was learned from
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "docs": None}  # tasks get the numbers only
 
-def _drawn(labelled: DataFrame, sizes: dict[str, int], max_docs: int, turn: int) -> DataFrame:
-    """About max_docs rows of each language, by a hash of the row; other rows each turn
-    (the same ones for a language that has fewer than twice as many)."""
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, max_docs / n))) for k, n in sizes.items()])
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
-    return labelled.where((draw >= share * turn) & (draw < share * (turn + 1)) | (share > 0.5) & (draw < share))
+    @cached_property
+    def floors(self) -> np.ndarray:
+        """By language: the least log-likelihood a letter of a text that fits."""
+        return _floors(self.docs, self) if self.langs else np.zeros(0)
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS, vocabulary: str | None = None) -> Model:
-    """Learn from the rows of docs with a lang: text and lang only; doc_id picks the samples."""
+def train(docs: DataFrame, vocabulary: str | None = None) -> Model:
+    """Learn from the rows of docs with a lang: text and lang only."""
     labelled = keyed(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(sizes)
+    langs = sorted(r.lang for r in labelled.select("lang").distinct().collect())
     table = Pieces.of(vocabulary_pieces(vocabulary or tokenizer_path(VOCABULARY)))
     if not langs:
-        return Model([], table, np.zeros((table.size + 2, 0)), np.zeros(0))
-    words = _drawn(labelled, sizes, max_docs, 0).select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).where(F.length("word") <= LONG)
-    rows = words.groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy("lang", "word").toPandas()
-    probs = np.zeros((table.size + 2, len(langs)))
-    for k, lang in enumerate(langs):
-        own = rows[rows.lang == lang]
-        p = np.full(table.size + 2, 1 / (table.size + 1))
-        for _ in range(ROUNDS):
-            p[-1] = 0
-            counts = _expected(own.word.tolist(), own.n.to_numpy(float), table, p) + 0.02
-            p = counts / counts[:-1].sum()
-        p[-1] = 0
-        probs[:, k] = p
-    model = Model(langs, table, probs, np.full(len(langs), -np.inf))
-    model.floors = _floors(_drawn(labelled, sizes, max_docs, 1), model)
-    return model
+        return Model([], table, np.zeros((table.size + 2, 0)))
+    words = wide(labelled).select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).where(F.length("word") <= LONG)
+    words = materialize(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
+    probs = np.full((table.size + 2, len(langs)), 1 / (table.size + 1))
+    for _ in range(ROUNDS):
+        probs[-1] = 0
+        counts = _counted(words, langs, table, probs) + 0.02
+        probs = counts / counts[:-1].sum(axis=0)
+    probs[-1] = 0
+    return Model(langs, table, probs, labelled)
+
+
+def _counted(words: DataFrame, langs: list[str], table: Pieces, probs: np.ndarray) -> np.ndarray:
+    """Expected counts, pieces x languages, of all words (lang, word, n), added up by tasks in millionths."""
+    shared = words.sparkSession.sparkContext.broadcast((table, probs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, probs = shared.value
+        total = np.zeros(probs.shape, np.int64)
+        for batch in batches:
+            for part in _parts(batch, 50_000):
+                own = np.array([langs.index(x) for x in part.column(0).to_pylist()])
+                for k in np.unique(own):
+                    mine = part.filter(pa.array(own == k))
+                    found = _expected(mine.column(1).to_pylist(), mine.column(2).to_numpy().astype(float), table, probs[:, k])
+                    total[:, k] += np.rint(MILLION * found).astype(np.int64)
+        piece, lang = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], ["piece", "lang", "n"])
+
+    out = np.zeros(probs.shape)
+    rows = wide(words).mapInArrow(lean(run), "piece int, lang int, n long").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+    out[rows.piece, rows.lang] = rows.n / MILLION
+    return out
 
 
 def _floors(docs: DataFrame, model: Model) -> np.ndarray:
-    """By language, FAR times the median log-likelihood a letter of its labelled documents."""
+    """By language, FAR times the median log-likelihood a letter of its labelled documents, rounded
+    to thousandths: of each there is a count."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _parts(batch):
-                _, log, letters = next(totals(iter([part.column(0)]), model))
-                own = np.array([model.langs.index(x) for x in part.column(1).to_pylist()])
-                fit = log[np.arange(len(own)), own] / np.maximum(letters, 1)
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(fit)], ["lang", "fit"]).filter(pa.array(letters > 0))
+        model, parts = shared.value, []
 
-    rows = docs.select("text", "lang").mapInArrow(lean(run), "lang string, fit double").toPandas()
+        def texts() -> Iterator[pa.Array]:
+            for batch in batches:
+                for part in _parts(batch):
+                    parts.append(part)
+                    yield part.column(0)
+
+        for n, log, letters in totals(texts(), model):
+            lang = parts.pop().column(1)
+            own = np.array([model.langs.index(x) for x in lang.to_pylist()], int)
+            fit = np.round(1000 * log[np.arange(n), own] / np.maximum(letters, 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([lang, pa.array(fit)], ["lang", "fit"]).filter(pa.array(letters > 0))
+
+    rows = wide(docs.select("text", "lang")).mapInArrow(lean(run), "lang string, fit long").groupBy("lang", "fit").agg(F.count("*").alias("n")).toPandas()
     out = np.full(len(model.langs), -np.inf)
     for k, lang in enumerate(model.langs):
-        fit = rows.fit[rows.lang == lang].to_numpy()
-        if len(fit):
-            out[k] = FAR * np.median(fit)
+        own = rows[rows.lang == lang].sort_values("fit")
+        if len(own):
+            below, n = own.n.cumsum().to_numpy(), own.n.sum()
+            middle = [own.fit.iloc[int(np.searchsorted(below, m))] for m in ((n - 1) // 2 + 1, n // 2 + 1)]
+            out[k] = FAR * sum(middle) / 2000
     return out
 
 
@@ -322,8 +353,9 @@ def totals(texts: Iterator[pa.Array], model: Model) -> Iterator[tuple[int, np.nd
         yield len(at), total[:, :-1], total[:, -1]
 
 
-def predictions(texts: Iterator[pa.Array], model: Model) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """lang_pred and score of each text, and whether it fits its language; array by array."""
+def predictions(texts: Iterator[pa.Array], model: Model, floors: np.ndarray | None = None) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """lang_pred and score of each text, and whether it fits its language (its floor, if given); array by array."""
+    floors = np.full(len(model.langs), -np.inf) if floors is None else floors
     names = np.array([*model.langs, "und"], object)
     for n, log, letters in totals(texts, model):
         if not model.langs:
@@ -331,7 +363,7 @@ def predictions(texts: Iterator[pa.Array], model: Model) -> Iterator[tuple[list[
             continue
         best = log.argmax(axis=1)
         score = 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
-        fits = (letters > 0) & (log.max(axis=1) >= model.floors[best] * letters)
+        fits = (letters > 0) & (log.max(axis=1) >= floors[best] * letters)
         yield names[np.where(letters > 0, best, len(model.langs))].tolist(), np.where(letters > 0, score, 0.0), fits
 
 
@@ -361,7 +393,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
     """The rows of docs whose language is identified with min_score or more and that fit
     it; all columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, model.floors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
@@ -372,7 +404,7 @@ def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFra
                     parts.append(part)
                     yield part.column("text")
 
-        for _, score, fits in predictions(texts(), shared.value):
+        for _, score, fits in predictions(texts(), *shared.value):
             yield parts.pop().filter(pa.array(fits & (score >= min_score)))
 
     return docs.mapInArrow(lean(run), docs.schema)

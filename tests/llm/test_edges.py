@@ -168,3 +168,17 @@ def test_isotonic_regression():
     got = pii.isotonic(y)
     best = [max(min(y[i : j + 1].mean() for j in range(k, 60)) for i in range(k + 1)) for k in range(60)]  # max-min form
     assert np.allclose(got, best) and len(pii.isotonic(np.zeros(0))) == 0
+
+
+def test_language_model_learns_from_every_labelled_row(spark):
+    """Words that only one of many documents of a language has count, and so do all documents in a threshold."""
+    rows = [(i, f"the cat and dog number {'zyx' * 20 if i == n else 'one'}", "en") for n in (1500,) for i in range(2000)] + [(5000, "der hund und die katze", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    fewer = langid.train(docs.where("doc_id <> 1500"))
+    assert model.langs == ["de", "en"] and not np.allclose(model.probs[:, 1], fewer.probs[:, 1], rtol=1e-6) and np.array_equal(model.probs[:, 0], fewer.probs[:, 0])
+    assert np.array_equal(model.probs, langid.train(docs.repartition(7)).probs)
+    table = model.table
+    words = [w for r in docs.where("lang = 'en'").collect() for w in r.text.split()]
+    logs = [langid.word_scores(t.split(), table, model.probs)[:, 1].sum() / sum(len(w) + 1 for w in t.split()) for t in [r.text for r in docs.where("lang = 'en'").collect()]]
+    assert len(words) == 12000 and abs(model.floors[1] - langid.FAR * np.median(logs)) <= langid.FAR * 0.0006
