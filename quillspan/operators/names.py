@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import FILLER_WORDS, content_words, exact_name, plain_words
 from quillspan.operators.search import representative
-from quillspan.sources.scratch import staged
+from quillspan.sources.scratch import bounded_batches, staged
 
 #: Fixed value: the order in which categories win a tie.
 CATEGORY_ORDER = ("film", "song", "book", "art", "poem")
@@ -113,9 +113,16 @@ def anchors(queries: DataFrame, items: DataFrame, common: list[str]) -> DataFram
     return rows.join(chosen, group, "left").select("qid", F.coalesce("chosen", "id").alias("id"))
 
 
+def used_words(texts: DataFrame, text: str, *others: str) -> DataFrame:
+    """word and the other columns: the distinct words of each text. A worker holds the words of
+    one bounded batch of texts at a time."""
+    bounded_batches(texts.sparkSession)
+    return texts.select(*others, F.explode(F.array_distinct(plain_words(F.col(text)))).alias("word"))
+
+
 def common_words(texts: DataFrame, text: str, share: float) -> DataFrame:
     """word: those in at least `share` of the texts, where there is no vocabulary to ask."""
-    n = texts.select(F.explode(F.array_distinct(plain_words(F.col(text)))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    n = used_words(texts, text).groupBy("word").agg(F.count("*").alias("n"))
     return n.crossJoin(texts.agg(F.count("*").alias("t"))).where(F.col("n") >= F.col("t") * share).select("word")
 
 

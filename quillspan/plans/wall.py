@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillspan.functions import color, hashing, vectors
-from quillspan.functions.text import plain_words
 from quillspan.operators import names, search, space
 from quillspan.plans.base import query
 from quillspan.sources.io import table
@@ -368,7 +367,7 @@ def name_one_piece_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a public tokenizer takes as one piece, with the names and the texts that have them."""
     named = _named(spark, sf_dir).select(F.lit(1).alias("name"), F.concat_ws(" ", "title", "creator", "album").alias("text"))
     texts = table(spark, sf_dir, "documents").select(F.lit(0).alias("name"), "text")
-    used = named.union(texts).select("name", F.explode(F.array_distinct(plain_words(F.col("text")))).alias("word"))
+    used = names.used_words(named.union(texts), "text", "name")
     counts = used.groupBy("word").agg(F.sum("name").alias("names"), F.sum(1 - F.col("name")).alias("texts"))
     return counts.join(names.one_piece_words(spark), "word")
 

@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20  # of the Arrow batches that go to a Python worker, about
 _own: dict[str, str] = {}
 _swept: set[str] = set()
 
@@ -48,6 +50,13 @@ def _sweep(spark: SparkSession, folder: str) -> None:
             _delete(spark, folder)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as 10,000 long texts are too many to hold as lists of words,
+    unless the session has another value than the default."""
+    if spark.conf.get(_BATCHES) == spark.newSession().conf.get(_BATCHES):
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: its lineage ends, and a lost executor costs a reread."""
     path = scratch_path(df.sparkSession, name)

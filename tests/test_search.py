@@ -149,3 +149,16 @@ def test_every_query_meets_every_item_of_the_step(spark):
     queries, items = {r.qid for r in rows}, {r.id for r in rows}
     assert len(rows) == len({(r.qid, r.id) for r in rows}) == len(queries) * len(items)
     assert {r.qid for r in rows if r.picked} == queries and not all(r.picked for r in rows)
+
+
+def test_words_of_texts_come_from_bounded_batches(spark):
+    key, own = "spark.sql.execution.arrow.maxBytesPerBatch", spark.newSession().conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.createDataFrame([("Café & café", 1)], "t string, k int")
+    held = spark.conf.get(key)
+    try:
+        for given, left in ((own, str(4 << 20)), ("1000000", "1000000")):
+            spark.conf.set(key, given)
+            assert {tuple(r) for r in names.used_words(df, "t", "k").collect()} == {(1, "cafe"), (1, "and")}
+            assert spark.conf.get(key) == left
+    finally:
+        spark.conf.set(key, held)
