@@ -144,8 +144,11 @@ def word_scores(words: list[str], table: Pieces, probs: np.ndarray) -> np.ndarra
             now = np.zeros_like(log)
             for span in range(1, min(j, table.longest) + 1):
                 ids = _piece_ids(first, table, j, span)
-                if (ids >= 0).any():
+                hit = np.flatnonzero(ids >= 0)
+                if 2 * len(hit) > len(ids):
                     now += ring[-span] * probs[ids]
+                elif len(hit):
+                    now[hit] += ring[-span][hit] * probs[ids[hit]]
             scale = np.maximum(now, 1e-280)
             ring = [np.minimum(r / scale, 1e280) for r in ring[1 - table.longest :]] + [np.ones_like(now)] if j % 8 == 0 else [*ring[-table.longest :], now]
             if j % 8 == 0:
@@ -203,23 +206,28 @@ def _expected(words: list[str], weights: np.ndarray, table: Pieces, probs: np.nd
     counts = np.zeros(table.size + 2)
     for at, first in _by_length(words):
         t, n = len(first) - 1, len(at)
-        ids = {(j, s): _piece_ids(first, table, j, s) for j in range(1, t + 1) for s in range(1, min(j, table.longest) + 1)}
-        ids = {k: v for k, v in ids.items() if (v >= 0).any()}
+        # of each place and length: the words that have a piece there, and the piece
+        found = {}
+        for j in range(1, t + 1):
+            for s in range(1, min(j, table.longest) + 1):
+                ids = _piece_ids(first, table, j, s)
+                hit = np.flatnonzero(ids >= 0)
+                if len(hit):
+                    found[j, s] = hit, ids[hit]
         fore, back = np.zeros((t + 1, n)), np.zeros((t + 1, n))
         fore[0], back[t] = 1, 1
         # a factor for each letter keeps long words from vanishing; it cancels out
         scale = np.exp(-word_scores([words[i] for i in at], table, probs[:, None])[:, 0] / t) if t > 30 else np.ones(n)
-        for j in range(1, t + 1):
-            for s in range(1, min(j, table.longest) + 1):
-                if (j, s) in ids:
-                    fore[j] += fore[j - s] * probs[ids[j, s]] * scale**s
+        for (j, s), (hit, ids) in found.items():  # in order of j
+            fore[j, hit] += fore[j - s, hit] * probs[ids] * scale[hit] ** s
         for j in range(t, 0, -1):
             for s in range(1, min(j, table.longest) + 1):
-                if (j, s) in ids:
-                    back[j - s] += back[j] * probs[ids[j, s]] * scale**s
+                if (j, s) in found:
+                    hit, ids = found[j, s]
+                    back[j - s, hit] += back[j, hit] * probs[ids] * scale[hit] ** s
         share = weights[at] / np.maximum(fore[t], 1e-300)
-        for (j, s), v in ids.items():
-            counts += np.bincount(np.where(v < 0, table.size + 1, v), np.rint(MILLION * np.nan_to_num(share * fore[j - s] * back[j] * probs[v] * scale**s)), table.size + 2)
+        each = [np.rint(MILLION * np.nan_to_num(share[hit] * fore[j - s, hit] * back[j, hit] * probs[ids] * scale[hit] ** s)) for (j, s), (hit, ids) in found.items()]
+        counts += np.bincount(np.concatenate([ids for _, ids in found.values()]), np.concatenate(each), table.size + 2)
     counts[-1] = 0
     return counts / MILLION
 
@@ -265,13 +273,12 @@ def _counted(words: DataFrame, langs: list[str], table: Pieces, probs: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, probs = shared.value
         total = np.zeros(probs.shape, np.int64)
-        for batch in batches:
-            for part in _parts(batch, 50_000):
-                own = np.array([langs.index(x) for x in part.column(0).to_pylist()])
-                for k in np.unique(own):
-                    mine = part.filter(pa.array(own == k))
-                    found = _expected(mine.column(1).to_pylist(), mine.column(2).to_numpy().astype(float), table, probs[:, k])
-                    total[:, k] += np.rint(MILLION * found).astype(np.int64)
+        for part in _gathered(batches, 100_000):
+            own = np.array([langs.index(x) for x in part.column(0).to_pylist()])
+            for k in np.unique(own):
+                mine = part.filter(pa.array(own == k))
+                found = _expected(mine.column(1).to_pylist(), mine.column(2).to_numpy().astype(float), table, probs[:, k])
+                total[:, k] += np.rint(MILLION * found).astype(np.int64)
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
@@ -313,31 +320,49 @@ def _floors(docs: DataFrame, model: Model) -> np.ndarray:
 
 
 class _Scores(dict):
-    """White-space separated chunk to its row of scores; rows of new chunks come later."""
+    """White-space separated chunk to its row of scores; rows of new chunks come later. A chunk of
+    one word has the word's row, so a word is scored once, whatever signs stand around it."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.new, self.rows = model, [], np.zeros((0, len(model.langs) + 1))
+        self.model, self.rows = model, np.zeros((1, len(model.langs) + 1))  # row 0: no word
+        self.words: dict[str, int] = {}
+        self.used, self.new, self.joint = 1, [], []  # rows; words, and (row, rows of its words) of chunks, to fill
+
+    def _row(self) -> int:
+        self.used += 1
+        return self.used - 1
+
+    def _word(self, word: str) -> int:
+        k = self.words.get(word)
+        if k is None:
+            k = self.words[word] = self._row()
+            self.new.append(word)
+        return k
 
     def __missing__(self, chunk: bytes) -> int:
-        k = self[chunk] = len(self)
-        self.new.append(chunk)
+        text = chunk.decode().lower()
+        of = [self._word(text)] if text.isalpha() else [self._word(w) for w in _LETTERS.findall(text) if any(map(str.isalpha, w))]
+        if len(of) > 1:
+            self.joint.append((self._row(), of))
+            of = [self.joint[-1][0]]
+        k = self[chunk] = of[0] if of else 0
         return k
 
     def fill(self) -> np.ndarray:
         """Row of each chunk: log probabilities by language, and its letters and words."""
+        if self.used > len(self.rows):
+            grown = np.zeros((max(self.used, 2 * len(self.rows)), self.rows.shape[1]))
+            grown[: len(self.rows)] = self.rows
+            self.rows = grown
         if self.new:
-            found = [[w for w in _LETTERS.findall(c.decode().lower()) if any(map(str.isalpha, w))] for c in self.new]
-            words = list(dict.fromkeys(w for f in found for w in f))
-            number = {w: k for k, w in enumerate(words)}
-            scores = word_scores(words, self.model.table, self.model.probs)
-            n = [len(f) for f in found]
-            rows = np.zeros((len(found), scores.shape[1] + 1))
-            np.add.at(rows, np.repeat(np.arange(len(found)), n), np.append(scores, np.array([len(w) + 1.0 for w in words]).reshape(-1, 1), axis=1)[[number[w] for f in found for w in f]])
-            grown = np.empty((max(len(self), 2 * len(self.rows)) if len(self) > len(self.rows) else len(self.rows), rows.shape[1]))
-            at = len(self) - len(rows)
-            grown[:at] = self.rows[:at]
-            grown[at : at + len(rows)] = rows
-            self.rows, self.new = grown, []
+            at = [self.words[w] for w in self.new]
+            self.rows[at, :-1] = word_scores(self.new, self.model.table, self.model.probs)
+            self.rows[at, -1] = [len(w) + 1.0 for w in self.new]
+            self.new = []
+        if self.joint:
+            n = [len(of) for _, of in self.joint]
+            np.add.at(self.rows, np.repeat([k for k, _ in self.joint], n), self.rows[[w for _, of in self.joint for w in of]])
+            self.joint = []
         return self.rows
 
 
@@ -345,7 +370,7 @@ def totals(texts: Iterator[pa.Array], model: Model) -> Iterator[tuple[int, np.nd
     """Of each array: its length, the texts' log-likelihoods by language, and their letters and words."""
     cache = _Scores(model)
     for column in texts:
-        if len(cache) > CACHED:
+        if max(len(cache), len(cache.words)) > CACHED:
             cache = _Scores(model)
         at = [np.fromiter(map(cache.__getitem__, p), np.int64, len(p)) if (p := t.split() if t else []) else np.zeros(0, np.int64) for t in byte_texts(column)]
         rows = cache.fill()
@@ -367,10 +392,23 @@ def predictions(texts: Iterator[pa.Array], model: Model, floors: np.ndarray | No
         yield names[np.where(letters > 0, best, len(model.langs))].tolist(), np.where(letters > 0, score, 0.0), fits
 
 
-def _parts(batch: pa.RecordBatch, size: int = 250) -> list[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, size: int = 1000) -> list[pa.RecordBatch]:
     return [batch.slice(at, size) for at in range(0, batch.num_rows, size)]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Tables of `size` rows or somewhat more, from batches that may be much smaller."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= size:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -4,6 +4,7 @@ import random
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspan.llm import common, compaction, hnsw, langid, minhash, mixing, pii
@@ -182,3 +183,19 @@ def test_language_model_learns_from_every_labelled_row(spark):
     words = [w for r in docs.where("lang = 'en'").collect() for w in r.text.split()]
     logs = [langid.word_scores(t.split(), table, model.probs)[:, 1].sum() / sum(len(w) + 1 for w in t.split()) for t in [r.text for r in docs.where("lang = 'en'").collect()]]
     assert len(words) == 12000 and abs(model.floors[1] - langid.FAR * np.median(logs)) <= langid.FAR * 0.0006
+
+
+def test_a_word_is_scored_once_and_small_batches_are_worked_off_together(monkeypatch):
+    table = langid.Pieces.of(langid.vocabulary_pieces(langid.tokenizer_path(langid.VOCABULARY)))
+    probs = np.full((table.size + 2, 2), 1 / (table.size + 1))
+    probs[-1] = 0
+    model, scored, real = langid.Model(["de", "en"], table, probs), [], langid.word_scores
+    monkeypatch.setattr(langid, "word_scores", lambda words, *rest: scored.extend(words) or real(words, *rest))
+    texts = [pa.array(["Harbor, (harbor) harbor's", "\"HARBOR\" 12 --"]), pa.array(["harbor! light-house", None])]
+    (_, log, letters), (_, log2, letters2) = langid.totals(iter(texts), model)
+    assert sorted(scored) == ["harbor", "house", "light", "s"]
+    one = dict(zip(scored, real(scored, table, probs), strict=True))
+    assert np.allclose(log, [3 * one["harbor"] + one["s"], one["harbor"]]) and letters.tolist() == [23, 7]
+    assert np.allclose(log2, [one["harbor"] + one["light"] + one["house"], [0, 0]]) and letters2.tolist() == [19, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30))], ["n"])
+    assert [t.num_rows for t in langid._gathered(iter([batch] * 7), 100)] == [120, 90]
