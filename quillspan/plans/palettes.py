@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import color
 from quillspan.plans.base import query
 from quillspan.sources import images
-from quillspan.sources.io import palette_rows, table
+from quillspan.sources.io import palette_rows, spread, table
 
 _LINEAR = "CASE WHEN {c} <= 0.04045 THEN {c} / 12.92 ELSE pow(({c} + 0.055) / 1.055, 2.4) END"
 _LIGHT = """h AS (SELECT doc_id, substr(sha1(doc_id::VARCHAR), 1, 6) AS x, substr(sha1(doc_id::VARCHAR), 7, 6) AS z FROM documents),
@@ -100,7 +100,7 @@ def gamut_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def contrast_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ink's lightness moved until it can be read on a ground."""
-    t = _two(spark, sf_dir)
+    t = spread(_two(spark, sf_dir), "doc_id")
     moved = color.readable_on(4.5)(F.array(*color.oklab(F.col("x"))), F.array(*color.oklab(F.col("z"))))
     return t.select("doc_id", *[F.round(F.get(moved, F.lit(k)), 6).alias(n) for k, n in enumerate("lab")])
 
@@ -108,7 +108,7 @@ def contrast_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def palette_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground, inks and papers of a palette under a room's light, and the light's strength."""
-    h = table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.col("doc_id").cast("string")).alias("h"))
+    h = spread(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", F.sha1(F.col("doc_id").cast("string")).alias("h"))
     colors = color.palette_of(F.array(*[F.substring("h", 1 + 6 * k, 6) for k in range(5)]))
     names = list(color.LIGHTS)
     light = F.get(F.array(*map(F.lit, names)), F.pmod("doc_id", F.lit(len(names) + 1)).cast("int"))  # the last: none
@@ -141,8 +141,9 @@ def palette_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, phrase, array_to_string([round_even((p_partkey * (k + 1) % 101) / 100.0::DOUBLE * CASE WHEN top = 1 AND list_max([(p_partkey * (j + 1) % 101) / 100.0::DOUBLE FOR j IN range(15)]) <= 1 THEN 255 ELSE top END, 0)::INT FOR k IN range(15)], ' ') AS rgb FROM t WHERE phrase <> '' AND n >= 5""")
 def palette_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named palettes: five colours, scaled to bytes where they are fractions, rounded half to even."""
-    flat = "transform(sequence(0, 17), k -> cast(p_partkey * (k + 1) % 101 AS double) / 100 * CASE WHEN p_partkey % 3 = 0 THEN 255 ELSE 1 END)"
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "CASE WHEN p_partkey % 10 = 0 THEN ' ' ELSE ' ' || p_name || ' ' END AS phrase", f"slice(transform(sequence(0, 5), i -> slice({flat}, 3 * i + 1, 3)), 1, CASE WHEN p_partkey % 7 = 0 THEN 4 ELSE 6 END) AS colors")
+    one = "cast(p_partkey * (k + 1) % 101 AS double) / 100 * CASE WHEN p_partkey % 3 = 0 THEN 255 ELSE 1 END"
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    rows = parts.selectExpr("p_partkey", "CASE WHEN p_partkey % 10 = 0 THEN ' ' ELSE ' ' || p_name || ' ' END AS phrase", f"slice(transform(sequence(0, 5), i -> transform(sequence(3 * i, 3 * i + 2), k -> {one})), 1, CASE WHEN p_partkey % 7 = 0 THEN 4 ELSE 6 END) AS colors")
     pairs = rows.withColumn("phrase", F.concat_ws("|", F.when(F.trim("phrase") != "", F.trim("phrase")).otherwise(F.lit(None)), F.when(F.trim("phrase") != "", F.col("p_partkey").cast("string"))))
     out = palette_rows(pairs)
     return out.select(F.element_at(F.split("phrase", r"\|"), 2).cast("long").alias("p_partkey"), F.element_at(F.split("phrase", r"\|"), 1).alias("phrase"), F.array_join(F.flatten("rgb").cast("array<string>"), " ").alias("rgb"))
@@ -179,7 +180,7 @@ p AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 AND doc_id % 11 <> 5 AND doc_id %
 SELECT doc_id, problem, CASE WHEN problem IS NULL THEN 96 END AS width, CASE WHEN problem IS NULL THEN 48 END AS height, """ + ", ".join(f"CASE WHEN problem IS NULL THEN round_even({c}, 4) END AS {c}" for c in "lab") + " FROM p JOIN m USING (doc_id)")
 def picture_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of the documents' colours, decoded, made smaller and told by their mean colour."""
-    h = table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.col("doc_id").cast("string")).alias("h"))
+    h = spread(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", F.sha1(F.col("doc_id").cast("string")).alias("h"))
     grey = images.png(np.full((64, 128, 3), 200, np.uint8))
     known = spark.createDataFrame([(hashlib.sha256(grey).hexdigest(),)], "sha256 string")
     found = images.pictures(h.mapInArrow(_drawn, "doc_id long, content binary"), "doc_id", "content", known, least=40, most=96)

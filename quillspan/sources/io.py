@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt to all cores by a hash of key, for work that costs much a row: a file of narrow rows has
+    few row groups, and so few tasks, however many rows it has."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def csv_columns(spark: SparkSession, path: str, header: list[str], wanted: list[str]) -> DataFrame:
     """The wanted columns of a CSV file with a header, as text; an empty field is null. Spark reads
     no more columns than a plan needs."""
@@ -149,11 +155,13 @@ def pickled_palettes(names: bytes, palettes: bytes) -> list[tuple[str, list[list
 def palette_rows(pairs: DataFrame) -> DataFrame:
     """phrase, rgb: the first five colours in 0..255 (those in 0..1 are scaled), rounded half to even;
     pairs (phrase, colors) with fewer colours, other shapes or no phrase go."""
-    five = F.slice("colors", 1, 5)
-    fit = (F.size(five) == 5) & F.forall(five, lambda c: F.size(c) == 3) & (F.trim("phrase") != "")
-    top = F.array_max(F.flatten(five))
-    scaled = F.transform(five, lambda c: F.transform(c, lambda x: F.rint(F.when(top <= 1, x * 255).otherwise(x)).cast("int")))
-    return pairs.where(F.coalesce(fit, F.lit(False))).select(F.trim("phrase").alias("phrase"), scaled.alias("rgb"))
+    fit = lambda five: (F.size(five) == 5) & F.forall(five, lambda c: F.size(c) == 3)
+    top = lambda five: F.array_max(F.flatten(five))
+    scaled = lambda s: F.transform(s["five"], lambda c: F.transform(c, lambda x: F.rint(F.when(s["top"] <= 1, x * 255).otherwise(x)).cast("int")))
+    # none or one, worked out once a row: a filter or a colour that named them would do it again
+    five = F.filter(F.array(F.slice("colors", 1, 5)), lambda f: F.coalesce(fit(f), F.lit(False)))
+    found = F.transform(F.transform(five, lambda f: F.struct(f.alias("five"), top(f).alias("top"))), scaled)
+    return pairs.where(F.trim("phrase") != "").select(F.trim("phrase").alias("phrase"), F.explode(found).alias("rgb"))
 
 
 # --- landed answers of remote sources -----------------------------------------------------
