@@ -4,6 +4,7 @@ is searched for (all rows of a batch move together)."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -204,27 +205,45 @@ def np_lab(lch_: np.ndarray) -> np.ndarray:
     return np.stack([lch_[:, 0], lch_[:, 1] * np.cos(h), lch_[:, 1] * np.sin(h)], axis=1)
 
 
+def _np_apply(matrix: tuple, values: np.ndarray) -> np.ndarray:
+    """_apply() to arrays, all rows of the matrix at once."""
+    m = np.array(matrix)[:, :, None]
+    return m[:, 0] * values[0] + m[:, 1] * values[1] + m[:, 2] * values[2]
+
+
+def np_linear_of_lab(lab: np.ndarray) -> np.ndarray:
+    """linear_of_lab() of arrays; a row a channel."""
+    root = _np_apply(FROM_LAB, lab)
+    return _np_apply(FROM_LMS, root * root * root)
+
+
 def np_gamut(lch_: np.ndarray) -> np.ndarray:
-    """Chroma cut to what sRGB shows; black and white have none."""
+    """Chroma cut to what sRGB shows; black and white have none. Only colours that don't show are
+    searched."""
     out, edge = lch_.copy(), (lch_[:, 0] <= 0) | (lch_[:, 0] >= 1)
     out[edge, 0], out[edge, 1] = np.clip(out[edge, 0], 0, 1), 0
 
-    def fits(c: np.ndarray) -> np.ndarray:
-        rgb = np.stack(linear_of_lab(np_lab(np.stack([out[:, 0], c, out[:, 2]], axis=1)).T))
+    def fits(colors: np.ndarray, c: np.ndarray, ways: np.ndarray) -> np.ndarray:
+        rgb = np_linear_of_lab((colors[:, 0], c * ways[0], c * ways[1]))
         return ((rgb >= -1e-4) & (rgb <= 1 + 1e-4)).all(axis=0)
 
-    whole, lo, hi = fits(out[:, 1]), np.zeros(len(out)), out[:, 1].copy()
-    for _ in range(20):
-        mid = (lo + hi) / 2
-        ok = fits(mid)
-        lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid)
-    out[:, 1] = np.where(whole | edge, out[:, 1], lo)
+    hue = np.radians(out[:, 2])
+    ways = np.stack([np.cos(hue), np.sin(hue)])
+    far = np.flatnonzero(~(fits(out, out[:, 1], ways) | edge))
+    if len(far):
+        colors, ways = out[far], ways[:, far]
+        lo, hi = np.zeros(len(far)), colors[:, 1]
+        for _ in range(20):
+            mid = (lo + hi) / 2
+            ok = fits(colors, mid, ways)
+            lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid)
+        out[far, 1] = lo
     return out
 
 
 def np_linear(lab: np.ndarray) -> np.ndarray:
     """Linear sRGB in [0, 1] of the nearest colour in the gamut; a row a channel."""
-    return np.clip(np.stack(linear_of_lab(np_lab(np_gamut(np_lch(lab))).T)), 0, 1)
+    return np.clip(np_linear_of_lab(np_lab(np_gamut(np_lch(lab))).T), 0, 1)
 
 
 def np_srgb(lab: np.ndarray) -> np.ndarray:
@@ -232,19 +251,31 @@ def np_srgb(lab: np.ndarray) -> np.ndarray:
     return np.where(v <= 0.0031308, 12.92 * v, 1.055 * np.maximum(v, 1e-12) ** (1 / 2.4) - 0.055)
 
 
-def np_from_srgb(rgb: np.ndarray) -> np.ndarray:
-    linear = np.where(rgb <= 0.04045, rgb / 12.92, ((rgb + 0.055) / 1.055) ** 2.4)
+def np_from_linear(linear: np.ndarray) -> np.ndarray:
     return (np.array(TO_LAB) @ np.cbrt(np.array(TO_LMS) @ linear)).T
 
 
-def np_contrast(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x, y = (np.array(LUMA) @ np_linear(v) + 0.05 for v in (a, b))
+def np_from_srgb(rgb: np.ndarray) -> np.ndarray:
+    return np_from_linear(np.where(rgb <= 0.04045, rgb / 12.92, ((rgb + 0.055) / 1.055) ** 2.4))
+
+
+def np_luma(lab: np.ndarray) -> np.ndarray:
+    """Luminance as contrast takes it."""
+    return np.array(LUMA) @ np_linear(lab) + 0.05
+
+
+def np_ratio(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(x, y) / np.minimum(x, y)
 
 
+def np_contrast(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np_ratio(np_luma(a), np_luma(b))
+
+
 def np_worst(ink: np.ndarray, grounds: list[np.ndarray]) -> np.ndarray:
     """The least contrast of the ink with any of the grounds."""
-    return np.min([np_contrast(ink, g) for g in grounds], axis=0)
+    x = np_luma(ink)
+    return np.min([np_ratio(x, np_luma(g)) for g in grounds], axis=0)
 
 
 STEPS = np.arange(1, 5) / 4  # a range is searched by four places at a time
@@ -269,22 +300,33 @@ def np_readable(ink: np.ndarray, grounds: list[np.ndarray], target: float) -> np
     the first one on the way to white or to black. The way is chosen by what its end reaches, up
     to the target; of equal ends, a dark first ground takes white. If no end reaches the target,
     the ink ends there."""
-    own = np_lch(ink)
+    lumas = np.stack([np.broadcast_to(np_luma(g), len(ink)) for g in grounds])  # once, not at each place
+    worst = lambda lab, rows: np.min(np_ratio(np_luma(lab), lumas[:, rows]), axis=0)
+    low = np.flatnonzero(~(worst(ink, slice(None)) >= target))  # the others stay, and are not searched
+    if not len(low):
+        return ink
+    own = np_lch(ink[low])
     shown = lambda lightness: np_lab(np_gamut(np.column_stack([lightness, own[:, 1:]])))
-    enough = lambda lightness: np_worst(shown(lightness), grounds) >= target
-    white, black = (np.minimum(np_worst(shown(np.full(len(ink), x)), grounds), target) for x in (1.0, 0.0))
-    end = np.where(white == black, grounds[0][:, 0] < 0.5, white > black).astype(float)
+    enough = lambda lightness: worst(shown(lightness), low) >= target
+    white, black = (np.minimum(worst(shown(np.full(len(low), x)), low), target) for x in (1.0, 0.0))
+    end = np.where(white == black, np.broadcast_to(grounds[0][:, 0], len(ink))[low] < 0.5, white > black).astype(float)
     moved = np.where(np.maximum(white, black) >= target, np_first(enough, own[:, 0], end, 12), end)
-    return np.where((np_worst(ink, grounds) >= target)[:, None], ink, shown(moved))
+    out = ink.copy()
+    out[low] = shown(moved)
+    return out
+
+
+@cache
+def _layer(color: tuple[float, float, float]) -> np.ndarray:
+    return np_srgb(np_lab(np.array([color], float)))
 
 
 def np_lit(ground: np.ndarray, light: str | None, strength: np.ndarray | float = 1.0) -> list[np.ndarray]:
     """The plain ground, and the ground under each layer of a light as sRGB blending shows it."""
     out, under = [ground], np_srgb(ground)
     for *color, alpha in LIGHTS.get(light, ()):
-        top = np_srgb(np_lab(np.array([color], float)))
         a = alpha * strength
-        out.append(np_from_srgb(top * a + under * (1 - a)))
+        out.append(np_from_srgb(_layer(tuple(color)) * a + under * (1 - a)))
     return out
 
 
@@ -307,15 +349,26 @@ def np_tokens(palette: np.ndarray, light: str | None) -> dict[str, np.ndarray]:
 
     def written(color: np.ndarray) -> np.ndarray:
         best = np_readable(color, lit, TEXT_TARGET)
-        met = np_worst(best, lit) >= TEXT_TARGET
-        return np.where(met[:, None], best, np_readable(color, plain, INK_TARGET))
+        short = np.flatnonzero(~(np_worst(best, lit) >= TEXT_TARGET))
+        if len(short):
+            best = best.copy()
+            best[short] = np_readable(color[short], [ground[short]], INK_TARGET)
+        return best
 
     ink = written(np_readable(lead, plain, INK_TARGET))
     soft = written((1 - SOFT_MIX) * ink + SOFT_MIX * ground)
     on_paper = np.stack([ink, ground])[np_most_contrast([ink, ground], mid1), np.arange(len(ink))]
-    dark = lambda away: np.minimum(*(np_worst(x, np_lit(ground, light, 1 - away)) for x in (ink, soft))) >= TEXT_TARGET
-    none, full = np.zeros(len(ink)), np.ones(len(ink))
-    strength = full if light is None else np.where(dark(none), 1.0, 1 - np_first(lambda away: dark(away) | (away >= 1), none, full, 8))
+    strength = np.ones(len(ink))
+    if light is not None:
+        inks = np_luma(ink), np_luma(soft)
+
+        def dark(away: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            under = [np_luma(g) for g in np_lit(ground[rows], light, 1 - away)]
+            return np.min([np_ratio(x[rows], u) for x in inks for u in under], axis=0) >= TEXT_TARGET
+
+        dim = np.flatnonzero(~dark(np.zeros(len(ink)), np.arange(len(ink))))
+        if len(dim):
+            strength[dim] = 1 - np_first(lambda away: dark(away, dim) | (away >= 1), np.zeros(len(dim)), np.ones(len(dim)), 8)
     return {"ground": ground, "ink": ink, "soft": soft, "mid1": mid1, "mid2": mid2, "mid3": mid3, "paper_ink": np_readable(on_paper, [mid1], PAPER_TARGET), "strength": strength}
 
 
@@ -331,14 +384,14 @@ def _stack(colors: pd.Series) -> np.ndarray:
 def tokens(palette: pd.Series, light: pd.Series) -> pd.DataFrame:
     """The display colours of array<array<double>> palettes under a named light (null: none);
     nulls for a null palette."""
-    out = {f.name: pd.Series([None] * len(palette), dtype=object) for f in _TOKENS.fields}
+    out = {f.name: [None] * len(palette) for f in _TOKENS.fields}
     for name in light.where(light.notna(), None).unique():
         at = np.flatnonzero(palette.notna() & (light.isna() if name is None else light == name))
         if len(at):
             for k, v in np_tokens(_stack(palette.iloc[at]), name).items():
-                for i, x in zip(at, v, strict=True):
-                    out[k].iat[i] = x.tolist() if isinstance(x, np.ndarray) else float(x)
-    return pd.DataFrame(out)
+                for i, x in zip(at, v.tolist(), strict=True):
+                    out[k][i] = x
+    return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()})
 
 
 def readable_on(target: float):

@@ -99,3 +99,31 @@ def test_blend_keeps_chroma(spark):
     got = df.select(F.to_json(color.blended(F.col("x"))).alias("j")).first().j
     for light, a, b in json.loads(got):
         assert light == 0.5 and abs(math.hypot(a, b) - 0.1) < 1e-6 and abs(math.degrees(math.atan2(b, a)) - 60) < 1e-3
+
+
+def test_a_ground_is_worked_out_once_and_only_unreadable_inks_are_searched(monkeypatch):
+    rng = np.random.default_rng(4)
+    inks, grounds = color.np_from_srgb(rng.random((3, 50))), [color.np_from_srgb(rng.random((3, 50))) for _ in range(3)]
+    asked, real = [], color.np_gamut
+    monkeypatch.setattr(color, "np_gamut", lambda lch: asked.append(len(lch)) or real(lch))
+    moved = color.np_readable(inks, grounds, 4.5)
+    assert len(asked) < 2 * 4 * 12 + 20  # of each place: the colour, and its luminance
+    low = color.np_worst(inks, grounds) < 4.5
+    assert (moved[~low] == inks[~low]).all() and 0 < low.sum() < 50 and max(asked[4:]) <= 50
+    assert asked.count(int(low.sum())) >= 4 * 12
+
+
+def test_palettes_are_worked_off_by_all_cores(spark):
+    from quillspan.plans import palettes
+
+    for query in (palettes.palette_tokens, palettes.palette_import, palettes.contrast_clamp):
+        assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_palette_rows_refuse_other_shapes(spark):
+    from quillspan.sources.io import palette_rows
+
+    five = [[0.5, 0.0, 1.0]] * 5
+    rows = [("a ", five), ("b", [*five, [9.0, 9.0, 9.0]]), ("c", five[:4]), ("d", [*five[:4], [1.0]]), ("e", [*five[:4], None]), ("f", None), (" ", five), (None, five), ("g", [[0.5, 2.5, 3.5]] * 5)]
+    got = {r.phrase: r.rgb for r in palette_rows(spark.createDataFrame(rows, "phrase string, colors array<array<double>>")).collect()}
+    assert got == {"a": [[128, 0, 255]] * 5, "b": [[128, 0, 255]] * 5, "g": [[0, 2, 4]] * 5}
