@@ -1,10 +1,12 @@
 """Pictures: every row filter, colour types, damage, and sizes."""
 
+import hashlib
 import random
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from quillspan.sources import images
 
@@ -73,3 +75,21 @@ def test_pictures(spark):
     assert (wide.width, wide.height, wide.problem) == (250, 83, None) and np.abs(np.array(wide.tone) - images.tone(fine)).max() < 2e-3
     assert images.decoded(wide.picture).shape == (83, 250, 3)
     assert images.pictures(files.limit(0), "path", "content", known).count() == 0
+
+
+def test_files_are_read_once_and_by_all_cores(spark):
+    from quillspan.plans import palettes
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def drawn(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            files = [images.png(np.full((64, 64, 3), i, np.uint8)) for i in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["name", "content"])
+
+    known = spark.createDataFrame([(hashlib.sha256(images.png(np.full((64, 64, 3), 3, np.uint8))).hexdigest(),)], "sha256 string")
+    got = images.pictures(spark.range(8).mapInArrow(drawn, "name long, content binary"), "name", "content", known).collect()
+    assert reads.value == 8 and {r.name: r.problem for r in got} == {i: "placeholder" if i == 3 else None for i in range(8)}
+    found = palettes.picture_scan(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
