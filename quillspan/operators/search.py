@@ -18,6 +18,8 @@ from quillspan.sources.scratch import dropped, staged
 QUERY_BYTES = 16 << 20  # of query vectors in a block
 ITEM_ROWS = 50_000  # in a block
 CELLS = 2 << 20  # of a score matrix
+RANKED = 500_000  # candidate rows that a task sorts, about
+TASKS = 200  # at most: up to as many, Spark writes a shuffle without holding rows
 _OUT = pa.schema([("qid", pa.int64()), ("category", pa.int32()), ("id", pa.int64()), ("creator", pa.int64()), ("score", pa.float64())])
 _ITEM = ["id", "category", "creator", "title", "vector", "penalty"]
 _QUERY = ["qid", "qcategory", "qcreator", "qtitle", "qvector", "qexclude"]
@@ -102,6 +104,12 @@ def _best(items: pa.Table | pa.RecordBatch, q: _Queries, same: int, other: int,
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([q.id[part][a], category[first], ids[first], creator[first], few[a, b]], _OUT.types, strict=True)], schema=_OUT)
 
 
+def _dealt(rows: DataFrame, number: int, *keys: str) -> DataFrame:
+    """About `number` rows by a hash of the keys, RANKED to a task: what a task sorts doesn't follow the input."""
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(TASKS, max(least, -(-number // RANKED)))), *keys)
+
+
 def scores(items: DataFrame, queries: DataFrame, same: int, other: int | None = None, per_creator: bool = True, own: bool = False, digits: int | None = 6, rule: Rule | None = None) -> DataFrame:
     """Candidate rows qid, category, id, creator, score: a superset of each query's best items,
     `same` of its own category and `other` (same, if None) of each other one, one per creator,
@@ -115,7 +123,8 @@ def scores(items: DataFrame, queries: DataFrame, same: int, other: int | None =
 
     Queries that fit QUERY_BYTES are broadcast to the items' partitions. More of them are dealt
     to blocks of that size, as items are to blocks of ITEM_ROWS, and every pair of blocks is
-    one group: rows move as often as there are blocks on the other side.
+    one group: rows move as often as there are blocks on the other side. The result lies by qid and
+    category, so ranks within them need no further shuffle.
     """
     other = same if other is None else other
     titled = F.xxhash64("title") if "title" in items.columns else F.col("id")
@@ -124,7 +133,9 @@ def scores(items: DataFrame, queries: DataFrame, same: int, other: int | None =
     qtitle = F.xxhash64("qtitle") if "qtitle" in queries.columns else F.col("qid")
     asked = queries.select("qid", has("qcategory", -1).cast("int").alias("qcategory"), F.col("qcreator").cast("long").alias("qcreator"), qtitle.alias("qtitle"), F.transform("qvector", lambda x: x.cast("double")).alias("qvector"), has("qexclude", None).cast("array<long>").alias("qexclude"), *(rule.query_columns if rule else ()))
     asked = staged(asked, "queries")
-    size = asked.agg(F.sum(8 * F.size("qvector") + 8 * F.coalesce(F.size("qexclude"), F.lit(0)) + 64)).first()[0] or 0
+    size, asks = asked.agg(F.sum(8 * F.size("qvector") + 8 * F.coalesce(F.size("qexclude"), F.lit(0)) + 64), F.count("*")).first()
+    size, (count, kinds) = size or 0, things.agg(F.count("*"), F.count_distinct("category")).first()
+    found = lambda blocks: asks * min(count, kinds * max(same, other) * blocks)  # rows of the result, about
     schema = "qid long, category int, id long, creator long, score double"
     if size <= QUERY_BYTES:
         block = asked.sparkSession.sparkContext.broadcast(asked.orderBy("qid").toArrow())  # its size is checked above
@@ -135,9 +146,10 @@ def scores(items: DataFrame, queries: DataFrame, same: int, other: int | None =
                 for at in range(0, batch.num_rows if len(q.id) else 0, ITEM_ROWS):
                     yield from _best(batch.slice(at, ITEM_ROWS), q, same, other, per_creator, own, digits, rule)
 
-        return things.mapInArrow(run, schema)
+        batches = asked.sparkSession.sparkContext.defaultParallelism + count // int(asked.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return _dealt(things.mapInArrow(run, schema), found(batches), "qid", "category")
 
-    qblocks, iblocks = -(-size // QUERY_BYTES), max(1, -(-things.count() // ITEM_ROWS))
+    qblocks, iblocks = -(-size // QUERY_BYTES), max(1, -(-count // ITEM_ROWS))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     nothing = lambda df, names: [F.lit(None).cast(df.schema[n].dataType).alias(n) for n in names]
     of_query, of_item = [*_QUERY, *(rule.query_columns if rule else ())], [*_ITEM, *(rule.item_columns if rule else ())]
@@ -150,7 +162,8 @@ def scores(items: DataFrame, queries: DataFrame, same: int, other: int | None =
         out = [] if not q.num_rows or not rows.num_rows else list(_best(rows, _Queries(q, rule), same, other, per_creator, own, digits, rule))
         return pa.Table.from_batches(out, schema=_OUT)
 
-    return left.unionByName(right).groupBy("_q", "_i").applyInArrow(pair, schema)
+    blocks = left.unionByName(right).repartition(min(TASKS, qblocks * iblocks), "_q", "_i")
+    return _dealt(blocks.groupBy("_q", "_i").applyInArrow(pair, schema), found(iblocks), "qid", "category")
 
 
 def nearest(items: DataFrame, queries: DataFrame, k: int, per_creator: bool = True, own: bool = False, other: int | None = None, rule: Rule | None = None) -> DataFrame:
@@ -197,6 +210,7 @@ def wins_of(short: DataFrame, items: DataFrame, queries: DataFrame) -> tuple[Dat
     category's smallest) is."""
     smallest = items.groupBy("category").agg(F.min("penalty").alias("_free"))  # a row a category
     rows = short.join(items.select("id", "penalty"), "id").join(F.broadcast(smallest), "category")
+    rows = _dealt(rows, short.count(), "qid", "category")
     rows = rows.withColumn("score", F.round(F.col("raw") - F.col("penalty"), 6)).withColumn("_most", F.round(F.col("least") - F.col("_free"), 6))
     rows = rows.withColumn("_p", F.row_number().over(W.partitionBy("qid", "category").orderBy(F.desc("score"), "id"))).where("_p <= 2")
     places = staged(rows.select("qid", "category", "id", F.col("_p").alias("place"), (F.col("_most").isNotNull() & (F.col("score") <= F.col("_most"))).alias("_open")), "places")

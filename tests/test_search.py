@@ -162,3 +162,19 @@ def test_words_of_texts_come_from_bounded_batches(spark):
             assert spark.conf.get(key) == left
     finally:
         spark.conf.set(key, held)
+
+
+@pytest.mark.parametrize("size", [search.QUERY_BYTES, 2000])
+def test_ranks_are_taken_of_bounded_shares_of_the_candidates(spark, monkeypatch, size):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(300, 4))
+    items = spark.createDataFrame([(i, i % 3, i % 20, v.tolist(), 0.0) for i, v in enumerate(vectors)], "id long, category int, creator long, vector array<double>, penalty double").repartition(2)
+    queries = spark.createDataFrame([(q, -1, vectors[q].tolist()) for q in range(40)], "qid long, qcreator long, qvector array<double>")
+    monkeypatch.setattr(search, "RANKED", 50)
+    monkeypatch.setattr(search, "QUERY_BYTES", size)
+    rows = search.scores(items, queries, 5, per_creator=False)
+    held = [sum(1 for _ in p) for p in rows.rdd.glom().collect()]
+    assert len(held) >= 12 and sum(held) >= 40 * 3 * 5 and max(held) <= 0.4 * sum(held)
+    got = {(r.qid, r.category, r.id) for r in search.nearest(items, queries, 5, per_creator=False).collect()}
+    near = np.round(vectors[:40] @ vectors.T, 6)
+    assert got == {(q, c, i) for q in range(40) for c in range(3) for i in sorted(range(c, 300, 3), key=lambda i: (-near[q, i], i))[:5]}
